@@ -4,19 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netloom.llm import bpe, chat, fingerprint, html, langid, quality, urls
 from netloom.llm.minhash import NearDedup, near_duplicates
 from netloom.llm.store import documents
 
+#: host, path prefix, allowed
+URL_RULES = [
+    ("com", "/", True),
+    ("example.com", "/en/", False),
+    ("www.example.com", "/en/", True),
+    ("net", "/es/", False),
+    ("net", "/fr/", False),
+]
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, documents(spark, sf_dir), NearDedup(words=3, percent=85, bands=25, rows=5))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(spark, docs.select("doc_id", "text").where(_remainder(3) != 1).join(labels, "doc_id"))
+    out = quality.score(spark, docs, model)
+    return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.train(docs.where(_remainder(5) != 0))
+    out = langid.identify(spark, docs, profiles)
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.tokenize(spark, documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(spark, documents(spark, sf_dir))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", "'</s>[INST] ok [/INST]' text")
+    out = chat.read_back(chat.format_chats(spark, chat.turns_as_tree(own.unionByName(extra))))
+    loss = F.array_join("loss", "")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op7_byte_bpe, op9_fingerprint, op10_chat_format)}
+
+
+ORACLE = {
+    "op4_url_rules": """
+        WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                       ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        best AS (SELECT DISTINCT host, path, arg_max(h || p, length(h || p)) OVER w AS rule, arg_max(v, length(h || p)) OVER w AS said
+                 FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+                 WINDOW w AS (PARTITION BY host, path))
+        SELECT page_id, parts.host, parts.path, rule, coalesce(said, 'allow') AS verdict
+        FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path""",
+    "op10_chat_format": """
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) x(a, b, c, d)),
+        esc AS (SELECT *, 20 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+                       + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) AS n FROM rows)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(n)::BIGINT AS formatted_chars
+        FROM esc GROUP BY conv_id""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
