@@ -102,7 +102,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def with_next(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     """docs (doc_id, text) -> rows (part, last, doc_id, text), sorted inside partitions, in which the row after each
-    one with last = 0 is its successor by (doc_id, text), after the largest the smallest.
+    one with last = 0 is its successor by (doc_id, text), after the largest the smallest; null ids come last.
 
     Ranges of doc_id are cut at approximate quantiles; each range also gets the first row of the next one, marked
     last = 1. So no window over all rows is needed, and the texts are shuffled once.
@@ -113,7 +113,7 @@ def with_next(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4000)
     shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
     inner = own.select(F.percentile_approx("doc_id", shares, 100000).alias("q")).first().q or []
     bounds = sorted({int(x) for x in inner})
-    own = own.withColumn("part", _range_of(F.col("doc_id"), bounds, 0, len(bounds)))
+    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_range_of(F.col("doc_id"), bounds, 0, len(bounds))))
     heads = table(spark, own.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("h")).select("part", "h.*"), "heads")
     parts = sorted(r.part for r in heads.select("part").collect())  # one number for each range
     before = {p: parts[i - 1] for i, p in enumerate(parts)}

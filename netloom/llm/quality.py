@@ -157,3 +157,19 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(shared.value.scores(doc, feature, end - row))], ["doc_id", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least `least`; null and empty texts are judged by the bias."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, offsets, data in chunks(batch):
+                doc, feature = features(offsets, data)
+                good = shared.value.scores(doc, feature, end - row) >= least
+                if good.any():
+                    yield batch.slice(row, end - row).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

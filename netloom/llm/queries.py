@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, chat, fingerprint, html, langid, quality, urls
+from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, quality, substrings, urls
 from netloom.llm.minhash import NearDedup, near_duplicates
 from netloom.llm.store import documents
 
@@ -53,11 +53,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.tokenize(spark, documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark, documents(spark, sf_dir), words=35, with_text=False)
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(spark, documents(spark, sf_dir))
 
@@ -74,8 +82,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op7_byte_bpe, op9_fingerprint, op10_chat_format)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, pipeline)}
 
 
 ORACLE = {
