@@ -18,8 +18,7 @@ from netloom.llm.store import table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The classifier learns from the labelled rows outside the held-out third."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
-    model = quality.train(spark, docs.select("doc_id", "text").where(fold).join(labels, "doc_id"))
+    model = quality.train(spark, docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     return quality.keep(spark, docs, model)
 
 

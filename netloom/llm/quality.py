@@ -115,19 +115,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, cost: f
     return Model(ratio, weight, bias)
 
 
-def train(spark: SparkSession, labelled: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
-    """labelled (doc_id, text, label 0 or 1) -> Model. Learns from at most about per_class documents of each class.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
+    """docs (doc_id, text), labels (doc_id, label 0 or 1) -> Model, from at most about per_class labels of each class.
 
-    These are the ones of the smallest hashes of doc_id; rows of a null label are left out. The driver gets their
-    hashed features only. per_class is the bound on what is collected.
+    These are the ones of the smallest hashes of doc_id; null labels are left out. The sample is drawn from the
+    labels alone and broadcast, so that no text is shuffled; the driver gets the sample's hashed features only.
+    per_class is the bound on both.
     """
     small_batches(spark)
-    own = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    own = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     sizes = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, per_class / n)).otherwise(share)
-    own = own.where(F.xxhash64(F.col("doc_id"), F.lit(5)) / 2.0**64 + 0.5 <= share)
+    sample = own.where(F.xxhash64(F.col("doc_id"), F.lit(5)) / 2.0**64 + 0.5 <= share)
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,7 @@ def _remainder(n: int):
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    model = quality.train(spark, docs.select("doc_id", "text").where(_remainder(3) != 1).join(labels, "doc_id"))
+    model = quality.train(spark, docs, labels.where(_remainder(3) != 1))
     out = quality.score(spark, docs, model)
     return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
