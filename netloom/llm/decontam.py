@@ -107,6 +107,8 @@ class Items:
         item = key // (4 * len(data) + 4) % len(self.ids)
         good = np.maximum(after, before) + count >= self.least[item]
         key, item = key[good], item[good]
+        if not len(key):
+            return
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + 1])[: len(key)])
         for a, b in zip(start, [*start[1:], len(key)], strict=True):
             i, w = int(item[a]), int(self.edits[item[a]]) + 1
