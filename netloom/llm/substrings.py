@@ -218,12 +218,12 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, words: int = 50) -> D
     """docs (doc_id, th, text) -> (doc_id, th, spans): the starts of windows that also start anywhere else.
 
     A window is `words` consecutive words of one text. spans is an array of (at, n): n window starts from word `at`
-    on. th is xxhash64 of the text; a text without such a window has no row. Rows that repeat (doc_id, th) count as
+    on. th is a 32-bit hash of the text, which tells rows of one doc_id apart; a text without such a window has no row. Rows that repeat (doc_id, th) count as
     rows of their own, so their windows are all repeated.
     """
     if words <= GRAM:
         raise ValueError(f"windows need more than {GRAM} words")
-    schema = "m long, s long, doc_id long, th long, at int, n int, periodic boolean"
+    schema = "m long, s long, doc_id long, th int, at int, n int, periodic boolean"
     rows = table(spark, docs.select("doc_id", "th", "text").mapInArrow(_spans(words), schema), "spans")
     by_span = rows.groupBy("m", "s").agg(
         F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n")).alias("rep"), F.max("periodic").alias("periodic")
@@ -287,7 +287,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int = 50, with_t
     """
     small_batches(spark)
     more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("th", F.xxhash64("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("th", F.shiftright(F.xxhash64("text"), 32).cast("int"))
     spans = table(spark, repeated_windows(spark, own, words), "repeats")
     both = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "spans", "text", *[f"_{i}" for i in range(len(carry))])
     last = "text string" if with_text else "kept_sha256 string"
