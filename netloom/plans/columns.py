@@ -1 +1,81 @@
-"""To come."""
+"""Scalar, join and set queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netloom.functions import scalar
+from netloom.plans.registry import query
+
+
+@query("""AND p AS (SELECT p_partkey AS v, p_retailprice AS a, p_retailprice * (1 + (p_partkey % 5) * 4e-7) AS b FROM part)
+ SELECT v, a = b OR abs(a - b) < 1e-6 * greatest(abs(a), abs(b)) AS eq, a < b AND NOT (a = b OR abs(a - b) < 1e-6 * greatest(abs(a), abs(b))) AS lt FROM p""")
+def fuzzy_compare(t):
+    a, b = F.col("p_retailprice"), F.col("p_retailprice") * (1 + (F.col("p_partkey") % 5) * F.lit(4e-7))
+    return t.part.select(F.col("p_partkey").alias("v"), scalar.fuzzy_equal(a, b).alias("eq"), scalar.fuzzy_less(a, b).alias("lt"))
+
+
+@query("SELECT p_partkey AS v FROM part WHERE p_name ILIKE '%a_e%'")
+def glob_match(t):
+    return t.part.where(scalar.glob(F.col("p_name"), "*A?e*", True)).select(F.col("p_partkey").alias("v"))
+
+
+@query("AND b AS (SELECT o_orderkey AS id, (o_orderkey % 9)::INT AS a FROM orders) SELECT id, unnest([a, a + 2]) AS n FROM b UNION ALL SELECT id, a + 5 + i FROM b, range(0, 4) r(i)")
+def parse_int_ranges(t):
+    a = F.col("o_orderkey") % 9
+    text = F.concat_ws(",", a, F.concat(F.lit(" "), a + 2), F.concat_ws("-", a + 5, a + 8))
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.explode(scalar.int_ranges(text)).alias("n"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, json_exists(props, '$.page') AS has_page FROM events")
+def json_extract(t):
+    j = lambda p: F.get_json_object("props", p)
+    return t.events.select("event_id", j("$.k").cast("bigint").alias("k"), j("$.page").isNotNull().alias("has_page"))
+
+
+@query("SELECT p_partkey AS v FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def unannotated_anti(t):
+    return t.part.join(t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select(F.col("p_partkey").alias("v"))
+
+
+@query("SELECT o_orderkey AS id, c_name AS name, c_custkey IS NOT NULL AS placed FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0")
+def placement_left_join(t):
+    c = t.customer.where("c_custkey % 3 = 0").selectExpr("c_custkey o_custkey", "c_name name", "true placed")
+    return t.orders.join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), "name", F.coalesce("placed", F.lit(False)).alias("placed"))
+
+
+@query("""AND a AS (SELECT p_partkey AS id, p_size AS x FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS x FROM part WHERE p_partkey % 4 <> 0)
+ SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS what, a.x AS before, b.x AS after FROM a FULL JOIN b ON a.id = b.id WHERE a.x IS DISTINCT FROM b.x""")
+def design_diff(t):
+    a = t.part.where("p_partkey % 5 <> 0").selectExpr("p_partkey id", "p_size before", "true ina")
+    b = t.part.where("p_partkey % 4 <> 0").selectExpr("p_partkey id", "if(p_partkey % 7 = 0, p_size + 1, p_size) after", "true inb")
+    d = a.join(b, "id", "full_outer").where("not (before <=> after)")
+    return d.select("id", F.when(F.col("ina").isNull(), "added").when(F.col("inb").isNull(), "removed").otherwise("changed").alias("what"), "before", "after")
+
+
+@query("SELECT p_partkey AS v, 'bus' || (p_partkey // 8) AS bus, p_partkey % 8 AS bit FROM part")
+def parse_bus(t):
+    bus, bit = scalar.bus_parts(F.concat(F.lit("bus"), F.expr("p_partkey div 8"), F.lit("["), F.col("p_partkey") % 8, F.lit("]")))
+    return t.part.select(F.col("p_partkey").alias("v"), bus.alias("bus"), bit.alias("bit"))
+
+
+@query("SELECT p_partkey AS v, CASE WHEN p_retailprice = floor(p_retailprice) THEN floor(p_retailprice)::BIGINT::VARCHAR ELSE regexp_replace(printf('%.3f', p_retailprice), '\\.?0+$', '') END AS text FROM part")
+def trimmed_numbers(t):
+    return t.part.select(F.col("p_partkey").alias("v"), scalar.trim_zeros(F.format_string("%.3f", "p_retailprice")).alias("text"))
+
+
+@query("SELECT p_partkey AS v, (p_partkey % 2 = 0 AND NOT p_partkey % 3 = 0) OR (p_partkey % 5 = 0) <> (p_partkey % 2 = 0) AS f FROM part")
+def boolean_function(t):
+    ports = {"A": F.col("p_partkey") % 2 == 0, "B": F.col("p_partkey") % 3 == 0, "C": F.col("p_partkey") % 5 == 0}
+    return t.part.select(F.col("p_partkey").alias("v"), scalar.boolean_function("A & B' | C ^ A", ports).alias("f"))
+
+
+@query("""AND s AS (SELECT s_suppkey AS v, s_name AS t FROM supplier),
+ h AS (SELECT v, t, 0 AS i, 5381::BIGINT AS h FROM s UNION ALL SELECT v, t, i + 1, xor((h * 33) % 4294967296, ascii(substr(t, i + 1, 1))::BIGINT) FROM h WHERE i < length(t)) SELECT v, h AS hash FROM h WHERE i = length(t)""")
+def string_hash(t):
+    return t.supplier.select(F.col("s_suppkey").alias("v"), scalar.djb2_xor(F.col("s_name")).alias("hash"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, count(*)::BIGINT AS n, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(t):
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"), F.grouping_id("l_returnflag", "l_linestatus").alias("level"))
