@@ -26,7 +26,17 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df once in the shared folder and reads it back: the lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(spark)}/netloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.netloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by `table`. Only for those that no later plan reads: what follows from them must be written."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.netloom_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.store import small_batches, table
+from netloom.llm.store import drop, small_batches, table
 from netloom.llm.textops import U, Words, chunks, grams, int64, span_hash
 
 GRAM = 12
@@ -225,22 +225,29 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, words: int = 50) -> D
         raise ValueError(f"windows need more than {GRAM} words")
     schema = "m long, s long, doc_id long, th int, at int, n int, periodic boolean"
     rows = table(spark, docs.select("doc_id", "th", "text").mapInArrow(_spans(words), schema), "spans")
-    by_span = rows.groupBy("m", "s").agg(
-        F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n")).alias("rep"), F.max("periodic").alias("periodic")
-    )
-    by_span = table(spark, by_span, "by_span")
-    mixed = by_span.groupBy("m").agg(F.count("*").alias("kinds"), F.max("periodic").alias("any_periodic")).where("kinds > 1 or any_periodic").select("m")
-    opened = by_span.join(table(spark, mixed, "mixed"), "m").select("m", "s", "times", "rep.*")
-    opened = opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "s", "at", "n", "times")).alias("spans"))
-    texts = docs.select("doc_id", "th", "text").join(table(spark, opened, "opened"), ["doc_id", "th"])
-    windows = texts.select("text", "spans").mapInArrow(_open_windows(words), "m long, s long, i int, w long, times long")
-    windows = table(spark, windows.distinct(), "windows")
-    often = windows.groupBy("m", "w").agg(F.sum("times").alias("times")).where("times > 1").select("m", "w")
-    partial = windows.where("times = 1").join(table(spark, often, "often"), ["m", "w"]).groupBy("m", "s").agg(F.sort_array(F.collect_list("i")).alias("starts"))
-    # a span that occurs once is at its representative's place; the others are repeated in full
-    ones = by_span.where("times = 1").join(partial, ["m", "s"]).select("rep.doc_id", "rep.th", F.explode("starts").alias("i"), "rep.at").select("doc_id", "th", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
-    full = rows.join(by_span.where("times > 1").select("m", "s"), ["m", "s"]).select("doc_id", "th", "at", "n")
-    return full.unionByName(ones).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    spans = table(spark, rows.groupBy("m", "s").agg(F.count("*").cast("int").alias("times"), F.max("periodic").alias("periodic")), "counted")
+    # of a minimizer's spans some may overlap in part: if they differ and one occurs once, or if one repeats itself
+    mixed = spans.groupBy("m").agg(F.count("*").alias("kinds"), F.min("times").alias("least"), F.max("periodic").alias("periodic"))
+    mixed = table(spark, mixed.where("least = 1 and (kinds > 1 or periodic)").select("m", F.lit(True).alias("mixed")), "mixed")
+    kept = spans.join(mixed, "m", "left").where("times > 1 or mixed").select("m", "s", "times", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    kept = table(spark, kept, "kept")
+    placed = table(spark, rows.drop("periodic").join(kept, ["m", "s"]), "placed")
+    drop(rows, spans, mixed, kept)
+
+    one = placed.where("mixed").groupBy("m", "s", "times").agg(F.min(F.struct("doc_id", "th", "at", "n")).alias("rep")).select("m", "s", "times", "rep.*")
+    opened = table(spark, one.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "s", "at", "n", "times")).alias("spans")), "opened")
+    texts = docs.select("doc_id", "th", "text").join(opened, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    windows = table(spark, texts.select("text", "spans").mapInArrow(_open_windows(words), "m long, s long, i int, w long, times int"), "windows")
+    often = table(spark, windows.groupBy("m", "w").agg(F.sum("times").alias("times")).where("times > 1").select("m", "w"), "often")
+    partial = windows.where("times = 1").join(often, ["m", "w"]).groupBy("m", "s").agg(F.collect_list("i").alias("starts"))
+    # a span that occurs once is in one place; the others are repeated in full
+    ones = placed.where("times = 1").select("m", "s", "doc_id", "th", "at").join(partial, ["m", "s"])
+    ones = ones.select("doc_id", "th", "at", F.explode("starts").alias("i")).select("doc_id", "th", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
+    full = placed.where("times > 1").select("doc_id", "th", "at", "n")
+    out = full.unionByName(ones).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    out = table(spark, out, "repeats")
+    drop(placed, opened, windows, often)
+    return out
 
 
 def _removal(words: int, with_text: bool, carry: list[str]):
@@ -288,7 +295,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int = 50, with_t
     small_batches(spark)
     more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("th", F.shiftright(F.xxhash64("text"), 32).cast("int"))
-    spans = table(spark, repeated_windows(spark, own, words), "repeats")
+    spans = repeated_windows(spark, own, words)
     both = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "spans", "text", *[f"_{i}" for i in range(len(carry))])
     last = "text string" if with_text else "kept_sha256 string"
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
