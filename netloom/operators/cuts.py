@@ -103,7 +103,7 @@ def evaluate(h: Hypergraph, parts: DataFrame, k: int, ub: float) -> DataFrame:
 
 def legacy_cost(evaluated: DataFrame) -> DataFrame:
     """The compatible form: cost 1e9 for anything infeasible."""
-    return evaluated.select(F.when("feasible", F.col("cut").cast("double")).otherwise(F.lit(1e9)).alias("cost"))
+    return evaluated.select(F.when(F.col("feasible"), F.col("cut").cast("double")).otherwise(F.lit(1e9)).alias("cost"))
 
 
 def cut_hits(h: Hypergraph, solutions: list[DataFrame]) -> DataFrame:

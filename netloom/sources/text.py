@@ -15,14 +15,14 @@ from netloom.operators.hypergraph import Hypergraph
 
 def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
     """(file, pos, line): stripped lines from 0; blank ones and those that start with `comment` are left out, pos counts the rest."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     kept = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & (~s.startswith(comment) if comment else F.lit(True)))
     return files.select("file", F.posexplode(kept).alias("pos", "line"))
 
 
 def all_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) with blank lines."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
 
 
@@ -142,7 +142,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_net_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks `Net name driver`, then `pin x y` lines up to a blank one: (net, driver, pin, x, y)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     blocks = files.select(F.explode(F.split("value", r"(?m)^\s*$\n?")).alias("b")).select(F.filter(F.split("b", r"\r?\n"), lambda s: F.trim(s) != "").alias("l")).where("size(l) > 0")
     head = tokens(F.col("l")[0])
     rows = blocks.where(head[0] == "Net").select(head[1].alias("net"), head[2].cast("int").alias("driver"), F.explode(F.slice("l", 2, 1 << 30)).alias("p"))
@@ -152,7 +152,7 @@ def read_net_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_guides(spark: SparkSession, path: str) -> DataFrame:
     """`net`, `(`, `x0 y0 x1 y1 layer` ..., `)`: (net, xlo, ylo, xhi, yhi, layer)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     nets = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)([^\s()]+)\s*\(\s*([^()]*)\)"), F.lit(0))).alias("b"))
     rows = nets.select(F.regexp_extract("b", r"^([^\s()]+)", 1).alias("net"), F.explode(F.split(F.regexp_extract("b", r"(?s)\(\s*(.*?)\s*\)", 1), r"\r?\n")).alias("l"))
     t = tokens("l")
@@ -161,7 +161,7 @@ def read_guides(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vcd(spark: SparkSession, path: str) -> DataFrame:
     """Value changes: (id, name, t, value). A time holds for the lines up to the next; vectors are `b<bits> id`."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     part = F.split("value", r"\$enddefinitions\s+\$end", 2)
     names = files.select("file", F.explode(F.regexp_extract_all(part[0], F.lit(r"\$var\s+\S+\s+\d+\s+(\S+\s+\S+)"), F.lit(1))).alias("v"))
     names = names.select("file", F.split("v", r"\s+")[0].alias("id"), F.split("v", r"\s+")[1].alias("name"))
@@ -175,7 +175,7 @@ def read_vcd(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spef(spark: SparkSession, path: str, coupling_factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Parasitics: (net, total, node, other, cap) and (net, a, b, res); coupling capacitances are scaled by the factor."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     nets = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\*D_NET\s.*?\*END"), F.lit(0))).alias("b"))
     head = tokens(F.split("b", r"\r?\n")[0])
     nets = nets.select(head[1].alias("net"), head[2].cast("double").alias("total"), "b")
@@ -193,7 +193,7 @@ def read_spef(spark: SparkSession, path: str, coupling_factor: float = 1.0) -> t
 
 def read_blif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """inputs and outputs (name), gates (kind, cell, pins) of a BLIF file; a backslash at a line's end joins the next."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\\\r?\n", " ").alias("value"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\\\r?\n", " ").alias("value"))
     t = files.select(F.explode(F.split("value", r"\r?\n")).alias("l")).where("not startswith(trim(l), '#')").select(tokens("l").alias("t")).where("size(t) > 0")
     names = lambda key: t.where(F.col("t")[0] == key).select(F.explode(F.slice("t", 2, 1 << 30)).alias("name"))
     gates = t.where(F.col("t")[0].isin(".gate", ".latch", ".mlatch", ".names")).select(F.substring(F.col("t")[0], 2, 20).alias("kind"), F.get("t", F.lit(1)).alias("cell"), F.slice("t", 3, 1 << 30).alias("pins"))
@@ -202,7 +202,7 @@ def read_blif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def read_def(spark: SparkSession, path: str, sections: tuple[str, ...] = ("COMPONENTS", "ROW", "TRACKS")) -> dict[str, DataFrame]:
     """The asked sections of a DEF file only: components (inst, master, status, x, y, orient), rows, tracks."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     out = {}
     num = r"(-?\d+)"
     if "COMPONENTS" in sections:
@@ -226,7 +226,7 @@ def read_def(spark: SparkSession, path: str, sections: tuple[str, ...] = ("COMPO
 
 def read_sdf_delays(spark: SparkSession, path: str) -> DataFrame:
     """IOPATH delays of an SDF file: (cell, instance, src, dst, rise, fall), of triples the middle value."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     cells = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\(CELL\b.*?(?=\(CELL\b|\z)"), F.lit(0))).alias("b"))
     cells = cells.select(F.regexp_extract("b", r'\(CELLTYPE\s+"([^"]*)"', 1).alias("cell"), F.regexp_extract("b", r"\(INSTANCE\s*([^\s)]*)", 1).alias("instance"), F.explode(F.regexp_extract_all("b", F.lit(r"\(IOPATH\s+\S+\s+\S+\s+\([^)]*\)(?:\s*\([^)]*\))?"), F.lit(0))).alias("l"))
     p = r"\(IOPATH\s+(\S+)\s+(\S+)\s+\(([^)]*)\)(?:\s*\(([^)]*)\))?"
