@@ -173,3 +173,30 @@ def boolean_function(expr: str, ports: dict[str, Column]) -> Column:
     if at < len(tokens):
         raise ValueError(f"{peek()!r} is left over in {expr!r}")
     return result
+
+
+def is_via(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return (x1 == x2) & (y1 == y2)
+
+
+def manhattan(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.abs(x1 - x2) + F.abs(y1 - y2)
+
+
+def to_units(value: Column, of: int, to: int) -> Column:
+    """Distance conversion by ratio, cut off towards zero."""
+    return (value * of / to).cast("bigint")
+
+
+def domain_key(clock: Column, edge: Column, mix: bool = False) -> Column:
+    """Group key of a scan chain's clock domain: a constant if domains may mix."""
+    return F.lit(0).cast("bigint") if mix else F.xxhash64(clock, edge)
+
+
+def effective_pitch(*pitches: Column) -> Column:
+    return F.greatest(*pitches)
+
+
+def shuffled(key: Column, seed: int) -> Column:
+    """A sort key that orders rows by a seeded hash: a repeatable shuffle."""
+    return F.xxhash64(key, F.lit(seed))

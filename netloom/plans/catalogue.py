@@ -6,7 +6,7 @@ import importlib
 
 from netloom.plans.registry import ORACLE, QUERIES
 
-AREAS = ("hyper", "graphs", "space", "clocks", "series", "columns", "partitions", "streams")
+AREAS = ("hyper", "graphs", "space", "clocks", "nets", "series", "columns", "partitions", "streams")
 
 
 def load() -> tuple[dict, dict]:

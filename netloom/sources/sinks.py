@@ -123,3 +123,38 @@ def spice_lines(resistors: DataFrame, sources: DataFrame) -> DataFrame:
     r = row_numbers(resistors, "a", "b").select((F.col("rn") * 2).alias("pos"), F.concat(F.lit("R"), "rn", F.lit(" "), "a", F.lit(" "), "b", F.lit(" "), "res").alias("line"))
     v = row_numbers(sources, "node").select((F.col("rn") * 2 + 1).alias("pos"), F.concat(F.lit("V"), "rn", F.lit(" "), "node", F.lit(" 0 "), "volt").alias("line"))
     return r.unionByName(v)
+
+
+def verilog_lines(insts: DataFrame, pins: DataFrame, remove: list[str] | None = None) -> DataFrame:
+    """insts (inst, master), pins (inst, term, net) -> (inst, line): one instance statement each, without removed masters."""
+    p = pins.groupBy("inst").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("."), "term", F.lit("("), "net", F.lit(")")))), ", ").alias("p"))
+    own = insts.where(~F.col("master").isin(remove)) if remove else insts
+    return own.join(p, "inst", "left").select("inst", F.concat("master", F.lit(" "), "inst", F.lit(" ("), F.coalesce("p", F.lit("")), F.lit(");")).alias("line"))
+
+
+def cdl_lines(insts: DataFrame, pins: DataFrame) -> DataFrame:
+    """insts (inst, master), pins (inst, pos, net) -> (inst, line): X cards of a CDL netlist."""
+    p = pins.groupBy("inst").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "net"))), lambda s: s["net"]), " ").alias("p"))
+    return insts.join(p, "inst", "left").select("inst", F.concat_ws(" ", F.concat(F.lit("X"), "inst"), "p", "master").alias("line"))
+
+
+def blif_lines(model: str, inputs: DataFrame, outputs: DataFrame, gates: DataFrame) -> DataFrame:
+    """(kind, id, line) of a BLIF model; gates (gate, cell, pins array of term=net)."""
+    names = lambda df, kind, key: df.agg(F.concat_ws(" ", F.lit(key), F.array_join(F.sort_array(F.collect_list("name")), " ")).alias("line")).select(F.lit(kind).alias("kind"), F.lit("").alias("id"), "line")
+    head = inputs.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit("").alias("id"), F.lit(f".model {model}").alias("line"))
+    end = head.select(F.lit(4).alias("kind"), "id", F.lit(".end").alias("line"))
+    g = gates.select(F.lit(3).alias("kind"), F.col("gate").cast("string").alias("id"), F.concat_ws(" ", F.lit(".gate"), "cell", F.array_join("pins", " ")).alias("line"))
+    return head.unionByName(names(inputs, 1, ".inputs")).unionByName(names(outputs, 2, ".outputs")).unionByName(g).unionByName(end)
+
+
+def spef_lines(caps: DataFrame, resistors: DataFrame) -> DataFrame:
+    """(net, line): the D_NET block of each net, from caps (net, total, node, other, cap) and resistors (net, a, b, res)."""
+    n = F.row_number
+    from pyspark.sql import Window
+
+    c = caps.withColumn("i", n().over(Window.partitionBy("net").orderBy("node", "other"))).withColumn("l", F.concat_ws(" ", "i", "node", "other", "cap"))
+    c = c.groupBy("net").agg(F.max("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda s: s["l"]), "\n").alias("caps"))
+    r = resistors.withColumn("i", n().over(Window.partitionBy("net").orderBy("a", "b"))).withColumn("l", F.concat_ws(" ", "i", "a", "b", "res"))
+    r = r.groupBy("net").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda s: s["l"]), "\n").alias("res"))
+    line = F.concat(F.lit("*D_NET "), "net", F.lit(" "), "total", F.lit("\n*CAP\n"), "caps", F.lit("\n*RES\n"), F.coalesce("res", F.lit("")), F.lit("\n*END"))
+    return c.join(r, "net", "left").select("net", line.alias("line"))
