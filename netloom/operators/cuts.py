@@ -56,13 +56,17 @@ def kway_gain(h: Hypergraph, parts: DataFrame) -> DataFrame:
     + weight where v is alone in its part and all other pins are in the target, - weight where the hyperedge is whole.
     """
     count = pins_by_part(h, parts).select("e", "part", "n")
-    size = count.groupBy("e").agg(F.sum("n").alias("size"), F.count("*").alias("spans"))
-    own = h.pins.join(parts, "v").join(count, ["e", "part"]).join(size, "e").join(h.hyperedges, "e")
-    lost = own.groupBy("v").agg(F.sum(F.when((F.col("spans") == 1) & (F.col("size") > 1), F.col("hwt")).otherwise(0)).alias("lost"))
+    size = count.groupBy("e").agg(F.sum("n").alias("size"))
+    block = count.join(size, "e").join(h.hyperedges, "e")
+    # gains and losses are worked out for (hyperedge, block), a few rows each, before any pin is joined
     other = count.select("e", F.col("part").alias("target"), F.col("n").alias("there"))
-    pairs = own.join(other, "e").where("target <> part")
-    won = pairs.groupBy("v", "target").agg(F.sum(F.when((F.col("n") == 1) & (F.col("there") == F.col("size") - 1), F.col("hwt")).otherwise(0)).alias("won"))
-    return won.join(lost, "v").select("v", "target", (F.col("won") - F.col("lost")).alias("gain"))
+    frees = (F.col("n") == 1) & (F.col("there") == F.col("size") - 1)
+    pairs = block.join(other, "e").where("target <> part").select("e", "part", "target", F.when(frees, F.col("hwt")).otherwise(0).alias("d"))
+    whole = block.where("n = size and size > 1").select("e", "part", "hwt")
+    at = h.pins.join(parts, "v")
+    won = at.join(pairs, ["e", "part"]).groupBy("v", "target").agg(F.sum("d").alias("won"))
+    lost = at.join(whole, ["e", "part"]).groupBy("v").agg(F.sum("hwt").alias("lost"))
+    return won.join(lost, "v", "left").select("v", "target", (F.col("won") - F.coalesce("lost", F.lit(0))).alias("gain"))
 
 
 def cut_size(h: Hypergraph, parts: DataFrame) -> DataFrame:

@@ -213,6 +213,7 @@ def levelize(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def reachable(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """start (node) -> (node, hops): what can be reached in at most `most` arcs, with the fewest arcs."""
+    arcs = cut_lineage(arcs.select("src", "dst"))
     seen = frontier = cut_lineage(start.select("node", F.lit(0).alias("hops")).distinct())
     hops = 0
     while most is None or hops < most:
@@ -227,7 +228,7 @@ def reachable(arcs: DataFrame, start: DataFrame, most: int | None = None) -> Dat
 
 def propagate(nodes: DataFrame, arcs: DataFrame, late: bool = True) -> DataFrame:
     """(node, arrival): largest (late) or least sum of delays over paths from sources; arcs (src, dst, delay), acyclic."""
-    pick = F.max if late else F.min
+    pick, arcs = F.max if late else F.min, cut_lineage(arcs.select("src", "dst", "delay"))
     sources = nodes.join(arcs.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("arrival"))
     frontier = cut_lineage(sources)
     best = frontier

@@ -26,6 +26,7 @@ def clock_nets(sources: DataFrame, arcs: DataFrame) -> DataFrame:
     """sources (clock, node), arcs (src, dst) -> (clock, node): what each clock reaches, all clocks in one search."""
     from netloom.session import cut_lineage
 
+    arcs = cut_lineage(arcs.select("src", "dst"))
     seen = frontier = cut_lineage(sources.select("clock", "node").distinct())
     while True:
         step = arcs.join(frontier.withColumnRenamed("node", "src"), "src").select("clock", F.col("dst").alias("node")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +16,24 @@ def session(name: str = "netloom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir, or in a local session a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None and not spark.sparkContext.master.startswith("local["):
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see; in a local session without it a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="netloom-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
+    return context.getCheckpointDir().get().rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read back, so that iterations don't grow the plan.
+
+    Unlike checkpoint(), which computes its input twice, this computes it once; a lost executor costs nothing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/netloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
