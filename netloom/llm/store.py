@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -40,7 +41,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows that one Arrow batch brings to a Python worker, so that long texts can't fill its memory."""
+    """Bounds the rows that one Arrow batch brings to a Python worker, so that long texts can't fill its memory.
+
+    Also lets new workers import this package from where the driver has it, if they see that folder.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, known)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
