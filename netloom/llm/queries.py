@@ -93,6 +93,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE = {
+    "op1_near_dedup": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) t(i) WHERE len(w) > 0),
+        sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        walk AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT b, r FROM walk JOIN both_ways ON a = walk.doc_id WHERE r < b),
+        comp AS (SELECT doc_id, min(r) AS component_id FROM walk GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN comp ON comp.doc_id = d.doc_id LEFT JOIN sz ON sz.doc_id = d.doc_id""",
+    "op8_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM d, unnest(range(1, len(w) - 33)) t(i)),
+        again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS k FROM win SEMI JOIN again USING (s), range(0, 35) r(j)),
+        word AS (SELECT doc_id, k, w[k] AS x FROM d, unnest(range(1, len(w) + 1)) t(k)),
+        mark AS (SELECT word.doc_id, word.k, x, gone.k IS NOT NULL AS g FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k),
+        kept AS (SELECT doc_id, count(*) FILTER (g) AS n, string_agg(x, ' ' ORDER BY k) FILTER (NOT g) AS t FROM mark GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op4_url_rules": """
         WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                                        ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
