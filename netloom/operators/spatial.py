@@ -11,14 +11,19 @@ def hpwl(pins: DataFrame, coords: DataFrame) -> DataFrame:
     return pins.join(coords, "v").groupBy("e").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("hpwl"))
 
 
+def _small_nets(pins: DataFrame, most_pins: int) -> DataFrame:
+    """Pins of nets of at most most_pins, so that a net's pins can be gathered in one row."""
+    return pins.join(pins.groupBy("e").agg(F.count("*").alias("k")).where(f"k <= {most_pins}").select("e"), "e", "left_semi")
+
+
 def hpwl_move_delta(pins: DataFrame, coords: DataFrame, moves: DataFrame, most_pins: int = 1000) -> DataFrame:
     """moves (v, nx, ny) -> (v, delta): change of total wirelength if v alone moves; nets over most_pins don't count.
 
     The box of the other pins comes from the two least and two largest places of a net, so no net is joined with itself.
     """
-    at = pins.join(coords, "v")
+    at = _small_nets(pins, most_pins).join(coords, "v")
     two = lambda c, up: F.slice(F.sort_array(F.collect_list(c), up), 1, 2)
-    box = at.groupBy("e").agg(F.count("*").alias("k"), *[two(c, up).alias(f"{c}{'lo' if up else 'hi'}") for c in ("x", "y") for up in (True, False)]).where(f"k <= {most_pins}")
+    box = at.groupBy("e").agg(*[two(c, up).alias(f"{c}{'lo' if up else 'hi'}") for c in ("x", "y") for up in (True, False)])
     m = at.join(moves, "v").join(box, "e")
 
     def span(c: str, new: str) -> Column:
@@ -125,9 +130,12 @@ def clockwise(points: DataFrame) -> DataFrame:
     return ps.select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
 
 
-def optimal_region(pins: DataFrame, coords: DataFrame) -> DataFrame:
-    """(v, x_lo, x_hi): the median range of x for v: middle two bounds of its nets' boxes without v itself."""
-    at = pins.join(coords, "v")
+def optimal_region(pins: DataFrame, coords: DataFrame, most_pins: int = 1000) -> DataFrame:
+    """(v, x_lo, x_hi): the median range of x for v: middle two bounds of its nets' boxes without v itself.
+
+    Nets of over most_pins say nothing about a place and are left out.
+    """
+    at = _small_nets(pins, most_pins).join(coords, "v")
     two = lambda up: F.slice(F.sort_array(F.collect_list("x"), up), 1, 2)
     box = at.groupBy("e").agg(two(True).alias("lo"), two(False).alias("hi")).where("size(lo) > 1")
     own = at.join(box, "e")
