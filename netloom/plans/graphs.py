@@ -35,6 +35,27 @@ def unused_vertices(t):
     return c.select("v").join(graph.largest_island(c), "v", "left_anti")
 
 
+#: components over all hyperedges: each vertex passes on the least label that it has just got, UNION drops known rows
+_WHOLE = """walk AS (SELECT v, v AS c FROM vertices UNION SELECT b.v, min(w.c) FROM walk w JOIN pins a ON a.v = w.v JOIN pins b ON b.e = a.e GROUP BY b.v),
+ comp AS (SELECT v, min(c) AS component FROM walk GROUP BY v), best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"""
+
+
+@query(f"AND {_WHOLE} SELECT v, component FROM comp")
+def connected_components_whole(t):
+    return graph.connected_components(t.h.vertices, t.h.pins)
+
+
+@query(f"AND {_WHOLE} SELECT v, row_number() OVER (ORDER BY v) AS new_v FROM comp WHERE component = (SELECT component FROM best)")
+def largest_island_whole(t):
+    return graph.largest_island(graph.connected_components(t.h.vertices, t.h.pins))
+
+
+@query(f"AND {_WHOLE} SELECT v FROM comp WHERE component <> (SELECT component FROM best)")
+def unused_vertices_whole(t):
+    c = graph.connected_components(t.h.vertices, t.h.pins)
+    return c.select("v").join(graph.largest_island(c), "v", "left_anti")
+
+
 @query("""AND p AS (SELECT e, v, count(*) OVER (PARTITION BY e) AS k, coalesce(lead(v) OVER (PARTITION BY e ORDER BY v), min(v) OVER (PARTITION BY e)) AS nxt FROM pins),
  a AS (SELECT v AS src, nxt AS dst, CASE k WHEN 2 THEN hwt::DOUBLE WHEN 3 THEN hwt / 2 ELSE hwt / (2 * (floor(k / 2) * ceil(k / 2) / (k - 1))) END AS w FROM p JOIN hyperedges USING (e) WHERE k > 2 OR (k = 2 AND v < nxt))
  SELECT src, dst, round(sum(w), 6) AS w FROM (SELECT src, dst, w FROM a UNION ALL SELECT dst, src, w FROM a) GROUP BY src, dst""")
@@ -211,6 +232,13 @@ def overlay_clusters(t):
     return coarsen.overlay_clusters(h, [t.h.vertices.selectExpr("v", "0 part")])
 
 
+@query("""AND hit AS (SELECT e FROM pins JOIN parts2 USING (v) GROUP BY e HAVING min(part) <> max(part) UNION SELECT e FROM pins JOIN other2 USING (v) GROUP BY e HAVING min(part) <> max(part)),
+ kept AS (SELECT e, v FROM pins WHERE e NOT IN (SELECT e FROM hit)),
+ walk AS (SELECT v, v AS c FROM vertices UNION SELECT b.v, min(w.c) FROM walk w JOIN kept a ON a.v = w.v JOIN kept b ON b.e = a.e GROUP BY b.v) SELECT v, min(c) AS cluster FROM walk GROUP BY v""")
+def overlay_clusters_whole(t):
+    return coarsen.overlay_clusters(t.h, [t.parts(), t.parts(2, 3)])
+
+
 @query(None)
 def euler_tour(t):
     tree = t.nation.selectExpr("cast(n_nationkey + 100 as bigint) node", "cast(n_regionkey as bigint) parent").unionAll(t.region.selectExpr("cast(r_regionkey as bigint) node", "cast(null as bigint) parent"))
@@ -221,9 +249,8 @@ def euler_tour(t):
 def greedy_colouring(t):
     from netloom.operators.graph import connected_components as components
 
-    small = _small(t)
-    comp = components(t.h.vertices, small)
-    arcs = small.groupBy("e").agg(F.min("v").alias("src"), F.max("v").alias("dst"))
+    comp = components(t.h.vertices, t.h.pins)
+    arcs = t.h.pins.select("e", F.col("v").alias("src")).join(t.h.pins.select("e", F.col("v").alias("dst")), "e").where("src < dst").select("src", "dst").distinct()
     return graph.greedy_colouring(arcs.join(comp.withColumnRenamed("v", "src"), "src").select("component", "src", "dst"))
 
 
