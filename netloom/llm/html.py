@@ -1,10 +1,12 @@
 """Main text of web pages by wrapper induction over the pages of one host.
 
-A page is parsed into a tree of its block elements; inline elements only pass their text on. Each host has a seed, its page of the
-smallest (page_id, html). Every page is aligned with its host's seed by simple tree matching: the largest number of
-node pairs of equal tags that keeps parents and the order of siblings. Over all pages of a host each seed node gets
-counts of how often it was matched and how often with the seed's own text. A node with the same text on nearly all pages is
-template; slots that vary are content. Elements whose names, classes or roles say that they are menus, headers,
+A page is parsed into a tree of its block elements; inline elements only pass their text on. The outline of the upper
+elements is a page's layout. A host has a seed for its most common layout and for each other that MIN_PAGES pages and a
+tenth of the host have: the page of the least hash. Every page is aligned with the seed of its layout, else with that
+of the most common one, by simple tree matching: the largest number of
+node pairs of equal tags that keeps parents and the order of siblings. Over the pages that fit a seed each seed node
+is counted when it was matched with the seed's own text. A node with the same text on nearly all of them is
+template; slots that vary are content. Empty pages, those over MAX_DEPTH and those of another layout fit no seed. Elements whose names, classes or roles say that they are menus, headers,
 footers, sidebars, notices, adverts, forms or comments are never content; of the rest the article or main element
 is taken if there is one.
 """
@@ -27,6 +29,8 @@ from netloom.llm.urls import split_url
 
 MIN_PAGES = 5
 SHARE = 0.9
+#: a layout of at least this share of a host's pages has a seed of its own
+LAYOUT_SHARE = 0.1
 MAX_SEED_BYTES = 32 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -273,6 +277,30 @@ def aligned(seed: Seed, page: Node) -> list[tuple[int, Node, bool]]:
     return out
 
 
+def layout(root: Node) -> str:
+    """A hash of the upper elements, equal neighbours counted once; '' for a page that can't be aligned."""
+    if not (root.kids or root.own()) or _depth(root) > MAX_DEPTH:
+        return ""
+
+    def outline(x: Node, depth: int) -> str:
+        if x.tag not in ("html", "body") and x is not root:
+            depth -= 1
+        inner = [outline(k, depth) for k in x.kids if k.tag != "head"] if depth else []
+        return f"{x.tag}({','.join(a for a, b in zip(inner, [None, *inner], strict=False) if a != b)})"
+
+    return xxhash.xxh64_hexdigest(outline(root, 2))
+
+
+def fits(seed: Seed, page: Node, matched: int) -> bool:
+    """Whether half of the smaller of the two trees was matched, the roots aside."""
+    size, todo = 0, [page]
+    while todo:
+        size += 1
+        todo += todo.pop().kids
+    least = min(len(seed.tags), size) - 1
+    return matched >= 1 and 2 * (matched - 1) >= least
+
+
 def _region(root: Node) -> list[Node]:
     """The outermost article or main elements that may be content, else the page."""
     found, todo = [], [root]
@@ -288,7 +316,10 @@ def _region(root: Node) -> list[Node]:
 
 
 def main_text(page: str, seed: Seed | None = None, template: frozenset[int] = frozenset()) -> str:
-    root = parse(page)
+    return _text(parse(page), seed, template)
+
+
+def _text(root: Node, seed: Seed | None, template: frozenset[int]) -> str:
     regions = _region(root)
     skip: set[int] = set()
     if seed is not None and template:
@@ -303,61 +334,88 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Pages without a host (null url or no ://) are one host. Character
     references are decoded, white space is turned into one space, blocks are joined by one space in page order.
-    Hosts of fewer than MIN_PAGES pages have no template. Repeated rows are pages like any other; further columns
-    are ignored. Seeds are skeletons of a few hundred bytes a host; they are broadcast if all together are under
+    Seeds to which fewer than MIN_PAGES pages fit have no template. Repeated rows are pages like any other; further columns
+    are ignored. Seeds are skeletons of a few hundred bytes a layout; they are broadcast if all together are under
     MAX_SEED_BYTES, else joined by host, where Spark splits hosts that have very many pages.
     """
     small_batches(spark, 256)
     host, _ = split_url()
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, n, skeleton(parse(t)) if n >= MIN_PAGES and len(t) < 1 << 20 else "") for h, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], ["host", "n", "seed"])
+            host, h, page_html = batch.columns
+            yield pa.RecordBatch.from_arrays([host, h, pa.array([layout(parse(t)) for t in page_html.to_pylist()], pa.string())], ["host", "h", "layout"])
 
-    counts = table(spark, own.groupBy("host").agg(F.count("*").alias("n"), F.min(F.struct("page_id", F.xxhash64("html").alias("h"))).alias("first")), "hosts")
-    counts = counts.where(F.col("n") >= MIN_PAGES)
-    first = counts.select("host", "n", F.col("first.page_id").alias("page_id"), F.col("first.h").alias("h"))
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, lay, n, page_html = batch.columns
+            yield pa.RecordBatch.from_arrays([host, lay, n, pa.array([skeleton(parse(t)) for t in page_html.to_pylist()], pa.string())], ["host", "layout", "n", "seed"])
+
+    page = own.select("host", F.xxhash64("html").alias("h"), "html")
+    kinds = page.mapInArrow(layouts, "host string, h long, layout string").where("layout <> ''")
+    kinds = table(spark, kinds.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h")), "layouts")
+    hosts = kinds.groupBy("host").agg(F.sum("n").alias("total"), F.max(F.struct("n", "layout")).alias("most")).where(F.col("total") >= MIN_PAGES)
+    common = (F.col("layout") == F.col("most.layout")) | ((F.col("n") >= MIN_PAGES) & (F.col("n") >= LAYOUT_SHARE * F.col("total")))
+    first = table(spark, kinds.join(hosts, "host").where(common).select("host", "h", "layout", "n"), "first")
     size = first.count() * 64
-    page = own.withColumn("h", F.xxhash64("html"))
-    seeds = page.join(F.broadcast(first) if size <= MAX_SEED_BYTES else first, ["host", "page_id", "h"]).dropDuplicates(["host"]).select("host", "n", "html")
-    seeds = table(spark, seeds.mapInArrow(outline, "host string, n long, seed string").where("seed <> ''"), "seeds")
+    seeds = page.join(F.broadcast(first) if size <= MAX_SEED_BYTES else first, ["host", "h"]).dropDuplicates(["host", "layout"]).select("host", "layout", "n", "html")
+    seeds = table(spark, seeds.mapInArrow(outline, "host string, layout string, n long, seed string"), "seeds")
     small = (seeds.agg(F.sum(F.length("seed") + F.length("host"))).first()[0] or 0) <= MAX_SEED_BYTES
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
+    def of_host(df: DataFrame, *columns: str) -> DataFrame:
+        """One row a host, the seed of the most common layout first."""
+        ranked = F.sort_array(F.collect_list(F.struct("n", "layout", *columns)), asc=False)
+        return df.groupBy("host").agg(ranked.alias("s")).select("host", *(F.col(f"s.{c}").alias(f"{c}s") for c in ("layout", *columns)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, Seed] = {}
         for batch in batches:
-            total: dict[tuple[str, int], list[int]] = {}
-            for h, seed, page_html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s, _, equal in aligned(_seed(cache, seed), parse(page_html)):
-                    x = total.setdefault((h, s), [0, 0])
-                    x[0] += 1
-                    x[1] += equal
+            total: dict[tuple[str, str, int], int] = {}
+            for h, lays, texts, page_html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root = parse(page_html)
+                lay = layout(root)
+                if not lay:
+                    continue
+                i = lays.index(lay) if lay in lays else 0
+                seed = _seed(cache, texts[i])
+                pairs = aligned(seed, root)
+                if fits(seed, root, len(pairs)):
+                    for s in [-1, *(s for s, _, equal in pairs if equal)]:
+                        total[h, lays[i], s] = total.get((h, lays[i], s), 0) + 1
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], ["host", "node", "matched", "equal"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["host", "layout", "node", "equal"])
 
-    paired = own.select("host", "html").join(side(seeds.select("host", "seed")), "host").select("host", "seed", "html")
-    nodes = paired.mapInArrow(count, "host string, node int, matched long, equal long").groupBy("host", "node").agg(F.sum("equal").alias("equal"))
-    constant = nodes.join(seeds.select("host", "n"), "host").where(F.col("equal") >= SHARE * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    known = table(spark, seeds.join(constant, "host").select("host", "seed", "template"), "templates")
+    paired = own.select("host", "html").join(side(of_host(seeds, "seed")), "host").select("host", "layouts", "seeds", "html")
+    nodes = table(spark, paired.mapInArrow(count, "host string, layout string, node int, equal long").groupBy("host", "layout", "node").agg(F.sum("equal").alias("equal")), "nodes")
+    fit = nodes.where(f"node = -1 and equal >= {MIN_PAGES}").select("host", "layout", F.col("equal").alias("fit"))
+    constant = nodes.where("node >= 0").join(fit, ["host", "layout"]).where(F.col("equal") >= SHARE * F.col("fit")).groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    # seeds without a template stay, so that a page takes the seed that it was counted with
+    known = seeds.join(constant, ["host", "layout"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
+    known = table(spark, of_host(known, "seed", "template"), "templates")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, Seed] = {}
         for batch in batches:
-            ids, url, page_html, seed, template = batch.columns
+            ids, url, page_html, lays, seed, template = batch.columns
             texts = []
-            for t, s, k in zip(page_html.to_pylist(), seed.to_pylist(), template.to_pylist(), strict=True):
-                texts.append(main_text(t, _seed(cache, s), frozenset(k)) if s else main_text(t))
+            for t, ls, s, k in zip(page_html.to_pylist(), lays.to_pylist(), seed.to_pylist(), template.to_pylist(), strict=True):
+                texts.append(_content(t, ls, s, k, cache) if s and any(k) else main_text(t))
             yield pa.RecordBatch.from_arrays([ids, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    rows = own.join(side(known), "host", "left").select("page_id", "url", "html", "seed", "template")
+    rows = own.join(side(known), "host", "left").select("page_id", "url", "html", "layouts", "seeds", "templates")
     return rows.mapInArrow(take, f"page_id {kind}, url string, text string, n_chars long")
 
 
+def _content(page: str, layouts: list[str], seeds: list[str], templates: list[list[int]], cache: dict[str, Seed]) -> str:
+    root = parse(page)
+    lay = layout(root)
+    i = layouts.index(lay) if lay in layouts else 0
+    return _text(root, _seed(cache, seeds[i]), frozenset(templates[i]))
+
+
 def _seed(cache: dict[str, Seed], text: str) -> Seed:
     if text not in cache:
         if len(cache) > 2000:

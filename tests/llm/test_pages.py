@@ -25,6 +25,22 @@ def test_templates_of_a_host(spark):
     assert out[100] == out[101] == ("", 0) and out[102][0] == "Welcome to our site" and out[103][0] == "x"
 
 
+@pytest.mark.parametrize("odd", ["", None, "<p>Not found</p>", "<section>" * 300 + "x", "<div><p>Welcome to our site</p></div><p>" + "long " * 250_000])
+def test_templates_beside_odd_pages(spark, odd):
+    """A tenth and more of the pages, the first by page_id among them, are empty, errors, deep or longer than 1 MiB."""
+    rows = [(i, f"http://h.example/{i}", odd) for i in range(3)]
+    rows += [(i, f"http://h.example/{i}", f"<div><p>Welcome to our site</p></div><div><p>Story {i} begins</p><p>and ends {i * i}</p></div>") for i in range(3, 15)]
+    out = {r.page_id: r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == 15 and all(out[i] == f"Story {i} begins and ends {i * i}" for i in range(3, 15))
+
+
+def test_each_layout_has_a_template(spark):
+    bar, foot = "<div><p>Welcome to our site</p></div>", "<section><p>Read on below</p></section>"
+    rows = [(i, f"http://h.example/{i}", f"{bar}<div><p>Story {i}</p></div>" if i % 2 else f"<ul><li>Item {i}</li></ul>{foot}") for i in range(20)]
+    out = {r.page_id: r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Story {i}" if i % 2 else f"Item {i}" for i in range(20)}
+
+
 def test_copies_are_not_templates(spark):
     rows = [(i, "http://c.example/", "<article><p>Same story</p></article>") for i in range(9)]
     out = html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
