@@ -132,6 +132,12 @@ def heavy_edge_pairs(t):
     return coarsen.heavy_edge_pairs(t.h, 6)
 
 
+@query("""AND s AS (SELECT e, any_value(hwt) / (count(*) - 1)::DOUBLE AS s FROM pins JOIN hyperedges USING (e) GROUP BY e HAVING count(*) BETWEEN 2 AND 1000)
+ SELECT a.v AS v1, b.v AS v2, round(sum(s), 6) AS score FROM pins a JOIN pins b ON a.e = b.e AND a.v < b.v JOIN s ON s.e = a.e GROUP BY 1, 2""")
+def heavy_edge_pairs_whole(t):
+    return coarsen.heavy_edge_pairs(t.h)
+
+
 @query("""AND o AS (SELECT v, vwt, row_number() OVER (ORDER BY v) AS rn FROM vertices),
  f AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS area, -1::BIGINT AS v, 0 AS part UNION ALL
   SELECT o.rn, CASE WHEN f.area + o.vwt < 5000 THEN f.area + o.vwt ELSE f.area END, o.v, CASE WHEN f.area + o.vwt < 5000 THEN 0 ELSE 1 END FROM f JOIN o ON o.rn = f.rn + 1)

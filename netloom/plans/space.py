@@ -183,3 +183,12 @@ def topk_neighbors(t):
     p = max_fanout(t.h, 4).pins
     q = p.join(p.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))
     return top_k(q.withColumn("m", -F.col("n")), "v", "m", 5, "u").select("v", "u", "n", "rank")
+
+
+@query("""AND q AS (SELECT a.v AS v, b.v AS u, count(*) AS n FROM pins a JOIN pins b ON a.e = b.e AND a.v <> b.v GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n DESC, u) AS rank FROM q) SELECT v, u, n::BIGINT AS n, rank::INT AS rank FROM r WHERE rank <= 5""")
+def topk_neighbors_whole(t):
+    from netloom.operators.timing import top_k
+
+    q = t.h.pins.join(t.h.pins.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))
+    return top_k(q.withColumn("m", -F.col("n")), "v", "m", 5, "u").select("v", "u", "n", "rank")

@@ -50,6 +50,33 @@ def test_colours_differ_in_all_hyperedges(spark, star):
     assert all(colour[a] != colour[b] for ps in ORDERS.values() for a, b in itertools.combinations(sorted(set(ps)), 2))
 
 
+def shared(orders):
+    n = {}
+    for ps in orders:
+        for pair in itertools.permutations(sorted(set(ps)), 2):
+            n.setdefault(pair, []).append(ps)
+    return n
+
+
+def test_neighbours_of_wide_hyperedges(spark, star):
+    n = shared(ORDERS.values())
+    want = set()
+    for v in PARTS:
+        best = sorted(((-len(x), u) for (w, u), x in n.items() if w == v))[:5]
+        want |= {(v, u, -m, i + 1) for i, (m, u) in enumerate(best)}
+    assert {(r.v, r.u, r.n, r.rank) for r in QUERIES["topk_neighbors_whole"](spark, star).collect()} == want
+
+
+def test_pair_scores_of_wide_hyperedges(spark, sf):
+    orders = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(r[0], []).append(r[1])
+    assert max(len(set(ps)) for ps in orders.values()) > 6
+    want = {p: sum(len(ps) / (len(set(ps)) - 1) for ps in x) for p, x in shared(orders.values()).items() if p[0] < p[1]}
+    got = {(r.v1, r.v2): r.score for r in QUERIES["heavy_edge_pairs_whole"](spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-5 for p in want)
+
+
 def test_sql_of_components_takes_all_hyperedges(star):
     import duckdb
 
