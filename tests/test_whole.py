@@ -77,6 +77,25 @@ def test_pair_scores_of_wide_hyperedges(spark, sf):
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-5 for p in want)
 
 
+def test_multilevel_partition_takes_all_hyperedges(spark, sf, monkeypatch):
+    from netloom.operators import partition
+
+    monkeypatch.setattr(partition, "multilevel", lambda h, *_, **__: h.pins)
+    pins = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey e", "l_partkey v").distinct()
+    assert QUERIES["multilevel_partition"](spark, sf).count() == pins.count()
+
+
+@pytest.mark.parametrize("skip, merged", [(1000, True), (69, False)])
+def test_wide_hyperedges_count_in_coarsening(spark, skip, merged):
+    from netloom.operators import partition
+    from netloom.operators.hypergraph import Hypergraph
+
+    pins = spark.range(140).selectExpr("id div 70 e", "id v")
+    h = Hypergraph(pins.selectExpr("v", "1L vwt", "cast(null as int) fixed"), pins.selectExpr("e", "1L hwt").distinct(), pins)
+    clusters = partition.match_heavy(h, partition.Options(thr_coarsen_hyperedge_size_skip=skip))
+    assert (clusters.select("cluster").distinct().count() < 140) == merged
+
+
 def test_sql_of_components_takes_all_hyperedges(star):
     import duckdb
 
