@@ -3,12 +3,15 @@
 A page is parsed into a tree of its block elements; inline elements only pass their text on. The outline of the upper
 elements is a page's layout. A host has a seed for its most common layout and for each other that MIN_PAGES pages and a
 tenth of the host have: the page of the least hash. Every page is aligned with the seed of its layout, else with that
-of the most common one, by simple tree matching: the largest number of
-node pairs of equal tags that keeps parents and the order of siblings. Over the pages that fit a seed each seed node
-is counted when it was matched with the seed's own text. A node with the same text on nearly all of them is
-template; slots that vary are content. Empty pages, those over MAX_DEPTH and those of another layout fit no seed. Elements whose names, classes or roles say that they are menus, headers,
-footers, sidebars, notices, adverts, forms or comments are never content; of the rest the article or main element
-is taken if there is one.
+of the most common one, by simple tree matching: the largest number of node pairs of equal tags that keeps parents and
+the order of siblings. Over the pages that fit a seed two things are counted for each seed node: how often it was
+matched with the seed's own text, and how much other text stood in it. A node with the same text on nearly all pages
+is template. The content slot is found from the root down: the child that holds nearly all of the text that varies.
+Empty pages and those of another layout fit no seed.
+
+Markup only helps where the wrapper says nothing: of varying slots those whose names, classes or roles say that they
+are menus, adverts, forms, comments and the like are left out, and where there is no content slot (hosts of few pages,
+pages that fit no seed) the article or main element is taken if there is one.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,8 @@ MIN_PAGES = 5
 SHARE = 0.9
 #: a layout of at least this share of a host's pages has a seed of its own
 LAYOUT_SHARE = 0.1
+#: a slot is entered while it holds this share of the varying text around it
+SLOT_SHARE = 0.8
 MAX_SEED_BYTES = 32 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,11 +48,14 @@ PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|"
-    r"sidebar|side|aside|comment|comments|disqus|respond|reply|replies|footer|foot|header|masthead|topbar|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|"
-    r"share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|search|widget|pagination|pager|toolbar|copyright|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|"
+    r"sidebar|aside|comment|comments|disqus|footer|masthead|topbar|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|"
+    r"share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|pagination|pager|toolbar|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: names that mean a bar of the page, but inside an article may be a part of it
+BARS = re.compile(r"(?:^|[\s_-])(?:banner|alert|side|respond|reply|replies|foot|header|related|recommended|overlay|search|widget|skip)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -55,6 +64,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     tag: str
     never: bool = False
+    bar: bool = False  # named like a bar of the page; counts outside of the content slot only
     kids: list[Node] = field(default_factory=list)
     parts: list[str | Node] = field(default_factory=list)  # texts and kids in page order
     number: int = -1
@@ -63,26 +73,71 @@ class Node:
         return " ".join("".join(x for x in self.parts if isinstance(x, str)).split())
 
 
-def _never(tag: str, attributes: str) -> bool:
+def _never(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never content, and whether it is named like a bar of the page."""
     if tag in NEVER:
-        return True
+        return True, False
     if not attributes.strip(" /\n\t"):
-        return False
+        return False, False
+    bar = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            if NAMES.search(value):
+                return True, False
+            bar = bar or BARS.search(value) is not None
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, bar
+
+
+class _Open:
+    """The open elements of a page, with counts by tag for the whole stack and for each scope, so that looking for one
+    that isn't open costs nothing however deep the page is."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.count: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+        if node.tag in SCOPES:
+            self.scopes.append({})
+        else:
+            self.scopes[-1][node.tag] = self.scopes[-1].get(node.tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.count[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+    def has(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+    def close(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def close_in_scope(self, tags: frozenset[str] | set[str]) -> None:
+        """Closes the innermost of the tags that is open in this scope, and what is in it."""
+        if any(self.scopes[-1].get(t, 0) for t in tags):
+            while self.pop() not in tags:
+                pass
 
 
 def parse(text: str) -> Node:
     """The tree of block elements; character references are decoded in the texts. Nothing in a page is an error."""
     root = Node("#page")
-    stack, at, n = [root], 0, len(text)
+    open_, at, n = _Open(root), 0, len(text)
+    stack = open_.stack
     quiet: list[str] = []  # open inline elements that are never content
     while at < n:
         m = TOKEN.search(text, at)
@@ -99,14 +154,9 @@ def parse(text: str) -> Node:
                 if quiet and tag in quiet:
                     del quiet[quiet.index(tag) :]
                 continue
-            if tag == "p" and all(x.tag != "p" for x in stack):
-                stack[-1].parts.append(" ")
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    quiet = []
-                    break
+            if open_.has(tag):
+                open_.close(tag)
+                quiet = []
             stack[-1].parts.append(" ")
             continue
         if tag in RAW:
@@ -121,47 +171,45 @@ def parse(text: str) -> Node:
         if tag in VOID:
             continue
         if tag in INLINE:
-            if (quiet and tag == quiet[0]) or (m[3] and _never(tag, m[3])):
+            if (quiet and tag == quiet[0]) or (m[3] and any(_never(tag, m[3]))):
                 quiet.append(tag)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
+            open_.close_in_scope({"p"})
         if peers := PEERS.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in peers:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
+            open_.close_in_scope(peers)
         quiet = []
-        node = Node(tag, stack[-1].never or _never(tag, m[3]) or tag == "header" and not any(x.tag in ("article", "main") for x in stack))
+        never, bar = _never(tag, m[3])
+        never = never or stack[-1].never or tag == "header" and not (open_.has("article") or open_.has("main"))
+        node = Node(tag, never, bar or stack[-1].bar)
         stack[-1].kids.append(node)
         stack[-1].parts += [" ", node]
-        stack.append(node)
+        open_.push(node)
     if at < n and not quiet:
         stack[-1].parts.append(_html.unescape(text[at:]))
-    count, todo = 0, [root]
+    for number, x in enumerate(_in_order(root)):
+        x.number = number
+    return root
+
+
+def _in_order(root: Node) -> list[Node]:
+    out, todo = [], [root]
     while todo:
         x = todo.pop()
-        x.number = count
-        count += 1
+        out.append(x)
         todo += reversed(x.kids)
-    return root
+    return out
 
 
-def text_of(node: Node, skip: set[int]) -> str:
+def text_of(node: Node, skip: set[int], bars: bool = False) -> str:
+    """The text below a node, without elements that are never content; bars: those named like bars are content."""
     out: list[str] = []
     todo: list[str | Node] = [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.never:
+        elif x.never or x.bar and not bars:
             out.append(" ")
         elif x.number in skip:  # its own text is template, its kids are judged by themselves
             out.append(" ")
@@ -173,103 +221,175 @@ def text_of(node: Node, skip: set[int]) -> str:
 
 
 def skeleton(root: Node) -> str:
-    """Tags and hashes of own texts as nested JSON arrays: [tag, hash, kid, ...]; depth is bounded by nesting."""
-    done: dict[int, list] = {}
-    order, todo = [], [root]
+    """Depths, tags and hashes of own texts of the nodes in the order of the page, as three flat JSON arrays."""
+    depth, tags, hashes = [], [], []
+    todo = [(root, 0)]
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += x.kids
-    for x in reversed(order):
+        x, d = todo.pop()
         own = x.own()
-        done[id(x)] = [x.tag, xxhash.xxh32_hexdigest(own) if own else "", *(done[id(k)] for k in x.kids)]
-    return json.dumps(done[id(root)], separators=(",", ":"))
+        depth.append(d)
+        tags.append(x.tag)
+        hashes.append(xxhash.xxh32_hexdigest(own) if own else "")
+        todo += [(k, d + 1) for k in reversed(x.kids)]
+    return json.dumps([depth, tags, hashes], separators=(",", ":"))
+
+
+class _Shapes:
+    """Numbers for tree shapes: two trees have one number if their tags and structure are equal."""
+
+    def __init__(self, base: _Shapes | None = None):
+        self.base, self.known = base, {}
+        self.first = base.first + len(base.known) if base else 0
+        self.rows: list[tuple[str, tuple[int, ...], int]] = []  # tag, kids' numbers, size
+
+    def number(self, tag: str, kids: tuple[int, ...]) -> int:
+        key = (tag, kids)
+        if self.base and key in self.base.known:
+            return self.base.known[key]
+        if key not in self.known:
+            self.known[key] = self.first + len(self.known)
+            self.rows.append((tag, kids, 1 + sum(self[k][2] for k in kids)))
+        return self.known[key]
+
+    def __getitem__(self, number: int) -> tuple[str, tuple[int, ...], int]:
+        return self.base[number] if self.base and number < self.first else self.rows[number - self.first]
 
 
 class Seed:
     """A skeleton as numbered nodes, in the order of the page."""
 
     def __init__(self, text: str):
-        self.tags: list[str] = []
-        self.hashes: list[str] = []
-        self.kids: list[list[int]] = []
-        todo = [(json.loads(text), -1)]
-        while todo:
-            item, parent = todo.pop()
-            number = len(self.tags)
-            self.tags.append(item[0])
-            self.hashes.append(item[1])
-            self.kids.append([])
-            if parent >= 0:
-                self.kids[parent].append(number)
-            todo += [(k, number) for k in reversed(item[2:])]
+        depth, self.tags, self.hashes = json.loads(text)
+        self.kids: list[list[int]] = [[] for _ in self.tags]
+        path: list[int] = []
+        for number, d in enumerate(depth):
+            del path[d:]
+            if path:
+                self.kids[path[-1]].append(number)
+            path.append(number)
+        self.shapes = _Shapes()
+        self.shape = [0] * len(self.tags)
+        for i in range(len(self.tags) - 1, -1, -1):
+            self.shape[i] = self.shapes.number(self.tags[i], tuple(self.shape[k] for k in self.kids[i]))
+
+
+def _middle(a: list, b: list) -> tuple[int, int]:
+    """How many of two lists are equal at the front, and how many of the rest at the back."""
+    lo, least = 0, min(len(a), len(b))
+    while lo < least and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < least - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    return lo, hi
+
+
+def _last_row(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight[x, b]))
+    return row
+
+
+def _heaviest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j), rising in both, of the largest total weight[a[i], b[j]]; memory is linear in the lists."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) > 1 << 20 and k - i > 1:
+            half = (i + k) // 2
+            split = j + int((_last_row(a[i:half], b[j:m], weight) + _last_row(a[half:k][::-1], b[j:m][::-1], weight)[::-1]).argmax())
+            todo += [(i, half, j, split), (half, k, split, m)]
+            continue
+        best = np.zeros((k - i + 1, m - j + 1), np.int64)
+        for r in range(k - i):
+            best[r + 1, 1:] = np.maximum.accumulate(np.maximum(best[r, 1:], best[r, :-1] + weight[a[i + r], b[j:m]]))
+        x, y = k - i, m - j
+        while x and y:
+            w = weight[a[i + x - 1], b[j + y - 1]]
+            if w and best[x, y] == best[x - 1, y - 1] + w:
+                x, y = x - 1, y - 1
+                out.append((i + x, j + y))
+            elif best[x, y] == best[x - 1, y]:
+                x -= 1
+            else:
+                y -= 1
+    return out
 
 
 def tree_match(seed: Seed, page: Node) -> list[tuple[int, Node]]:
     """Pairs (seed node, page node) of a largest simple tree matching of the two trees; the roots must have equal tags.
 
-    Equal leaves at the front and the back of two lists of siblings are paired at once, which loses nothing as such
-    a pair has the largest possible weight; the dynamic programme runs on what is between.
+    Weights are kept for pairs of tree shapes. Trees of one shape match in full, and siblings of equal shape at the
+    front and the back of two lists are paired at once, which loses nothing, as such a pair uses all nodes of both;
+    the dynamic programme runs on what is between. Nothing is recursive, so depth doesn't matter.
     """
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, Node]]]] = {}
-
-    def weigh(s: int, p: Node) -> tuple[int, list[tuple[int, Node]]]:
-        if seed.tags[s] != p.tag:
-            return 0, []
-        key = (s, p.number)
-        if key in memo:
-            return memo[key]
-        a, b = seed.kids[s], p.kids
-        pairs: list[tuple[int, Node]] = []
-        same = lambda i, q: seed.tags[i] == q.tag and not seed.kids[i] and not q.kids
-        lo = 0
-        while lo < len(a) and lo < len(b) and same(a[lo], b[lo]):
-            pairs.append((a[lo], b[lo]))
-            lo += 1
-        hi = 0
-        while hi < min(len(a), len(b)) - lo and same(a[-1 - hi], b[-1 - hi]):
-            pairs.append((a[-1 - hi], b[-1 - hi]))
-            hi += 1
-        a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-        if a and b:
-            got = [[weigh(i, q)[0] for q in b] for i in a]
-            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for i in range(len(a)):
-                for j in range(len(b)):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got[i][j])
-            i, j = len(a), len(b)
-            while i and j:
-                if got[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + got[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    inner = weigh(a[i], b[j])[1]
-                    pairs += [(a[i], b[j]), *inner]
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
+    shapes = _Shapes(seed.shapes)
+    nodes = _in_order(page)
+    shape = {}
+    for x in reversed(nodes):
+        shape[x.number] = shapes.number(x.tag, tuple(shape[k.number] for k in x.kids))
+    known: dict[tuple[int, int], int] = {}
+
+    def weigh(a: int, b: int) -> int | None:
+        if a == b:
+            return shapes[a][2]
+        return 0 if shapes[a][0] != shapes[b][0] else known.get((a, b))
+
+    def inner(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        x, y = sorted(set(a)), sorted(set(b))
+        return np.searchsorted(x, a), np.searchsorted(y, b), x, y
+
+    def weigh_all(a: int, b: int) -> None:
+        todo = [(a, b)]
+        while todo:
+            a, b = todo[-1]
+            if weigh(a, b) is not None:
+                todo.pop()
+                continue
+            ka, kb = shapes[a][1], shapes[b][1]
+            lo, hi = _middle(ka, kb)
+            total = 1 + sum(shapes[k][2] for k in ka[:lo]) + sum(shapes[k][2] for k in ka[len(ka) - hi :])
+            ka, kb = ka[lo : len(ka) - hi], kb[lo : len(kb) - hi]
+            if ka and kb:
+                open_ = [(p, q) for p in set(ka) for q in set(kb) if weigh(p, q) is None]
+                if open_:
+                    todo += open_
+                    continue
+                if len(ka) == len(kb) == 1:
+                    total += weigh(ka[0], kb[0])
                 else:
-                    j -= 1
-        memo[key] = (len(pairs) + 1, pairs)
-        return memo[key]
+                    i, j, x, y = inner(ka, kb)
+                    total += int(_last_row(i, j, np.array([[weigh(p, q) for q in y] for p in x], np.int64))[-1])
+            known[a, b] = total
+            todo.pop()
 
-    return [(0, page), *weigh(0, page)[1]] if seed.tags[0] == page.tag else []
-
-
-def _depth(root: Node) -> int:
-    deepest, todo = 0, [(root, 1)]
+    if seed.tags[0] != page.tag:
+        return []
+    weigh_all(seed.shape[0], shape[page.number])
+    out, todo = [], [(0, page)]
     while todo:
-        x, d = todo.pop()
-        deepest = max(deepest, d)
-        todo += [(k, d + 1) for k in x.kids]
-    return deepest
-
-
-#: Trees nested deeper than this are not aligned (recursion); such a page keeps its role-based extraction.
-MAX_DEPTH = 200
+        s, p = todo.pop()
+        out.append((s, p))
+        a, b = seed.kids[s], p.kids
+        sa, sb = [seed.shape[i] for i in a], [shape[q.number] for q in b]
+        lo, hi = _middle(sa, sb)
+        todo += zip(a[:lo], b[:lo], strict=True)
+        todo += zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)
+        a, b, sa, sb = (x[lo : len(x) - hi] for x in (a, b, sa, sb))
+        if len(a) == len(b) == 1:
+            todo += zip(a, b, strict=True) if weigh(sa[0], sb[0]) else []
+        elif a and b:
+            i, j, x, y = inner(sa, sb)
+            weight = np.array([[weigh(p, q) or 0 for q in y] for p in x], np.int64)
+            todo += [(a[k], b[m]) for k, m in _heaviest(i, j, weight)]
+    return out
 
 
 def aligned(seed: Seed, page: Node) -> list[tuple[int, Node, bool]]:
     """Matched pairs with a mark for equal non-empty own texts."""
-    if _depth(page) > MAX_DEPTH:
-        return []
     out = []
     for s, p in tree_match(seed, page):
         own = p.own()
@@ -278,17 +398,60 @@ def aligned(seed: Seed, page: Node) -> list[tuple[int, Node, bool]]:
 
 
 def layout(root: Node) -> str:
-    """A hash of the upper elements, equal neighbours counted once; '' for a page that can't be aligned."""
-    if not (root.kids or root.own()) or _depth(root) > MAX_DEPTH:
+    """A hash of the upper elements, equal neighbours counted once; '' for an empty page.
+
+    Two levels below html and body count; these two may be nested or missing.
+    """
+    if not (root.kids or root.own()):
         return ""
+    seen, todo = [], [(root, 2)]
+    while todo:
+        x, depth = todo.pop()
+        seen.append((x, depth))
+        if depth:
+            todo += [(k, depth if k.tag in ("html", "body") else depth - 1) for k in x.kids if k.tag != "head"]
+    done: dict[int, str] = {}
+    for x, depth in reversed(seen):
+        inner = [done[k.number] for k in x.kids if k.number in done] if depth else []
+        inner = [a for a, b in zip(inner, [None, *inner], strict=False) if a != b]
+        done[x.number] = xxhash.xxh64_hexdigest(f"{x.tag}({','.join(inner)})")
+    return done[root.number]
+
+
+def varying(pairs: list[tuple[int, Node, bool]], root: Node) -> dict[int, int]:
+    """Characters of text other than the seed's by seed node; text of a page node that isn't matched counts for the
+    matched one around it. What is never content or named like a bar doesn't count."""
+    at = {p.number: (s, equal) for s, p, equal in pairs}
+    out: dict[int, int] = {}
+    todo = [(root, 0)]
+    while todo:
+        x, s = todo.pop()
+        if x.never or x.bar:
+            continue
+        s, equal = at.get(x.number, (s, False))
+        if not equal and (size := len(x.own())):
+            out[s] = out.get(s, 0) + size
+        todo += [(k, s) for k in x.kids]
+    return out
+
 
-    def outline(x: Node, depth: int) -> str:
-        if x.tag not in ("html", "body") and x is not root:
-            depth -= 1
-        inner = [outline(k, depth) for k in x.kids if k.tag != "head"] if depth else []
-        return f"{x.tag}({','.join(a for a, b in zip(inner, [None, *inner], strict=False) if a != b)})"
+def content_slot(seed: Seed, mass: dict[int, int]) -> int:
+    """The seed node that holds the varying text, from the text found at each node; -1 if none stands out.
 
-    return xxhash.xxh64_hexdigest(outline(root, 2))
+    From the root on, the child with SLOT_SHARE of the text is entered if it has children itself and no other child
+    with varying text has a heading: a title belongs to what it stands over.
+    """
+    total, heading = [0] * len(seed.tags), [False] * len(seed.tags)
+    for i in range(len(seed.tags) - 1, -1, -1):
+        total[i] = mass.get(i, 0) + sum(total[k] for k in seed.kids[i])
+        heading[i] = total[i] > 0 and (seed.tags[i] in HEADINGS or any(heading[k] for k in seed.kids[i]))
+    at = 0
+    while seed.kids[at] and total[at]:
+        k = max(seed.kids[at], key=lambda i: total[i])
+        if total[k] < SLOT_SHARE * total[at] or not seed.kids[k] or any(heading[i] for i in seed.kids[at] if i != k):
+            break
+        at = k
+    return -1 if seed.tags[at] in ("#page", "html", "body") else at
 
 
 def fits(seed: Seed, page: Node, matched: int) -> bool:
@@ -306,7 +469,7 @@ def _region(root: Node) -> list[Node]:
     found, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.never:
+        if x.never or x.bar:
             continue
         if x.tag in ("article", "main"):
             found.append(x)
@@ -315,18 +478,88 @@ def _region(root: Node) -> list[Node]:
     return found or [root]
 
 
-def main_text(page: str, seed: Seed | None = None, template: frozenset[int] = frozenset()) -> str:
-    return _text(parse(page), seed, template)
+@dataclass
+class Wrapper:
+    """What was learned from the pages that fit a seed: its template nodes and its content slot (-1: none)."""
 
+    seed: Seed
+    template: frozenset[int] = frozenset()
+    slot: int = -1
 
-def _text(root: Node, seed: Seed | None, template: frozenset[int]) -> str:
-    regions = _region(root)
+
+def main_text(page: str, wrapper: Wrapper | None = None) -> str:
+    """The content of a page; without a wrapper markup alone decides."""
+    return _text(parse(page), wrapper)
+
+
+def _text(root: Node, wrapper: Wrapper | None) -> str:
     skip: set[int] = set()
-    if seed is not None and template:
-        skip = {p.number for s, p, equal in aligned(seed, root) if equal and s in template}
-    text = " ".join(x for x in (text_of(r, skip) for r in regions) if x)
+    regions: list[Node] = []
+    if wrapper is not None and (wrapper.template or wrapper.slot >= 0):
+        pairs = aligned(wrapper.seed, root)
+        skip = {p.number for s, p, equal in pairs if equal and s in wrapper.template}
+        if wrapper.slot >= 0 and fits(wrapper.seed, root, len(pairs)):
+            regions = _slot_nodes(root, pairs, wrapper.slot)
+    for chosen in (regions, _region(root)):
+        bars = bool(chosen) and chosen[0] is not root
+        if text := " ".join(x for x in (text_of(r, skip, bars) for r in chosen) if x):
+            return text
     # a page all of whose slots are constant is a copy of the others, not a template without content
-    return text or " ".join(x for x in (text_of(r, set()) for r in regions) if x)
+    return " ".join(x for x in (text_of(r, set(), r is not root) for r in _region(root)) if x)
+
+
+def _slot_nodes(root: Node, pairs: list[tuple[int, Node, bool]], slot: int) -> list[Node]:
+    """The page's node in the content slot, with those of its siblings that have its tag and no seed node of their own."""
+    mine = next((p for s, p, _ in pairs if s == slot), None)
+    if mine is None or mine.never:
+        return []
+    matched = {p.number for _, p, _ in pairs}
+    around = next((x for x in _in_order(root) if any(k is mine for k in x.kids)), None)
+    if around is None:
+        return [mine]
+    return [k for k in around.kids if k is mine or k.tag == mine.tag and k.number not in matched and not (k.never or k.bar)]
+
+
+def _text_bytes(df: DataFrame, *columns: str) -> int:
+    return df.agg(F.sum(sum((F.octet_length(c) for c in columns), F.lit(0)))).first()[0] or 0
+
+
+class _Wrappers:
+    """The wrappers of hosts: a broadcast map if they are small, else a column that is joined to the pages."""
+
+    def __init__(self, spark: SparkSession, known: DataFrame):
+        """known (host, layout, n, seed, template, slot); a host's most common layout comes first."""
+        ranked = F.sort_array(F.collect_list(F.struct("n", "layout", "seed", "template", "slot")), asc=False).alias("wrappers")
+        self.by_host = known.groupBy("host").agg(ranked)
+        self.shared = None
+        if _text_bytes(known, "host", "seed") + 4 * (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= MAX_SEED_BYTES:
+            self.shared = spark.sparkContext.broadcast({r.host: [tuple(w) for w in r.wrappers] for r in self.by_host.collect()})
+
+    def beside(self, pages: DataFrame, how: str) -> DataFrame:
+        """pages with a column wrappers, null if they are broadcast; an inner join leaves hosts without wrappers out."""
+        if self.shared is None:
+            return pages.join(self.by_host, "host", how)
+        return pages.withColumn("wrappers", F.lit(None).cast(self.by_host.schema["wrappers"].dataType))
+
+
+def _lookup(shared):
+    """For one worker a function (host, wrappers column's value, parsed page) -> (layout, Wrapper) or None."""
+    cache: dict[tuple, Wrapper] = {}
+
+    def find(host: str, joined: list | None, root: Node) -> tuple[str, Wrapper] | None:
+        rows = shared.value.get(host) if shared is not None else [tuple(w.values()) for w in joined or []]
+        mine = layout(root) if rows else ""
+        if not mine:
+            return None
+        row = next((w for w in rows if w[1] == mine), rows[0])
+        key = (row[2], tuple(row[3]), row[4])
+        if key not in cache:
+            if len(cache) > 2000:
+                cache.clear()
+            cache[key] = Wrapper(Seed(row[2]), frozenset(row[3]), row[4])
+        return row[1], cache[key]
+
+    return find
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -334,9 +567,11 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Pages without a host (null url or no ://) are one host. Character
     references are decoded, white space is turned into one space, blocks are joined by one space in page order.
-    Seeds to which fewer than MIN_PAGES pages fit have no template. Repeated rows are pages like any other; further columns
-    are ignored. Seeds are skeletons of a few hundred bytes a layout; they are broadcast if all together are under
-    MAX_SEED_BYTES, else joined by host, where Spark splits hosts that have very many pages.
+    Seeds to which fewer than MIN_PAGES pages fit have no template and no content slot. Pages may be of any length and
+    nested to any depth; the time of an alignment grows with the product of two lists of siblings of unlike shapes.
+    Repeated rows are pages like any other; further columns are ignored. Seeds hold some bytes for each element of
+    one page a layout; they are broadcast if all together are under MAX_SEED_BYTES, else joined by host, where Spark
+    splits hosts that have very many pages. Both ways give the same rows.
     """
     small_batches(spark, 256)
     host, _ = split_url()
@@ -358,67 +593,65 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     hosts = kinds.groupBy("host").agg(F.sum("n").alias("total"), F.max(F.struct("n", "layout")).alias("most")).where(F.col("total") >= MIN_PAGES)
     common = (F.col("layout") == F.col("most.layout")) | ((F.col("n") >= MIN_PAGES) & (F.col("n") >= LAYOUT_SHARE * F.col("total")))
     first = table(spark, kinds.join(hosts, "host").where(common).select("host", "h", "layout", "n"), "first")
-    size = first.count() * 64
-    seeds = page.join(F.broadcast(first) if size <= MAX_SEED_BYTES else first, ["host", "h"]).dropDuplicates(["host", "layout"]).select("host", "layout", "n", "html")
+    small = _text_bytes(first, "host", "layout") + 16 * first.count() <= MAX_SEED_BYTES
+    seeds = page.join(F.broadcast(first) if small else first, ["host", "h"]).dropDuplicates(["host", "layout"]).select("host", "layout", "n", "html")
     seeds = table(spark, seeds.mapInArrow(outline, "host string, layout string, n long, seed string"), "seeds")
-    small = (seeds.agg(F.sum(F.length("seed") + F.length("host"))).first()[0] or 0) <= MAX_SEED_BYTES
-    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    def of_host(df: DataFrame, *columns: str) -> DataFrame:
-        """One row a host, the seed of the most common layout first."""
-        ranked = F.sort_array(F.collect_list(F.struct("n", "layout", *columns)), asc=False)
-        return df.groupBy("host").agg(ranked.alias("s")).select("host", *(F.col(f"s.{c}").alias(f"{c}s") for c in ("layout", *columns)))
+    unknown = seeds.select("*", F.array().cast("array<int>").alias("template"), F.lit(-1).alias("slot"))
+    counted = _Wrappers(spark, unknown)
+    shared_seeds = counted.shared
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, Seed] = {}
+        find = _lookup(shared_seeds)
         for batch in batches:
-            total: dict[tuple[str, str, int], int] = {}
-            for h, lays, texts, page_html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total: dict[tuple[str, str, int], list[int]] = {}
+            for h, page_html, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 root = parse(page_html)
-                lay = layout(root)
-                if not lay:
+                found = find(h, joined, root)
+                if found is None:
                     continue
-                i = lays.index(lay) if lay in lays else 0
-                seed = _seed(cache, texts[i])
-                pairs = aligned(seed, root)
-                if fits(seed, root, len(pairs)):
+                pairs = aligned(found[1].seed, root)
+                if fits(found[1].seed, root, len(pairs)):
                     for s in [-1, *(s for s, _, equal in pairs if equal)]:
-                        total[h, lays[i], s] = total.get((h, lays[i], s), 0) + 1
+                        total.setdefault((h, found[0], s), [0, 0])[0] += 1
+                    for s, size in varying(pairs, root).items():
+                        total.setdefault((h, found[0], s), [0, 0])[1] += size
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["host", "layout", "node", "equal"])
+                columns = [pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+                columns += [pa.array([v[i] for v in total.values()], pa.int64()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "node", "equal", "mass"])
 
-    paired = own.select("host", "html").join(side(of_host(seeds, "seed")), "host").select("host", "layouts", "seeds", "html")
-    nodes = table(spark, paired.mapInArrow(count, "host string, layout string, node int, equal long").groupBy("host", "layout", "node").agg(F.sum("equal").alias("equal")), "nodes")
-    fit = nodes.where(f"node = -1 and equal >= {MIN_PAGES}").select("host", "layout", F.col("equal").alias("fit"))
-    constant = nodes.where("node >= 0").join(fit, ["host", "layout"]).where(F.col("equal") >= SHARE * F.col("fit")).groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            templates, slots = [], []
+            for seed, nodes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                fit = max((x["equal"] for x in nodes or [] if x["node"] < 0), default=0)
+                learned = fit >= MIN_PAGES
+                templates.append(sorted(x["node"] for x in nodes if x["node"] >= 0 and x["equal"] >= SHARE * fit) if learned else [])
+                slots.append(content_slot(Seed(seed), {x["node"]: x["mass"] for x in nodes if x["node"] >= 0}) if learned else -1)
+            columns = [*batch.columns[:4], pa.array(templates, pa.list_(pa.int32())), pa.array(slots, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "n", "seed", "template", "slot"])
+
+    paired = counted.beside(own.select("host", "html"), "inner").select("host", "html", "wrappers")
+    nodes = paired.mapInArrow(count, "host string, layout string, node int, equal long, mass long")
+    nodes = nodes.groupBy("host", "layout", "node").agg(F.sum("equal").alias("equal"), F.sum("mass").alias("mass"))
+    nodes = nodes.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "equal", "mass")).alias("nodes"))
     # seeds without a template stay, so that a page takes the seed that it was counted with
-    known = seeds.join(constant, ["host", "layout"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    known = table(spark, of_host(known, "seed", "template"), "templates")
+    known = seeds.join(nodes, ["host", "layout"], "left").select("host", "layout", "n", "seed", "nodes")
+    known = table(spark, known.mapInArrow(decide, "host string, layout string, n long, seed string, template array<int>, slot int"), "wrappers")
+    learned = _Wrappers(spark, known)
+    shared_wrappers = learned.shared
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, Seed] = {}
+        find = _lookup(shared_wrappers)
         for batch in batches:
-            ids, url, page_html, lays, seed, template = batch.columns
+            ids, url, hosts, page_html, joined = batch.columns
             texts = []
-            for t, ls, s, k in zip(page_html.to_pylist(), lays.to_pylist(), seed.to_pylist(), template.to_pylist(), strict=True):
-                texts.append(_content(t, ls, s, k, cache) if s and any(k) else main_text(t))
+            for h, t, w in zip(hosts.to_pylist(), page_html.to_pylist(), joined.to_pylist(), strict=True):
+                root = parse(t)
+                found = find(h, w, root)
+                texts.append(_text(root, found[1] if found else None))
             yield pa.RecordBatch.from_arrays([ids, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    rows = own.join(side(known), "host", "left").select("page_id", "url", "html", "layouts", "seeds", "templates")
+    rows = learned.beside(own, "left").select("page_id", "url", "host", "html", "wrappers")
     return rows.mapInArrow(take, f"page_id {kind}, url string, text string, n_chars long")
-
-
-def _content(page: str, layouts: list[str], seeds: list[str], templates: list[list[int]], cache: dict[str, Seed]) -> str:
-    root = parse(page)
-    lay = layout(root)
-    i = layouts.index(lay) if lay in layouts else 0
-    return _text(root, _seed(cache, seeds[i]), frozenset(templates[i]))
-
-
-def _seed(cache: dict[str, Seed], text: str) -> Seed:
-    if text not in cache:
-        if len(cache) > 2000:
-            cache.clear()
-        cache[text] = Seed(text)
-    return cache[text]

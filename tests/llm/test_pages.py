@@ -48,6 +48,84 @@ def test_copies_are_not_templates(spark):
     assert html.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_pages(n=14, first=""):
+    """Pages of nested divs only: no article, no telling names; the bars' links vary a little, the stories much."""
+    rows = []
+    for i in range(n):
+        bar = f"<div><div>Our <b>site</b></div><div>Daily news</div><div>Now: topic {i}</div></div>"
+        story = f"<div><h1>Title {i}</h1><div>Story {i} begins here, goes on for a while and tells a lot</div><div>then {'so ' * (i % 3)}it ends {i * i}</div></div>"
+        foot = f"<div><div>All rights reserved</div><div>page {i}</div></div>"
+        rows.append((i, f"http://plain.example/{i}", f"{first if i == 0 else ''}{bar}{story}{foot}", " ".join(f"Title {i} Story {i} begins here, goes on for a while and tells a lot then {'so ' * (i % 3)}it ends {i * i}".split())))
+    return rows
+
+
+def texts_of(spark, rows):
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.extract(spark, df).collect()}
+
+
+@pytest.mark.parametrize("limit", [html.MAX_SEED_BYTES, 0])
+def test_the_wrapper_finds_the_article(spark, monkeypatch, limit):
+    """With broadcast wrappers and with joined ones."""
+    monkeypatch.setattr(html, "MAX_SEED_BYTES", limit)
+    rows = plain_pages()
+    assert texts_of(spark, rows) == {r[0]: r[3] for r in rows}
+
+
+def test_without_tree_matching_the_bars_stay(spark):
+    """Ablation: what markup alone gives for these pages is the whole page."""
+    for _, _, page, text in plain_pages():
+        alone = html.main_text(page)
+        assert text in alone and "Daily news" in alone and "All rights reserved" in alone
+
+
+def test_wrapper_beats_markup():
+    """A slot that holds the varying text is content even where another element calls itself the article."""
+    seed = html.Seed(html.skeleton(html.parse("<div><article>Top <p>x</p></article><div><p>a</p><p>b</p></div></div>")))
+    page = "<div><article>Top <p>y</p></article><div><p>long story</p><p>of today</p></div></div>"
+    slot = html.content_slot(seed, html.varying(html.aligned(seed, html.parse(page)), html.parse(page)))
+    assert html.main_text(page) == "Top y" and html.main_text(page, html.Wrapper(seed, frozenset(), slot)) == "long story of today"
+
+
+def test_names_of_bars_count_outside_of_articles_only():
+    assert html.main_text("<div class='header'>Bar</div><article><div class='header'>Dear all</div><p class='related'>kin</p><div class='comments'>me too</div></article>") == "Dear all kin"
+    assert html.main_text("<div class='header'>Bar</div><p>text</p>") == "text"
+
+
+def test_size_of_the_first_page_changes_nothing(spark, monkeypatch):
+    """Whichever page is the seed: one of over 1 MB, or a small one."""
+    small, big = plain_pages(), plain_pages()
+    big[0] = (*big[0][:2], big[0][2].replace("begins here", "begins " + "very " * 250_000 + "here"), "")
+    want = {r[0]: r[3] for r in small[1:]}
+    for sign in (1, -1):  # the least and the largest hash is the seed
+        monkeypatch.setattr(html.F, "xxhash64", lambda c, sign=sign: sign * html.F.length(c).cast("long"))
+        out = texts_of(spark, big)
+        assert len(out[0]) > 1 << 20 and {i: t for i, t in out.items() if i} == want
+
+
+def test_any_depth(spark):
+    deep = "<section>" * 100_000 + "x" + "</section>" * 100_000
+    for tag in ("blockquote", "body", "ul"):
+        assert html.layout(html.parse(f"<{tag}>" * 100_000 + "x<li>y")) and html.main_text(f"<{tag}>" * 100_000 + "x") == "x"
+    seed = html.Seed(html.skeleton(html.parse(deep)))
+    assert len(html.tree_match(seed, html.parse(deep))) == 100_001
+    assert len(html.tree_match(seed, html.parse("<section>" * 50_000 + "<p>x"))) == 50_001
+    deep = "<section>" * 20_000 + "x" + "</section>" * 20_000
+    rows = [(i, f"http://deep.example/{i}", deep) for i in range(6)] + plain_pages()
+    out = texts_of(spark, [(r[0] + 100 * (len(r) > 3), "http://deep.example/", *r[2:]) for r in rows])
+    assert out[0] == "x" and out[103] == plain_pages()[3][3]
+
+
+def test_long_lists_align_in_linear_memory():
+    import random
+
+    r = random.Random(4)
+    items = [r.choice(["<p>a</p>", "<ul><li>a</li></ul>", "<div><p>a</p></div>"]) for _ in range(3000)]
+    other = [x for x in items if r.random() < 0.9]
+    seed = html.Seed(html.skeleton(html.parse("".join(items))))
+    assert len(html.tree_match(seed, html.parse("".join(other)))) == len(html._in_order(html.parse("".join(other))))
+
+
 def brute_match(seed, s, page):
     """Largest simple tree matching, by the plain recursion."""
     if seed.tags[s] != page.tag:
