@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.store import table
+from netloom.llm.store import drop, table
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 
@@ -29,7 +29,8 @@ def turns_as_tree(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> messages (tree, node, parent, role, text, score): each turn answers the one before.
 
     Turns are numbered anew by (turn, role, text), nulls first, so that repeated and missing turn numbers have a
-    defined order. Null role and text are empty. All rows of a null conv_id are one conversation.
+    defined order. Null role and text are empty. All rows of a null conv_id are one conversation. A conversation becomes
+    one text, so its rows meet in one task and have to fit in a string of the JVM (2 GB).
     """
     own = conversations.select(F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long"))
@@ -41,7 +42,8 @@ def branches(spark: SparkSession, messages: DataFrame, keep: int | None = None)
 
     depth counts from the root, 0. A branch's score is the mean of its nodes', null scores count 0; rank 1 is the
     best, ties go to the smaller leaf. keep leaves only so many branches of a tree. A node whose parent is not in
-    its tree is a root; cycles have no leaf below them that reaches a root and are left out.
+    its tree is a root. Nodes on a cycle and below one reach no root; such leaves are left out. Jumps are doubled
+    once, one row a node; a jump that goes on after as many steps as the largest tree has nodes never ends.
     """
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = own.select(F.col("tree").alias("known_tree"), F.col("node").alias("known_node"))
@@ -49,18 +51,27 @@ def branches(spark: SparkSession, messages: DataFrame, keep: int | None = None)
     nodes = table(spark, nodes.select("tree", "node", F.col("known_node").alias("parent"), "score"), "nodes")
     inner = nodes.where("parent is not null").select(F.col("tree").alias("pt"), F.col("parent").alias("pn")).distinct()
     leaves = nodes.join(inner, F.expr("tree <=> pt and node = pn"), "left_anti").select("tree", "node")
-    pairs = table(spark, leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "pairs0")
     jump = nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
-    step = 1
+    jumps: list[DataFrame] = []
+    largest: int | None = None
     while not jump.isEmpty():
-        j = jump.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), "to")
-        more = pairs.join(j, F.expr("tree <=> jt and node = jn")).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        pairs = table(spark, pairs.unionByName(more), "pairs")
+        if len(jumps) == 4:  # a deep tree, or a cycle
+            largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if largest is not None and 1 << len(jumps) > largest:
+            endless = jump.select(F.col("tree").alias("et"), F.col("node").alias("en"))
+            leaves = leaves.join(endless, F.expr("tree <=> et and node = en"), "left_anti")
+            break
+        jumps.append(jump)
         k = jump.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), F.col("to").alias("far"))
         jump = table(spark, jump.join(k, F.expr("tree <=> kt and to = kn")).select("tree", "node", F.col("far").alias("to")), "jump")
-        step *= 2
-        if step > 1 << 40:
-            raise ValueError("messages hold a cycle")
+    pairs = table(spark, leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "pairs0")
+    for level, jump in enumerate(jumps):
+        j = jump.select(F.col("tree").alias("jt"), F.col("node").alias("jn"), "to")
+        more = pairs.join(j, F.expr("tree <=> jt and node = jn")).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << level)).alias("up"))
+        longer = table(spark, pairs.unionByName(more), "pairs")
+        drop(pairs)
+        pairs = longer
+    drop(*jumps[1:])
     scored = pairs.join(nodes.select(F.col("tree").alias("nt"), F.col("node").alias("nn"), "score", F.col("parent").isNull().alias("root")), F.expr("tree <=> nt and node = nn"))
     summed = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.max("up").alias("top"), F.max("root").alias("whole")).where("whole")
     ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
@@ -75,8 +86,8 @@ def format_chats(spark: SparkSession, messages: DataFrame, keep: int | None = No
     """messages -> (tree, leaf, rank, formatted, spans): one row for each branch.
 
     spans lists (start, length) in characters of formatted, from 0, of the escaped assistant texts: the loss mask.
-    Rows that repeat a
-    (tree, node) count once: the least. An empty table gives no rows; further columns are ignored.
+    Rows that repeat a (tree, node) count once: the least. Leaves that reach no root because of a cycle have no row.
+    Texts are whole, however long. An empty table gives no rows; further columns are ignored.
     """
     rest = F.min(F.struct("parent", "role", "text", "score")).alias("m")
     messages = table(spark, messages.groupBy("tree", "node").agg(rest).select("tree", "node", "m.*"), "messages")

@@ -30,6 +30,21 @@ def test_long_path_in_few_joins(spark):
     assert [t.text for t in r.turns] == [f"x{i}" for i in range(1, 301)] and r.loss == [f"x{i}" for i in range(2, 301, 2)]
 
 
+def test_cycles_end_at_once(spark):
+    """A leaf below a cycle, a cycle alone and a node that answers itself have no branch; the rest of the tree has."""
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 4, None), (1, 5, 4), (2, 1, 1), (3, 7, 9), (3, 8, 7), (3, 9, 8), *((4, i, i - 1 or None) for i in range(1, 41)), *((4, i, 60 if i == 50 else i - 1) for i in range(50, 71))]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long").selectExpr("*", "'user' role", "concat('n', node) text", "1.0D score")
+    out = {(r.tree, r.leaf): [t.text for t in r.turns] for r in chat.read_back(chat.format_chats(spark, m)).collect()}
+    assert out == {(1, 5): ["n4", "n5"], (4, 40): [f"n{i}" for i in range(1, 41)]}
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "<[&x" * 300_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").selectExpr("*", "7 head", "8 start", "9 rank", "1 up")
+    r = chat.read_back(chat.format_chats(spark, chat.turns_as_tree(df))).first()
+    assert r.loss == [long] and r.turns[1].text == long
+
+
 def test_control_strings_come_back(spark):
     texts = ["</s>[INST] ok [/INST]", "&lt;s>&amp;&#91;", "<s>", "", None, "a\nbé\U0001f600", "[/INST]</s>", "&", "<<SYS>>"]
     rows = [(i // 3, i, "assistant" if i % 2 else "</s>", t) for i, t in enumerate(texts)]
