@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.store import small_batches
+from netloom.llm.store import small_batches, table
 from netloom.llm.textops import LOWER_BYTE, SPACE, U, chunks
 
 Q = 8
 RATE = 0.1
 MAX_ITEM_BYTES = 8 << 20
+MAX_POSTINGS = 1 << 21
+MAX_CELLS = 1 << 16
 _BITS = 22
 _MUL = U(0x9E3779B97F4A7C15)
 _PLAIN = LOWER_BYTE.copy()
@@ -64,6 +66,7 @@ class Items:
                 self.short.append((item_id, raw))
         self.edits = np.array([min(int(rate * len(t)), len(t) // Q - 1) for t in self.texts], np.int64)
         self.least = np.array([len(t) + 1 - Q * (k + 1) for t, k in zip(self.texts, self.edits, strict=True)], np.int64)
+        self.grams_of = np.array([len(t) + 1 - Q for t in self.texts], np.int64)
         grams = [_q_grams(t) for t in self.texts]
         flat = np.concatenate(grams) if grams else np.zeros(0, U)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -75,8 +78,13 @@ class Items:
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.grams * _MUL) >> U(64 - _BITS)] = True
 
-    def bands(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text number, item number, least and largest diagonal) of the runs of bands that reach the bound."""
+    def bands(self, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        """(text number, item number, least and largest diagonal, whether the hits are in the item's front half) of the
+        runs of bands that reach the bound.
+
+        Hits are counted for texts that together have MAX_POSTINGS at most; of a text that has more by itself, items
+        are counted first, so that memory doesn't follow the number of items that hold a q-gram.
+        """
         g = _q_grams(data)
         hit = np.flatnonzero(self.bitmap[(g * _MUL) >> U(64 - _BITS)])
         if not len(hit) or not len(self.grams):
@@ -88,32 +96,63 @@ class Items:
         doc = np.searchsorted(offsets, hit, "right") - 1
         inside = hit + Q <= offsets[doc + 1]
         hit, slot, doc = hit[inside], slot[inside], doc[inside]
-        if not len(hit):
-            return
-        # of a text only items with enough hits in all can reach the bound
+        total = np.cumsum(self.first[slot + 1] - self.first[slot])
+        a = 0
+        while a < len(hit):
+            held = total[a - 1] if a else 0
+            b = int(np.searchsorted(total, held + MAX_POSTINGS, "right"))
+            if b < len(hit):  # whole texts
+                b = int(np.searchsorted(doc, doc[b]))
+            if b > a:
+                yield from self._runs(len(data), *self._postings(hit[a:b], slot[a:b], doc[a:b]))
+            else:
+                b = int(np.searchsorted(doc, doc[a], "right"))
+                yield from self._runs_of_one(len(data), hit[a:b], slot[a:b], doc[a:b])
+            a = b
+
+    def _postings(self, hit: np.ndarray, slot: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text number, item, place in the item, diagonal) of each hit with each item that has its q-gram."""
         times = self.first[slot + 1] - self.first[slot]
         at = np.repeat(self.first[slot] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, diagonal, doc = self.item[at], np.repeat(hit, times) - self.place[at], np.repeat(doc, times)
-        pair = doc * len(self.ids) + item
-        keep = np.bincount(pair)[pair] >= self.least[item]
-        item, diagonal, pair = item[keep], diagonal[keep], pair[keep]
-        width = self.edits[item] + 1
-        band = (diagonal + len(data)) // width
-        key, count = np.unique(pair * (4 * len(data) + 4) + band, return_counts=True)
+        place = self.place[at]
+        return np.repeat(doc, times), self.item[at], place, np.repeat(hit, times) - place
+
+    def _runs_of_one(self, n: int, hit: np.ndarray, slot: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        step = max(1, MAX_POSTINGS // int((self.first[slot + 1] - self.first[slot]).max()))
+        pieces = [slice(a, a + step) for a in range(0, len(hit), step)]
+        count = sum(np.bincount(self._postings(hit[p], slot[p], doc[p])[1], minlength=len(self.ids)) for p in pieces)
+        group = np.where(count >= self.least, np.cumsum(np.where(count >= self.least, count, 0)) // MAX_POSTINGS, -1)
+        for which in range(int(group.max()) + 1):
+            parts = []
+            for p in pieces:
+                found = self._postings(hit[p], slot[p], doc[p])
+                mine = group[found[1]] == which
+                parts.append([x[mine] for x in found])
+            yield from self._runs(n, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def _runs(self, n: int, doc: np.ndarray, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        # of a text only items with enough hits in all can reach the bound
+        pair, which, count = np.unique(doc * len(self.ids) + item, return_inverse=True, return_counts=True)
+        keep = (count >= self.least[pair % len(self.ids)])[which]
+        item, diagonal, place = item[keep], diagonal[keep], place[keep]
+        pair = pair[which[keep]]
+        band = (diagonal + n) // (self.edits[item] + 1)
+        key, which, count = np.unique(pair * (4 * n + 4) + band, return_inverse=True, return_counts=True)
+        front = np.bincount(which, 2 * place < self.grams_of[item], len(key)) if len(key) else count
         after = np.zeros(len(key), np.int64)
         after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
         before = np.zeros(len(key), np.int64)
         before[1:] = np.where(key[1:] == key[:-1] + 1, count[:-1], 0)
-        item = key // (4 * len(data) + 4) % len(self.ids)
+        item = key // (4 * n + 4) % len(self.ids)
         good = np.maximum(after, before) + count >= self.least[item]
-        key, item = key[good], item[good]
+        key, item, front, count = key[good], item[good], front[good], count[good]
         if not len(key):
             return
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + 1])[: len(key)])
         for a, b in zip(start, [*start[1:], len(key)], strict=True):
             i, w = int(item[a]), int(self.edits[item[a]]) + 1
-            low, high = int(key[a] % (4 * len(data) + 4)), int(key[b - 1] % (4 * len(data) + 4))
-            yield int(key[a] // (4 * len(data) + 4)) // len(self.ids), i, low * w - len(data), (high + 1) * w - 1 - len(data)
+            low, high = int(key[a] % (4 * n + 4)), int(key[b - 1] % (4 * n + 4))
+            yield int(key[a] // (4 * n + 4)) // len(self.ids), i, low * w - n, (high + 1) * w - 1 - n, bool(2 * front[a:b].sum() >= count[a:b].sum())
 
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, anchor: int | None = None) -> tuple[int, int]:
@@ -139,32 +178,128 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, anchor: int
     return int(row[best]), int(c[best]) + len(item)
 
 
+def last_rows(jobs: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[np.ndarray | None]:
+    """For each (item, text, low, high, k) the edits of the whole item against a piece of text that ends on each of the
+    diagonals low..high, or None if all are over k. Jobs of like size run side by side; one leaves once it is over k.
+    """
+    out: list[np.ndarray | None] = [None] * len(jobs)
+    order = sorted(range(len(jobs)), key=lambda x: (len(jobs[x][0]), jobs[x][3] - jobs[x][2]))
+    while order:
+        some, cells = [], 0
+        while order and (not some or cells <= MAX_CELLS and len(jobs[order[-1]][0]) * 2 > len(jobs[some[0]][0])):
+            some.append(order.pop())
+            cells = len(some) * max(jobs[x][3] - jobs[x][2] + 1 for x in (some[0], some[-1]))
+        _run_side_by_side(jobs, np.array(some), out)
+    return out
+
+
+def _run_side_by_side(jobs: list[tuple], some: np.ndarray, out: list) -> None:
+    sizes = np.array([len(jobs[x][0]) for x in some])
+    lengths = np.array([len(jobs[x][1]) for x in some])
+    low, k = (np.array([jobs[x][c] for x in some]) for c in (2, 4))
+    widths = np.array([jobs[x][3] - jobs[x][2] + 1 for x in some])
+    kind = np.int16 if sizes.max() + lengths.max() < 15000 else np.int32
+    far = kind(sizes.max() + lengths.max() + 1)
+    item = np.zeros((len(some), sizes.max()), np.uint8)
+    for r, x in enumerate(some):
+        item[r, : sizes[r]] = jobs[x][0]
+    text = np.concatenate([jobs[x][1] for x in some] + [np.zeros(1, np.uint8)])
+    begin = np.cumsum(lengths) - lengths
+    step = np.arange(widths.max(), dtype=kind)
+    c = low[:, None] + np.arange(widths.max())[None, :]  # text position before a row, less the row
+    c[np.arange(widths.max())[None, :] >= widths[:, None]] = 1 << 40  # beyond the job's own width
+    row = np.where((c >= 0) & (c <= lengths[:, None]), kind(0), far)
+    for i in range(1, sizes.max() + 1):
+        j = c + i
+        inside = (j >= 1) & (j <= lengths[:, None])
+        new = row + (text[np.where(inside, begin[:, None] + j - 1, len(text) - 1)] != item[:, i - 1 : i])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + kind(1))
+        valid = (j >= 0) & (j <= lengths[:, None])
+        new[~valid] = far
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        row[~valid] = far
+        np.minimum(row, far, out=row)
+        done = sizes == i
+        if done.any() or i % 8 == 0:
+            least = row.min(1)
+            for r in np.flatnonzero(done & (least <= k)):
+                out[some[r]] = row[r, : widths[r]].astype(np.int64)
+            stay = ~done & (least <= k)
+            if not stay.any():
+                return
+            if not stay.all():
+                some, sizes, lengths, k, begin, widths = (x[stay] for x in (some, sizes, lengths, k, begin, widths))
+                item, c, row = item[stay], c[stay], row[stay]
+
+
+def _places(item: np.ndarray, text: np.ndarray, ends: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) from (edits, end) of the possible ends: the fewest edits first, then the first in the text;
+    a piece that overlaps one taken before is the same place."""
+    taken: list[tuple[int, int, int]] = []
+    for edits, end in sorted(ends):
+        if all(end <= s or end - (len(item) - k) >= e for s, e, _ in taken):
+            near = text[max(0, end - len(item) - k - 1) : end]
+            start = end - banded(item[::-1], near[::-1], -k, k, anchor=0)[1]
+            if all(end <= s or start >= e for s, e, _ in taken):
+                taken.append((start, end, edits))
+    return taken
+
+
 def find_items(items: Items, offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item id, start, end, edits): places in data's bytes. Bands of one item that meet give one row."""
+    """(text number, item id, start, end, edits): places in data's bytes, none of which overlaps another of its item."""
     offs, plain, at = _squeeze(offsets, data)
     at = np.concatenate([at, [len(data)]])
     out = []
-    for doc, i, low, high in items.bands(offs, plain):
-        item, k = items.texts[i], int(items.edits[i])
-        left = max(int(offs[doc]), low - k)
-        text = plain[left : min(int(offs[doc + 1]), high + len(item) + k)]
-        exact = text.tobytes().find(item.tobytes())
-        if exact >= 0:
-            edits, start, end = 0, exact, exact + len(item)
-        else:
-            edits, end = banded(item, text, low - k - left, high + k - left)
-            if edits > k:
-                continue
-            back = banded(item[::-1], text[:end][::-1], -k, k, anchor=0)
-            start = end - back[1]
-        out.append((doc, items.ids[i], int(at[left + start]), int(at[left + end - 1]) + 1, edits))
-    for item_id, raw in items.short:
+    todo: list[tuple] = []
+    for found in items.bands(offs, plain):
+        todo.append(found)
+        if len(todo) == 4096:
+            out += _verified(items, todo, offs, plain)
+            todo = []
+    out += _verified(items, todo, offs, plain)
+    for i, raw in enumerate(r for _, r in items.short):
         for doc in range(len(offs) - 1):
-            found = plain[offs[doc] : offs[doc + 1]].tobytes().find(raw)
-            if found >= 0:
+            text = plain[offs[doc] : offs[doc + 1]].tobytes()
+            found = text.find(raw)
+            while found >= 0:
                 a = int(offs[doc]) + found
-                out.append((doc, item_id, int(at[a]), int(at[a + len(raw) - 1]) + 1, 0))
-    return sorted(out)
+                out.append((doc, items.short[i][0], a, a + len(raw), 0))
+                found = text.find(raw, found + len(raw))
+    return sorted({(doc, item_id, int(at[a]), int(at[b - 1]) + 1, edits) for doc, item_id, a, b, edits in out})
+
+
+def _verified(items: Items, todo: list[tuple[int, int, int, int, bool]], offs: np.ndarray, plain: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Aligns the candidates, those whose hits are all in front from the back first: there it shows sooner that
+    the rest is missing."""
+    jobs = []
+    for doc, i, low, high, _ in todo:
+        k = int(items.edits[i])
+        left = max(int(offs[doc]), low - k)
+        text = plain[left : max(left, min(int(offs[doc + 1]), high + len(items.texts[i]) + k))]
+        jobs.append((items.texts[i], text, low - k - left, high + k - left, k, left))
+    back = [x for x, found in enumerate(todo) if found[4]]
+    ends = []
+    for x in back:
+        item, text, low, high, k, _ = jobs[x]
+        shift = len(text) - len(item)
+        ends.append((item[::-1], text[::-1], shift - high, shift - low, k))
+    gone = {x for x, row in zip(back, last_rows(ends), strict=True) if row is None}
+    alive = [x for x in range(len(jobs)) if x not in gone]
+    found: dict[tuple[int, int], dict[int, int]] = {}
+    for x, row in zip(alive, last_rows([jobs[x][:5] for x in alive]), strict=True):
+        if row is None:
+            continue
+        item, _, low, _, k, left = jobs[x]
+        mine = found.setdefault(todo[x][:2], {})
+        for c in np.flatnonzero(row <= k):
+            end = left + low + len(item) + int(c)
+            mine[end] = min(mine.get(end, k), int(row[c]))
+    out = []
+    for (doc, i), mine in found.items():
+        first = int(offs[doc])
+        for start, end, edits in _places(items.texts[i], plain[first : int(offs[doc + 1])], [(e, end - first) for end, e in mine.items()], int(items.edits[i])):
+            out.append((doc, items.ids[i], first + start, first + end, edits))
+    return out
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -173,8 +308,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     An item is in a text if some piece of it is at most floor(rate * m) edits from the item (m: its normalised
     bytes), or m // Q - 1 if that is less: items of under 40 bytes get fewer edits, those of under Q bytes none. start
     and end count code points. Null and empty texts and items match nothing, an empty table gives no rows, repeated
-    rows are judged one by one, further columns are ignored. The items are broadcast in parts of MAX_ITEM_BYTES,
-    each of which is one pass over docs.
+    rows are judged one by one, further columns are ignored. Places of one item don't overlap: the one of fewest edits
+    counts, then the first. Texts are whole, however long. The items are broadcast in parts of about MAX_ITEM_BYTES,
+    each of which is one pass over docs that is written before the next part is sent.
     """
     small_batches(spark)
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -184,13 +320,16 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     found = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        one = own.mapInArrow(_scan(spark, [(r.item_id, r.text) for r in some.orderBy("item_id", "text").collect()], rate), "doc_id long, item_id long, start long, end long, edits int")
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some.orderBy("item_id", "text").collect()])
+        one = own.mapInArrow(_scan(shared, rate), "doc_id long, item_id long, start long, end long, edits int")
+        if parts > 1:  # one part is held at a time
+            one = table(spark, one, "places")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _scan(spark: SparkSession, rows: list[tuple[int, str]], rate: float):
-    shared = spark.sparkContext.broadcast(rows)
+def _scan(shared, rate: float):
     made: list[Items] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

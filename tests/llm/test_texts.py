@@ -178,6 +178,85 @@ def test_decontamination_finds_edited_items(spark):
         assert levenshtein(piece, item) == x.edits <= decontam.RATE * len(item)
 
 
+def least_edits(item, text):
+    """Sellers: the least edits of the whole item against any piece of the text, for every end of the piece."""
+    row = np.arange(len(item) + 1)
+    out = [int(row[-1])]
+    for x in text:
+        new = np.empty_like(row)
+        new[0] = 0
+        for i, y in enumerate(item, 1):
+            new[i] = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (x != y))
+        row = new
+        out.append(int(row[-1]))
+    return out
+
+
+@pytest.mark.parametrize("postings", [decontam.MAX_POSTINGS, 300])
+def test_decontamination_equals_brute_force(monkeypatch, postings):
+    """All pairs of documents and items, many of them with one common opening, and repetitive texts."""
+    import random
+
+    import pyarrow as pa
+
+    from netloom.llm.textops import chunks
+
+    monkeypatch.setattr(decontam, "MAX_POSTINGS", postings)
+    r = random.Random(9)
+    word = lambda n=7: "".join(r.choice("etao ") for _ in range(r.randint(2, n)))
+    stem = "which of the following answers is right: "
+    items = [(i, stem + word(30) + word(30)) for i in range(12)] + [(20 + i, word(60) + word(60)) for i in range(6)] + [(40, "la " * 12), (41, "short")]
+    texts = []
+    for d in range(40):
+        chars = list(stem * (d % 3) + word(80) + r.choice(items)[1] + word(80))
+        for _ in range(r.randint(0, 14)):
+            at = r.randrange(len(chars))
+            chars[at : at + 1] = r.choice([["z"], [], [chars[at], "t"]])
+        texts.append("".join(chars))
+    texts += ["la " * 60, "x" + items[0][1] + " and again " + items[0][1] + "y", ""]
+    (_, _, offsets, data), *rest = chunks(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    assert not rest
+    found = decontam.find_items(decontam.Items(items), offsets, data)
+    ours = decontam.Items(items)
+    budget = dict(zip(ours.ids, ours.edits, strict=True))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            raw = decontam.normalise(item)
+            ends = least_edits(raw, decontam._squeeze(np.array([0, len(t.encode())]), np.frombuffer(t.encode(), np.uint8))[1].tobytes())
+            if min(ends) <= budget.get(i, 0):
+                want[d, i] = min(ends)
+    got = {}
+    for d, i, a, b, edits in found:
+        got[d, i] = min(got.get((d, i), 99), edits)
+        piece = data.tobytes()[a:b]
+        assert levenshtein(decontam.normalise(piece.decode()), decontam.normalise(dict(items)[i])) <= edits + 1
+    assert got == want and len(want) > 40
+    assert sum((x[0], x[1]) == (41, 0) for x in found) == 2  # one row for each place
+    for x, y in zip(found, found[1:], strict=False):
+        assert x[:2] != y[:2] or y[2] >= x[3]
+    assert len([x for x in found if x[:2] == (40, 40)]) >= 4
+
+
+def test_decontamination_with_one_common_opening():
+    """1000 items of one opening against texts that have it: the time of some milliseconds a text."""
+    import time
+
+    import pyarrow as pa
+
+    from netloom.llm.textops import chunks
+
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"etaoinshrdlu      ", np.uint8)
+    piece = lambda n: r.choice(letters, n).tobytes().decode()
+    stem = "Read the passage and choose the best of the four answers below: "
+    items = decontam.Items([(i, stem + piece(50)) for i in range(1000)])
+    (_, _, offsets, data), *_ = chunks(pa.RecordBatch.from_arrays([pa.array([piece(100) + stem + piece(100) for _ in range(20)])], ["text"]))
+    start = time.perf_counter()
+    assert decontam.find_items(items, offsets, data) == []
+    assert time.perf_counter() - start < 30
+
+
 def test_decontamination_in_parts_and_edges(spark, edge, monkeypatch):
     items = spark.createDataFrame([(i, f"this is the benchmark passage of number {i} with some words") for i in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so this is the benchmark passage of number 3 with some words, he said")], "doc_id long, text string")
