@@ -74,9 +74,14 @@ def signatures(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
+def as_bytes(signature: np.ndarray) -> bytes:
+    """16 bits a sample; the empty document's fingerprint is empty."""
+    return signature.astype(">u2").tobytes() if signature.any() else b""
+
+
 def as_text(signature: np.ndarray) -> str:
-    """16 bits a sample, in hexadecimal; the empty document's fingerprint is the empty string."""
-    return signature.astype(">u2").tobytes().hex() if signature.any() else ""
+    """The fingerprint in hexadecimal."""
+    return as_bytes(signature).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,63 +105,81 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(spark: SparkSession, docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
-    """docs (doc_id, text) -> rows (part, last, doc_id, text), sorted inside partitions, in which the row after each
-    one with last = 0 is its successor by (doc_id, text), after the largest the smallest; null ids come last.
+def ranges(rows: int, least: int = 4000, most: int = 100_000, tasks: int = 2000) -> int:
+    """How many ranges of documents: of `least` rows each up to that many tasks, then no more until a range has `most` rows."""
+    return max(1, -(-rows // most), min(-(-rows // least), tasks))
+
+
+def in_order(docs: DataFrame, parts: int) -> DataFrame:
+    """docs (doc_id, text) -> (part, doc_id, text), each part a range, sorted by (doc_id, hash of text, text), nulls first.
 
-    Ranges of doc_id are cut at approximate quantiles; each range also gets the first row of the next one, marked
-    last = 1. So no window over all rows is needed, and the texts are shuffled once.
+    The parts follow each other. A running number makes the ranges also cut rows that repeat one id and text, so that no
+    part gets them all; texts themselves are never sampled for the cuts.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = own.count()
-    cuts = max(1, min(4096, n // rows_per_range))
-    shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    inner = own.select(F.percentile_approx("doc_id", shares, 100000).alias("q")).first().q or []
-    bounds = sorted({int(x) for x in inner})
-    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(_range_of(F.col("doc_id"), bounds, 0, len(bounds))))
-    heads = table(spark, own.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("h")).select("part", "h.*"), "heads")
-    parts = sorted(r.part for r in heads.select("part").collect())  # one number for each range
-    before = {p: parts[i - 1] for i, p in enumerate(parts)}
-    if parts:
-        links = spark.createDataFrame(list(before.items()), "part int, to int")
-        heads = heads.join(F.broadcast(links), "part").select(F.col("to").alias("part"), F.lit(1).alias("last"), "doc_id", "text")
-    else:
-        heads = heads.select("part", F.lit(1).alias("last"), "doc_id", "text")
-    both = own.select("part", F.lit(0).alias("last"), "doc_id", "text").unionByName(heads)
-    return both.repartition(max(len(parts), 1), "part").sortWithinPartitions("part", "last", "doc_id", "text")
-
-
-def _range_of(x, bounds: list[int], lo: int, hi: int):
-    """How many bounds are at most x: a binary search as nested conditions."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(x < bounds[mid], _range_of(x, bounds, lo, mid)).otherwise(_range_of(x, bounds, mid + 1, hi))
-
-
-def compare_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    own = own.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    own = own.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h", "row")
+    own = own.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    return own.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+
+
+_ROW = "part int, edge int, doc_id long, n_chars long, edited binary, own binary, new binary, near_edited double, near_next double, text string"
+
+
+def compare_edits(spark: SparkSession, docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next document's first
-    ones (or all of them). The next document is the one after by (doc_id, text), the first after the last; a table
-    of one row follows itself, repeated rows follow each other. Null texts are empty; an empty table gives no rows;
-    further columns are ignored.
+    ones (or all of them). The next document is the one after by (doc_id, xxhash64 of the text, text), nulls first, and
+    the first after the last; a table of one row follows itself, repeated rows follow each other. Null texts are empty;
+    an empty table gives no rows; further columns are ignored.
+
+    Each task compares the rows of one range and keeps its first and its last text; these are joined with the next
+    range's first, so texts are shuffled once and no window over all rows is needed.
     """
     small_batches(spark)
+    parts = parts or ranges(docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held: list[tuple] = []
         for batch in batches:
-            part, last, ids, texts = (batch.column(i).to_pylist() for i in range(4))
-            rows = list(zip(part, last, ids, texts, strict=True))
-            if held is not None:
-                rows = [held, *rows]
-            held = rows[-1]
+            part, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            rows = list(zip(part, ids, texts, strict=True))
+            if not held and rows:
+                yield _edge(rows[0], 1)
+            rows = held + rows
+            held = rows[-1:]
             yield from _compare(rows)
+        if held:
+            yield _edge(held[0], 2)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _compare([(part, doc_id, text), (part, None, following)])
+
+    rows = table(spark, in_order(docs, parts).mapInArrow(run, _ROW), "compared")
+    # one row for each range: its first and its last text; the number of ranges is known, so one task orders them
+    borders = rows.where("edge > 0").groupBy("part").agg(F.max(F.when(F.col("edge") == 1, F.col("text"))).alias("head"), F.max(F.when(F.col("edge") == 2, F.struct("doc_id", "text"))).alias("tail"))
+    borders = table(spark, borders, "borders")
+    order = sorted(r.part for r in borders.select("part").collect())
+    after = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "part int, next int")
+    heads = borders.select(F.col("part").alias("next"), F.col("head").alias("following"))
+    lasts = borders.join(after, "part").join(heads, "next").select("part", "tail.doc_id", "tail.text", "following")
+    out = rows.where("edge = 0").unionByName(lasts.mapInArrow(close, _ROW))
+    print_of = lambda c: F.lower(F.hex(c))
+    return out.select(
+        "doc_id", "n_chars", print_of("edited").alias("edited_sha256"), print_of("own").alias("fingerprint"), print_of("new").alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
+def _edge(row: tuple, kind: int) -> pa.RecordBatch:
+    values = [row[0], kind, row[1], *[None] * 6, row[2]]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES, strict=True)], _NAMES)
+
 
-    rows = with_next(spark, docs).select("part", "last", "doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema)
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in _ROW.split(", ")]
 
 
 def _signed(texts: list[str]) -> np.ndarray:
@@ -165,18 +188,15 @@ def _signed(texts: list[str]) -> np.ndarray:
 
 
 def _compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Rows in order, each compared with the one after it; the last row is only a successor."""
+    """Rows (part, doc_id, text) in order, each compared with the one after it; the last row is only a successor."""
     for at in range(0, len(rows) - 1, 64):
         some = rows[at : at + 65]
-        edited = []
-        for (part, last, _, text), (next_part, _, _, following) in zip(some, some[1:], strict=False):
-            n = len(text) // 2
-            edited.append(text[: len(text) - n] + following[:n] if not last and part == next_part else "")
-        own, new = _signed([r[3] for r in some]), _signed(edited)
-        out = []
-        for i, ((part, last, doc_id, text), following) in enumerate(zip(some, some[1:], strict=False)):
-            if not last and part == following[0]:
-                out.append((doc_id, len(text), hashlib.sha256(edited[i].encode()).hexdigest(), as_text(own[i]), as_text(new[i]), likeness(own[i], new[i]), likeness(own[i], own[i + 1])))
-        if out:
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*out, strict=True)], names)
+        texts = [r[2] for r in some]
+        edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:], strict=False)]
+        own, new = _signed(texts), _signed(edited)
+        n = len(edited)
+        columns = [
+            [r[0] for r in some[:n]], [0] * n, [r[1] for r in some[:n]], [len(t) for t in texts[:n]], [hashlib.sha256(t.encode()).digest() for t in edited],
+            [as_bytes(x) for x in own[:n]], [as_bytes(x) for x in new], [likeness(own[i], new[i]) for i in range(n)], [likeness(own[i], own[i + 1]) for i in range(n)], [None] * n,
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)

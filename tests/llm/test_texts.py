@@ -132,8 +132,18 @@ def test_fingerprints_follow_their_definition(spark, sf):
 def test_fingerprint_ranges_and_edges(spark, edge):
     rows = [(i * 2, f"doc {i} " * (i % 5 + 1)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = fingerprint.with_next(spark, df, rows_per_range=4).where("last = 0")
-    assert sorted((r.doc_id, r.text) for r in got.collect()) == rows
+    whole = sorted(map(tuple, fingerprint.compare_edits(spark, df, parts=1).collect()))
+    for parts in (7, 80):  # more ranges than rows leaves some empty
+        assert sorted(map(tuple, fingerprint.compare_edits(spark, df, parts=parts).collect())) == whole
+    edited = {r[0]: r[2] for r in whole}
+    for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(t) // 2
+        assert edited[i] == hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest()
+    # a third and more of the rows have one id, or none: their ranges are cut too
+    same = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) doc_id", "concat('text ', if(id % 3 = 0, 1, id)) text")
+    sizes = [r["count"] for r in fingerprint.in_order(same, 30).groupBy("part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
+    assert fingerprint.compare_edits(spark, same, parts=30).count() == 3000
     assert fingerprint.compare_edits(spark, edge).count() == len(EDGE)
     assert fingerprint.compare_edits(spark, edge.limit(0)).count() == 0
     one = fingerprint.compare_edits(spark, spark.createDataFrame([(7, "a b c d")], "doc_id long, text string")).collect()
