@@ -115,11 +115,12 @@ def _slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
 def train(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG) -> dict[str, np.ndarray]:
     """docs (doc_id, text, lang) -> for each language its profile: n-grams by rank.
 
-    At most per_lang documents of each language are learned from: those of the smallest hash of doc_id and text. Rows of
-    null lang or text are left out. The profiles are of fixed size, so they can be broadcast.
+    Of each language the documents whose hash of doc_id and text is in its lowest 1.25 * per_lang / n are learned from (n:
+    the language's documents), so about 1.25 * per_lang of a large one and all of a small one. Rows of null lang or text
+    are left out. The profiles are of fixed size, so they can be broadcast.
     """
     own = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and text is not null")
-    # the per_lang smallest hashes, found without bringing a language's rows together
+    # a share of the hashes, so that a language's rows needn't be brought together
     bound = own.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(1.25 * per_lang) / F.col("n"))
     own = own.join(F.broadcast(bound) if bound.count() < 10_000 else bound, "lang")

@@ -5,14 +5,19 @@ after `bins` rounds, round bins + j puts all shingles into bin j, so that each c
 set's size. A coordinate keeps its least value, so the first rounds decide most bins, and two sets agree in a
 coordinate with a probability equal to their Jaccard similarity, with Chernoff-like concentration.
 
-Plan: texts -> one row of sketch and set digest per document; documents with equal sets become one class; the
-classes' bands meet in buckets; each bucket is a star around its best connected member, so a bucket of n gives n
-candidate pairs, not n^2. Stars are verified on the full sets. Stars alone may miss links between two members
-that are both unlike the hub, so two further steps find them exactly (see `_closure`).
+Plan: texts -> one row of sketch and set digest per document; documents with equal sets (SHA-256 of the whole sorted
+set) become one class; the classes' bands meet in buckets; each bucket is a star around its best connected member, so
+a bucket of n gives n candidate pairs, not n^2. Stars are verified on the full sets. Stars alone may miss links
+between two members that are both unlike the hub. Jaccard distance is a metric: with t = 1 - percent / 100, if v is
+within 2t of the hub and v, w are linked, w is within 3t. So links of members within 2t are found among those within
+3t, and what is beyond 2t of a bucket's hub meets the others beyond 2t in that bucket. In such a group only members
+outside of its largest component so far are compared with all, in blocks, and only links that join two components
+are returned (`_closure`), so a large group of copies costs no more than its size times its few strangers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.components import connected_components
-from netloom.llm.store import small_batches, table
+from netloom.llm.store import drop, small_batches, table
 from netloom.llm.textops import U, Words, chunks, int64, list_column, mix, shingle_sets
 
 
@@ -32,8 +37,8 @@ class NearDedup:
     """words: shingle length. percent: link if 100 * intersection >= percent * union. bands of rows coordinates.
 
     The chance that two sets of the least linked similarity s share no band is (1 - s^rows)^bands: 4e-7 for
-    s = 0.85 with 25 bands of 5, 5e-8 for s = 0.8 with 32 bands of 4. block bounds the members that one task
-    compares with each other.
+    s = 0.85 with 25 bands of 5, 5e-8 for s = 0.8 with 32 bands of 4. block and block_shingles bound what one task
+    compares with each other: that many members and, on average, shingles on either side.
     """
 
     words: int = 5
@@ -41,11 +46,17 @@ class NearDedup:
     bands: int = 32
     rows: int = 4
     block: int = 1500
+    block_shingles: int = 1 << 21
 
     @property
     def bins(self) -> int:
         return self.bands * self.rows
 
+    def least_alike(self, share: float) -> float:
+        """Sets of Jaccard similarity `share` agree in at least this share of coordinates but for less than 1 in 10^6
+        cases (6 standard deviations). Such pairs are then verified on the full sets."""
+        return max(0.0, share - 6 * (share * (1 - share) / self.bins) ** 0.5)
+
 
 def fast_similarity_sketch(doc: np.ndarray, shingle: np.ndarray, docs: int, bins: int) -> np.ndarray:
     """Sketches (docs x bins, uint64) of the sets given as (doc, shingle) rows; an empty set's row is all ones."""
@@ -80,22 +91,18 @@ def _sketches(p: NearDedup):
             for row, end, offsets, data in chunks(batch):
                 doc, shingle, size = shingle_sets(Words(offsets, data, lower=True), p.words)
                 sketch = fast_similarity_sketch(doc, shingle, end - row, p.bins)
-                digest = []
-                for k in (U(3), U(5)):
-                    total = np.zeros(len(shingle) + 1, U)
-                    np.cumsum(mix(shingle + k), out=total[1:])
-                    edge = np.concatenate([[0], np.cumsum(size)])
-                    digest.append(total[edge[1:]] - total[edge[:-1]])
+                edge = np.concatenate([[0], np.cumsum(size)])
+                digest = [hashlib.sha256(shingle[a:b].tobytes()).digest() for a, b in zip(edge, edge[1:], strict=False)]
                 full = size > 0
                 keys = band_keys(sketch[full], p.bands, p.rows)
                 low = (mix(sketch) >> U(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(row, end - row), int64(size), int64(digest[0]), int64(digest[1]),
+                        ids.slice(row, end - row), int64(size), pa.array(digest, pa.binary()),
                         list_column(keys.reshape(-1).view(np.int64), full * p.bands, pa.int64()),
                         pa.array([low[i].tobytes() if full[i] else b"" for i in range(end - row)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"],
+                    ["doc_id", "n_shingles", "digest", "keys", "sketch"],
                 )
 
     return run
@@ -157,14 +164,14 @@ class _Forest:
 
 
 def _closure(p: NearDedup):
-    """One pair of blocks of a hub's group -> links between members of different components.
+    """One task of a group -> links between members of different components.
 
-    Rows: (hub, i, j, block, v, comp, text). Every member of block i meets every member of block j; intersections
-    come from an inverted list of the group's shingles. At most one link is returned for each merge.
+    Rows: (kind, key, i, j, stranger, v, comp, text). Every stranger meets every other row; intersections come from an
+    inverted list of the task's shingles. At most one link is returned for each merge.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v", ignore_index=True)
+        pdf = pdf.sort_values(["v", "stranger"], ignore_index=True)
         own = _sets(pdf.text.fillna("").tolist(), p.words)
         size = np.array([len(x) for x in own])
         row = np.repeat(np.arange(len(own)), size)
@@ -173,16 +180,15 @@ def _closure(p: NearDedup):
         posting, edge = row[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
         start = np.concatenate([[0], np.cumsum(size)])
         forest = _Forest(pdf.comp.tolist())
-        v, comp, block = pdf.v.to_numpy(), pdf.comp.to_numpy(), pdf.block.to_numpy()
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        v, comp, stranger = pdf.v.to_numpy(), pdf.comp.to_numpy(), pdf.stranger.to_numpy()
         root = np.array([forest.find(c) for c in comp])
         found = []
-        for a in np.flatnonzero(block == i):
+        for a in np.flatnonzero(stranger):
             if (root == root[a]).all():
-                break
+                continue
             mine = term[start[a] : start[a + 1]]
             inter = np.bincount(np.concatenate([posting[edge[t] : edge[t + 1]] for t in mine]), minlength=len(own))
-            linked = (100 * inter >= p.percent * (size + size[a] - inter)) & (block == j) & (root != root[a])
+            linked = (100 * inter >= p.percent * (size + size[a] - inter)) & ~stranger & (root != root[a])
             for b in np.flatnonzero(linked):
                 if forest.join(comp[a], comp[b]):
                     found.append((v[a], v[b]))
@@ -193,41 +199,63 @@ def _closure(p: NearDedup):
     return run
 
 
+def _bytes_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of width bytes, and which are null (their bytes are 0)."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(x if x is not None else bytes(width) for x in column.to_pylist()), np.uint8).reshape(-1, width), null
+
+
 def _alike(p: NearDedup, least: float):
-    """Keeps candidate pairs whose sketches agree in a share of at least `least` of the coordinates."""
+    """Keeps candidate pairs whose sketches agree in a share of at least `least` of the coordinates; null agrees with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, p.bins) for c in ("sketch_a", "sketch_b"))
-            keep = pa.array((x == y).mean(1) >= least)
-            yield t.select(["a", "b"]).filter(keep)
+            (x, no_x), (y, no_y) = (_bytes_of(t.column(c), p.bins) for c in ("sketch_a", "sketch_b"))
+            yield t.select(["a", "b"]).filter(pa.array(((x == y).mean(1) >= least) | no_x | no_y))
 
     return run
 
 
-def _leftover_pairs(p: NearDedup, least: float):
-    """One block pair of a bucket's members that are unlike its hub -> pairs of alike sketches in different components."""
+def _alike_members(p: NearDedup, least: float):
+    """One task of a bucket's members that are unlike its hub -> those with an alike partner in another component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v", ignore_index=True)
-        x = np.frombuffer(b"".join(pdf.sketch), np.uint8).reshape(-1, p.bins)
-        v, comp, block = pdf.v.to_numpy(), pdf.comp.to_numpy(), pdf.block.to_numpy()
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        found = []
-        for a in np.flatnonzero(block == i):
-            close = ((x == x[a]).mean(1) >= least) & (block == j) & (comp != comp[a]) & ((v > v[a]) if i == j else True)
-            found += [(v[a], v[b]) for b in np.flatnonzero(close)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        x, null = _bytes_of(pa.array(pdf.sketch.tolist(), pa.binary()), p.bins)
+        comp, stranger = pdf.comp.to_numpy(), pdf.stranger.to_numpy()
+        keep = np.zeros(len(pdf), bool)
+        for a in np.flatnonzero(stranger):
+            close = (((x == x[a]).mean(1) >= least) | null | null[a]) & ~stranger & (comp != comp[a])
+            keep |= close
+            keep[a] = close.any()
+        return pdf.loc[keep, ["key", "i", "j", "stranger", "v", "comp"]]
 
     return run
 
 
-def _block_pairs(members: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds (block, i, j): each member once for each pair of blocks that it takes part in."""
-    counts = members.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    out = members.join(counts, key).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other", "blocks")
+def _tasks(spark: SparkSession, p: NearDedup, members: DataFrame) -> DataFrame:
+    """members (key, v, comp, size) -> (key, i, j, stranger, v, comp, size): groups of more than one component.
+
+    Strangers are the members outside of the group's largest component. Task (i, j) holds block i of the strangers and
+    block j of all members, which the strangers are also part of: each stranger once for each block of members, each
+    member once for each block of strangers.
+    """
+    members = table(spark, members, "members")
+    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    groups = by_comp.groupBy("key").agg(
+        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max(F.struct("n", -F.col("comp"), "s")).alias("top"),
+        F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("s").alias("s"),
+    ).where("comps > 1")
+    blocks = lambda n, s: F.ceil(F.greatest(n / p.block, s / p.block_shingles)).cast("int")
+    groups = groups.select("key", "main", blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("left"), blocks(F.col("n"), F.col("s")).alias("right"))
+    groups = table(spark, groups, "groups")
+    own = members.join(groups, "key")
+    at = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strangers = own.where("comp <> main").withColumn("i", at("left", 1)).withColumn("j", every("right")).withColumn("stranger", F.lit(True))
+    others = own.withColumn("j", at("right", 2)).withColumn("i", every("left")).withColumn("stranger", F.lit(False))
+    out = table(spark, strangers.unionByName(others).select("key", "i", "j", "stranger", "v", "comp", "size"), "tasks")
+    drop(members, groups)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDedup = NearDedup()) -> DataFrame:
@@ -236,79 +264,75 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDedup = Ne
     component_id is the smallest doc_id reachable over links, kept marks it. Texts are lower-cased in A-Z; words
     are runs without space or 0x09-0x0D; a text of fewer words than a shingle has one shingle. Null, empty and
     blank texts have an empty set and are linked with nothing. Rows that repeat a doc_id count
-    as one document, which is linked if any of its texts is; each row is returned. An empty table gives no rows; further columns
-    are ignored.
+    as one document, which is linked if any of its texts is; each row is returned. Rows of a null doc_id are linked with
+    nothing: their component_id is null, and they are kept. Texts are whole, however long. An empty table gives no rows;
+    further columns are ignored. All tables but the result are deleted on the way.
     """
     p = params
     small_batches(spark)
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(table(spark, df, name))
+        return made[-1]
+
+    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = table(spark, own.mapInArrow(_sketches(p), schema), "sketches")
+    sk = keep(own.mapInArrow(_sketches(p), schema), "sketches")
     full = sk.where("n_shingles > 0")
-    sets = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    sets = table(spark, sets, "sets")
-    member = full.select("doc_id", "n_shingles", "d1", "d2").join(sets, ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
-    member = table(spark, member, "member")
-    reps = full.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.max("sketch").alias("sketch"))
-    reps = table(spark, reps, "reps")
+    sets = keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sets")
+    member = keep(full.select("doc_id", "digest").join(sets, "digest").select("doc_id", "rep"), "member")
+    reps = full.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id")
+    one_sketch = F.when(F.min("sketch") == F.max("sketch"), F.max("sketch"))  # a repeated id may have several
+    reps = keep(reps.agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), one_sketch.alias("sketch"), F.sum("n_shingles").alias("size")), "reps")
 
     in_band = reps.select(F.explode("keys").alias("k"), F.col("doc_id").alias("v"))
-    shared = table(spark, in_band.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    buckets = table(spark, in_band.join(shared, "k"), "buckets")
-    score = table(spark, buckets.groupBy("v").agg(F.sum("n").alias("score")), "score")
+    shared = keep(in_band.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = keep(in_band.join(shared, "k"), "buckets")
+    score = keep(buckets.groupBy("v").agg(F.sum("n").alias("score")), "score")
     hubs = buckets.join(score, "v").groupBy("k").agg(F.max_by("v", F.struct("score", -F.col("v"))).alias("hub"))
-    hubs = table(spark, hubs, "hubs")
-    stars = table(spark, buckets.select("k", "v").join(hubs, "k"), "stars")
+    hubs = keep(hubs, "hubs")
+    stars = keep(buckets.select("k", "v").join(hubs, "k"), "stars")
     edges = stars.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
 
     # one shuffle of texts; from here on only those that share a band with another
-    texts = table(spark, own.join(score.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi"), "texts")
+    texts = keep(own.join(score.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi"), "texts")
     sketches = reps.select("doc_id", "sketch")
-    links0 = _verified(spark, p, edges, sketches, texts, 0.42, "star")
+    t = 100 - p.percent
+    both = edges.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    both = both.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    edges = keep(both.mapInArrow(_alike(p, p.least_alike((100 - 3 * t) / 100)), "a long, b long"), "star_edges")
+    with_b = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    links0 = both.sortWithinPartitions("a").mapInPandas(_verify(p), "a long, b long, inter long, total long")
+    links0 = keep(links0, "star_links")
     linked = f"100 * inter >= {p.percent} * total"
     links = links0.where(linked).select("a", "b")
-    comp = table(spark, connected_components(spark, links), "comp0")
+    comp = keep(connected_components(spark, links), "comp0")
 
     def labelled(df: DataFrame) -> DataFrame:
-        return df.join(comp.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("component", "v")).drop("component")
-
-    # Jaccard distance is a metric. With t = 1 - percent / 100: if v is within 2t of the hub and v, w are linked,
-    # w is within 3t. So all links of members within 2t are found among the members within 3t ...
-    t = 100 - p.percent
-    near = links0.where(f"100 * inter >= {100 - 3 * t} * total").select(F.col("a").alias("hub"), F.col("b").alias("v"))
-    loose = links0.where(f"100 * inter >= {100 - 3 * t} * total and not ({linked})").select(F.col("a").alias("hub")).distinct()
-    near = near.join(loose, "hub", "left_semi")
-    near = labelled(table(spark, near.unionByName(near.select("hub", F.col("hub").alias("v")).distinct()), "near"))
-    near = table(spark, near, "grouped")
-    mixed = near.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("hub")
-    near = _block_pairs(near.join(mixed, "hub", "left_semi"), "hub", p.block)
-    near = near.join(texts.withColumnRenamed("doc_id", "v"), "v")
-    more = near.groupBy("hub", "i", "j").applyInPandas(_closure(p), "a long, b long")
-    # ... and what is beyond 2t of a bucket's hub meets the others beyond 2t in that bucket.
-    covered = links0.where(f"100 * inter >= {100 - 2 * t} * total").select(F.col("a").alias("hub"), F.col("b").alias("v"))
-    left = table(spark, stars.where("v <> hub").join(covered, ["hub", "v"], "left_anti").select("k", "v"), "left")
-    several = table(spark, left.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "several")
-    left = labelled(left.join(several, "k")).join(sketches.withColumnRenamed("doc_id", "v"), "v")
-    left = _block_pairs(table(spark, left, "leftover"), "k", 4 * p.block)
-    pairs = left.groupBy("k", "i", "j").applyInPandas(_leftover_pairs(p, p.percent / 100 - 0.15), "a long, b long")
-    links1 = _verified(spark, p, pairs.distinct(), sketches, texts, 0.0, "left").where(linked).select("a", "b")
-    links = links.unionByName(more).unionByName(links1)
-    comp = connected_components(spark, links)
+        out = df.join(comp.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("component", "v")).drop("component")
+        return out.join(reps.select(F.col("doc_id").alias("v"), "size"), "v").select("key", "v", "comp", "size")
+
+    near = links0.where(f"100 * inter >= {100 - 3 * t} * total").select(F.col("a").alias("key"), F.col("b").alias("v"))
+    loose = links0.where(f"100 * inter >= {100 - 3 * t} * total and not ({linked})").select(F.col("a").alias("key")).distinct()
+    near = near.join(loose, "key", "left_semi").distinct()
+    near = near.unionByName(loose.select("key", F.col("key").alias("v")))
+    near = _tasks(spark, p, labelled(near))
+    covered = links0.where(f"100 * inter >= {100 - 2 * t} * total").select(F.col("a").alias("hub"), F.col("b").alias("v")).distinct()
+    left = keep(stars.where("v <> hub").join(covered, ["hub", "v"], "left_anti").select(F.col("k").alias("key"), "v"), "left")
+    several = keep(left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "several")
+    left = _tasks(spark, p, labelled(left.join(several, "key")))
+    close = left.join(sketches.withColumnRenamed("doc_id", "v"), "v").groupBy("key", "i", "j")
+    close = close.applyInPandas(_alike_members(p, p.least_alike(p.percent / 100)), "key long, i int, j int, stranger boolean, v long, comp long")
+    tasks = near.drop("size").withColumn("kind", F.lit(0)).unionByName(close.withColumn("kind", F.lit(1)))
+    more = keep(tasks.join(texts.withColumnRenamed("doc_id", "v"), "v").groupBy("kind", "key", "i", "j").applyInPandas(_closure(p), "a long, b long"), "more")
+    comp = keep(connected_components(spark, links.unionByName(more)), "comp")
 
     by_doc = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     by_doc = by_doc.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sk.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _verified(spark: SparkSession, p: NearDedup, edges: DataFrame, sketches: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
-    """Exact set sizes of the candidate pairs (a, b) whose sketches agree in a share of at least `least`."""
-    if least:
-        both = edges.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        both = both.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        edges = both.mapInArrow(_alike(p, least), "a long, b long")
-    edges = table(spark, edges, f"{name}_edges")
-    with_b = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return table(spark, both.sortWithinPartitions("a").mapInPandas(_verify(p), "a long, b long, inter long, total long"), f"{name}_links")
+    out = table(spark, out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near_duplicates")
+    drop(near, left, *made)
+    return out

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,20 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df once in the shared folder and reads it back: the lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_dir(spark)}/netloom/{uuid.uuid4().hex}/{name}"
+    """Writes df once in the shared folder and reads it back: the lineage ends there and a lost executor costs nothing.
+
+    What `drop` doesn't delete before goes when the driver ends.
+    """
+    path = f"{shared_dir(spark)}/netloom/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    _folder(spark, path, "deleteOnExit")
     out = spark.read.schema(df.schema).parquet(path)
     out.netloom_path = path
     return out
 
 
+def _folder(spark: SparkSession, path: str, action: str, *more) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), action)(where, *more)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by `table`. Only for those that no later plan reads: what follows from them must be written."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.netloom_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _folder(df.sparkSession, df.netloom_path, "delete", True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -54,3 +62,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def with_key(spark: SparkSession, docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, ...) with a number that names each different document, and the keys of the odd ones.
+
+    The key is doc_id where that is in one row only. Rows that repeat a doc_id or have none are told apart by doc_id and
+    SHA-256 of the text, nulls apart from empty texts, and get numbers below all ids; the second result holds these
+    as (key, doc_id, digest), or is None if all ids are single. Only ids are shuffled if they are.
+    """
+    more = table(spark, docs.groupBy(F.col("doc_id").alias("odd_id")).agg(F.count("*").alias("n")).where("n > 1 or odd_id is null").select("odd_id"), "odd_ids")
+    if more.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), None
+    digest = F.coalesce(F.sha2("text", 256), F.lit("null")).alias("digest")
+    odd = docs.join(more, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi").select(F.col("doc_id").alias("odd_id"), digest).distinct()
+    below = docs.agg(F.least(F.min(F.col("doc_id").cast("long")), F.lit(0))).first()[0] or 0
+    odd = table(spark, odd.withColumn("key", F.lit(below - 1) - F.monotonically_increasing_id()), "odd_keys")
+    match = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (digest == F.col("digest"))
+    keyed = docs.join(odd, match, "left").withColumn(key, F.coalesce("key", F.col("doc_id").cast("long")))
+    return keyed.select(*docs.columns, key), odd.select("key", F.col("odd_id").alias("doc_id"), "digest")

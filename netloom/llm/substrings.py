@@ -217,7 +217,7 @@ def _open_windows(words: int):
 def repeated_windows(spark: SparkSession, docs: DataFrame, words: int = 50) -> DataFrame:
     """docs (doc_id, th, text) -> (doc_id, th, spans): the starts of windows that also start anywhere else.
 
-    A window is `words` consecutive words of one text. spans is an array of (at, n): n window starts from word `at`
+    A window is `words` consecutive words of one text. No doc_id may be null. spans is an array of (at, n): n window starts from word `at`
     on. th is a 32-bit hash of the text, which tells rows of one doc_id apart; a text without such a window has no row. Rows that repeat (doc_id, th) count as
     rows of their own, so their windows are all repeated.
     """
@@ -289,14 +289,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int = 50, with_t
     the same text included, is removed; windows are judged on the input. Without with_text the result holds the
     sha256 of the kept words joined by one space instead of the text. Null and empty texts have no words; texts of
     fewer words than a window lose nothing and stay as they are; repeated rows are other places, so what they share
-    goes from all. A text of a null doc_id counts for the others but loses nothing itself. Columns named in carry are
-    passed on, others are ignored; an empty table gives no rows.
+    goes from all. Rows of a null doc_id are told apart by their texts. Texts are whole, however long. Columns named in
+    carry are passed on, others are ignored; an empty table gives no rows.
     """
     small_batches(spark)
     more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("th", F.shiftright(F.xxhash64("text"), 32).cast("int"))
-    spans = repeated_windows(spark, own, words)
-    both = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "spans", "text", *[f"_{i}" for i in range(len(carry))])
+    own = own.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
+    spans = repeated_windows(spark, own.select(F.col("id").alias("doc_id"), "th", "text"), words)
+    both = own.join(spans.withColumnRenamed("doc_id", "id"), ["id", "th"], "left").select("doc_id", "spans", "text", *[f"_{i}" for i in range(len(carry))])
     last = "text string" if with_text else "kept_sha256 string"
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return both.mapInArrow(_removal(words, with_text, list(carry)), f"doc_id long, n_words long, n_removed long, {last}{kinds}")

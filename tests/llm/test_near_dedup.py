@@ -60,6 +60,63 @@ def test_equals_brute_force(spark, p):
     assert got == brute(rows, p.words, p.percent)
 
 
+def hub_corpus(seed=5):
+    """Families around hubs: members at Jaccard similarities of 0.40 to 0.60 to the hub, in pairs that are linked with
+    each other, and many copies of the hub that make it the best connected member of its buckets."""
+    r = random.Random(seed)
+    out, n = [], 0
+
+    def fresh(k):
+        nonlocal n
+        n += k
+        return [f"u{n - i}" for i in range(k)]
+
+    for _ in range(6):
+        hub = fresh(120)
+        out += [" ".join(hub + fresh(2)) for _ in range(12)]
+        for share in (0.40, 0.45, 0.5, 0.55, 0.6):
+            same = round(120 * 2 * share / (1 + share))
+            member = hub[:same] + fresh(120 - same)
+            other = [*member]
+            other[-3:] = fresh(3)
+            out += [" ".join(member), " ".join(other)]
+    r.shuffle(out)
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize("p", [NearDedup(3, 85, 25, 5), NearDedup(3, 80), NearDedup(3, 80, block=7, block_shingles=900)])
+def test_links_between_members_far_from_their_hub(spark, p):
+    rows = hub_corpus()
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), p)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, p.words, p.percent)
+
+
+def test_the_sketch_filter_keeps_what_the_proof_needs():
+    for p in (NearDedup(3, 85, 25, 5), NearDedup()):
+        for share in ((100 - 3 * (100 - p.percent)) / 100, p.percent / 100):
+            from math import comb
+
+            cut = p.least_alike(share)
+            lost = sum(comb(p.bins, x) * share**x * (1 - share) ** (p.bins - x) for x in range(p.bins + 1) if x / p.bins < cut)
+            assert lost < 1e-6
+
+
+def test_tasks_of_a_large_group_are_few(spark):
+    """A group of 400 copies with 3 strangers: rows grow with the group, not with its square."""
+    from netloom.llm.minhash import _tasks
+
+    members = spark.range(403).selectExpr("5L key", "id v", "if(id < 400, 0, id) comp", "10L size")
+    out = _tasks(spark, NearDedup(block=20), members)
+    assert out.count() == 403 + 3 * 21 and out.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "x" * 1_000_000)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == (199_996, 1) and out[2] == (199_997, 1) and out[3][1] == 3 and out[4] == (1, 4)
+
+
 def test_chain_and_hub_far_from_both(spark):
     """Neighbours are linked, ends are not: one component of all."""
     words = [f"v{i}" for i in range(400)]
@@ -72,6 +129,7 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)]
     out = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 5 and sorted((r.doc_id, r.component_id) for r in out if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)]
     assert near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
