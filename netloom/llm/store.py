@@ -71,13 +71,16 @@ def with_key(spark: SparkSession, docs: DataFrame, key: str) -> tuple[DataFrame,
     SHA-256 of the text, nulls apart from empty texts, and get numbers below all ids; the second result holds these
     as (key, doc_id, digest), or is None if all ids are single. Only ids are shuffled if they are.
     """
-    more = table(spark, docs.groupBy(F.col("doc_id").alias("odd_id")).agg(F.count("*").alias("n")).where("n > 1 or odd_id is null").select("odd_id"), "odd_ids")
+    ids = docs.select(F.col("doc_id").alias("odd_id"))
+    more = table(spark, ids.groupBy("odd_id").agg(F.count("*").alias("n")).where("n > 1 or odd_id is null").select("odd_id"), "odd_ids")
     if more.isEmpty():
         return docs.withColumn(key, F.col("doc_id").cast("long")), None
-    digest = F.coalesce(F.sha2("text", 256), F.lit("null")).alias("digest")
-    odd = docs.join(more, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left_semi").select(F.col("doc_id").alias("odd_id"), digest).distinct()
+    digest = F.coalesce(F.sha2("text", 256), F.lit("null"))
+    own = docs.select(F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
+    odd = own.join(more, F.expr("own_id <=> odd_id"), "left_semi").select(F.col("own_id").alias("odd_id"), F.col("own_digest").alias("digest")).distinct()
     below = docs.agg(F.least(F.min(F.col("doc_id").cast("long")), F.lit(0))).first()[0] or 0
-    odd = table(spark, odd.withColumn("key", F.lit(below - 1) - F.monotonically_increasing_id()), "odd_keys")
-    match = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (digest == F.col("digest"))
-    keyed = docs.join(odd, match, "left").withColumn(key, F.coalesce("key", F.col("doc_id").cast("long")))
-    return keyed.select(*docs.columns, key), odd.select("key", F.col("odd_id").alias("doc_id"), "digest")
+    odd = table(spark, odd.withColumn("odd_key", F.lit(below - 1) - F.monotonically_increasing_id()), "odd_keys")
+    rows = docs.select(F.struct(*docs.columns).alias("own_row"), F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
+    keyed = rows.join(odd, F.expr("own_id <=> odd_id and own_digest = digest"), "left")
+    keyed = keyed.select("own_row.*", F.coalesce("odd_key", F.col("own_id").cast("long")).alias(key))
+    return keyed, odd.select(F.col("odd_key").alias("key"), F.col("odd_id").alias("doc_id"), "digest")

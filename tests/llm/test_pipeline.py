@@ -60,3 +60,38 @@ def test_empty_documents(spark, planted, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{planted[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_in_every_stage(spark, planted, tmp_path):
+    """Repeated rows, ids that are null or shared by different texts, extra columns, a very long text."""
+    import corpus_pipeline as c
+    from netloom.llm.store import table
+
+    folder = planted[0]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    say = lambda k, n=60: " ".join(f"word{k}and{i}" for i in range(n))
+    passage = say("p", 80)
+    rows = [
+        (1, say(1)), (1, say(1)), (1, say(2)), (None, say(3)), (None, say(4)), (None, say(3)), (2, say(4) + " more"), (3, None), (3, ""), (None, None),
+        (4, say(5) + " " + item + " " + say(6)), (4, say(7)), (None, say(8) + " " + item), (5, say(9) + " " + passage + " " + say(10)), (None, say(11) + " " + passage + " " + say(12)),
+        (6, say("long", 150_000)), (7, say(13)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, keys string")
+    docs = docs.selectExpr("*", "1 kept", "2 key", "3 id", "4 digest", "5 component_id", "6 th", "7 odd_id")
+    docs = table(spark, docs, "odd")
+    near = table(spark, c.drop_near_duplicates(spark, docs, folder), "near")
+    kept = sorted((r.doc_id or -1, r.text or "") for r in near.collect())
+    gone = [(1, say(1)), (None, say(3)), (None, say(4))]  # one of each pair of equal rows, and a copy of document 2
+    want = sorted((i or -1, t or "") for i, t in rows)
+    for i, t in gone:
+        want.remove((i or -1, t))
+    assert kept == want and near.columns == docs.columns
+    cut = table(spark, c.cut_repeats(spark, near, folder), "cut")
+    assert cut.columns == docs.columns and cut.count() == near.count()
+    assert not any(passage in r.text for r in cut.collect()) and any(r.text.startswith(say(11)) and r.doc_id is None for r in cut.collect())
+    clean = table(spark, c.drop_contaminated(spark, cut, folder), "clean")
+    left = {(r.doc_id, r.text.split(" ")[0]) for r in clean.collect()}
+    assert (4, "word7and0") in left and not {(4, "word5and0"), (None, "word8and0")} & left and clean.count() == cut.count() - 2
+    assert c.encode(spark, clean, folder).count() == clean.count()
+    model_rows = c.keep_quality(spark, docs, folder)
+    assert model_rows.columns == docs.columns and model_rows.count() <= len(rows)
