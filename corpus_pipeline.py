@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the documents table; part of the subpackage netloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents; rows of a null doc_id are dropped by the second stage.
+next stage's docs. All but the last return the columns of documents. Rows that share a doc_id or have none are
+documents of their own if their texts differ; no row goes because of its id.
 """
 
 from __future__ import annotations
@@ -12,37 +13,60 @@ from pyspark.sql import functions as F
 
 from netloom.llm import bpe, decontam, quality, substrings
 from netloom.llm.minhash import NearDedup, near_duplicates
-from netloom.llm.store import table
+from netloom.llm.store import table, with_key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The classifier learns from the labelled rows outside the held-out third."""
+    """Rejected documents go. The classifier learns from the labelled rows outside the held-out third.
+
+    Rows are judged one by one; null and empty texts are judged by the model's bias.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(spark, docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     return quality.keep(spark, docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id; of repeated ids one row."""
-    kept = near_duplicates(spark, docs, NearDedup()).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near copies stays, the one of the smallest doc_id (null last, then by digest).
+
+    Of rows that are equal in doc_id and text the least by the other columns stays. Null, empty and blank texts are near
+    nothing and all stay, unless they repeat an id.
+    """
+    keyed, odd = with_key(spark, docs, "_key")
+    found = near_duplicates(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), NearDedup())
+    if odd is None:
+        kept = found.where("kept").select(F.col("doc_id").alias("_key"))
+        return keyed.join(kept, "_key", "left_semi").select(docs.columns)
+    named = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(odd, "key", "left")
+    own_id = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("doc_id").cast("long"))
+    best = F.min(F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "digest", "key"))
+    kept = table(spark, named.groupBy("component_id").agg(best.alias("b")).select(F.col("b.key").alias("_key")), "kept")
+    rows = keyed.join(kept, "_key", "left_semi")
+    many = rows.join(odd.select(F.col("key").alias("_key")), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(docs.columns)).alias("row"))
+    single = rows.join(odd.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
+    return single.unionByName(many.select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that stand anywhere else are cut out of the texts; n_chars follows."""
+    """Passages of 50 words and more that stand anywhere else are cut out of the texts; n_chars follows.
+
+    Null texts become empty. Every row stays.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = substrings.remove_repeats(spark, docs, words=50, carry=others)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to its edit budget, go."""
-    found = decontam.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(table(spark, found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item, up to its edit budget, go; others of the same or no doc_id stay."""
+    keyed, _ = with_key(spark, docs, "_key")
+    found = decontam.contaminated(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = table(spark, found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with the digests of the ids and of what they decode to."""
+    """Token ids of each text, with the digests of the ids and of what they decode to; a null text is empty."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.tokenize(spark, docs, path, public_tokenizers.PATTERN)
 
