@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators.hypergraph import Hypergraph
 from netloom.operators.ordered import row_numbers
-from netloom.session import cut_lineage
+from netloom.session import cut_lineage, release
 
 
 def connected_components(vertices: DataFrame, pins: DataFrame) -> DataFrame:
@@ -29,11 +30,15 @@ def connected_components(vertices: DataFrame, pins: DataFrame) -> DataFrame:
         hook = new.where("m < component").groupBy(F.col("component").alias("v")).agg(F.min("m").alias("h"))
         new = new.join(hook, "v", "left").select("v", "component", F.least("m", F.coalesce("h", "m")).alias("m"))
         new = cut_lineage(new)
+        release(label)
         jump = new.select(F.col("v").alias("m"), F.col("m").alias("root"))
         next_label = cut_lineage(new.join(jump, "m").select("v", F.col("component").alias("old"), F.least("m", "root").alias("component")))
-        changed = next_label.where("old <> component").isEmpty()
+        release(new)
+        done = next_label.where("old <> component").isEmpty()
         label = next_label.select("v", "component")
-        if changed:
+        label.netloom_path = next_label.netloom_path
+        if done:
+            release(pins)
             return label
 
 
@@ -114,32 +119,83 @@ def minimum_spanning_forest(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
         label = connected_components(vertices, pins)
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """tree (node, parent or null) -> (node, anc, up): all ancestors, the node itself at 0, by doubled jumps."""
+def _jumps(tree: DataFrame) -> list[DataFrame]:
+    """Tables (node, to): the ancestor 1, 2, 4, ... levels up, as long as there is one; raises if the parents hold a cycle.
+
+    One row a node in each. A jump of as many levels as there are nodes can only go round a cycle.
+    """
     jump = cut_lineage(tree.where("parent is not null").select("node", F.col("parent").alias("to")))
-    pairs, step = cut_lineage(tree.select("node", F.col("node").alias("anc"), F.lit(0).alias("up"))), 1
+    out: list[DataFrame] = []
     while not jump.isEmpty():
-        j = jump.select(F.col("node").alias("anc"), "to")
-        more = pairs.join(j, "anc").select("node", F.col("to").alias("anc"), (F.col("up") + step).alias("up"))
-        pairs = cut_lineage(pairs.unionByName(more))
+        if len(out) >= 4 and 1 << len(out) > tree.count():
+            raise ValueError("the parents hold a cycle")
+        out.append(jump)
         far = jump.select(F.col("node").alias("to"), F.col("to").alias("far"))
         jump = cut_lineage(jump.join(far, "to").select("node", F.col("far").alias("to")))
-        step *= 2
-        if step > 1 << 30:
-            raise ValueError("the parents hold a cycle")
+    return out
+
+
+def ancestors(tree: DataFrame) -> DataFrame:
+    """tree (node, parent or null) -> (node, anc, up): all ancestors, the node itself at 0, by doubled jumps.
+
+    This has a row for each node and ancestor: for what needs only levels, roots or common ancestors take `tree_levels`,
+    `tree_roots` and `lowest_common_ancestors`, which keep one row a node.
+    """
+    jumps = _jumps(tree)
+    pairs = cut_lineage(tree.select("node", F.col("node").alias("anc"), F.lit(0).alias("up")))
+    for level, jump in enumerate(jumps):
+        j = jump.select(F.col("node").alias("anc"), "to")
+        more = pairs.join(j, "anc").select("node", F.col("to").alias("anc"), (F.col("up") + (1 << level)).alias("up"))
+        longer = cut_lineage(pairs.unionByName(more))
+        release(pairs)
+        pairs = longer
+    release(*jumps)
     return pairs
 
 
+def tree_roots(tree: DataFrame) -> DataFrame:
+    """tree (node, parent or null) -> (node, root, level): by pointer jumping, one row a node; raises on a cycle."""
+    at = tree.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("int").alias("level"), F.col("parent").isNull().alias("done"))
+    at, rounds = cut_lineage(at), 0
+    while not at.where("not done").isEmpty():
+        rounds += 1
+        if rounds > 4 and 1 << (rounds - 1) > tree.count():
+            raise ValueError("the parents hold a cycle")
+        far = at.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("level").alias("more"), F.col("done").alias("there"))
+        new = at.join(far, "root", "left")  # a parent that is no node is a root
+        new = new.select("node", F.coalesce("far", "root").alias("root"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.coalesce("there", F.lit(True)).alias("done"))
+        new = cut_lineage(new)
+        release(at)
+        at = new
+    return at.select("node", "root", "level")
+
+
 def tree_levels(tree: DataFrame) -> DataFrame:
-    return ancestors(tree).groupBy("node").agg(F.max("up").alias("level"))
+    return tree_roots(tree).select("node", "level")
 
 
 def lowest_common_ancestors(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) -> (a, b, lca): joins the two ancestor lists; null for nodes of different trees."""
-    anc = ancestors(tree)
-    x = pairs.join(anc.select(F.col("node").alias("a"), "anc", F.col("up").alias("ua")), "a")
-    y = x.join(anc.select(F.col("node").alias("b"), "anc", F.col("up").alias("ub")), ["b", "anc"])
-    found = y.groupBy("a", "b").agg(F.min_by("anc", "ua").alias("lca"))
+    """pairs (a, b) -> (a, b, lca): both climb to one level and then together, by jumps of falling powers of two.
+
+    One row a pair throughout; null for nodes of different trees and for unknown nodes.
+    """
+    jumps, place = _jumps(tree), cut_lineage(tree_roots(tree))
+    info = lambda c: place.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("level").alias(f"level_{c}"))
+    at = pairs.select("a", "b").distinct().join(info("a"), "a").join(info("b"), "b").where("root_a = root_b")
+    down, up = F.col("level_a") >= F.col("level_b"), F.col("level_a") < F.col("level_b")
+    at = at.select("a", "b", F.when(down, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("y"), F.abs(F.col("level_a") - F.col("level_b")).alias("gap"))
+    hop = lambda df, jump, c: df.join(jump.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c, "left")
+    for k in range(len(jumps) - 1, -1, -1):
+        moved = hop(at, jumps[k], "x")
+        far = F.col("gap").bitwiseAND(1 << k) != 0
+        at = moved.select("a", "b", F.when(far, F.col("x_to")).otherwise(F.col("x")).alias("x"), "y", "gap")
+    at = cut_lineage(at)
+    for k in range(len(jumps) - 1, -1, -1):
+        moved = hop(hop(at, jumps[k], "x"), jumps[k], "y")
+        apart = F.col("x_to") != F.col("y_to")  # null above a root: no move
+        at = moved.select("a", "b", *[F.when(apart, F.col(f"{c}_to")).otherwise(F.col(c)).alias(c) for c in ("x", "y")])
+    last = hop(at, jumps[0], "x") if jumps else at.withColumn("x_to", F.col("x"))
+    found = last.select("a", "b", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("x_to")).alias("lca"))
     return pairs.join(found, ["a", "b"], "left")
 
 
@@ -204,8 +260,12 @@ def levelize(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
+        if level % 20 == 19:
+            done = cut_lineage(done)
+        before = (todo, waiting)
         todo = cut_lineage(todo.join(ready.select("node"), "node", "left_anti"))
         waiting = cut_lineage(waiting.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        release(*before)
         level += 1
     loops = todo.select("node", F.lit(None).cast("int").alias("level"))
     return loops if done is None else done.unionByName(loops)
@@ -227,31 +287,130 @@ def reachable(arcs: DataFrame, start: DataFrame, most: int | None = None) -> Dat
 
 
 def propagate(nodes: DataFrame, arcs: DataFrame, late: bool = True) -> DataFrame:
-    """(node, arrival): largest (late) or least sum of delays over paths from sources; arcs (src, dst, delay), acyclic."""
-    pick, arcs = F.max if late else F.min, cut_lineage(arcs.select("src", "dst", "delay"))
-    sources = nodes.join(arcs.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("arrival"))
-    frontier = cut_lineage(sources)
-    best = frontier
-    for _ in range(1 << 20):
-        step = arcs.join(frontier.select(F.col("node").alias("src"), "arrival"), "src")
-        step = step.groupBy(F.col("dst").alias("node")).agg(pick(F.col("arrival") + F.col("delay")).alias("new"))
-        better = step.join(best, "node", "left").where(F.col("arrival").isNull() | ((F.col("new") > F.col("arrival")) if late else (F.col("new") < F.col("arrival"))))
-        frontier = cut_lineage(better.select("node", F.col("new").alias("arrival")))
-        if frontier.isEmpty():
-            return best
-        best = cut_lineage(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
-    raise ValueError("the arcs hold a cycle")
+    """(node, arrival): largest (late) or least sum of delays over paths from sources; arcs (src, dst, delay), acyclic.
 
-
-def eigenvectors_small(h: Hypergraph, count: int, most: int = 2000) -> DataFrame:
-    """(k, value, v, x): the count least eigenpairs of the Laplacian after the constant one, for few vertices.
-
-    The matrix of at most `most` vertices is solved in one task; larger ones are refused. Signs are fixed by the
-    first largest entry.
+    A node is final once all arcs into it have been counted, so each arc is used in one round only and a round touches
+    the nodes of one level and those after them. Nodes on or behind a loop never are: that raises.
+    """
+    pick, arcs = F.max if late else F.min, cut_lineage(arcs.select("src", "dst", "delay"))
+    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
+    waiting = cut_lineage(into.select("node", "need", F.lit(None).cast("bigint").alias("best")))
+    ready = cut_lineage(nodes.join(waiting.select("node"), "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("arrival")))
+    done, level = ready, 0
+    while not ready.isEmpty():
+        step = arcs.join(ready.select(F.col("node").alias("src"), "arrival"), "src")
+        step = step.groupBy(F.col("dst").alias("node")).agg(pick(F.col("arrival") + F.col("delay")).alias("new"), F.count("*").alias("got"))
+        merged = (F.greatest if late else F.least)("best", "new")
+        now = waiting.join(step, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), merged.cast("bigint").alias("best"))
+        now = cut_lineage(now)
+        release(waiting)
+        ready, waiting = now.where("need = 0").select("node", F.col("best").alias("arrival")), cut_lineage(now.where("need > 0"))
+        done, level = done.unionByName(ready), level + 1
+        if level % 20 == 0:
+            done = cut_lineage(done)
+    if not waiting.isEmpty():
+        raise ValueError("the arcs hold a cycle")
+    return done
+
+
+def project(x: DataFrame, of: list[str], weight: str = "w") -> DataFrame:
+    """x (v, weight, columns) with each column made orthogonal to the constant under the weights and of unit norm there.
+
+    A column that is constant becomes 0.
+    """
+    w = F.col(weight)
+    mean = x.agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in enumerate(of)])
+    own = x.crossJoin(F.broadcast(mean))  # one row
+    own = own.select(*[c for c in x.columns if c not in of], *[(F.col(c) - F.col(f"_s{i}") / F.col("_w")).alias(c) for i, c in enumerate(of)])
+    norm = own.agg(*[F.sqrt(F.sum(w * F.col(c) * F.col(c))).alias(f"_n{i}") for i, c in enumerate(of)])
+    unit = own.crossJoin(F.broadcast(norm))  # one row
+    return unit.select(*[c for c in x.columns if c not in of], *[F.coalesce(F.try_divide(F.col(c), F.col(f"_n{i}")), F.lit(0.0)).alias(c) for i, c in enumerate(of)])
+
+
+def _laplacians(h: Hypergraph, factor: DataFrame, x: DataFrame, columns: list[str]) -> DataFrame:
+    """x (v, columns) -> (v, L of each column), in one pass over the pins; factor (e, f)."""
+    at = h.pins.join(factor, "e").join(x.select("v", *columns), "v")
+    mean = at.groupBy("e").agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    y = at.join(mean, "e").groupBy("v").agg(*[F.sum(F.col("f") * (F.col(c) - F.col(f"_m{i}"))).alias(f"L{c}") for i, c in enumerate(columns)])
+    return y
+
+
+def eigenvectors(h: Hypergraph, count: int, iterations: int = 40, tolerance: float = 1e-3, seed: int = 1) -> DataFrame:
+    """(k, value, v, x): the count least eigenpairs of L x = value * W x after the constant one; L is `laplacian`, W the
+    vertex weights.
+
+    Preconditioned block iterations (LOBPCG): each applies L once to a block of residuals, divided by L's diagonal, and
+    takes the best vectors in the span of the block, the residuals and the last directions. Only sums of products (a
+    matrix of three times count) come to the driver, so the number of vertices isn't limited. Ends after `iterations`
+    or when all residuals are under tolerance * value. Signs are fixed: the largest entry, of equal ones that of
+    the least v, is positive. Constraint terms on top of W (`clique_matvec`) vanish for vectors orthogonal to the constant.
+    """
+    k = F.col("k")
+    factor = h.sizes().withColumnRenamed("size", "k").where("k > 1").join(h.hyperedges, "e")
+    factor = cut_lineage(factor.select("e", (F.col("hwt") * (k - 1) / (F.floor(k / 2) * F.ceil(k / 2))).alias("f"), k.alias("k")))
+    pins = cut_lineage(h.pins)
+    own = Hypergraph(h.vertices, h.hyperedges, pins)
+    diagonal = pins.join(factor, "e").groupBy("v").agg(F.sum(F.col("f") * (1 - 1 / F.col("k"))).alias("d"))
+    factor = factor.select("e", "f")
+    xs, ps, zs = ([f"{c}{i}" for i in range(count)] for c in "xpz")
+    noise = [(F.xxhash64("v", F.lit(seed * 1000 + i)) / 2.0**63).alias(c) for i, c in enumerate(xs)]
+    x = h.vertices.select("v", F.greatest(F.col("vwt"), F.lit(1)).cast("double").alias("w")).join(diagonal, "v", "left").select("v", "w", F.coalesce("d", F.lit(0.0)).alias("d"), *noise)
+    state = cut_lineage(project(x, xs))
+    state = state.join(_laplacians(own, factor, state, xs), "v", "left").fillna(0.0)
+    state = cut_lineage(state.select("*", *[F.lit(0.0).alias(c) for c in [*ps, *(f"L{p}" for p in ps)]]))
+    first, value = True, np.zeros(count)
+
+    def gram(table: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+        sums = [F.sum(F.col(columns[i]) * F.col(f"L{columns[j]}")) for i, j in pairs] + [F.sum(F.col("w") * F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]
+        row = np.array([x or 0.0 for x in table.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()])
+        a, b = np.zeros((2, len(columns), len(columns)))
+        for m, part in ((a, row[: len(pairs)]), (b, row[len(pairs) :])):
+            for (i, j), s in zip(pairs, part, strict=True):
+                m[i, j] = m[j, i] = s
+        return a, b
+
+    for _ in range(iterations):
+        a, b = gram(state, xs)
+        value = np.diag(a) / np.maximum(np.diag(b), 1e-300)
+        residual = [F.col(f"L{c}") - float(value[i]) * F.col("w") * F.col(c) for i, c in enumerate(xs)]
+        size = state.agg(*[F.sqrt(F.sum(r * r / F.greatest("w", F.lit(1e-12)))).alias(f"r{i}") for i, r in enumerate(residual)]).first()
+        if all((r or 0.0) <= tolerance * max(v, 1e-12) for r, v in zip(size, value, strict=True)):
+            break
+        z = state.select("*", *[F.coalesce(F.try_divide(r, F.col("d")), F.lit(0.0)).alias(c) for r, c in zip(residual, zs, strict=True)])
+        z = cut_lineage(project(z, zs))
+        z = cut_lineage(z.join(_laplacians(own, factor, z, zs), "v", "left").fillna(0.0))
+        basis = [*xs, *zs, *([] if first else ps)]
+        a, b = gram(z, basis)
+        scale, turn = np.linalg.eigh(b)
+        good = scale > 1e-12 * scale.max()
+        half = turn[:, good] / np.sqrt(scale[good])
+        coefficient = (half @ np.linalg.eigh(half.T @ a @ half)[1])[:, :count]
+        mixed = lambda names, c, p: sum((float(q) * F.col(f"{p}{n}") for n, q in zip(names, c, strict=True)), F.lit(0.0))
+        rest = basis[count:]
+        columns = []
+        for p in ("", "L"):
+            columns += [mixed(basis, coefficient[:, i], p).alias(f"{p}{c}") for i, c in enumerate(xs)]
+            columns += [mixed(rest, coefficient[count:, i], p).alias(f"{p}{c}") for i, c in enumerate(ps)]
+        new = cut_lineage(z.select("v", "w", "d", *columns))
+        release(state, z)
+        state, first = new, False
+    a, b = gram(state, xs)
+    value = np.diag(a) / np.maximum(np.diag(b), 1e-300)
+    top = state.agg(*[F.max_by(c, F.struct(F.abs(F.round(c, 9)), -F.col("v"))).alias(c) for c in xs]).first()
+    rows = [F.struct(F.lit(i + 1).alias("k"), F.lit(float(value[j])).alias("value"), (F.col(xs[j]) * (-1.0 if (top[j] or 0) < 0 else 1.0)).alias("x")) for i, j in enumerate(np.argsort(value, kind="stable").tolist())]
+    return state.select("v", F.explode(F.array(*rows)).alias("r")).select("r.k", "r.value", "v", "r.x")
+
+
+def eigenvectors_dense(h: Hypergraph, count: int, most: int = 2000) -> DataFrame:
+    """(k, value, v, x): the count least eigenpairs of the Laplacian after the constant one, for coarse hypergraphs.
+
+    The matrix of at most `most` vertices is solved in one task; larger ones are for `eigenvectors`. Signs are fixed by
+    the first largest entry.
     """
     n = h.vertices.count()
     if n > most:
-        raise ValueError(f"{n} vertices are over {most}; use power iterations of `laplacian`")
+        raise ValueError(f"{n} vertices are over {most}; use eigenvectors")
     size = Window.partitionBy("e")
     p = h.pins.withColumn("k", F.count("*").over(size)).where("k > 1").join(h.hyperedges, "e")
     rows = h.vertices.select(F.lit(None).cast("bigint").alias("e"), "v", F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("hwt")).unionByName(p.select("e", "v", "k", "hwt"))
@@ -275,28 +434,30 @@ def eigenvectors_small(h: Hypergraph, count: int, most: int = 2000) -> DataFrame
 
 
 def euler_tour(tree: DataFrame) -> DataFrame:
-    """(root, pos, node): the depth-first tour of each tree, kids in the order of their ids; one task a tree."""
-    roots = ancestors(tree).groupBy("node").agg(F.max_by("anc", "up").alias("root"))
-
-    def tour(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids: dict[int, list[int]] = {}
-        for node, parent in sorted(zip(pdf.node, pdf.parent.fillna(-1), strict=True)):
-            kids.setdefault(int(parent), []).append(int(node))
-        root = int(pdf.root.iloc[0])
-        out, stack = [], [(root, iter(kids.get(root, [])))]
-        out.append(root)
-        while stack:
-            nxt = next(stack[-1][1], None)
-            if nxt is None:
-                stack.pop()
-                if stack:
-                    out.append(stack[-1][0])
-            else:
-                out.append(nxt)
-                stack.append((nxt, iter(kids.get(nxt, []))))
-        return pd.DataFrame({"root": root, "pos": range(len(out)), "node": out})
-
-    return tree.where("parent is null or parent <> node").join(roots, "node").select("root", "node", "parent").groupBy("root").applyInPandas(tour, "root long, pos long, node long")
+    """(root, pos, node): the depth-first tour of each tree, kids in the order of their ids; a node stands again after
+    each of its kids.
+
+    The tour is a linked list, (node, after its k-th kid) -> next, that is ranked by pointer jumping: the number of
+    rounds is the logarithm of the tour's length, and no tree has to fit in a task.
+    """
+    tree = tree.where("parent is null or parent <> node").select("node", "parent")
+    kids = tree.where("parent is not null").withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy("node")))
+    kids = cut_lineage(kids.select("node", "parent", "k"))
+    roots = tree_roots(tree)
+    items = cut_lineage(tree.select("node", F.lit(0).alias("k")).unionByName(kids.select(F.col("parent").alias("node"), "k")))
+    down = kids.select(F.col("parent").alias("node"), (F.col("k") - 1).alias("k"), F.col("node").alias("kid"))
+    up = kids.select("node", F.col("parent").alias("above"), F.col("k").alias("place"))
+    nxt = items.join(down, ["node", "k"], "left").join(up, "node", "left")
+    nxt = nxt.select("node", "k", F.coalesce("kid", "above").alias("to"), F.when(F.col("kid").isNotNull(), 0).otherwise(F.col("place")).alias("to_k"))
+    at = cut_lineage(nxt.withColumn("left", F.col("to").isNotNull().cast("long")))
+    while not at.where("`to` is not null").isEmpty():
+        far = at.select(F.col("node").alias("to"), F.col("k").alias("to_k"), F.col("to").alias("far"), F.col("to_k").alias("far_k"), F.col("left").alias("more"))
+        new = at.join(far, ["to", "to_k"], "left").select("node", "k", F.col("far").alias("to"), F.col("far_k").alias("to_k"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        new = cut_lineage(new)
+        release(at)
+        at = new
+    size = roots.groupBy("root").agg((2 * F.count("*") - 2).alias("last"))
+    return at.join(roots, "node").join(size, "root").select("root", (F.col("last") - F.col("left")).alias("pos"), "node")
 
 
 def greedy_colouring(arcs: DataFrame) -> DataFrame:

@@ -100,28 +100,31 @@ def shift_legalise(cells: DataFrame) -> DataFrame:
 
 
 def reorder_windows(cells: DataFrame, size: int = 3) -> DataFrame:
-    """cells (row, cell, width, wish) in the order of x -> (row, window, place, cell): in windows of size cells the
-    order of the least summed distance of places from wishes; ties to the earlier order."""
+    """cells (row, cell, x, width, wish) -> (row, window, place, cell): in windows of size cells, in the order of x, the
+    order of the least summed distance of places from wishes; ties to the earlier order.
+
+    size is small: all its orders are tried inside one expression for each window.
+    """
     w = Window.partitionBy("row").orderBy("x", "cell")
     rn = F.row_number().over(w) - 1
     own = cells.withColumn("window", F.floor(rn / size)).groupBy("row", "window").agg(F.array_sort(F.collect_list(F.struct("x", "cell", "width", "wish"))).alias("c"))
+    left = F.array_min(F.transform("c", lambda k: k["x"]))
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for row, window, c in zip(pdf.row, pdf.window, pdf.c, strict=True):
-                def cost(order, c=c):
-                    at, total = min(k["x"] for k in c), 0
-                    for k in order:
-                        total += abs(at - k["wish"])
-                        at += k["width"]
-                    return total
-
-                for place, k in enumerate(min(permutations(c), key=cost)):
-                    out.append((row, window, place, k["cell"]))
-            yield pd.DataFrame(out, columns=["row", "window", "place", "cell"])
+    def cost(order: tuple[int, ...]) -> Column:
+        at, total = left, F.lit(0)
+        for i in order:
+            k = F.col("c")[i]
+            total = total + F.abs(at - k["wish"])
+            at = at + k["width"]
+        return F.struct(total.cast("double").alias("cost"), F.lit(n).alias("n"), F.array(*[F.col("c")[i]["cell"] for i in order]).alias("cells"))
 
-    return own.mapInPandas(best, "row long, window long, place int, cell long")
+    best = F.lit(None)
+    for held in range(1, size + 1):
+        tried = []
+        for n, order in enumerate(permutations(range(held))):
+            tried.append(cost(order))
+        best = F.when(F.size("c") == held, F.array_min(F.array(*tried))["cells"]).otherwise(best)
+    return own.select("row", "window", F.posexplode(best).alias("place", "cell"))
 
 
 def assign(costs: DataFrame) -> DataFrame:
@@ -185,18 +188,19 @@ def pack_sequence_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def anneal_packings(blocks: DataFrame, seeds: int = 16, steps: int = 300) -> DataFrame:
-    """blocks (block, w, h), few -> (seed, area, firsts, seconds): one row, the smallest box of independent annealing runs.
+    """blocks (grp, block, w, h) -> (grp, seed, area, firsts, seconds): for each group the smallest box of independent
+    annealing runs; firsts and seconds are the places of its blocks, by id, in the two sequences.
 
-    Each seed is a run of its own in a task of its own; a run swaps two blocks in one or both sequences.
+    A group is few blocks. Each group and seed is a run of its own; a run swaps two blocks in one or both sequences.
     """
-    listed = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "w", "h"))).alias("b"))
-    runs = blocks.sparkSession.range(seeds).withColumnRenamed("id", "seed").repartition(seeds).crossJoin(F.broadcast(listed))
+    listed = blocks.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("block", "w", "h"))).alias("b"))
+    runs = listed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).repartition("grp", "seed")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for seed, b in zip(pdf.seed, pdf.b, strict=True):
-                r = np.random.default_rng(int(seed))
+            for grp, seed, b in zip(pdf.grp, pdf.seed, pdf.b, strict=True):
+                r = np.random.default_rng([int(seed), int(grp) & 0xFFFFFFFF])
                 w, h, n = np.array([k["w"] for k in b], float), np.array([k["h"] for k in b], float), len(b)
 
                 def area(f, s, w=w, h=h, n=n):
@@ -225,11 +229,23 @@ def anneal_packings(blocks: DataFrame, seeds: int = 16, steps: int = 300) -> Dat
                         if cost < best[0]:
                             best = (cost, f.copy(), s.copy())
                     heat *= 0.985
-                out.append((int(seed), best[0], best[1].tolist(), best[2].tolist()))
-            yield pd.DataFrame(out, columns=["seed", "area", "firsts", "seconds"])
+                out.append((int(grp), int(seed), best[0], best[1].tolist(), best[2].tolist()))
+            yield pd.DataFrame(out, columns=["grp", "seed", "area", "firsts", "seconds"])
 
-    done = runs.mapInPandas(run, "seed long, area double, firsts array<long>, seconds array<long>")
-    return done.agg(F.min(F.struct("area", "seed", "firsts", "seconds")).alias("m")).select("m.seed", "m.area", "m.firsts", "m.seconds")
+    done = runs.mapInPandas(run, "grp long, seed long, area double, firsts array<long>, seconds array<long>")
+    return done.groupBy("grp").agg(F.min(F.struct("area", "seed", "firsts", "seconds")).alias("m")).select("grp", "m.seed", "m.area", "m.firsts", "m.seconds")
+
+
+def timing_model(arcs: DataFrame, port_in: Column, port_out: Column, hops: int) -> DataFrame:
+    """arcs (src, dst, delay) -> (port_in, port_out, delay): the largest delay over paths of `hops` arcs between ports.
+
+    Paths are folded to (start port, node) after each arc, so their number doesn't grow with the length.
+    """
+    at = arcs.groupBy(port_in.alias("port_in"), F.col("dst").alias("node")).agg(F.max("delay").alias("delay"))
+    for _ in range(hops - 1):
+        step = arcs.select(F.col("src").alias("node"), "dst", F.col("delay").alias("more"))
+        at = at.join(step, "node").groupBy("port_in", F.col("dst").alias("node")).agg(F.max(F.col("delay") + F.col("more")).alias("delay"))
+    return at.withColumnRenamed("node", "dst").groupBy("port_in", port_out.alias("port_out")).agg(F.max("delay").alias("delay"))
 
 
 def kmeans(points: DataFrame, k: int, rounds: int = 10) -> DataFrame:

@@ -1,7 +1,7 @@
 """Global order without a single-task window: running sums and row numbers over ranges of a key.
 
-The key's range is cut at approximate quantiles into at most RANGES parts. A window runs inside each part, and the
-parts' totals (one row a part) are summed up and joined back.
+The key's range is cut at approximate quantiles into parts of about ROWS rows, however many these are. A window runs
+inside each part, and the parts' totals (one row a part) are summed up and joined back.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
 ROWS = 1 << 20
+#: more bounds than this are looked up in two steps
+NESTED = 256
 
 
 def _part(key: str, bounds: list, lo: int, hi: int) -> Column:
@@ -20,15 +21,24 @@ def _part(key: str, bounds: list, lo: int, hi: int) -> Column:
     return F.when(F.col(key) < bounds[mid], _part(key, bounds, lo, mid)).otherwise(_part(key, bounds, mid + 1, hi))
 
 
+def _part_of_many(key: str, bounds: list) -> Column:
+    """How many bounds are at most the key: first the piece of the bounds, then the place in it, so that a row is
+    compared with about twice the root of their number."""
+    step = int(len(bounds) ** 0.5) + 1
+    pieces = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
+    before = F.greatest(F.size(F.filter(pieces, lambda p: p[0] <= F.col(key))) - 1, F.lit(0))
+    return before * step + F.size(F.filter(F.get(pieces, before), lambda b: b <= F.col(key)))
+
+
 def ranged(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """Adds `part`: larger keys are in the same part or a later one; null keys come first."""
-    n = df.count()
-    cuts = min(RANGES, n // rows)
+    cuts = df.count() // rows
     bounds: list = []
     if cuts:
-        q = df.select(F.percentile_approx(key, [(i + 1) / (cuts + 1) for i in range(cuts)], 10 * RANGES)).first()[0]
+        q = df.select(F.percentile_approx(key, [(i + 1) / (cuts + 1) for i in range(cuts)], max(2560, 10 * cuts))).first()[0]
         bounds = sorted(set(q or []))
-    return df.withColumn("part", F.when(F.col(key).isNull(), -1).otherwise(_part(key, bounds, 0, len(bounds))))
+    part = _part(key, bounds, 0, len(bounds)) if len(bounds) <= NESTED else _part_of_many(key, bounds)
+    return df.withColumn("part", F.when(F.col(key).isNull(), -1).otherwise(part))
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, *ties: str, rows: int = ROWS) -> DataFrame:

@@ -12,23 +12,37 @@ def hpwl(pins: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 def _small_nets(pins: DataFrame, most_pins: int) -> DataFrame:
-    """Pins of nets of at most most_pins, so that a net's pins can be gathered in one row."""
     return pins.join(pins.groupBy("e").agg(F.count("*").alias("k")).where(f"k <= {most_pins}").select("e"), "e", "left_semi")
 
 
+def _rest_bounds(at: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """at (e, v, axes) with <axis>lo and <axis>hi, the bounds of the net's pins, and <axis>lo_rest and <axis>hi_rest, those
+    of its pins without this one, null if there is no other.
+
+    The second least value comes from a second aggregation of what is above the least, so no net is gathered.
+    """
+    first = at.groupBy("e").agg(*[f(c).alias(f"{c}{s}") for c in axes for f, s in ((F.min, "lo"), (F.max, "hi"))])
+    own = at.join(first, "e")
+    second = []
+    for c in axes:
+        for f, s in ((F.min, "lo"), (F.max, "hi")):
+            end = F.col(c) == F.col(f"{c}{s}")
+            second += [F.count_if(end).alias(f"{c}{s}_n"), f(F.when(~end, F.col(c))).alias(f"{c}{s}_2")]
+    both = own.join(own.groupBy("e").agg(*second), "e")
+    alone = lambda c, s: (F.col(c) == F.col(f"{c}{s}")) & (F.col(f"{c}{s}_n") == 1)
+    rest = [F.when(alone(c, s), F.col(f"{c}{s}_2")).otherwise(F.col(f"{c}{s}")).alias(f"{c}{s}_rest") for c in axes for s in ("lo", "hi")]
+    return both.select("e", "v", *axes, *[f"{c}{s}" for c in axes for s in ("lo", "hi")], *rest)
+
+
 def hpwl_move_delta(pins: DataFrame, coords: DataFrame, moves: DataFrame, most_pins: int = 1000) -> DataFrame:
-    """moves (v, nx, ny) -> (v, delta): change of total wirelength if v alone moves; nets over most_pins don't count.
+    """moves (v, nx, ny) -> (v, delta): change of total wirelength if v alone moves.
 
-    The box of the other pins comes from the two least and two largest places of a net, so no net is joined with itself.
+    Nets over most_pins don't count: they are the objective's own limit, not one of memory.
     """
-    at = _small_nets(pins, most_pins).join(coords, "v")
-    two = lambda c, up: F.slice(F.sort_array(F.collect_list(c), up), 1, 2)
-    box = at.groupBy("e").agg(*[two(c, up).alias(f"{c}{'lo' if up else 'hi'}") for c in ("x", "y") for up in (True, False)])
-    m = at.join(moves, "v").join(box, "e")
+    m = _rest_bounds(_small_nets(pins, most_pins).join(coords, "v"), ("x", "y")).join(moves, "v")
 
-    def span(c: str, new: str) -> Column:
-        rest = [F.when(F.col(c) == F.col(f"{c}{s}")[0], F.get(F.col(f"{c}{s}"), F.lit(1))).otherwise(F.col(f"{c}{s}")[0]) for s in ("lo", "hi")]
-        return (F.greatest(rest[1], new) - F.least(rest[0], new)) - (F.col(f"{c}hi")[0] - F.col(f"{c}lo")[0])
+    def span(c: str, new: Column) -> Column:  # greatest and least pass over nulls
+        return (F.greatest(F.col(f"{c}hi_rest"), new) - F.least(F.col(f"{c}lo_rest"), new)) - (F.col(f"{c}hi") - F.col(f"{c}lo"))
 
     return m.groupBy("v").agg(F.sum(span("x", F.col("nx")) + span("y", F.col("ny"))).alias("delta"))
 
@@ -130,17 +144,10 @@ def clockwise(points: DataFrame) -> DataFrame:
     return ps.select("id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
 
 
-def optimal_region(pins: DataFrame, coords: DataFrame, most_pins: int = 1000) -> DataFrame:
-    """(v, x_lo, x_hi): the median range of x for v: middle two bounds of its nets' boxes without v itself.
-
-    Nets of over most_pins say nothing about a place and are left out.
-    """
-    at = _small_nets(pins, most_pins).join(coords, "v")
-    two = lambda up: F.slice(F.sort_array(F.collect_list("x"), up), 1, 2)
-    box = at.groupBy("e").agg(two(True).alias("lo"), two(False).alias("hi")).where("size(lo) > 1")
-    own = at.join(box, "e")
-    lo = F.when(F.col("x") == F.col("lo")[0], F.col("lo")[1]).otherwise(F.col("lo")[0])
-    hi = F.when(F.col("x") == F.col("hi")[0], F.col("hi")[1]).otherwise(F.col("hi")[0])
-    b = own.select("v", F.explode(F.array(lo, hi)).alias("b")).groupBy("v").agg(F.sort_array(F.collect_list("b")).alias("b"))
+def optimal_region(pins: DataFrame, coords: DataFrame, axis: str = "x") -> DataFrame:
+    """(v, x_lo, x_hi), named by the axis: the median range of x for v: middle two bounds of its nets' boxes without v
+    itself. Nets of one pin say nothing."""
+    own = _rest_bounds(pins.join(coords, "v"), (axis,)).where(f"{axis}lo_rest is not null")
+    b = own.select("v", F.explode(F.array(f"{axis}lo_rest", f"{axis}hi_rest")).alias("b")).groupBy("v").agg(F.sort_array(F.collect_list("b")).alias("b"))
     n = F.size("b")
-    return b.select("v", F.element_at("b", (n / 2).cast("int")).alias("x_lo"), F.element_at("b", (n / 2).cast("int") + 1).alias("x_hi"))
+    return b.select("v", F.element_at("b", (n / 2).cast("int")).alias(f"{axis}_lo"), F.element_at("b", (n / 2).cast("int") + 1).alias(f"{axis}_hi"))

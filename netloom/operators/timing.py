@@ -21,6 +21,45 @@ def wns_tns(paths: DataFrame) -> DataFrame:
     return paths.agg(F.min("slack").alias("wns"), F.sum(F.least("slack", F.lit(0))).alias("tns"))
 
 
+def slacks(nodes: DataFrame, arcs: DataFrame, at_ends: Column) -> DataFrame:
+    """(node, arrival, required, slack) of all nodes: late arrivals, required times from the ends back, their difference.
+
+    at_ends is the required time of nodes without arcs out of them. Required times are early arrivals over the turned arcs,
+    so both directions are one pass over the levels.
+    """
+    from netloom.operators.graph import propagate
+
+    arrival = propagate(nodes, arcs, late=True)
+    turned = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("delay")).alias("delay"))
+    back = propagate(nodes, turned, late=False).select("node", (at_ends + F.col("arrival")).alias("required"))
+    return arrival.join(back, "node").select("node", "arrival", "required", (F.col("required") - F.col("arrival")).alias("slack"))
+
+
+def worst_corner(slack: DataFrame) -> DataFrame:
+    """slack (corner, node, slack) -> (node, corner, slack): the least over corners, of equal ones the first corner."""
+    return slack.groupBy("node").agg(F.min(F.struct("slack", "corner")).alias("m")).select("node", "m.corner", "m.slack")
+
+
+def endpoint_paths(paths: DataFrame, group_count: int, endpoint_count: int, unique_pins: bool = False) -> DataFrame:
+    """paths (grp, endpoint, path, slack, pins) -> (grp, endpoint, path, slack, rank): the worst group_count of each group,
+    of which an endpoint has at most endpoint_count; unique_pins keeps of paths over the same pins the worst only."""
+    own = paths
+    if unique_pins:
+        best = F.row_number().over(Window.partitionBy("grp", "endpoint", "pins").orderBy("slack", "path"))
+        own = own.withColumn("same", best).where("same = 1")
+    place = F.row_number().over(Window.partitionBy("grp", "endpoint").orderBy("slack", "path"))
+    own = own.withColumn("place", place).where(F.col("place") <= endpoint_count)
+    return top_k(own, "grp", "slack", group_count, "path").select("grp", "endpoint", "path", "slack", "rank")
+
+
+def max_skew_checks(pairs: DataFrame) -> DataFrame:
+    """pairs (check_id, clk_at, ref_at, most) -> (check_id, skew, slack, rank): clock less reference arrival, worst slack first."""
+    from netloom.operators.ordered import row_numbers
+
+    own = pairs.select("check_id", F.abs(F.col("clk_at") - F.col("ref_at")).alias("skew"), "most").withColumn("slack", F.col("most") - F.col("skew"))
+    return row_numbers(own, "slack", "check_id", name="rank").select("check_id", "skew", "slack", "rank")
+
+
 def limit_violations(values: DataFrame, value: str, pin: Column, port: Column, default: int) -> DataFrame:
     """Rows over the first limit known of pin, port and default, with limit and slack."""
     own = values.withColumn("cap", F.coalesce(pin, port, F.lit(default)))

@@ -1,4 +1,4 @@
-"""Graph queries: components, expansions, Laplacians, trees, levels, sweeps."""
+"""Graph queries: components, expansions, Laplacians, trees, levels, sweeps. All read their whole tables."""
 
 from __future__ import annotations
 
@@ -7,51 +7,23 @@ from pyspark.sql import functions as F
 from netloom.operators import coarsen, graph
 from netloom.plans.registry import query
 
-#: hyperedges of at most two pins keep the recursive SQL small
-_SMALL = """small AS (SELECT e, v FROM pins WHERE e IN (SELECT e FROM pins GROUP BY e HAVING count(*) = 2)),
- arcs AS (SELECT DISTINCT a.v AS s, b.v AS d FROM small a JOIN small b ON a.e = b.e AND a.v <> b.v),
- walk AS (SELECT v, v AS r FROM vertices UNION SELECT d, r FROM walk JOIN arcs ON s = v WHERE r < d),
- comp AS (SELECT v, min(r) AS component FROM walk GROUP BY v)"""
-
-
-def _small(t):
-    sizes = t.h.sizes().where("size = 2").select("e")
-    return t.h.pins.join(sizes, "e", "left_semi")
-
-
-@query(f"AND {_SMALL} SELECT v, component FROM comp")
-def connected_components(t):
-    return graph.connected_components(t.h.vertices, _small(t))
-
-
-@query(f"AND {_SMALL}, best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT v, row_number() OVER (ORDER BY v) AS new_v FROM comp WHERE component = (SELECT component FROM best)")
-def largest_island(t):
-    return graph.largest_island(graph.connected_components(t.h.vertices, _small(t)))
-
-
-@query(f"AND {_SMALL}, best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT v FROM comp WHERE component <> (SELECT component FROM best)")
-def unused_vertices(t):
-    c = graph.connected_components(t.h.vertices, _small(t))
-    return c.select("v").join(graph.largest_island(c), "v", "left_anti")
-
-
 #: components over all hyperedges: each vertex passes on the least label that it has just got, UNION drops known rows
 _WHOLE = """walk AS (SELECT v, v AS c FROM vertices UNION SELECT b.v, min(w.c) FROM walk w JOIN pins a ON a.v = w.v JOIN pins b ON b.e = a.e GROUP BY b.v),
  comp AS (SELECT v, min(c) AS component FROM walk GROUP BY v), best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"""
 
 
 @query(f"AND {_WHOLE} SELECT v, component FROM comp")
-def connected_components_whole(t):
+def connected_components(t):
     return graph.connected_components(t.h.vertices, t.h.pins)
 
 
 @query(f"AND {_WHOLE} SELECT v, row_number() OVER (ORDER BY v) AS new_v FROM comp WHERE component = (SELECT component FROM best)")
-def largest_island_whole(t):
+def largest_island(t):
     return graph.largest_island(graph.connected_components(t.h.vertices, t.h.pins))
 
 
 @query(f"AND {_WHOLE} SELECT v FROM comp WHERE component <> (SELECT component FROM best)")
-def unused_vertices_whole(t):
+def unused_vertices(t):
     c = graph.connected_components(t.h.vertices, t.h.pins)
     return c.select("v").join(graph.largest_island(c), "v", "left_anti")
 
@@ -207,6 +179,30 @@ def levelize(t):
     return graph.levelize(*_dag(t))
 
 
+#: parts of one order are linked if one's class of 8 follows the other's, but not from every class; sources on all levels
+_LAYERS = """arc AS (SELECT a.v AS src, b.v AS dst, min((a.v + b.v) % 7 + 1)::BIGINT AS delay FROM pins a JOIN pins b USING (e) WHERE b.v % 8 = a.v % 8 + 1 AND (a.v + b.v) % 3 > 0 GROUP BY 1, 2),
+ w AS (SELECT v, v % 8 AS k, 0::BIGINT AS late, 0::BIGINT AS early, 0 AS level FROM vertices WHERE v % 8 = 0
+  UNION ALL SELECT x.v, any_value(x.v % 8), coalesce(max(w.late + delay), 0), coalesce(min(w.early + delay), 0), coalesce(max(w.level) + 1, 0) FROM vertices x LEFT JOIN arc ON dst = x.v LEFT JOIN w ON w.v = src
+   WHERE x.v % 8 = (SELECT max(k) + 1 FROM w) GROUP BY x.v)"""
+
+
+def _layers(t):
+    p = t.h.pins
+    q = p.select("e", F.col("v").alias("u"))
+    arcs = p.join(q, "e").where("u % 8 = v % 8 + 1 and (u + v) % 3 > 0").groupBy(F.col("v").alias("src"), F.col("u").alias("dst")).agg(F.min((F.col("v") + F.col("u")) % 7 + 1).alias("delay"))
+    return t.h.vertices.select(F.col("v").alias("node")), arcs
+
+
+@query(f"AND {_LAYERS} SELECT v AS node, level::INT AS level FROM w")
+def levelize_layers(t):
+    return graph.levelize(*_layers(t))
+
+
+@query(f"AND {_LAYERS} SELECT v AS node, late AS arrival FROM w")
+def arrival_layers(t):
+    return graph.propagate(*_layers(t), late=True)
+
+
 @query(f"""AND {_DAG}, p AS (SELECT dst AS n, max(hi) AS a FROM arc WHERE src LIKE 's%' GROUP BY dst), o AS (SELECT arc.dst AS n, max(p.a + arc.hi) AS a FROM arc JOIN p ON p.n = arc.src GROUP BY arc.dst)
  SELECT n AS node, coalesce(p.a, o.a, 0)::BIGINT AS arrival FROM node LEFT JOIN p USING (n) LEFT JOIN o USING (n)""")
 def arrival_late(t):
@@ -219,30 +215,39 @@ def arrival_early(t):
     return graph.propagate(*_dag(t, False), late=False)
 
 
+@query(f"""AND {_LAYERS}, late AS (SELECT v, late, early, 40 - late AS slack FROM w WHERE v NOT IN (SELECT src FROM arc)),
+ back AS (SELECT v, v % 8 AS k, 40::BIGINT AS required FROM vertices WHERE v % 8 = 7
+  UNION ALL SELECT x.v, any_value(x.v % 8), coalesce(min(b.required - delay), 40) FROM vertices x LEFT JOIN arc ON src = x.v LEFT JOIN back b ON b.v = dst WHERE x.v % 8 = (SELECT min(k) - 1 FROM back) GROUP BY x.v)
+ SELECT w.v AS node, w.late AS arrival, required, required - w.late AS slack FROM w JOIN back ON back.v = w.v""")
+def required_and_slack(t):
+    """Late arrival, required time (40 at the ends, less the delays on the way) and slack of every vertex."""
+    from netloom.operators import timing
+
+    return timing.slacks(*_layers(t), F.lit(40).cast("bigint"))
+
+
 @query(f"""AND {_DAG}, h1 AS (SELECT DISTINCT dst AS n FROM arc WHERE src = 's1'), h2 AS (SELECT DISTINCT dst AS n FROM arc WHERE src IN (SELECT n FROM h1))
  SELECT 's1' AS node, 0::INT AS hops UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2""")
 def reachable(t):
     return graph.reachable(_dag(t)[1], t.spark.sql("SELECT 's1' node"))
 
 
-@query(f"AND {_SMALL.replace('HAVING count(*) = 2', 'HAVING count(*) = 2 AND e % 4 = 0')} SELECT v, component AS cluster FROM comp")
-def overlay_clusters(t):
-    sizes = t.h.sizes().where("size = 2 and e % 4 = 0").select("e")
-    h = type(t.h)(t.h.vertices, t.h.hyperedges, t.h.pins.join(sizes, "e", "left_semi"))
-    return coarsen.overlay_clusters(h, [t.h.vertices.selectExpr("v", "0 part")])
-
-
 @query("""AND hit AS (SELECT e FROM pins JOIN parts2 USING (v) GROUP BY e HAVING min(part) <> max(part) UNION SELECT e FROM pins JOIN other2 USING (v) GROUP BY e HAVING min(part) <> max(part)),
  kept AS (SELECT e, v FROM pins WHERE e NOT IN (SELECT e FROM hit)),
  walk AS (SELECT v, v AS c FROM vertices UNION SELECT b.v, min(w.c) FROM walk w JOIN kept a ON a.v = w.v JOIN kept b ON b.e = a.e GROUP BY b.v) SELECT v, min(c) AS cluster FROM walk GROUP BY v""")
-def overlay_clusters_whole(t):
+def overlay_clusters(t):
     return coarsen.overlay_clusters(t.h, [t.parts(), t.parts(2, 3)])
 
 
-@query(None)
+@query("""AND tree AS (SELECT r_regionkey::BIGINT AS node, NULL::BIGINT AS parent FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100 FROM customer),
+ p AS (SELECT node, node AS root, [node] AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, p.root, list_append(p.path, t.node) FROM p JOIN tree t ON t.parent = p.node),
+ stops AS (SELECT root, node, path FROM p UNION ALL SELECT p.root, tree.parent, list_append(p.path, 1000000000000) FROM p JOIN tree USING (node) WHERE tree.parent IS NOT NULL)
+ SELECT root, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS pos, node FROM stops""")
 def euler_tour(t):
-    tree = t.nation.selectExpr("cast(n_nationkey + 100 as bigint) node", "cast(n_regionkey as bigint) parent").unionAll(t.region.selectExpr("cast(r_regionkey as bigint) node", "cast(null as bigint) parent"))
-    return graph.euler_tour(tree)
+    """The tours of the regions' trees of nations and customers."""
+    r = t.region.selectExpr("cast(r_regionkey as bigint) node", "cast(null as bigint) parent")
+    n = t.nation.selectExpr("cast(n_nationkey + 100 as bigint) node", "cast(n_regionkey as bigint) parent")
+    return graph.euler_tour(r.unionAll(n).unionAll(t.customer.selectExpr("cast(c_custkey + 1000 as bigint) node", "cast(c_nationkey + 100 as bigint) parent")))
 
 
 @query(None)
@@ -261,6 +266,10 @@ def prim_dijkstra(t):
 
 
 @query(None)
-def eigenvectors_small(t):
-    h = type(t.h)(t.h.vertices.where("v < 150"), t.h.hyperedges, t.h.pins.where("v < 150"))
-    return graph.eigenvectors_small(h, 3)
+def spectral_order(t):
+    """The vertices in the order of their first eigenvector, and the cut of every prefix."""
+    from netloom.operators.ordered import row_numbers
+
+    x = graph.eigenvectors(t.h, 1, iterations=6)
+    order = row_numbers(x.select("v", "value", "x"), "x", "v", name="rank")
+    return order.join(graph.sweep_cut(t.h, order.select("v", "rank")), "rank")

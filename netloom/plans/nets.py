@@ -17,11 +17,11 @@ def register_pins(t):
 
 
 @query("""AND arc AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem),
- w AS (SELECT 'c' || s_suppkey AS clock, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey < 3 UNION SELECT clock, dst FROM w JOIN arc ON src = node) SELECT clock, node FROM w""")
+ w AS (SELECT 'c' || s_suppkey AS clock, 's' || s_suppkey AS node FROM supplier UNION SELECT clock, dst FROM w JOIN arc ON src = node) SELECT clock, node FROM w""")
 def clock_nets(t):
     edge = lambda a, b: t.lineitem.select(F.concat(F.lit(a[0]), a[1]).alias("src"), F.concat(F.lit(b[0]), b[1]).alias("dst")).distinct()
     arcs = edge(("s", "l_suppkey"), ("p", "l_partkey")).unionAll(edge(("p", "l_partkey"), ("o", "l_orderkey")))
-    return netlist.clock_nets(t.supplier.where("s_suppkey < 3").selectExpr("concat('c', s_suppkey) clock", "concat('s', s_suppkey) node"), arcs)
+    return netlist.clock_nets(t.supplier.selectExpr("concat('c', s_suppkey) clock", "concat('s', s_suppkey) node"), arcs)
 
 
 @query("""AND q AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS b FROM part), tree AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 2 END AS parent, p_size % 9 + 5 AS late, p_size % 5 AS early FROM part),
@@ -114,17 +114,26 @@ def legal_orients(t):
     return t.part.select(F.col("p_partkey").alias("v"), netlist.legal_orients(F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("orients"))
 
 
-@query("""AND a AS (SELECT x.v AS src, y.v AS dst, x.e FROM pins x JOIN pins y ON x.e = y.e AND x.v < y.v) SELECT src % 50 AS port_in, dst % 50 AS port_out, max(l.n)::BIGINT AS delay FROM a JOIN (SELECT e, count(*) AS n FROM pins GROUP BY e) l USING (e) GROUP BY 1, 2""")
+@query("""AND n AS (SELECT e, count(*) AS n FROM pins GROUP BY e HAVING count(*) <= 200), hop AS (SELECT x.v AS src, y.v AS dst, min(abs(x.v - y.v) % 9 + 1)::BIGINT AS d FROM pins x JOIN n USING (e) JOIN pins y ON x.e = y.e AND y.v % 3 = x.v % 3 + 1 GROUP BY 1, 2),
+ two AS (SELECT a.src, b.dst, a.d + b.d AS d FROM hop a JOIN hop b ON a.dst = b.src)
+ SELECT src % 50 AS port_in, dst % 50 AS port_out, max(d)::BIGINT AS delay FROM two GROUP BY 1, 2""")
 def timing_model(t):
-    p = t.h.pins.join(t.h.sizes(), "e")
-    q = t.h.pins.select("e", F.col("v").alias("w"))
-    return p.join(q, "e").where("v < w").groupBy((F.col("v") % 50).alias("port_in"), (F.col("w") % 50).alias("port_out")).agg(F.max("size").alias("delay"))
+    """Port to port: the largest delay over paths from parts of class 0 by class 1 to class 2, nets of at most 200 pins."""
+    from netloom.operators.hypergraph import max_fanout
 
+    p = max_fanout(t.h, 200).pins
+    q = p.select("e", F.col("v").alias("u"))
+    hop = p.join(q, "e").where("u % 3 = v % 3 + 1").groupBy(F.col("v").alias("src"), F.col("u").alias("dst")).agg(F.min(F.abs(F.col("v") - F.col("u")) % 9 + 1).alias("delay"))
+    return netlist.timing_model(hop, F.col("src") % 50, F.col("dst") % 50, hops=2)
 
-@query("""AND w AS (SELECT l_orderkey AS net, min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY 1) SELECT net, 1::BIGINT AS islands FROM w""")
+
+@query("""AND p AS (SELECT l_orderkey AS net, l_partkey AS p, l_linenumber AS i FROM lineitem), w AS (SELECT net, min(p) AS a, max(p) AS b FROM p GROUP BY net, i // 3),
+ ends AS (SELECT net, a AS p FROM w UNION SELECT net, b FROM w), walk AS (SELECT net, p, p AS c FROM ends UNION SELECT k.net, CASE WHEN w.a = k.p THEN w.b ELSE w.a END, k.c FROM walk k JOIN w ON w.net = k.net AND (w.a = k.p OR w.b = k.p)),
+ comp AS (SELECT net, p, min(c) AS c FROM walk GROUP BY net, p) SELECT net, count(DISTINCT c)::BIGINT AS islands FROM comp GROUP BY net""")
 def wire_islands(t):
-    w = t.lineitem.groupBy(F.col("l_orderkey").alias("net")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
-    return netlist.wire_islands(w)
+    """Each order's lines are drawn as wires of up to three lines, from the least to the largest part; a net may fall apart."""
+    own = t.lineitem.selectExpr("l_orderkey net", "l_partkey p", "l_linenumber div 3 g")
+    return netlist.wire_islands(own.groupBy("net", "g").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("net", "a", "b"))
 
 
 @query("SELECT part, sum(vwt)::BIGINT AS w0, sum(v % 5)::BIGINT AS w1, round((2.0 * sum(vwt) + 0.5 * sum(v % 5))::DOUBLE, 6) AS combined FROM vertices JOIN parts2 USING (v) GROUP BY part")
@@ -148,27 +157,31 @@ def shift_legalise(t):
     return netlist.shift_legalise(t.coords.join(t.part.selectExpr("p_partkey v", "cast(p_size % 3 + 1 as bigint) width"), "v").selectExpr("y row", "v cell", "x * 7 % 90 x", "width"))
 
 
-@query(None)
+@query("""AND c AS (SELECT y AS row, v AS cell, x, v % 3 + 1 AS width, x * 7 % 90 AS wish, row_number() OVER (PARTITION BY y ORDER BY x, v) - 1 AS n FROM coords), m AS (SELECT *, n // 3 AS w, n % 3 AS i FROM c),
+ g AS (SELECT row, w, min(x) AS x0, max(n % 3) + 1 AS size FROM m GROUP BY row, w),
+ o AS (SELECT g.row, g.w, g.size, a.cell AS c0, b.cell AS c1, d.cell AS c2, a.i * 9 + coalesce(b.i, 0) * 3 + coalesce(d.i, 0) AS rank,
+   abs(x0 - a.wish) + coalesce(abs(x0 + a.width - b.wish), 0) + coalesce(abs(x0 + a.width + b.width - d.wish), 0) AS cost
+  FROM g JOIN m a ON a.row = g.row AND a.w = g.w LEFT JOIN m b ON b.row = g.row AND b.w = g.w AND b.i <> a.i LEFT JOIN m d ON d.row = g.row AND d.w = g.w AND d.i <> a.i AND d.i <> b.i),
+ best AS (SELECT *, row_number() OVER (PARTITION BY row, w ORDER BY cost, rank) AS r FROM o)
+ SELECT row, w AS "window", 0 AS place, c0 AS cell FROM best WHERE r = 1 UNION ALL SELECT row, w, 1, c1 FROM best WHERE r = 1 AND size > 1 UNION ALL SELECT row, w, 2, c2 FROM best WHERE r = 1 AND size > 2""")
 def reorder_windows(t):
-    return netlist.reorder_windows(t.coords.selectExpr("y row", "v cell", "x", "1L width", "x * 7 % 90 wish"))
-
-
-@query(None)
-def pin_assignment(t):
-    pins = t.supplier.where("s_suppkey < 40").selectExpr("s_suppkey % 4 section", "s_suppkey pin")
-    slots = t.part.where("p_partkey < 60").selectExpr("p_partkey % 4 section", "p_partkey slot")
-    return netlist.assign(pins.join(slots, "section").withColumn("cost", F.abs(F.col("pin") * 37 % 101 - F.col("slot") * 53 % 101).cast("double")))
+    return netlist.reorder_windows(t.coords.selectExpr("y row", "v cell", "x", "v % 3 + 1 width", "x * 7 % 90 wish"))
 
 
-@query(None)
+@query("""AND b AS (SELECT p_partkey // 12 AS pair, p_partkey AS block, p_partkey * 7 % 13 AS f, p_partkey * 5 % 13 AS s, (p_size % 5 + 1)::DOUBLE AS w, (p_size % 7 + 1)::DOUBLE AS h FROM part),
+ px AS (SELECT pair, block, 0.0::DOUBLE AS x, 0 AS n FROM b UNION ALL SELECT r.pair, r.block, max(px.x + l.w), any_value(px.n) + 1 FROM px JOIN b l ON l.block = px.block JOIN b r ON r.pair = l.pair AND l.f < r.f AND l.s < r.s GROUP BY r.pair, r.block),
+ py AS (SELECT pair, block, 0.0::DOUBLE AS y, 0 AS n FROM b UNION ALL SELECT r.pair, r.block, max(py.y + l.h), any_value(py.n) + 1 FROM py JOIN b l ON l.block = py.block JOIN b r ON r.pair = l.pair AND l.f > r.f AND l.s < r.s GROUP BY r.pair, r.block)
+ SELECT pair, block, x, y FROM (SELECT pair, block, max(x) AS x FROM px GROUP BY 1, 2) JOIN (SELECT pair, block, max(y) AS y FROM py GROUP BY 1, 2) USING (pair, block)""")
 def sequence_pair_packing(t):
-    b = t.part.where("p_partkey < 120").selectExpr("p_partkey div 12 pair", "p_partkey block", "p_partkey * 7 % 13 first", "p_partkey * 5 % 13 second", "cast(p_size % 5 + 1 as double) w", "cast(p_size % 7 + 1 as double) h")
+    """All parts, in packings of twelve."""
+    b = t.part.selectExpr("p_partkey div 12 pair", "p_partkey block", "p_partkey * 7 % 13 first", "p_partkey * 5 % 13 second", "cast(p_size % 5 + 1 as double) w", "cast(p_size % 7 + 1 as double) h")
     return netlist.pack_sequence_pairs(b)
 
 
 @query(None)
 def annealed_packing(t):
-    return netlist.anneal_packings(t.part.where("p_partkey < 8").selectExpr("p_partkey block", "p_size % 5 + 1 w", "p_size % 7 + 1 h"), seeds=8)
+    """All parts, in packings of eight; that boxes don't overlap and fit the area is tested on a fixture."""
+    return netlist.anneal_packings(t.part.selectExpr("p_partkey div 8 grp", "p_partkey block", "p_size % 5 + 1 w", "p_size % 7 + 1 h"), seeds=2, steps=40)
 
 
 @query(None)

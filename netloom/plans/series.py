@@ -129,10 +129,12 @@ def iteration_totals(t):
     return t.events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("day")).agg(F.sum(F.floor("value")).cast("double").alias("total"))
 
 
-@query("""AND c AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey >= 7 THEN o_orderkey - 7 END AS prev FROM orders WHERE o_orderkey < 300),
- w AS (SELECT node AS leaf, node, prev, 0 AS hops FROM c WHERE node >= 290 UNION ALL SELECT w.leaf, c.node, c.prev, hops + 1 FROM w JOIN c ON c.node = w.prev) SELECT leaf, node, hops::INT AS hops FROM w""")
+@query("""AND c AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey >= 7 THEN o_orderkey // 7 - 1 END AS prev FROM orders), ends AS (SELECT node FROM c WHERE node NOT IN (SELECT prev FROM c WHERE prev IS NOT NULL)),
+ w AS (SELECT node AS leaf, node, 0 AS hops FROM ends UNION ALL SELECT w.leaf, c.prev, hops + 1 FROM w JOIN c ON c.node = w.node WHERE c.prev IS NOT NULL) SELECT leaf, node, hops::INT AS hops FROM w""")
 def path_trace(t):
+    """The paths back from all orders that no other order names as its predecessor."""
     from netloom.operators.graph import ancestors
 
-    c = t.orders.where("o_orderkey < 300").selectExpr("o_orderkey node", "if(o_orderkey >= 7, o_orderkey - 7, null) parent")
-    return ancestors(c).where("node >= 290").select(F.col("node").alias("leaf"), F.col("anc").alias("node"), F.col("up").alias("hops"))
+    c = t.orders.selectExpr("o_orderkey node", "if(o_orderkey >= 7, o_orderkey div 7 - 1, null) parent")
+    ends = c.select("node").join(c.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    return ancestors(c).join(ends, "node").select(F.col("node").alias("leaf"), F.col("anc").alias("node"), F.col("up").alias("hops"))

@@ -21,12 +21,12 @@ def hpwl_total(t):
     return spatial.hpwl(t.h.pins, t.coords).agg(F.sum("hpwl").alias("hpwl"))
 
 
-@query("""AND a AS (SELECT e, v, x, y FROM pins JOIN coords USING (v)), m AS (SELECT v, (v * 3) % 100 AS nx, (v * 5) % 20 AS ny FROM vertices WHERE v % 10 = 0),
+@query("""AND a AS (SELECT e, v, x, y FROM pins JOIN coords USING (v)), m AS (SELECT v, (v * 3) % 100 AS nx, (v * 5) % 20 AS ny FROM vertices),
  b AS (SELECT a.e, m.v AS mv, max(a.x) - min(a.x) + max(a.y) - min(a.y) AS old, max(CASE WHEN a.v = m.v THEN nx ELSE a.x END) - min(CASE WHEN a.v = m.v THEN nx ELSE a.x END)
   + max(CASE WHEN a.v = m.v THEN ny ELSE a.y END) - min(CASE WHEN a.v = m.v THEN ny ELSE a.y END) AS new FROM m JOIN pins p ON p.v = m.v JOIN a ON a.e = p.e GROUP BY a.e, m.v)
  SELECT mv AS v, sum(new - old)::BIGINT AS delta FROM b GROUP BY mv""")
 def hpwl_move_delta(t):
-    moves = t.h.vertices.where("v % 10 = 0").selectExpr("v", "(v * 3) % 100 nx", "(v * 5) % 20 ny")
+    moves = t.h.vertices.selectExpr("v", "(v * 3) % 100 nx", "(v * 5) % 20 ny")
     return spatial.hpwl_move_delta(t.h.pins, t.coords, moves)
 
 
@@ -168,26 +168,39 @@ def mirror_perimeter(t):
     return t.coords.join(t.part.selectExpr("p_partkey v", "cast(p_size as bigint) s"), "v").selectExpr("v", "100 - x mx", "y my", "2 * (s % 7 + s % 5 + 2) perimeter")
 
 
-@query("SELECT s_suppkey AS pin, p_partkey AS slot, abs(s_suppkey % 100 - p_partkey % 100)::BIGINT AS cost FROM supplier, part WHERE s_suppkey < 20 AND p_partkey < 50")
+#: suppliers are pins and parts are slots, dealt to sections of four pins
+_COSTS = """k AS (SELECT greatest(count(*) // 4, 1) AS k FROM supplier),
+ c AS (SELECT s_suppkey % k AS section, s_suppkey AS pin, p_partkey AS slot, abs(s_suppkey * 37 % 101 - p_partkey * 53 % 101)::BIGINT AS cost FROM k, supplier JOIN part ON s_suppkey % k = p_partkey % k)"""
+
+
+def section_costs(t):
+    k = max(t.supplier.count() // 4, 1)
+    pins = t.supplier.selectExpr(f"s_suppkey % {k} section", "s_suppkey pin")
+    slots = t.part.selectExpr(f"p_partkey % {k} section", "p_partkey slot")
+    return pins.join(slots, "section").select("section", "pin", "slot", F.abs(F.col("pin") * 37 % 101 - F.col("slot") * 53 % 101).alias("cost"))
+
+
+@query(f"AND {_COSTS} SELECT section, pin, slot, cost FROM c")
 def assignment_costs(t):
-    pins = t.supplier.where("s_suppkey < 20").select(F.col("s_suppkey").alias("pin"))
-    slots = t.part.where("p_partkey < 50").select(F.col("p_partkey").alias("slot"))
-    return pins.crossJoin(slots).select("pin", "slot", F.abs(F.col("pin") % 100 - F.col("slot") % 100).alias("cost"))  # one section's pins and slots
+    return section_costs(t)
 
 
-@query("""AND p AS (SELECT e, v, count(*) OVER (PARTITION BY e) AS k FROM pins), q AS (SELECT a.v AS v, b.v AS u, count(*) AS n FROM p a JOIN p b ON a.e = b.e AND a.v <> b.v WHERE a.k <= 4 AND b.k <= 4 GROUP BY 1, 2),
- r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n DESC, u) AS rank FROM q) SELECT v, u, n::BIGINT AS n, rank::INT AS rank FROM r WHERE rank <= 5""")
-def topk_neighbors(t):
-    from netloom.operators.timing import top_k
+@query(f"""AND {_COSTS}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, pin ORDER BY cost, slot) AS r, dense_rank() OVER (PARTITION BY section ORDER BY pin) AS i, (SELECT max(n) FROM (SELECT count(DISTINCT pin) AS n FROM c GROUP BY section)) AS most FROM c) WHERE r <= most),
+ w AS (SELECT section, i, [slot] AS used, cost FROM near WHERE i = 1 UNION ALL SELECT w.section, near.i, list_append(used, slot), w.cost + near.cost FROM w JOIN near ON near.section = w.section AND near.i = w.i + 1 AND NOT list_contains(used, slot)),
+ full_ AS (SELECT section, max(i) AS pins FROM near GROUP BY section)
+ SELECT w.section, pins::BIGINT AS pins, min(cost)::BIGINT AS cost FROM w JOIN full_ ON full_.section = w.section AND w.i = pins GROUP BY 1, 2""")
+def pin_assignment(t):
+    """The least total cost of each section; SQL tries all choices of each pin's cheapest slots."""
+    from netloom.operators import netlist
 
-    p = max_fanout(t.h, 4).pins
-    q = p.join(p.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))
-    return top_k(q.withColumn("m", -F.col("n")), "v", "m", 5, "u").select("v", "u", "n", "rank")
+    costs = section_costs(t)
+    best = netlist.assign(costs.withColumn("cost", F.col("cost").cast("double")))
+    return best.join(costs, ["section", "pin", "slot"]).groupBy("section").agg(F.count("*").alias("pins"), F.sum("cost").alias("cost"))
 
 
 @query("""AND q AS (SELECT a.v AS v, b.v AS u, count(*) AS n FROM pins a JOIN pins b ON a.e = b.e AND a.v <> b.v GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n DESC, u) AS rank FROM q) SELECT v, u, n::BIGINT AS n, rank::INT AS rank FROM r WHERE rank <= 5""")
-def topk_neighbors_whole(t):
+def topk_neighbors(t):
     from netloom.operators.timing import top_k
 
     q = t.h.pins.join(t.h.pins.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))

@@ -32,8 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder and read back, so that iterations don't grow the plan.
 
-    Unlike checkpoint(), which computes its input twice, this computes it once; a lost executor costs nothing.
+    Unlike checkpoint(), which computes its input twice, this computes it once; a lost executor costs nothing. The table
+    is deleted by `release`, else when the driver ends.
     """
     path = f"{shared_dir(df.sparkSession)}/netloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _folder(df.sparkSession, path, "deleteOnExit")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.netloom_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of `cut_lineage` that no later plan reads; None and other DataFrames are left alone."""
+    for df in tables:
+        if (path := getattr(df, "netloom_path", None)) is not None:
+            _folder(df.sparkSession, path, "delete", True)
+
+
+def _folder(spark: SparkSession, path: str, action: str, *more: bool) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), action)(where, *more)

@@ -127,13 +127,103 @@ def test_refinement_and_exact(spark, toy):
 def test_multilevel_is_balanced_and_repeatable(spark):
     pins = spark.range(160).selectExpr("id e", "explode(array(id, (id * 7 + 1) % 160, (id + 1) % 160)) v").distinct()
     h = Hypergraph(spark.range(160).selectExpr("id v", "1L vwt", "if(id = 3, 1, null) fixed"), spark.range(160).selectExpr("id e", "1L hwt"), pins)
-    o = partition.Options(balance_constraint=5.0, thr_coarsen_vertices=60, refiner_iters=2)
-    a, b = (sorted(map(tuple, partition.multilevel(h, o, 1).collect())) for _ in range(2))
+    o = partition.Options(balance_constraint=5.0, thr_coarsen_vertices=60, refiner_iters=2, num_coarsen_solutions=1, num_initial_solutions=8, num_vcycles=0)
+    a, b = (sorted(map(tuple, partition.multilevel(h, o).collect())) for _ in range(2))
     assert a == b and len(a) == 160 and dict(a)[3] == 1
     r = cuts.evaluate(h, spark.createDataFrame(a, "v long, part int"), 2, 5).first()
     assert r.feasible and 0 < r.cut < 160
 
 
+def random_coarse(seed, o, n=10):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    vertices = [(int(v), int(r.integers(1, 4)), int(v % 2) if v < 2 else None) for v in range(n)]
+    pins = [(e, int(r.integers(1, 5)), int(v)) for e in range(12) for v in r.choice(n, r.integers(2, 5), replace=False)]
+    cost = {e: w for e, w, _ in pins}
+    return partition.Coarse(vertices, [(e, cost[e], v) for e, _, v in pins], o, 0.6 * sum(w for _, w, _ in vertices))
+
+
+def test_coarse_search_against_all_bipartitions():
+    """The exact search finds the least cut of all, refined starts are never below it and mostly reach it."""
+    import itertools
+
+    import numpy as np
+
+    o = partition.Options(refiner_iters=5)
+    reached = 0
+    for seed in range(12):
+        g = random_coarse(seed, o)
+        every = (np.array(x) for x in itertools.product((0, 1), repeat=10))
+        least = min(g.cut(x) for x in every if g.fits(x) and x[0] == 0 and x[1] == 1)
+        assert g.cut(g.exact(g.most)) == least
+        found = [g.refine(g.start(i)) for i in range(8)]
+        assert all(g.cut(x) >= least for x in found if g.fits(x)) and all(x[0] == 0 and x[1] == 1 for x in found)
+        reached += min(g.cut(x) for x in found) == least
+    assert reached >= 10
+
+
+def test_options_of_the_search_have_effect():
+    from dataclasses import replace
+
+    o = partition.Options()
+    g = random_coarse(3, replace(o, max_moves=0), 40)
+    start = g.start(0)
+    assert (g.refine(start) == start).all() and (random_coarse(3, replace(o, refiner_iters=0), 40).refine(start) == start).all()
+    better = random_coarse(3, o, 40)
+    assert better.cut(better.refine(start)) < g.cut(start)
+    eager = random_coarse(3, replace(o, early_stop_ratio=0.0, refiner_iters=1), 40)
+    assert eager.cut(eager.refine(start)) >= random_coarse(3, replace(o, early_stop_ratio=1.0, refiner_iters=1), 40).cut(random_coarse(3, replace(o, early_stop_ratio=1.0, refiner_iters=1), 40).refine(start))
+    assert g.exact(g.most, start, steps=1) is start
+
+
+def test_options_of_coarsening_have_effect(spark, toy):
+    pins = spark.range(60).selectExpr("id div 2 e", "id v")
+    h = Hypergraph(pins.selectExpr("v", "1L vwt", "cast(null as int) fixed"), pins.selectExpr("e", "1L hwt").distinct(), pins)
+    left = lambda ratio: partition.match_heavy(h, partition.Options(coarsening_ratio=ratio)).select("cluster").distinct().count()
+    assert left(2.5) == 30 and 40 <= left(1.2) < 60
+    inside = h.vertices.selectExpr("v", "cast(v % 2 as int) part")
+    assert partition.match_heavy(h, partition.Options(), inside).where("v <> cluster").count() == 0
+    paths = spark.createDataFrame([(1, -2.0, 1), (1, -2.0, 2), (2, -1.0, 2), (3, 5.0, 3)], "path long, slack double, e long")
+    heavy = {r.e: r.hwt for r in partition.with_critical_paths(toy, paths, partition.Options(top_n=2)).hyperedges.collect()}
+    plain = {r.e: r.hwt for r in toy.hyperedges.collect()}
+    assert heavy == {e: w * {1: 2, 2: 3}.get(e, 1) for e, w in plain.items()} and {1, 2} <= set(plain)
+
+
+def test_a_vcycle_never_worsens(spark, sample):
+    o = partition.Options(balance_constraint=20.0, thr_coarsen_vertices=2, refiner_iters=2)
+    start = partition.greedy_blocks(sample, o, 1)
+    before, after = (cuts.cut_size(sample, p).first().cut for p in (start, partition.vcycle(sample, start, o)))
+    assert after <= before
+
+
+def test_cycles_in_trees_and_arcs_raise(spark):
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), *((i, i - 1 if i > 10 else None) for i in range(10, 30))], "node long, parent long")
+    for f in (graph.ancestors, graph.tree_levels, graph.euler_tour):
+        with pytest.raises(ValueError, match="cycle"):
+            f(ring)
+    arcs = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "b", 1)], "src string, dst string, delay long")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.propagate(spark.createDataFrame([(c,) for c in "abc"], "node string"), arcs)
+
+
+def test_long_chains_keep_one_row_a_node(spark):
+    chain = spark.range(200).selectExpr("id node", "if(id > 0, id - 1, null) parent")
+    assert {tuple(r) for r in graph.tree_levels(chain).where("node in (0, 7, 199)").collect()} == {(0, 0), (7, 7), (199, 199)}
+    q = spark.createDataFrame([(199, 3), (50, 120)], "a long, b long")
+    assert {tuple(r) for r in graph.lowest_common_ancestors(chain, q).collect()} == {(199, 3, 3), (50, 120, 50)}
+
+
+def test_many_ranges(monkeypatch, spark):
+    from netloom.operators import ordered
+
+    df = spark.range(3000).selectExpr("(id * 7) % 1009 k", "id")
+    monkeypatch.setattr(ordered, "NESTED", 3)
+    part = ordered.ranged(df, "k", rows=40).groupBy("part").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("part").collect()
+    assert len(part) > 50 and all(a.hi < b.lo for a, b in zip(part, part[1:], strict=False))
+    assert [r.rn for r in ordered.row_numbers(df, "k", "id", rows=40).orderBy("k", "id").collect()] == list(range(1, 3001))
+
+
 def test_trees(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (5, 2), (9, None)], "node long, parent long")
     assert {tuple(r) for r in graph.tree_levels(tree).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (9, 0)}
@@ -164,14 +254,35 @@ def test_prim_dijkstra(spark):
 
 
 def test_eigenvectors(spark, sample):
-    out = graph.eigenvectors_small(sample, 2).collect()
+    out = graph.eigenvectors_dense(sample, 2).collect()
     x = {k: {r.v: r.x for r in out if r.k == k} for k in (1, 2)}
     y = graph.laplacian(sample, spark.createDataFrame(sorted(x[1].items()), "v long, x double"))
     value = next(r.value for r in out if r.k == 1)
     assert all(abs(r.y - value * x[1][r.v]) < 1e-9 for r in y.collect())
     assert abs(sum(x[1][v] * x[2][v] for v in x[1])) < 1e-9
     with pytest.raises(ValueError):
-        graph.eigenvectors_small(sample, 1, most=2)
+        graph.eigenvectors_dense(sample, 1, most=2)
+
+
+def test_block_iterations_equal_a_dense_solution(spark):
+    import random
+
+    import numpy as np
+
+    r, n = random.Random(3), 14
+    edges = [[i, i + 1] for i in range(n - 1)] + [r.sample(range(n), r.randint(2, 5)) for _ in range(12)]
+    vertices = spark.createDataFrame([(i, 1 + i % 3, None) for i in range(n)], "v long, vwt long, fixed int")
+    pins = spark.createDataFrame([(e, p) for e, ps in enumerate(edges) for p in ps], "e long, v long").coalesce(2)
+    h = Hypergraph(vertices, spark.createDataFrame([(e, 1 + e % 4) for e in range(len(edges))], "e long, hwt long"), pins)
+    m, w = np.zeros((n, n)), np.array([1 + i % 3 for i in range(n)], float)
+    for e, ps in enumerate(edges):
+        k = len(ps)
+        m[np.ix_(ps, ps)] += (1 + e % 4) * (k - 1) / ((k // 2) * ((k + 1) // 2)) * (np.eye(k) - 1 / k)
+    value, vec = np.linalg.eigh(m / np.sqrt(np.outer(w, w)))
+    out = graph.eigenvectors(h, 1, iterations=25).collect()
+    x = np.array([r.x for r in sorted(out, key=lambda r: r.v)])
+    assert abs(out[0].value - value[1]) < 1e-3 * value[1]
+    assert abs(abs(x @ (np.sqrt(w) * vec[:, 1])) - 1) < 1e-2 and abs(w @ x) < 1e-9 and abs(w @ (x * x) - 1) < 1e-9
 
 
 def test_ranged_prefix_sums_cross_parts(spark):

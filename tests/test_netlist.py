@@ -46,8 +46,43 @@ def test_packings_do_not_overlap(spark):
         if a.pair == b.pair:
             (aw, ah), (bw, bh) = size[a.pair, a.block], size[b.pair, b.block]
             assert a.x + aw <= b.x or b.x + bw <= a.x or a.y + ah <= b.y or b.y + bh <= a.y
-    best = netlist.anneal_packings(spark.createDataFrame([(i, 2.0, 2.0) for i in range(4)], "block long, w double, h double"), seeds=4).first()
-    assert best.area == 16.0
+    squares = spark.createDataFrame([(g, 4 * g + i, 2.0, 2.0 + g) for g in range(2) for i in range(4)], "grp long, block long, w double, h double")
+    best = {r.grp: r for r in netlist.anneal_packings(squares, seeds=4).collect()}
+    assert best[0].area == 16.0 and best[1].area == 24.0 and sorted(best[1].firsts) == [0, 1, 2, 3]
+
+
+def test_moves_and_regions_with_ties(spark):
+    """Against the plain definition: boxes of the other pins, with equal places and nets of one pin."""
+    from netloom.operators import spatial
+
+    r = random.Random(6)
+    at = {v: (r.randint(0, 4), r.randint(0, 4)) for v in range(12)}
+    nets = {e: r.sample(range(12), r.randint(1, 5)) for e in range(15)}
+    pins = spark.createDataFrame([(e, v) for e, vs in nets.items() for v in vs], "e long, v long")
+    coords = spark.createDataFrame([(v, *xy) for v, xy in at.items()], "v long, x long, y long")
+    moves = spark.createDataFrame([(v, 4 - at[v][1], at[v][0]) for v in at], "v long, nx long, ny long")
+    span = lambda ps: sum(max(p[i] for p in ps) - min(p[i] for p in ps) for i in (0, 1))
+    new = {v: (4 - at[v][1], at[v][0]) for v in at}
+    want = {v: sum(span([new[u] if u == v else at[u] for u in vs]) - span([at[u] for u in vs]) for vs in nets.values() if v in vs) for v in at if any(v in vs for vs in nets.values())}
+    assert {x.v: x.delta for x in spatial.hpwl_move_delta(pins, coords, moves).collect()} == want
+    for axis, i in (("x", 0), ("y", 1)):
+        bounds = {v: sorted(b for vs in nets.values() if v in vs and len(vs) > 1 for b in (min(at[u][i] for u in vs if u != v), max(at[u][i] for u in vs if u != v))) for v in at}
+        want = {v: (b[len(b) // 2 - 1], b[len(b) // 2]) for v, b in bounds.items() if b}
+        assert {x.v: tuple(x)[1:] for x in spatial.optimal_region(pins, coords, axis).collect()} == want
+
+
+def test_endpoints_corners_and_skews(spark):
+    from netloom.operators import timing
+
+    rows = [("g", "a", i, float(i), "p" if i < 3 else f"p{i}") for i in range(6)] + [("g", "b", 10 + i, float(i) + 0.5, f"q{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "grp string, endpoint string, path long, slack double, pins string")
+    got = [(r.endpoint, r.path, r["rank"]) for r in timing.endpoint_paths(df, 3, 2).orderBy("rank").collect()]
+    assert got == [("a", 0, 1), ("b", 10, 2), ("a", 1, 3)]
+    assert {r.path for r in timing.endpoint_paths(df, 9, 2, unique_pins=True).collect()} == {0, 3, 10, 11}
+    c = spark.createDataFrame([("fast", 1, 3), ("slow", 1, -1), ("fast", 2, 0), ("slow", 2, 0)], "corner string, node long, slack long")
+    assert {tuple(r) for r in timing.worst_corner(c).collect()} == {(1, "slow", -1), (2, "fast", 0)}
+    k = spark.createDataFrame([(1, 10, 4, 5), (2, 3, 3, 1), (3, 9, 1, 2)], "check_id long, clk_at long, ref_at long, most long")
+    assert [tuple(r) for r in timing.max_skew_checks(k).orderBy("rank").collect()] == [(3, 8, -6, 1), (1, 6, -1, 2), (2, 0, 1, 3)]
 
 
 def test_windows_reorder_to_wishes(spark):

@@ -33,15 +33,15 @@ def brute(orders):
 
 def test_components_take_all_hyperedges(spark, star):
     want = brute(ORDERS.values())
-    got = {r.v: r.component for r in QUERIES["connected_components_whole"](spark, star).collect()}
+    got = {r.v: r.component for r in QUERIES["connected_components"](spark, star).collect()}
     assert got == want and set(want.values()) == {1, 6, 10, 12}
-    assert {r.v for r in QUERIES["largest_island_whole"](spark, star).collect()} == {1, 2, 3, 4, 5}
-    assert {r.v for r in QUERIES["unused_vertices_whole"](spark, star).collect()} == set(PARTS) - {1, 2, 3, 4, 5}
+    assert {r.v for r in QUERIES["largest_island"](spark, star).collect()} == {1, 2, 3, 4, 5}
+    assert {r.v for r in QUERIES["unused_vertices"](spark, star).collect()} == set(PARTS) - {1, 2, 3, 4, 5}
 
 
 def test_overlay_clusters_take_all_hyperedges(spark, star):
     whole = [ps for ps in ORDERS.values() if all(len({p // s % 2 for p in ps}) == 1 for s in (1, 3))]
-    assert {r.v: r.cluster for r in QUERIES["overlay_clusters_whole"](spark, star).collect()} == brute(whole)
+    assert {r.v: r.cluster for r in QUERIES["overlay_clusters"](spark, star).collect()} == brute(whole)
 
 
 def test_colours_differ_in_all_hyperedges(spark, star):
@@ -64,7 +64,7 @@ def test_neighbours_of_wide_hyperedges(spark, star):
     for v in PARTS:
         best = sorted(((-len(x), u) for (w, u), x in n.items() if w == v))[:5]
         want |= {(v, u, -m, i + 1) for i, (m, u) in enumerate(best)}
-    assert {(r.v, r.u, r.n, r.rank) for r in QUERIES["topk_neighbors_whole"](spark, star).collect()} == want
+    assert {(r.v, r.u, r.n, r.rank) for r in QUERIES["topk_neighbors"](spark, star).collect()} == want
 
 
 def test_pair_scores_of_wide_hyperedges(spark, sf):
@@ -73,7 +73,7 @@ def test_pair_scores_of_wide_hyperedges(spark, sf):
         orders.setdefault(r[0], []).append(r[1])
     assert max(len(set(ps)) for ps in orders.values()) > 6
     want = {p: sum(len(ps) / (len(set(ps)) - 1) for ps in x) for p, x in shared(orders.values()).items() if p[0] < p[1]}
-    got = {(r.v1, r.v2): r.score for r in QUERIES["heavy_edge_pairs_whole"](spark, sf).collect()}
+    got = {(r.v1, r.v2): r.score for r in QUERIES["heavy_edge_pairs"](spark, sf).collect()}
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-5 for p in want)
 
 
@@ -102,4 +102,4 @@ def test_sql_of_components_takes_all_hyperedges(star):
     con = duckdb.connect()
     for t in ("part", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{star}/{t}.parquet/*.parquet')")
-    assert dict(con.sql(SQL["connected_components_whole"]).fetchall()) == brute(ORDERS.values())
+    assert dict(con.sql(SQL["connected_components"]).fetchall()) == brute(ORDERS.values())
