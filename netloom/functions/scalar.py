@@ -110,6 +110,18 @@ def any_output(direction: Column) -> Column:
     return direction.isin("output", "tristate", "bidirect")
 
 
+def any_tristate(direction: Column) -> Column:
+    return direction == "tristate"
+
+
+def power_or_ground(direction: Column) -> Column:
+    return direction.isin("power", "ground")
+
+
+def trim_right(text: Column) -> Column:
+    return F.rtrim(text)
+
+
 def special_float(value: Column) -> Column:
     """Doubles as JSON text, special ones as quoted names."""
     return F.when(F.isnan(value), '"NaN"').when(value == float("inf"), '"Infinity"').when(value == float("-inf"), '"-Infinity"').otherwise(value.cast("string"))

@@ -91,6 +91,13 @@ def biclique_matvec(x: DataFrame) -> DataFrame:
     return x.crossJoin(F.broadcast(s)).select("v", y.alias("y"))
 
 
+def constraint_matvec(x: DataFrame, factor: float = 10.0) -> DataFrame:
+    """x (v, w, side, x) -> (v, y): the weighted clique plus factor times the bi-clique of the fixed sides."""
+    one = clique_matvec(x.select("v", "w", "x")).withColumnRenamed("y", "a")
+    two = biclique_matvec(x.select("v", "side", "x")).withColumnRenamed("y", "b")
+    return one.join(two, "v").select("v", (F.col("a") + factor * F.col("b")).alias("y"))
+
+
 def spectral_path_graph(h: Hypergraph, x: DataFrame) -> DataFrame:
     """(src, dst, n): consecutive pins of each hyperedge in the order of x, and how many hyperedges join them."""
     w = Window.partitionBy("e").orderBy("x", "v")
@@ -247,6 +254,53 @@ def jacobi_step(arcs: DataFrame, x: DataFrame, fixed: DataFrame) -> DataFrame:
     return out.select("v", F.when(F.col("pinned") | F.col("mean").isNull(), F.col("x")).otherwise(F.col("mean")).alias("x"))
 
 
+def solve_quadratic(arcs: DataFrame, x: DataFrame, fixed: DataFrame, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+    """(v, x): the places of free vertices where all forces vanish, by conjugate gradients from the given places.
+
+    arcs (src, dst, w) are symmetric. Ends when the forces' norm is under tolerance of the first one, or after `most`
+    rounds, each of which is one pass over the arcs; only sums come to the driver. Free vertices without arcs stay.
+    """
+    arcs = cut_lineage(arcs.select("src", "dst", "w"))
+    free = x.join(fixed.select("v"), "v", "left_anti").select("v")
+    degree = arcs.groupBy(F.col("dst").alias("v")).agg(F.sum("w").alias("d"))
+
+    def forces(p: DataFrame, name: str) -> DataFrame:
+        """(v, name): degree * p less the weighted neighbours, for free vertices."""
+        near = spmv(arcs, p.select("v", F.col(name).alias("x")))
+        own = p.join(degree, "v", "left").join(near, "v")
+        return own.join(free, "v", "left_semi").select("v", (F.coalesce("d", F.lit(0.0)) * F.col(name) - F.col("y")).alias("a"))
+
+    start = x.select("v", "x")
+    r = forces(start, "x").select("v", (-F.col("a")).alias("r"))
+    state = cut_lineage(start.join(r, "v").select("v", "x", "r", F.col("r").alias("p")))
+    first = rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(most):
+        if rr <= tolerance * tolerance * first or rr == 0:
+            break
+        every = x.select("v").join(state.select("v", "p"), "v", "left").select("v", F.coalesce("p", F.lit(0.0)).alias("p"))
+        step = cut_lineage(state.join(forces(every, "p"), "v"))
+        pap = step.agg(F.sum(F.col("p") * F.col("a"))).first()[0]
+        alpha = rr / pap
+        moved = cut_lineage(step.select("v", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("a")).alias("r"), "p"))
+        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        release(state, step)
+        state, rr = moved.withColumn("p", F.col("r") + (new / rr) * F.col("p")), new
+    return start.join(fixed.select("v"), "v", "left_semi").unionByName(state.select("v", "x"))
+
+
+def communities(arcs: DataFrame, vertices: DataFrame, method: str = "propagation", rounds: int = 5) -> DataFrame:
+    """(v, label) by the named method: `propagation` of labels, each round the heaviest around a vertex; `components`."""
+    if method == "components":
+        pins = arcs.select(F.struct("src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("v"))
+        return connected_components(vertices.select("v"), pins).withColumnRenamed("component", "label")
+    if method != "propagation":
+        raise ValueError(f"unknown method {method!r}")
+    label = vertices.select("v", F.col("v").alias("label"))
+    for _ in range(rounds):
+        label = cut_lineage(neighbour_mode(arcs, label))
+    return label
+
+
 def levelize(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(node, level): longest path from a source, in arcs; nodes on or behind a loop have a null level.
 
@@ -480,20 +534,24 @@ def greedy_colouring(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("component").applyInPandas(paint, "component long, v long, colour int")
 
 
-def prim_dijkstra(nets: DataFrame, alpha: float) -> DataFrame:
+def prim_dijkstra(nets: DataFrame, alpha: float, own: DataFrame | None = None) -> DataFrame:
     """nets (net, pin, x, y, driver) -> (net, pin, parent, length, depth): spanning trees from each net's driver.
 
+    own (net, alpha) overrides alpha for some nets, as by fan-out or wirelength.
+
     The next pin is the one of the least alpha * (path length of its parent) + distance; ties by pin and parent.
     alpha 0 is a minimum spanning tree, 1 a shortest-path tree. Distances are Manhattan. A net's pins are one row
     of the tree step, so filter nets above a fan-out limit first.
     """
     pin = F.struct((~F.col("driver")).alias("o"), "pin", "x", "y")
     rows = nets.groupBy("net").agg(F.array_sort(F.collect_list(pin)).alias("pins"))
+    named = own.select("net", "alpha") if own is not None else rows.select("net").limit(0).withColumn("alpha", F.lit(0.0))
+    rows = rows.join(named, "net", "left").select("net", "pins", F.coalesce("alpha", F.lit(float(alpha))).alias("alpha"))
 
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out: list[tuple] = []
-            for net, pins in zip(pdf.net, pdf.pins, strict=True):
+            for net, pins, alpha in zip(pdf.net, pdf.pins, pdf.alpha, strict=True):
                 at = [(p["pin"], p["x"], p["y"]) for p in pins]
                 rest = {i: (abs(q[1] - at[0][1]) + abs(q[2] - at[0][2]), 0) for i, q in enumerate(at) if i}
                 depth = {0: 0.0}

@@ -67,6 +67,11 @@ def contains(x: Column, y: Column, bloat: int = 0) -> Column:
     return (x >= F.col("xlo") - bloat) & (x <= F.col("xhi") + bloat) & (y >= F.col("ylo") - bloat) & (y <= F.col("yhi") + bloat)
 
 
+def contains_3d(x: Column, y: Column, layer: Column, bloat: int = 0) -> Column:
+    """The same with layers zlo..zhi of the box, which the bloat doesn't grow."""
+    return contains(x, y, bloat) & (layer >= F.col("zlo")) & (layer <= F.col("zhi"))
+
+
 def overlaps(boxes: DataFrame, cell: int) -> DataFrame:
     """(a, b, area): pairs of boxes of which the inner parts overlap, a < b.
 

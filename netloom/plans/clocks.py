@@ -187,3 +187,37 @@ def linear_delay(t):
 def tuner_best(t):
     own = t.part.selectExpr("p_partkey config", "round(0.5D * p_retailprice / 1000 + 0.3D * p_size / 25 + 0.2D * (p_partkey % 10) / 10, 6) * if(p_partkey % 17 = 0, 10, 1) cost")
     return own.agg(F.min(F.struct(F.round("cost", 6).alias("cost"), "config")).alias("m")).select("m.config", "m.cost")
+
+
+@query("SELECT l_orderkey * 8 + l_linenumber AS pin, (l_extendedprice - 60000)::DOUBLE AS slew, 25000.0::DOUBLE AS cap, 25000 - (l_extendedprice - 60000) AS slack FROM lineitem WHERE l_extendedprice - 60000 > 25000")
+def slew_violations(t):
+    s = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pin"), (F.col("l_extendedprice") - 60000).alias("slew"))
+    return timing.limit_violations(s, "slew", F.lit(None).cast("double"), F.lit(None).cast("double"), 25000).select("pin", "slew", F.col("cap").cast("double").alias("cap"), "slack")
+
+
+@query("""AND c AS (SELECT l_orderkey AS net, sum(l_quantity)::DOUBLE AS load, CASE WHEN l_orderkey % 4 = 0 THEN 90 ELSE 120 END::DOUBLE AS cap FROM lineitem GROUP BY 1) SELECT net, load, cap, cap - load AS slack FROM c WHERE cap < load""")
+def capacitance_violations(t):
+    c = t.lineitem.groupBy(F.col("l_orderkey").alias("net")).agg(F.sum("l_quantity").alias("load"))
+    v = timing.limit_violations(c, "load", F.expr("if(net % 4 = 0, 90, null)"), F.lit(None).cast("int"), 120)
+    return v.select("net", "load", F.col("cap").cast("double").alias("cap"), "slack")
+
+
+@query("""AND k AS (SELECT l_orderkey * 8 + l_linenumber AS check_id, abs(l_quantity - l_linenumber * 5)::DOUBLE AS skew FROM lineitem) SELECT check_id, skew, 20 - skew AS slack, row_number() OVER (ORDER BY 20 - skew, check_id) AS rank FROM k""")
+def max_skew_checks(t):
+    return timing.max_skew_checks(t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("check_id"), F.col("l_quantity").alias("clk_at"), (F.col("l_linenumber") * 5.0).alias("ref_at"), F.lit(20.0).alias("most")))
+
+
+@query("""AND p AS (SELECT l_returnflag AS grp, l_suppkey AS endpoint, l_orderkey * 8 + l_linenumber AS path, l_quantity - 25 AS slack, l_partkey AS pins FROM lineitem),
+ u AS (SELECT *, row_number() OVER (PARTITION BY grp, endpoint, pins ORDER BY slack, path) AS s FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY grp, endpoint ORDER BY slack, path) AS k FROM u WHERE s = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY slack, path) AS rank FROM q WHERE k <= 2) SELECT grp, endpoint, path, slack, rank::INT AS rank FROM r WHERE rank <= 50""")
+def endpoint_paths(t):
+    p = t.lineitem.select(F.col("l_returnflag").alias("grp"), F.col("l_suppkey").alias("endpoint"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("path"), (F.col("l_quantity") - 25).alias("slack"), F.col("l_partkey").alias("pins"))
+    return timing.endpoint_paths(p, 50, 2, unique_pins=True)
+
+
+@query("""AND s AS (SELECT l_partkey AS node, c AS corner, min(l_quantity * CASE c WHEN 'fast' THEN 2 WHEN 'slow' THEN 1 ELSE 1.5 END - 20)::DOUBLE AS slack FROM lineitem, (VALUES ('fast'), ('slow'), ('typical')) x(c) GROUP BY 1, 2)
+ SELECT node, arg_min(corner, (slack, corner)) AS corner, min(slack) AS slack FROM s GROUP BY node""")
+def worst_corner(t):
+    factor = F.explode(F.array(*[F.struct(F.lit(c).alias("corner"), F.lit(f).alias("f")) for c, f in (("fast", 2.0), ("slow", 1.0), ("typical", 1.5))])).alias("c")
+    s = t.lineitem.select(F.col("l_partkey").alias("node"), "l_quantity", factor).groupBy("c.corner", "node").agg(F.min(F.col("l_quantity") * F.col("c.f") - 20).alias("slack"))
+    return timing.worst_corner(s)

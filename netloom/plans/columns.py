@@ -79,3 +79,82 @@ def string_hash(t):
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, count(*)::BIGINT AS n, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_counts(t):
     return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"), F.grouping_id("l_returnflag", "l_linestatus").alias("level"))
+
+
+@query("""SELECT p_partkey AS v, p_brand = 'Brand#13' AS equal, starts_with(p_name, 'c') AS prefix, lower(p_type) = 'economy' AS same_word, len(string_split(p_name, ' '))::INT AS words,
+ regexp_full_match(substr(p_brand, 7), '[0-9]+') AS digits, rtrim(p_name || '  ') AS trimmed, coalesce(nullif(p_type, 'ECONOMY') < 'P', true) AS null_less FROM part""")
+def string_tests(t):
+    """Equality, prefix, case-insensitive equality, split, digits, trimmed end, comparison with nulls first."""
+    return t.part.select(
+        F.col("p_partkey").alias("v"), (F.col("p_brand") == "Brand#13").alias("equal"), F.startswith("p_name", F.lit("c")).alias("prefix"), (F.lower("p_type") == "economy").alias("same_word"),
+        F.size(F.split("p_name", " ")).alias("words"), scalar.is_digits(F.substring("p_brand", 7, 9)).alias("digits"), scalar.trim_right(F.concat("p_name", F.lit("  "))).alias("trimmed"),
+        F.coalesce(F.nullif(F.col("p_type"), F.lit("ECONOMY")) < "P", F.lit(True)).alias("null_less"),
+    )
+
+
+@query("SELECT p_partkey AS v, round(p_retailprice / 1e3, 6) AS kilo, round(p_retailprice * 1e-3, 6) AS milli, (p_partkey * 1000 // 2000)::BIGINT AS units FROM part")
+def unit_scaling(t):
+    price = F.col("p_retailprice")
+    return t.part.select(F.col("p_partkey").alias("v"), F.round(scalar.to_user(price, "k"), 6).alias("kilo"), F.round(scalar.from_user(price, "m"), 6).alias("milli"), scalar.to_units(F.col("p_partkey"), 1000, 2000).alias("units"))
+
+
+@query("SELECT p_partkey AS v, p_name AS text, to_base64(encode(p_name)) AS code FROM part")
+def base64_decode(t):
+    return t.part.select(F.col("p_partkey").alias("v"), F.unbase64(F.base64(F.encode("p_name", "utf-8"))).cast("string").alias("text"), F.base64(F.encode("p_name", "utf-8")).alias("code"))
+
+
+@query("""AND d AS (SELECT p_partkey AS v, list_extract(['input', 'output', 'tristate', 'bidirect', 'power', 'ground'], (p_partkey % 6 + 1)::INT) AS d FROM part)
+ SELECT v, d IN ('input', 'bidirect') AS is_in, d IN ('output', 'tristate', 'bidirect') AS is_out, d = 'tristate' AS is_tri, d IN ('power', 'ground') AS is_power FROM d""")
+def port_directions(t):
+    d = F.element_at(F.array(*[F.lit(x) for x in ("input", "output", "tristate", "bidirect", "power", "ground")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("v"), scalar.any_input(d).alias("is_in"), scalar.any_output(d).alias("is_out"), scalar.any_tristate(d).alias("is_tri"), scalar.power_or_ground(d).alias("is_power"))
+
+
+@query("SELECT p_partkey AS v, p_size::VARCHAR AS size, p_partkey % 3 = 0 AS flag FROM part")
+def key_value_pairs(t):
+    text = F.concat(F.lit("size="), "p_size", F.lit(",flag="), F.when(F.col("p_partkey") % 3 == 0, " Yes").otherwise("off"))
+    kv = scalar.key_values(text)
+    return t.part.select(F.col("p_partkey").alias("v"), kv["size"].alias("size"), scalar.lenient_bool(kv["flag"]).alias("flag"))
+
+
+@query("SELECT l_returnflag AS clock, l_linestatus AS edge, count(*)::BIGINT AS n, (SELECT count(*) FROM lineitem)::BIGINT AS mixed FROM lineitem GROUP BY 1, 2")
+def clock_domains(t):
+    """Rows of each domain key, and of the one key if domains may mix."""
+    key = scalar.domain_key(F.col("l_returnflag"), F.col("l_linestatus"))
+    own = t.lineitem.groupBy(key.alias("k")).agg(F.first("l_returnflag").alias("clock"), F.first("l_linestatus").alias("edge"), F.count("*").alias("n"))
+    whole = t.lineitem.groupBy(scalar.domain_key(F.col("l_returnflag"), F.col("l_linestatus"), mix=True).alias("k")).agg(F.count("*").alias("mixed"))
+    return own.crossJoin(F.broadcast(whole.select("mixed"))).select("clock", "edge", "n", "mixed")  # one row
+
+
+@query("SELECT p_partkey AS v, greatest(p_size % 7, p_size % 5, p_size % 3)::INT AS pitch, 1::INT AS delay FROM part")
+def pitch_and_unit_delay(t):
+    return t.part.select(F.col("p_partkey").alias("v"), scalar.effective_pitch(*[F.col("p_size") % k for k in (7, 5, 3)]).alias("pitch"), F.lit(1).alias("delay"))
+
+
+@query("SELECT l_orderkey AS e, list({'x': l_partkey % 100, 'y': l_partkey // 100, 'layer': l_linenumber} ORDER BY l_partkey % 100, l_partkey // 100, l_linenumber) AS places FROM lineitem GROUP BY 1")
+def index_order(t):
+    """Places of an order's lines in lexicographic order of (x, y, layer)."""
+    place = F.struct((F.col("l_partkey") % 100).alias("x"), F.expr("l_partkey div 100").alias("y"), F.col("l_linenumber").alias("layer"))
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("e")).agg(F.array_sort(F.collect_list(place)).alias("places"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS different, 1::BIGINT AS least, count(*)::BIGINT AS most FROM part")
+def shuffle_places(t):
+    """A seeded shuffle gives each part a place of its own."""
+    from netloom.operators.ordered import row_numbers
+
+    own = row_numbers(t.part.select("p_partkey", scalar.shuffled(F.col("p_partkey"), 7).alias("k")), "k", "p_partkey")
+    return own.agg(F.count("*").alias("n"), F.count_distinct("rn").alias("different"), F.min("rn").alias("least"), F.max("rn").alias("most"))
+
+
+@query("SELECT o_orderstatus AS status, count(*)::BIGINT AS n, sum(l_quantity)::DOUBLE AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def merge_join(t):
+    """Both sides sorted by the key and merged."""
+    own = t.orders.selectExpr("o_orderkey l_orderkey", "o_orderstatus status").join(t.lineitem.hint("merge"), "l_orderkey")
+    return own.groupBy("status").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT p_partkey AS v, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS member FROM part")
+def set_membership(t):
+    inside = t.lineitem.where("l_quantity > 45").selectExpr("l_partkey p_partkey", "true member").distinct()
+    return t.part.join(inside, "p_partkey", "left").select(F.col("p_partkey").alias("v"), F.coalesce("member", F.lit(False)).alias("member"))

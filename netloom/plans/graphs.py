@@ -56,6 +56,13 @@ def biclique_matvec(t):
     return graph.biclique_matvec(t.h.vertices.selectExpr("v", "case v % 3 when 1 then 1 when 2 then 2 end side", "v % 7 x"))
 
 
+@query("""AND b AS (SELECT v, vwt, CASE v % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS side, v % 7 AS x FROM vertices), s AS (SELECT sum(vwt * x) AS wx, sum(vwt) AS sw, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2, sum(x) FILTER (side = 1) AS x1, sum(x) FILTER (side = 2) AS x2 FROM b)
+ SELECT v, round(vwt * x - wx * vwt / sw + 10.0::DOUBLE * (CASE side WHEN 1 THEN n2 * x - x2 WHEN 2 THEN n1 * x - x1 ELSE 0 END), 6) AS y FROM b, s""")
+def constraint_matvec(t):
+    x = t.h.vertices.selectExpr("v", "vwt w", "case v % 3 when 1 then 1 when 2 then 2 end side", "v % 7 x")
+    return graph.constraint_matvec(x).select("v", F.round("y", 6).alias("y"))
+
+
 @query("""AND p AS (SELECT v, lead(v) OVER (PARTITION BY e ORDER BY (v * 7919) % 1009, v) AS n FROM pins)
  SELECT least(v, n) AS src, greatest(v, n) AS dst, count(*)::BIGINT AS n FROM p WHERE n IS NOT NULL GROUP BY 1, 2""")
 def spectral_path_graph(t):

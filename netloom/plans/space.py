@@ -205,3 +205,11 @@ def topk_neighbors(t):
 
     q = t.h.pins.join(t.h.pins.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))
     return top_k(q.withColumn("m", -F.col("n")), "v", "m", 5, "u").select("v", "u", "n", "rank")
+
+
+@query("SELECT b.v, count(*)::BIGINT AS inside FROM (SELECT *, v % 4 AS zlo, v % 4 + 1 AS zhi FROM boxes) b JOIN coords c ON c.x // 10 = b.xlo // 10 AND c.y // 10 = b.ylo // 10 AND c.x BETWEEN xlo - 1 AND xhi + 1 AND c.y BETWEEN ylo - 1 AND yhi + 1 AND c.v % 5 BETWEEN zlo AND zhi GROUP BY b.v")
+def points_in_boxes_3d(t):
+    """Points of the box's own tile of 10 x 10 that its bloated box holds on its layers."""
+    b = t.boxes.selectExpr("*", "v % 4 zlo", "v % 4 + 1 zhi", "xlo div 10 tx", "ylo div 10 ty")
+    p = t.coords.selectExpr("x px", "y py", "v % 5 layer", "x div 10 tx", "y div 10 ty")
+    return b.join(p, ["tx", "ty"]).where(spatial.contains_3d(F.col("px"), F.col("py"), F.col("layer"), 1)).groupBy("v").agg(F.count("*").alias("inside"))

@@ -285,6 +285,42 @@ def test_block_iterations_equal_a_dense_solution(spark):
     assert abs(abs(x @ (np.sqrt(w) * vec[:, 1])) - 1) < 1e-2 and abs(w @ x) < 1e-9 and abs(w @ (x * x) - 1) < 1e-9
 
 
+def test_placement_solved_to_tolerance(spark):
+    import numpy as np
+
+    edges = [(0, 1, 2.0), (1, 2, 1.0), (2, 3, 4.0), (3, 4, 1.0), (1, 3, 0.5), (4, 5, 3.0)]
+    arcs = spark.createDataFrame([x for a, b, w in edges for x in ((a, b, w), (b, a, w))], "src long, dst long, w double")
+    x = spark.createDataFrame([(v, 10.0 if v == 5 else 0.0) for v in range(7)], "v long, x double")  # 6 has no arc
+    out = {r.v: r.x for r in graph.solve_quadratic(arcs, x, spark.createDataFrame([(0,), (5,)], "v long"), 1e-9).collect()}
+    m = np.zeros((6, 6))
+    for a, b, w in edges:
+        m[a, a] += w
+        m[b, b] += w
+        m[a, b] -= w
+        m[b, a] -= w
+    want = np.linalg.solve(m[1:5, 1:5], -m[1:5, 5] * 10)
+    assert out[0] == 0 and out[5] == 10 and out[6] == 0 and all(abs(out[v] - want[v - 1]) < 1e-6 for v in range(1, 5))
+
+
+def test_communities_by_method(spark):
+    arcs = spark.createDataFrame([x for a, b in ((1, 2), (2, 3), (7, 8)) for x in ((a, b, 1), (b, a, 1))], "src long, dst long, w long")
+    v = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9)], "v long")
+    assert {r.v: r.label for r in graph.communities(arcs, v, "components").collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 9}
+    label = {r.v: r.label for r in graph.communities(arcs, v, rounds=2).collect()}
+    assert set(label) == {1, 2, 3, 7, 8, 9} and label[9] == 9 and label[7] in (7, 8) and label[1] in (1, 2, 3)
+    with pytest.raises(ValueError):
+        graph.communities(arcs, v, "none")
+
+
+def test_alpha_of_single_nets(spark):
+    """Shortest paths for one net, a minimum spanning tree for the other of the same pins."""
+    pins = [(0, 0, 0, True), (1, 4, 0, False), (2, 4, 3, False), (3, 0, 4, False)]
+    nets = spark.createDataFrame([(net, *p) for net in (1, 2) for p in pins], "net long, pin long, x long, y long, driver boolean")
+    out = graph.prim_dijkstra(nets, 0.0, spark.createDataFrame([(2, 1.0)], "net long, alpha double"))
+    total = {r.net: (r.length, r.depth) for r in out.groupBy("net").agg(F.sum("length").alias("length"), F.max("depth").alias("depth")).collect()}
+    assert total[1][0] <= total[2][0] and total[2][1] == 7.0
+
+
 def test_ranged_prefix_sums_cross_parts(spark):
     df = spark.range(1000).selectExpr("(id * 37) % 1000 k", "id % 5 x")
     out = prefix_sum(df, "k", "x", rows=50).orderBy("k").collect()
