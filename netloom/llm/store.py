@@ -48,8 +48,12 @@ def drop(*tables: DataFrame) -> None:
         _folder(df.sparkSession, df.netloom_path, "delete", True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows that one Arrow batch brings to a Python worker, so that long texts can't fill its memory.
+#: rows and bytes of a batch that goes to a Python worker; the same for all operators, as Spark reads them when it runs
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes that one Arrow batch brings to a Python worker, so that long texts can't fill its memory.
 
     Also lets new workers import this package from where the driver has it, if they see that folder.
     """
@@ -57,7 +61,8 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, known)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

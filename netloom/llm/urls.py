@@ -1,15 +1,14 @@
 """URL rules by a sorted digest array.
 
-The rules' keys (host and path prefix) are hashed with 64-bit xxhash, sorted and written to a file that each
-Python worker maps into memory. A url has a few possible keys: each suffix of its host at a dot, with each prefix
+The rules' keys (host and path prefix) are hashed with 64-bit xxhash and sorted; digests, places and full strings lie one
+after the other in one block that each Python worker maps into memory, without a file and without a Python object a rule. A url has a few possible keys: each suffix of its host at a dot, with each prefix
 of its path that is as long as some rule's path. All possible keys of a batch are probed with one vectorised
 binary search, and every hit is confirmed on the stored full string.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +23,37 @@ MAX_RULE_BYTES = 256 << 20
 
 
 class DigestArray:
-    """Sorted xxhash64 keys, mapped from a file, with the keys' full strings and verdicts beside them."""
+    """Sorted xxhash64 keys with the keys' full strings in one block of bytes, and verdicts beside them."""
 
     def __init__(self, rules: list[tuple[str, str, bool]]):
         """rules: (host, path prefix, allowed). Of equal keys the first counts."""
         keys: dict[str, bool] = {}
         for host, path, allowed in rules:
             keys.setdefault(f"{host}\n{path}", allowed)
-        self.strings = list(keys)
-        digest = np.array([xxhash.xxh64_intdigest(k) for k in self.strings], np.uint64)
+        raw = [k.encode() for k in keys]
+        digest = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
         order = np.argsort(digest, kind="stable")
         self.digest = digest[order]
-        self.strings = [self.strings[i] for i in order]
-        self.allowed = np.array([keys[k] for k in self.strings], bool)
+        self.offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in order], dtype=np.int64)]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
+        self.allowed = np.array(list(keys.values()), bool)[order]
         self.lengths = sorted({len(path) for _, path, _ in rules})
-        self.bytes = self.digest.nbytes + sum(map(len, self.strings))
+        self.bytes = self.digest.nbytes + self.offsets.nbytes + self.blob.nbytes
 
     def mapped(self) -> DigestArray:
-        """Puts the digests into a file of this worker, once, and maps it; the file is unlinked at once."""
-        if len(self.digest) and not isinstance(self.digest, np.memmap):
-            with tempfile.NamedTemporaryFile(prefix="digests-", delete=False) as f:
-                f.write(self.digest.tobytes())
-            self.digest = np.memmap(f.name, np.uint64, "r")
-            os.unlink(f.name)
+        """Puts digests, offsets and strings into one anonymous mapping of this worker, once."""
+        if len(self.digest) and not hasattr(self, "block"):
+            parts = (self.digest, self.offsets, self.blob)
+            self.block, at = mmap.mmap(-1, sum(x.nbytes for x in parts)), 0
+            for name, x in zip(("digest", "offsets", "blob"), parts, strict=True):
+                self.block[at : at + x.nbytes] = x.tobytes()
+                setattr(self, name, np.frombuffer(self.block, x.dtype, len(x), at))
+                at += x.nbytes
         return self
 
+    def key(self, i: int) -> str:
+        return self.blob[self.offsets[i] : self.offsets[i + 1]].tobytes().decode()
+
     def find(self, keys: list[str]) -> np.ndarray:
         """The rule's number for each key, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
@@ -59,7 +64,7 @@ class DigestArray:
         open_ = np.flatnonzero(at < len(self.digest))
         while len(open_):  # rules whose digests collide stand side by side
             open_ = open_[self.digest[at[open_]] == probe[open_]]
-            same = np.array([self.strings[at[i]] == keys[i] for i in open_], bool)
+            same = np.array([self.key(at[i]) == keys[i] for i in open_], bool)
             out[open_[same]] = at[open_[same]]
             open_ = open_[~same]
             at[open_] += 1
@@ -93,7 +98,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, boo
     and urls without :// have empty host and path and no rule. Rows are judged one by one, so repeats and further
     columns change nothing. The rules are broadcast if they are under MAX_RULE_BYTES, else joined by their keys.
     """
-    small_batches(spark, 4096)
+    small_batches(spark)
     array = DigestArray(rules)
     host, path = split_url()
     own = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
@@ -111,9 +116,10 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, boo
                 n = len(own_keys)
                 found = [x for x in hit[i : i + n] if x >= 0]
                 i += n
-                best = max(found, key=lambda x: (len(table.strings[x]), table.strings[x].index("\n")), default=None)
-                rule.append(None if best is None else table.strings[best].replace("\n", ""))
-                verdict.append(default if best is None else "allow" if table.allowed[best] else "block")
+                named = [(table.key(x), x) for x in found]
+                best = max(named, key=lambda k: (len(k[0]), k[0].index("\n")), default=None)
+                rule.append(None if best is None else best[0].replace("\n", ""))
+                verdict.append(default if best is None else "allow" if table.allowed[best[1]] else "block")
             yield pdf.assign(rule=pd.Series(rule, dtype=object, index=pdf.index), verdict=verdict)
 
     kind = dict(pages.dtypes)["page_id"]

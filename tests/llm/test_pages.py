@@ -182,10 +182,19 @@ def test_url_rules(spark, monkeypatch, limit):
     assert urls.judge(spark, df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_of_repeated_and_very_long_urls(spark):
+    rules = [("com", "/", True), ("a.com", "/" + "x" * 5000, False), ("é.com", "/ü", False)]
+    long = "http://" + "b." * 3000 + "a.com/" + "x" * 100_000
+    rows = [(1, long), (1, long), (1, None), (2, "http://sub.é.com/ü/1"), (None, "http://a.com/x")]
+    out = urls.judge(spark, spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert [(r.page_id, r.verdict) for r in out] == [(1, "block"), (1, "block"), (1, "allow"), (2, "block"), (None, "allow")]
+    assert out[0].rule == "a.com/" + "x" * 5000 and out[2].rule is None and out[3].rule == "é.com/ü"
+
+
 def test_digest_collisions_are_confirmed(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda k: len(k) % 3)
     rules = [(f"h{i}.com", "/" + "p" * (i % 4), i % 2 == 0) for i in range(40)]
     array = urls.DigestArray(rules).mapped()
     keys = [f"{h}\n{p}" for h, p, _ in rules] + ["none\n/", "h1.com\n/"]
     got = array.find(keys)
-    assert [array.strings[i] if i >= 0 else None for i in got] == [f"{h}\n{p}" for h, p, _ in rules] + [None, None]
+    assert [array.key(i) if i >= 0 else None for i in got] == [f"{h}\n{p}" for h, p, _ in rules] + [None, None]

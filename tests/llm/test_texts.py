@@ -50,6 +50,50 @@ def test_dual_descent_separates():
     assert ((model.scores(doc, np.concatenate(rows), len(rows)) >= 0.5) == np.array([1, 1, 0, 0] * 5)).all()
 
 
+def test_quality_follows_its_definition():
+    """Against the plain definition: indicators of n-grams with Counters, log-count ratios, and the dual's optimum."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    from netloom.llm.textops import chunks
+
+    r = random.Random(4)
+    good = [" ".join(r.choice("the of and is a to in it was for".split()) for _ in range(r.randint(4, 20))) + "." for _ in range(30)]
+    junk = [" ".join(r.choice(["BUY", "now!!!", "$$$", "c1ick", "here", "the"]) for _ in range(r.randint(4, 20))) for _ in range(20)]
+    texts, labels = good + junk, np.array([1] * len(good) + [0] * len(junk))
+    (_, _, offsets, data), *_ = chunks(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    doc, feature = quality.features(offsets, data)
+    rows = [feature[doc == d] for d in range(len(texts))]
+    assert all(len(set(x.tolist())) == len(x) > 0 for x in rows)
+    cost, epochs = 4.0, 400
+    model = quality.fit(rows, labels, cost=cost, epochs=epochs)
+    seen = [collections.Counter(), collections.Counter()]
+    for x, y in zip(rows, labels, strict=True):
+        seen[y].update(x.tolist())
+    total = [quality.DIMENSIONS + sum(c.values()) for c in seen]
+    for f in {int(f) for x in rows for f in x}:
+        want = math.log((1 + seen[1][f]) / total[1]) - math.log((1 + seen[0][f]) / total[0]) - (math.log(1 / total[1]) - math.log(1 / total[0]))
+        assert abs(model.ratio[f] - want) < 1e-9
+    # weak duality: the primal objective of the weights is as low as the dual's value, so both are optimal
+    unit = [(v := model.ratio[x]) / np.sqrt(v @ v) for x in rows]
+    sign = np.where(labels == 1, 1.0, -1.0)
+    margin = np.array([model.weight[x] @ v + model.bias for x, v in zip(rows, unit, strict=True)]) * sign
+    weigh = np.where(labels == 1, cost * len(labels) / (2 * labels.sum()), cost * len(labels) / (2 * (1 - labels).sum()))
+    primal = (model.weight @ model.weight + model.bias**2) / 2 + (weigh * np.maximum(0, 1 - margin)).sum()
+    matrix = np.zeros((len(rows), len(rows)))
+    for i, (x, v) in enumerate(zip(rows, unit, strict=True)):
+        for j, (y, u) in enumerate(zip(rows, unit, strict=True)):
+            mine = dict(zip(x.tolist(), v, strict=True))
+            matrix[i, j] = sign[i] * sign[j] * (1 + sum(mine.get(f, 0.0) * g for f, g in zip(y.tolist(), u, strict=True)))
+    alpha = np.zeros(len(rows))
+    for _ in range(4000):  # plain projected steps on the dual
+        alpha = np.clip(alpha - (matrix @ alpha - 1) / np.trace(matrix), 0, weigh)
+    dual = alpha.sum() - alpha @ matrix @ alpha / 2
+    assert dual <= primal + 1e-6 and primal - dual < 0.02 * max(1.0, primal)
+
+
 def test_language_on_held_out_rows(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang").collect()}
