@@ -257,7 +257,12 @@ def euler_tour(t):
     return graph.euler_tour(r.unionAll(n).unionAll(t.customer.selectExpr("cast(c_custkey + 1000 as bigint) node", "cast(c_nationkey + 100 as bigint) parent")))
 
 
-@query(None)
+@query(f"""AND {_WHOLE}, near AS (SELECT b.v, list(DISTINCT a.v) AS less FROM pins a JOIN pins b ON a.e = b.e AND a.v < b.v GROUP BY b.v),
+ own AS MATERIALIZED (SELECT v, coalesce(less, []) AS less FROM vertices LEFT JOIN near USING (v)),
+ paint AS (SELECT 0::BIGINT AS next, []::BIGINT[] AS colours UNION ALL
+  SELECT next + 1, list_append(colours, list_filter(range(0, len(less) + 1), lambda c: NOT list_contains(list_transform(less, lambda u: colours[u + 1]), c))[1]) FROM paint JOIN own ON v = next),
+ done AS (SELECT colours FROM paint ORDER BY next DESC LIMIT 1)
+ SELECT component, v, colours[v + 1]::INT AS colour FROM comp, done WHERE v IN (SELECT v FROM pins WHERE e IN (SELECT e FROM pins GROUP BY e HAVING count(*) > 1))""")
 def greedy_colouring(t):
     from netloom.operators.graph import connected_components as components
 

@@ -152,9 +152,16 @@ def slack_weights(t):
     return s.select("e", F.round(F.pow(1 + F.greatest(-F.col("slack"), F.lit(0.0)) / 20, 2), 6).alias("weight"))
 
 
-@query(None)
+@query("""AND c AS (SELECT y AS row, v AS cell, x * 7 % 90 AS x, (p_size % 3 + 1)::BIGINT AS width FROM coords JOIN part ON p_partkey = v),
+ o AS (SELECT row, cell, row_number() OVER k AS i, sum(width) OVER k - width AS before, x - (sum(width) OVER k - width) AS y FROM c WINDOW k AS (PARTITION BY row ORDER BY x, cell ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT *, sum(y) OVER (PARTITION BY row ORDER BY i) AS total FROM o),
+ m AS (SELECT a.row, a.i AS j, b.i AS k, (b.total - a.total + a.y)::DOUBLE / (b.i - a.i + 1) AS mean FROM s a JOIN s b ON a.row = b.row AND a.i <= b.i),
+ least AS (SELECT row, j, k AS i, min(mean) OVER (PARTITION BY row, j ORDER BY k DESC) AS z FROM m)
+ SELECT s.row, cell, round(max(z) + any_value(before), 6) AS x FROM s JOIN least ON least.row = s.row AND least.i = s.i GROUP BY s.row, cell""")
 def shift_legalise(t):
-    return netlist.shift_legalise(t.coords.join(t.part.selectExpr("p_partkey v", "cast(p_size % 3 + 1 as bigint) width"), "v").selectExpr("y row", "v cell", "x * 7 % 90 x", "width"))
+    """SQL takes the least squares places as the largest of least means of runs."""
+    out = netlist.shift_legalise(t.coords.join(t.part.selectExpr("p_partkey v", "cast(p_size % 3 + 1 as bigint) width"), "v").selectExpr("y row", "v cell", "x * 7 % 90 x", "width"))
+    return out.select("row", "cell", F.round("x", 6).alias("x"))
 
 
 @query("""AND c AS (SELECT y AS row, v AS cell, x, v % 3 + 1 AS width, x * 7 % 90 AS wish, row_number() OVER (PARTITION BY y ORDER BY x, v) - 1 AS n FROM coords), m AS (SELECT *, n // 3 AS w, n % 3 AS i FROM c),
