@@ -1,29 +1,55 @@
 """Readers of hypergraph, placement, parasitics and waveform text formats.
 
-Lines keep their order by their byte place in a file: each file is one value of the `text` source with wholetext, so
-these readers are for files that fit a task, as such formats are written by one process; many files are read in
-parallel, each line keyed by its file. gzip files are read as they are.
+Line formats are read by Spark's splits, so that a file of any size is read by many tasks: lines are numbered inside each
+split and the splits' counts, one row a split, are summed up. What holds for the lines after a heading (a time of a
+waveform, a net or a section) is carried forward in the same two steps. Formats whose statements run over lines (DEF,
+SDF, BLIF, guides) take each file as one value, so such a file has to fit a task. gzip files are one split each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.hypergraph import Hypergraph
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, id, line): id rises inside a split of a file, block inside a file."""
+    raw = spark.read.text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Adds pos, from 0 in each file."""
+    local = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))  # a row a split
+    return lines.withColumn("local", local).join(F.broadcast(before), ["file", "block"]).withColumn("pos", F.col("before") + F.col("local") - 1).drop("local", "before")
+
+
+def carried(lines: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """lines (file, block, id, ...) with a column for each mark: its last value that isn't null in this line or one before."""
+    own = lines.select("*", *[m.alias(f"_{n}") for n, m in marks.items()])
+    here = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    last = own.groupBy("file", "block").agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("id"))).alias(n) for n in marks])
+    above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("file", "block", *[F.last(n, ignorenulls=True).over(above).alias(f"{n}_above") for n in marks])  # a row a split
+    out = own.select("*", *[F.last(f"_{n}", ignorenulls=True).over(here).alias(f"{n}_here") for n in marks]).join(F.broadcast(before), ["file", "block"])
+    return out.select(*lines.columns, *[F.coalesce(f"{n}_here", f"{n}_above").alias(n) for n in marks])
+
+
 def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
     """(file, pos, line): stripped lines from 0; blank ones and those that start with `comment` are left out, pos counts the rest."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    kept = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: (s != "") & (~s.startswith(comment) if comment else F.lit(True)))
-    return files.select("file", F.posexplode(kept).alias("pos", "line"))
+    own = _lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
+    if comment:
+        own = own.where(~F.startswith("line", F.lit(comment)))
+    return _numbered(own).select("file", "pos", "line")
 
 
 def all_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) with blank lines."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    return _numbered(_lines(spark, path)).select("file", "pos", "line")
 
 
 def tokens(line, separators: str = r"\s+"):
@@ -160,34 +186,30 @@ def read_guides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcd(spark: SparkSession, path: str) -> DataFrame:
-    """Value changes: (id, name, t, value). A time holds for the lines up to the next; vectors are `b<bits> id`."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    part = F.split("value", r"\$enddefinitions\s+\$end", 2)
-    names = files.select("file", F.explode(F.regexp_extract_all(part[0], F.lit(r"\$var\s+\S+\s+\d+\s+(\S+\s+\S+)"), F.lit(1))).alias("v"))
-    names = names.select("file", F.split("v", r"\s+")[0].alias("id"), F.split("v", r"\s+")[1].alias("name"))
-    blocks = files.select("file", F.explode(F.slice(F.split(part[1], r"(?m)^#"), 2, 1 << 30)).alias("b"))
-    lines = blocks.select("file", F.split("b", r"\r?\n", 2)[0].cast("bigint").alias("t"), F.explode(F.split("b", r"\r?\n")).alias("l"))
-    l = F.trim("l")
+    """Value changes: (id, name, t, value). A time holds for the lines up to the next; vectors are `b<bits> id`.
+
+    A $var declaration stands in one line.
+    """
+    lines = _lines(spark, path).withColumn("line", F.trim("line"))
+    var = r"\$var\s+\S+\s+\d+\s+(\S+)\s+(\S+)"
+    names = lines.where(F.startswith("line", F.lit("$var"))).select("file", F.regexp_extract("line", var, 1).alias("id"), F.regexp_extract("line", var, 2).alias("name"))
+    rows = carried(lines, {"t": F.nullif(F.regexp_extract("line", r"^#(\d+)", 1), F.lit("")).cast("bigint")}).where("t is not null")
+    l = F.col("line")
     scalar, vector = l.rlike(r"^[01xzXZ]\S+$"), l.rlike(r"^[bB][01xzXZ]+\s+\S+$")
-    rows = lines.where(scalar | vector).select("file", "t", F.when(vector, F.split(l, r"\s+")[1]).otherwise(F.substring(l, 2, 1 << 30)).alias("id"), F.when(vector, F.substring(F.split(l, r"\s+")[0], 2, 1 << 30)).otherwise(F.substring(l, 1, 1)).alias("value"))
+    rows = rows.where(scalar | vector).select("file", "t", F.when(vector, F.split(l, r"\s+")[1]).otherwise(F.substring(l, 2, 1 << 30)).alias("id"), F.when(vector, F.substring(F.split(l, r"\s+")[0], 2, 1 << 30)).otherwise(F.substring(l, 1, 1)).alias("value"))
     return rows.join(names, ["file", "id"]).select("id", "name", "t", "value")
 
 
 def read_spef(spark: SparkSession, path: str, coupling_factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Parasitics: (net, total, node, other, cap) and (net, a, b, res); coupling capacitances are scaled by the factor."""
-    files = spark.read.text(path, wholetext=True)
-    nets = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\*D_NET\s.*?\*END"), F.lit(0))).alias("b"))
-    head = tokens(F.split("b", r"\r?\n")[0])
-    nets = nets.select(head[1].alias("net"), head[2].cast("double").alias("total"), "b")
-
-    def section(name: str) -> DataFrame:
-        text = F.regexp_extract("b", rf"(?s)\*{name}\s*\n(.*?)\*(?:CONN|CAP|RES|INDUC|END)", 1)
-        return nets.select("net", "total", F.explode(F.split(text, r"\r?\n")).alias("l")).select("net", "total", tokens("l").alias("t"))
-
-    caps = section("CAP").where("size(t) in (3, 4)")
+    t = tokens("line")
+    section = F.nullif(F.regexp_extract("line", r"^\s*\*(D_NET|CONN|CAP|RES|INDUC|END)\b", 1), F.lit(""))
+    head = F.when(t[0] == "*D_NET", F.struct(F.get(t, F.lit(1)).alias("net"), F.get(t, F.lit(2)).cast("double").alias("total")))
+    rows = carried(_lines(spark, path), {"section": section, "head": head}).where("head is not null").select("section", "head.*", t.alias("t"))
     coupled = F.size("t") == 4
+    caps = rows.where("section = 'CAP' and size(t) in (3, 4)")
     caps = caps.select("net", "total", F.col("t")[1].alias("node"), F.when(coupled, F.col("t")[2]).alias("other"), (F.element_at("t", -1).cast("double") * F.when(coupled, coupling_factor).otherwise(1.0)).alias("cap"))
-    res = section("RES").where("size(t) = 4").select("net", F.col("t")[1].alias("a"), F.col("t")[2].alias("b"), F.col("t")[3].cast("double").alias("res"))
+    res = rows.where("section = 'RES' and size(t) = 4").select("net", F.col("t")[1].alias("a"), F.col("t")[2].alias("b"), F.col("t")[3].cast("double").alias("res"))
     return caps, res
 
 

@@ -97,3 +97,26 @@ def test_sample_sinks(spark, tmp_path):
     assert [r.line for r in sinks.metis_lines(h).orderBy("id").collect()] == ["3 2 001", "2 1", "1 1 3 1", "2 1"]
     sinks.write_vector(spark.createDataFrame([(2, None), (1, 1)], "v long, part int"), str(tmp_path / "p"))
     assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ["1", "-1"]
+
+
+def test_large_files_are_read_by_splits(spark, tmp_path):
+    """Split after every few bytes: places, times, nets and sections hold across splits."""
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" if i % 3 else f"# {i}\n" for i in range(400)))
+    (tmp_path / "a.vcd").write_text("$var wire 1 ! clk $end\n$enddefinitions $end\n" + "".join(f"#{10 * i}\n" + f"{i % 2}!\n" * (i % 4) for i in range(300)))
+    (tmp_path / "a.spef").write_text("".join(f"*D_NET n{i} {i}.5\n*CONN\n*I n{i}:1 I\n*CAP\n" + "".join(f"{j} n{i}:{j} 0.5\n" for j in range(i % 5)) + f"*RES\n1 n{i}:1 n{i}:2 3.0\n*END\n" for i in range(100)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, ("600", "1"), strict=True):
+            spark.conf.set(k, v)
+        lines = text.numbered_lines(spark, str(tmp_path / "a.txt"), "#")
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 4
+        assert [(r.pos, r.line) for r in lines.orderBy("pos").collect()] == list(enumerate(f"line {i}" for i in range(400) if i % 3))
+        assert [r.pos for r in text.all_lines(spark, str(tmp_path / "a.txt")).orderBy("pos").collect()] == list(range(400))
+        got = sorted((r.t, r.value) for r in text.read_vcd(spark, str(tmp_path / "a.vcd")).collect())
+        assert got == sorted((10 * i, str(i % 2)) for i in range(300) for _ in range(i % 4))
+        caps, res = text.read_spef(spark, str(tmp_path / "a.spef"))
+        assert sorted((r.net, r.total, r.node) for r in caps.collect()) == sorted((f"n{i}", i + 0.5, f"n{i}:{j}") for i in range(100) for j in range(i % 5))
+        assert sorted((r.net, r.res) for r in res.collect()) == sorted((f"n{i}", 3.0) for i in range(100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
