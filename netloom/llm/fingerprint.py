@@ -20,7 +20,7 @@ from netloom.llm.store import small_batches, table
 from netloom.llm.textops import U, Words, chunks, mix
 
 SAMPLES = 64
-_STEP = 2048
+_STEP = 32768
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -47,26 +47,41 @@ def term_weights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return d[first], h[first], np.diff(np.concatenate([first, [len(h)]]))
 
 
+def _keys(term: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+    """For terms with their weights a row of SAMPLES values: 32 bits of order above 32 bits that name the sample."""
+    x = mix(term[:, None] ^ _SEED[None, :])
+    r = _GAMMA[(x >> U(48)).astype(np.int32)]
+    log_c = _LOG_GAMMA[((x >> U(28)) & U(0xFFFFF)).astype(np.int32)]
+    b = (x & U(0xFFFFFFF)).astype(np.float32) * np.float32(2.0**-28)
+    t = np.floor(log_weight[:, None] / r + b)
+    value = log_c - r * (t - b + np.float32(1))
+    bits = value.view(np.int32)
+    out = np.empty((*x.shape, 2), np.uint32)  # little-endian halves of 64 bits
+    out[..., 1] = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).view(np.uint32) ^ np.uint32(1 << 31)  # floats' order
+    x >>= U(7)
+    x ^= t.astype(np.int32).astype(U) * U(0x9E3779B1)
+    x *= U(0xD6E8FEB86659FD93)
+    out[..., 0] = x >> U(32)
+    return out.view(U)[..., 0]
+
+
 def signatures(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Samples (texts x SAMPLES, uint32); an empty text's are all 0."""
+    """Samples (texts x SAMPLES, uint32); an empty text's are all 0. Texts that share words and weights share the work
+    on them, so related texts should stand side by side."""
     doc, term, count = term_weights(offsets, data)
     best = np.full((len(offsets) - 1, SAMPLES), ~U(0), U)
     logs = np.log(count).astype(np.float32)
+    both = term + mix(count.astype(U))
     for at in range(0, len(doc), _STEP):
-        d, h, w = doc[at : at + _STEP], term[at : at + _STEP], logs[at : at + _STEP]
-        x = mix(h[:, None] ^ _SEED[None, :])
-        r = _GAMMA[(x >> U(48)).astype(np.int32)]
-        log_c = _LOG_GAMMA[((x >> U(28)) & U(0xFFFFF)).astype(np.int32)]
-        b = (x & U(0xFFFFFFF)).astype(np.float32) * np.float32(2.0**-28)
-        t = np.floor(w[:, None] / r + b)
-        value = log_c - r * (t - b + np.float32(1))
-        # 32 bits of order above 32 bits that name the sample
-        order = ((value.astype(np.float64) + 400.0) * 2.0**22).astype(U)
-        name = (x >> U(7) ^ t.astype(np.int64).astype(U) * U(0x9E3779B1)) * U(0xD6E8FEB86659FD93) >> U(32)
-        key = order << U(32) | name
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        low = np.minimum.reduceat(key, first, axis=0)
-        best[d[first]] = np.minimum(best[d[first]], low)
+        d = doc[at : at + _STEP]
+        _, first, which = np.unique(both[at : at + _STEP], return_index=True, return_inverse=True)
+        key = np.empty((len(first), SAMPLES), U)
+        for i in range(0, len(first), 1024):  # small enough for the processor's cache
+            some = at + first[i : i + 1024]
+            key[i : i + 1024] = _keys(term[some], logs[some])
+        start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        for a, b in zip(start, [*start[1:], len(d)], strict=True):
+            np.minimum(best[d[a]], key[which[a:b]].min(0), out=best[d[a]])
     full = np.zeros(len(offsets) - 1, bool)
     full[doc] = True
     out = (best & U(0xFFFFFFFF)).astype(np.uint32)
@@ -189,14 +204,15 @@ def _signed(texts: list[str]) -> np.ndarray:
 
 def _compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Rows (part, doc_id, text) in order, each compared with the one after it; the last row is only a successor."""
-    for at in range(0, len(rows) - 1, 64):
-        some = rows[at : at + 65]
+    for at in range(0, len(rows) - 1, 256):
+        some = rows[at : at + 257]
         texts = [r[2] for r in some]
         edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:], strict=False)]
-        own, new = _signed(texts), _signed(edited)
         n = len(edited)
+        signed = _signed([t for pair in zip(texts, [*edited, ""], strict=True) for t in pair])  # each text beside its edit
+        own, new = signed[0::2], signed[1::2]
         columns = [
             [r[0] for r in some[:n]], [0] * n, [r[1] for r in some[:n]], [len(t) for t in texts[:n]], [hashlib.sha256(t.encode()).digest() for t in edited],
-            [as_bytes(x) for x in own[:n]], [as_bytes(x) for x in new], [likeness(own[i], new[i]) for i in range(n)], [likeness(own[i], own[i + 1]) for i in range(n)], [None] * n,
+            [as_bytes(x) for x in own[:n]], [as_bytes(x) for x in new[:n]], [likeness(own[i], new[i]) for i in range(n)], [likeness(own[i], own[i + 1]) for i in range(n)], [None] * n,
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
