@@ -131,11 +131,17 @@ class Items:
             yield from self._runs(n, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def _runs(self, n: int, doc: np.ndarray, item: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        if not len(doc):
+            return
         # of a text only items with enough hits in all can reach the bound
-        pair, which, count = np.unique(doc * len(self.ids) + item, return_inverse=True, return_counts=True)
-        keep = (count >= self.least[pair % len(self.ids)])[which]
-        item, diagonal, place = item[keep], diagonal[keep], place[keep]
-        pair = pair[which[keep]]
+        pair = doc * len(self.ids) + item
+        base = int(doc[0]) * len(self.ids)
+        if (int(doc[-1]) + 1) * len(self.ids) - base <= 4 * MAX_POSTINGS:
+            keep = np.bincount(pair - base)[pair - base] >= self.least[item]
+        else:  # the same without an array of texts times items
+            _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+            keep = count[which] >= self.least[item]
+        item, diagonal, place, pair = item[keep], diagonal[keep], place[keep], pair[keep]
         band = (diagonal + n) // (self.edits[item] + 1)
         key, which, count = np.unique(pair * (4 * n + 4) + band, return_inverse=True, return_counts=True)
         front = np.bincount(which, 2 * place < self.grams_of[item], len(key)) if len(key) else count
@@ -239,7 +245,7 @@ def _places(item: np.ndarray, text: np.ndarray, ends: list[tuple[int, int]], k:
     for edits, end in sorted(ends):
         if all(end <= s or end - (len(item) - k) >= e for s, e, _ in taken):
             near = text[max(0, end - len(item) - k - 1) : end]
-            start = end - banded(item[::-1], near[::-1], -k, k, anchor=0)[1]
+            start = end - (banded(item[::-1], near[::-1], -k, k, anchor=0)[1] if edits else len(item))
             if all(end <= s or start >= e for s, e, _ in taken):
                 taken.append((start, end, edits))
     return taken
@@ -277,15 +283,21 @@ def _verified(items: Items, todo: list[tuple[int, int, int, int, bool]], offs: n
         left = max(int(offs[doc]), low - k)
         text = plain[left : max(left, min(int(offs[doc + 1]), high + len(items.texts[i]) + k))]
         jobs.append((items.texts[i], text, low - k - left, high + k - left, k, left))
-    back = [x for x, found in enumerate(todo) if found[4]]
+    # where all ends of a run are so close that they are one place, an exact copy is that place
+    found: dict[tuple[int, int], dict[int, int]] = {}
+    settled = set()
+    for x, (item, text, low, high, k, left) in enumerate(jobs):
+        if high - low < len(item) - k and (at := text.tobytes().find(item.tobytes())) >= 0:
+            settled.add(x)
+            found.setdefault(todo[x][:2], {})[left + at + len(item)] = 0
+    back = [x for x, run in enumerate(todo) if run[4] and x not in settled]
     ends = []
     for x in back:
         item, text, low, high, k, _ = jobs[x]
         shift = len(text) - len(item)
         ends.append((item[::-1], text[::-1], shift - high, shift - low, k))
     gone = {x for x, row in zip(back, last_rows(ends), strict=True) if row is None}
-    alive = [x for x in range(len(jobs)) if x not in gone]
-    found: dict[tuple[int, int], dict[int, int]] = {}
+    alive = [x for x in range(len(jobs)) if x not in gone and x not in settled]
     for x, row in zip(alive, last_rows([jobs[x][:5] for x in alive]), strict=True):
         if row is None:
             continue
