@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, quality, substrings, urls
+from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, mixing, quality, substrings, urls
 from netloom.llm.minhash import NearDedup, near_duplicates
 from netloom.llm.store import documents
 
@@ -82,6 +82,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, documents(spark, sf_dir), (5, 2, 1), epochs=3).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, op12_mix, pipeline)}
 
 
 ORACLE = {
@@ -113,6 +117,24 @@ ORACLE = {
         mark AS (SELECT word.doc_id, word.k, x, gone.k IS NOT NULL AS g FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k),
         kept AS (SELECT doc_id, count(*) FILTER (g) AS n, string_agg(x, ' ' ORDER BY k) FILTER (NOT g) AS t FROM mark GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op12_mix": """
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                          substr(md5('mix:' || coalesce(doc_id::TEXT, '') || ':' || md5(coalesce(text, ''))), 1, 15) AS k FROM documents),
+        src AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        -- rounds: what is left to share and the weights that share it, until both stay
+        share AS (SELECT 0 AS r, sum(source_size)::BIGINT AS t, sum(source_size)::BIGINT AS l, sum(w)::BIGINT AS u FROM src
+                  UNION ALL
+                  SELECT r + 1, t, new_l, new_u FROM (
+                      SELECT r, t, l, u, t - coalesce(sum(3 * source_size) FILTER (f), 0)::BIGINT AS new_l, coalesce(sum(w) FILTER (NOT f), 0)::BIGINT AS new_u
+                      FROM (SELECT *, (3 * source_size)::DOUBLE * u <= w::DOUBLE * l AS f FROM share, src) GROUP BY r, t, l, u)
+                  WHERE u > 0 AND (new_l <> l OR new_u <> u)),
+        goal AS (SELECT source, source_size, CASE WHEN u > 0 THEN least(w::DOUBLE * l::DOUBLE / u::DOUBLE, (3 * source_size)::DOUBLE) ELSE (3 * source_size)::DOUBLE END AS target
+                 FROM src, (SELECT arg_max(l, r) AS l, arg_max(u, r) AS u FROM share)),
+        placed AS (SELECT d.doc_id, d.source, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start,
+                          floor(target)::BIGINT AS words
+                   FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source)
+        SELECT doc_id, source, size, source_size, target,
+               (CASE WHEN source_size > 0 THEN words // source_size * size + greatest(0, least(size, words % source_size - start)) ELSE 0 END)::BIGINT AS taken FROM placed""",
     "op4_url_rules": """
         WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                                        ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
