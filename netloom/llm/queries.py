@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, mixing, quality, substrings, urls
+from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, lexical, mixing, quality, substrings, urls
 from netloom.llm.minhash import NearDedup, near_duplicates
 from netloom.llm.store import documents
 
@@ -86,6 +86,11 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir), (5, 2, 1), epochs=3).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(spark, documents(spark, sf_dir))
+    return lexical.search(spark, index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, op12_mix, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, op12_mix, op13_search, pipeline)}
 
 
 ORACLE = {
@@ -135,6 +140,18 @@ ORACLE = {
                    FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source)
         SELECT doc_id, source, size, source_size, target,
                (CASE WHEN source_size > 0 THEN words // source_size * size + greatest(0, least(size, words % source_size - start)) ELSE 0 END)::BIGINT AS taken FROM placed""",
+    "op13_search": """
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+        len AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM len),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+        ask AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        times AS (SELECT item_id, term, count(*) AS times FROM ask GROUP BY item_id, term),
+        score AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+                  FROM times JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), total GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0
+        QUALIFY rank <= 10""",
     "op4_url_rules": """
         WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                                        ('net', '/es/', 'block'), ('net', '/fr/', 'block')),

@@ -91,10 +91,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 class Words:
     """The words of a chunk: start and end byte, text number and hash; first[d] is the first word of text d."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, lower: bool = False):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, lower: bool = False, space: np.ndarray | None = None):
+        """space: for each byte whether it stands between words; without it white space does."""
         n = len(data)
         self.docs = len(offsets) - 1
-        space = SPACE[data]
+        if space is None:
+            space = SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = edge[:n].copy()
@@ -172,3 +174,12 @@ def list_column(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Ar
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+
+def take_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = LOWER_BYTE) -> pa.Array:
+    """The byte runs start..end-1 as an Arrow string column, each byte put through code (lower-casing A-Z)."""
+    size = end - start
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code[data[at]]))).cast(pa.string())
