@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.store import drop, small_batches, table
-from netloom.llm.textops import U, Words, chunks, take_strings
+from netloom.llm.textops import Words, chunks, take_strings
 
 SHARD_BYTES = 16 << 20
 SHARD_DOCS = 200_000

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, lexical, mixing, quality, substrings, urls
+from netloom.llm import bpe, chat, decontam, fingerprint, html, langid, lexical, mixing, quality, spelling, substrings, urls
 from netloom.llm.minhash import NearDedup, near_duplicates
 from netloom.llm.store import documents
 
@@ -82,6 +82,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spark, spelling.count_words(spark, documents(spark, sf_dir)))
+
+
 def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir), (5, 2, 1), epochs=3).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -98,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, op12_mix, op13_search, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_html_text, op4_url_rules, op5_language, op6_decontaminate, op7_byte_bpe, op8_substring_dedup, op9_fingerprint, op10_chat_format, op11_spelling, op12_mix, op13_search, pipeline)}
 
 
 ORACLE = {
