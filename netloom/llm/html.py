@@ -4,14 +4,17 @@ A page is parsed into a tree of its block elements; inline elements only pass th
 elements is a page's layout. A host has a seed for its most common layout and for each other that MIN_PAGES pages and a
 tenth of the host have: the page of the least hash. Every page is aligned with the seed of its layout, else with that
 of the most common one, by simple tree matching: the largest number of node pairs of equal tags that keeps parents and
-the order of siblings. Over the pages that fit a seed two things are counted for each seed node: how often it was
-matched with the seed's own text, and how much other text stood in it. A node with the same text on nearly all pages
-is template. The content slot is found from the root down: the child that holds nearly all of the text that varies.
+the order of siblings. Over the pages that fit a seed it is counted for each seed node how often and with how many
+characters it was matched with the seed's own text, and how much other text stood in it. A node with the same text on
+nearly all pages is template. The spine leads from the root to the node below which no child holds most of the text that
+varies. What varies beside the spine is content too, unless it stands in a child that is mostly template (a bar with a
+date in it). The content slot is the smallest node that holds all content, so no varying text is lost by its share.
 Empty pages and those of another layout fit no seed.
 
-Markup only helps where the wrapper says nothing: of varying slots those whose names, classes or roles say that they
-are menus, adverts, forms, comments and the like are left out, and where there is no content slot (hosts of few pages,
-pages that fit no seed) the article or main element is taken if there is one.
+Markup helps in three places: varying slots whose names, classes or roles say that they are menus, adverts, forms,
+comments and the like are left out; where article or main elements hold half of what varies, they are the content slots
+in full, with constant headings of theirs; and where there is no content slot (hosts of few pages, pages that fit no
+seed) the article or main element is taken if there is one.
 """
 
 from __future__ import annotations
@@ -28,21 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.store import small_batches, table
+from netloom.llm.store import drop, small_batches, table
 from netloom.llm.urls import split_url
 
 MIN_PAGES = 5
 SHARE = 0.9
 #: a layout of at least this share of a host's pages has a seed of its own
 LAYOUT_SHARE = 0.1
-#: a slot is entered while it holds this share of the varying text around it
-SLOT_SHARE = 0.8
+#: a slot number for pages whose article or main elements are the content
+ARTICLES = -2
 MAX_SEED_BYTES = 32 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas select".split())
-NEVER = RAW | frozenset("head nav footer aside form button menu dialog fieldset input option datalist audio video map".split())
+RAW = frozenset("script style textarea title".split())
+#: elements that an opening block element ends, and those that /> ends
+ENDED = ("svg", "math", "select")
+CLOSABLE = frozenset("svg math iframe object canvas".split())
+NEVER = RAW | frozenset("noscript template iframe svg math object canvas select head nav footer aside form button menu dialog fieldset input option datalist audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body html".split())
@@ -56,7 +62,8 @@ NAMES = re.compile(
 #: names that mean a bar of the page, but inside an article may be a part of it
 BARS = re.compile(r"(?:^|[\s_-])(?:banner|alert|side|respond|reply|replies|foot|header|related|recommended|overlay|search|widget|skip)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -133,23 +140,58 @@ class _Open:
                 pass
 
 
+class _Tokens:
+    """Tags of a page from the left: (first place, end, closing, name, attributes); comments have no name.
+
+    A quote that nothing closes is a character like others. That is known once for each kind of quote, so that the time
+    is linear in the page.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.lost = text, {'"': len(text) + 1, "'": len(text) + 1}
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        text, n = self.text, len(self.text)
+        m = OPENING.search(text, at)
+        if m is None:
+            return None
+        if m[2] is None:
+            end = text.find("-->", m.end()) if m[0] == "<!--" else text.find(">", m.end())
+            return m.start(), n if end < 0 else end + (3 if m[0] == "<!--" else 1), False, "", ""
+        p = m.end()
+        while True:
+            stop = STOP.search(text, p)
+            if stop is None:
+                return m.start(), n, bool(m[1]), m[2].lower(), text[m.end() :]
+            p = stop.end()
+            if stop[0] == ">":
+                return m.start(), p, bool(m[1]), m[2].lower(), text[m.end() : p - 1]
+            if p < self.lost[stop[0]]:
+                close = text.find(stop[0], p)
+                if close < 0:
+                    self.lost[stop[0]] = p
+                else:
+                    p = close + 1
+
+
 def parse(text: str) -> Node:
     """The tree of block elements; character references are decoded in the texts. Nothing in a page is an error."""
     root = Node("#page")
     open_, at, n = _Open(root), 0, len(text)
     stack = open_.stack
     quiet: list[str] = []  # open inline elements that are never content
+    tokens = _Tokens(text)
     while at < n:
-        m = TOKEN.search(text, at)
-        if m is None:
+        token = tokens.next(at)
+        if token is None:
             break
-        if m.start() > at and not quiet:
-            stack[-1].parts.append(_html.unescape(text[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, closing, tag, attributes = token
+        if start > at and not quiet:
+            stack[-1].parts.append(_html.unescape(text[at:start]))
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag in INLINE:
                 if quiet and tag in quiet:
                     del quiet[quiet.index(tag) :]
@@ -160,9 +202,9 @@ def parse(text: str) -> Node:
             stack[-1].parts.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(text, at)
-            at = n if end is None else end.end()
-            stack[-1].parts.append("" if tag in ("script", "style", "template") else " ")
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(text, at)
+            at = n if close is None else close.end()
+            stack[-1].parts.append("" if tag in ("script", "style") else " ")
             continue
         if tag in ("br", "hr"):
             stack[-1].parts.append(" ")
@@ -171,15 +213,21 @@ def parse(text: str) -> Node:
         if tag in VOID:
             continue
         if tag in INLINE:
-            if (quiet and tag == quiet[0]) or (m[3] and any(_never(tag, m[3]))):
+            if (quiet and tag == quiet[0]) or (attributes and any(_never(tag, attributes))):
                 quiet.append(tag)
             continue
         if tag in CLOSES_P:
+            for ended in ENDED:
+                if open_.has(ended):
+                    open_.close(ended)
             open_.close_in_scope({"p"})
+        if tag in CLOSABLE and attributes.endswith("/"):
+            stack[-1].parts.append(" ")
+            continue
         if peers := PEERS.get(tag):
             open_.close_in_scope(peers)
         quiet = []
-        never, bar = _never(tag, m[3])
+        never, bar = _never(tag, attributes)
         never = never or stack[-1].never or tag == "header" and not (open_.has("article") or open_.has("main"))
         node = Node(tag, never, bar or stack[-1].bar)
         stack[-1].kids.append(node)
@@ -201,37 +249,42 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def text_of(node: Node, skip: set[int], bars: bool = False) -> str:
-    """The text below a node, without elements that are never content; bars: those named like bars are content."""
+def text_of(node: Node, skip: set[int], drop: frozenset[int] | set[int] = frozenset(), bars: int | None = None) -> str:
+    """The text below a node, without elements that are never content and those of the numbers in drop; bars: below the
+    node of this number those named like bars are content."""
     out: list[str] = []
-    todo: list[str | Node] = [node]
+    todo: list[tuple[str | Node, bool]] = [(node, False)]
     while todo:
-        x = todo.pop()
+        x, inner = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.never or x.bar and not bars:
-            out.append(" ")
-        elif x.number in skip:  # its own text is template, its kids are judged by themselves
-            out.append(" ")
-            todo += [y for y in reversed(x.parts) if not isinstance(y, str)]
+            continue
+        inner = inner or x.number == bars
+        out.append(" ")
+        if x.never or x.bar and not inner or x.number in drop:
+            continue
+        if x.number in skip:  # its own text is template, its kids are judged by themselves
+            todo += [(y, inner) for y in reversed(x.parts) if not isinstance(y, str)]
         else:
-            todo.append(" ")
-            todo += reversed(x.parts)
+            todo.append((" ", inner))
+            todo += [(y, inner) for y in reversed(x.parts)]
     return " ".join("".join(out).split())
 
 
 def skeleton(root: Node) -> str:
-    """Depths, tags and hashes of own texts of the nodes in the order of the page, as three flat JSON arrays."""
-    depth, tags, hashes = [], [], []
+    """Depths, tags, hashes and lengths of own texts and flags of the nodes in the order of the page, as flat JSON arrays."""
+    depth, tags, hashes, sizes, flags = [], [], [], [], []
     todo = [(root, 0)]
     while todo:
         x, d = todo.pop()
         own = x.own()
         depth.append(d)
         tags.append(x.tag)
-        hashes.append(xxhash.xxh32_hexdigest(own) if own else "")
+        hashes.append(xxhash.xxh32_intdigest(own) if own else 0)
+        sizes.append(len(own))
+        flags.append(int(x.never or x.bar))
         todo += [(k, d + 1) for k in reversed(x.kids)]
-    return json.dumps([depth, tags, hashes], separators=(",", ":"))
+    return json.dumps([depth, tags, hashes, sizes, flags], separators=(",", ":"))
 
 
 class _Shapes:
@@ -256,21 +309,27 @@ class _Shapes:
 
 
 class Seed:
-    """A skeleton as numbered nodes, in the order of the page."""
+    """A page's skeleton as numbered nodes, in the order of the page."""
 
-    def __init__(self, text: str):
-        depth, self.tags, self.hashes = json.loads(text)
+    def __init__(self, text: str | Node):
+        depth, self.tags, self.hashes, self.sizes, self.flags = json.loads(text if isinstance(text, str) else skeleton(text))
         self.kids: list[list[int]] = [[] for _ in self.tags]
+        self.parent = [-1] * len(self.tags)
         path: list[int] = []
         for number, d in enumerate(depth):
             del path[d:]
             if path:
                 self.kids[path[-1]].append(number)
+                self.parent[number] = path[-1]
             path.append(number)
         self.shapes = _Shapes()
-        self.shape = [0] * len(self.tags)
+        self.shape = self.numbered(self.shapes)
+
+    def numbered(self, shapes: _Shapes) -> list[int]:
+        shape = [0] * len(self.tags)
         for i in range(len(self.tags) - 1, -1, -1):
-            self.shape[i] = self.shapes.number(self.tags[i], tuple(self.shape[k] for k in self.kids[i]))
+            shape[i] = shapes.number(self.tags[i], tuple([shape[k] for k in self.kids[i]]))
+        return shape
 
 
 def _middle(a: list, b: list) -> tuple[int, int]:
@@ -319,18 +378,18 @@ def _heaviest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> list[tuple[in
     return out
 
 
-def tree_match(seed: Seed, page: Node) -> list[tuple[int, Node]]:
-    """Pairs (seed node, page node) of a largest simple tree matching of the two trees; the roots must have equal tags.
+def tree_match(seed: Seed, page: Seed | Node) -> list[tuple[int, int]]:
+    """Pairs (seed node, page node), by number, of a largest simple tree matching of the two trees; the roots must have equal tags.
 
     Weights are kept for pairs of tree shapes. Trees of one shape match in full, and siblings of equal shape at the
     front and the back of two lists are paired at once, which loses nothing, as such a pair uses all nodes of both;
     the dynamic programme runs on what is between. Nothing is recursive, so depth doesn't matter.
     """
+    page = page if isinstance(page, Seed) else Seed(page)
     shapes = _Shapes(seed.shapes)
-    nodes = _in_order(page)
-    shape = {}
-    for x in reversed(nodes):
-        shape[x.number] = shapes.number(x.tag, tuple(shape[k.number] for k in x.kids))
+    shape = page.numbered(shapes)
+    if shape[0] == seed.shape[0]:
+        return [(i, i) for i in range(len(shape))]
     known: dict[tuple[int, int], int] = {}
 
     def weigh(a: int, b: int) -> int | None:
@@ -366,15 +425,15 @@ def tree_match(seed: Seed, page: Node) -> list[tuple[int, Node]]:
             known[a, b] = total
             todo.pop()
 
-    if seed.tags[0] != page.tag:
+    if seed.tags[0] != page.tags[0]:
         return []
-    weigh_all(seed.shape[0], shape[page.number])
-    out, todo = [], [(0, page)]
+    weigh_all(seed.shape[0], shape[0])
+    out, todo = [], [(0, 0)]
     while todo:
         s, p = todo.pop()
         out.append((s, p))
-        a, b = seed.kids[s], p.kids
-        sa, sb = [seed.shape[i] for i in a], [shape[q.number] for q in b]
+        a, b = seed.kids[s], page.kids[p]
+        sa, sb = [seed.shape[i] for i in a], [shape[q] for q in b]
         lo, hi = _middle(sa, sb)
         todo += zip(a[:lo], b[:lo], strict=True)
         todo += zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)
@@ -388,13 +447,10 @@ def tree_match(seed: Seed, page: Node) -> list[tuple[int, Node]]:
     return out
 
 
-def aligned(seed: Seed, page: Node) -> list[tuple[int, Node, bool]]:
+def aligned(seed: Seed, page: Seed | Node) -> list[tuple[int, int, bool]]:
     """Matched pairs with a mark for equal non-empty own texts."""
-    out = []
-    for s, p in tree_match(seed, page):
-        own = p.own()
-        out.append((s, p, bool(own) and xxhash.xxh32_hexdigest(own) == seed.hashes[s]))
-    return out
+    page = page if isinstance(page, Seed) else Seed(page)
+    return [(s, p, page.sizes[p] > 0 and page.hashes[p] == seed.hashes[s] and page.sizes[p] == seed.sizes[s]) for s, p in tree_match(seed, page)]
 
 
 def layout(root: Node) -> str:
@@ -418,50 +474,69 @@ def layout(root: Node) -> str:
     return done[root.number]
 
 
-def varying(pairs: list[tuple[int, Node, bool]], root: Node) -> dict[int, int]:
+def varying(pairs: list[tuple[int, int, bool]], page: Seed) -> dict[int, int]:
     """Characters of text other than the seed's by seed node; text of a page node that isn't matched counts for the
     matched one around it. What is never content or named like a bar doesn't count."""
-    at = {p.number: (s, equal) for s, p, equal in pairs}
+    at = {p: (s, equal) for s, p, equal in pairs}
     out: dict[int, int] = {}
-    todo = [(root, 0)]
-    while todo:
-        x, s = todo.pop()
-        if x.never or x.bar:
+    around = [0] * len(page.tags)
+    for p, size in enumerate(page.sizes):
+        if page.flags[p]:  # so are all below
             continue
-        s, equal = at.get(x.number, (s, False))
-        if not equal and (size := len(x.own())):
+        s, equal = at.get(p, (around[page.parent[p]] if p else 0, False))
+        around[p] = s
+        if size and not equal:
             out[s] = out.get(s, 0) + size
-        todo += [(k, s) for k in x.kids]
     return out
 
 
-def content_slot(seed: Seed, mass: dict[int, int]) -> int:
-    """The seed node that holds the varying text, from the text found at each node; -1 if none stands out.
-
-    From the root on, the child with SLOT_SHARE of the text is entered if it has children itself and no other child
-    with varying text has a heading: a title belongs to what it stands over.
+def content_slot(seed: Seed, mass: dict[int, int], constant: dict[int, int]) -> tuple[int, int, frozenset[int]]:
+    """The slot of the content, the end of the spine and the nodes in the slot that are left out, from the varying and
+    the constant text counted at each node. The slot is -1 if nothing varies, ARTICLES if article and main elements
+    hold at least half of what varies.
     """
-    total, heading = [0] * len(seed.tags), [False] * len(seed.tags)
+    total, fixed = [0] * len(seed.tags), [0] * len(seed.tags)
     for i in range(len(seed.tags) - 1, -1, -1):
         total[i] = mass.get(i, 0) + sum(total[k] for k in seed.kids[i])
-        heading[i] = total[i] > 0 and (seed.tags[i] in HEADINGS or any(heading[k] for k in seed.kids[i]))
-    at = 0
-    while seed.kids[at] and total[at]:
-        k = max(seed.kids[at], key=lambda i: total[i])
-        if total[k] < SLOT_SHARE * total[at] or not seed.kids[k] or any(heading[i] for i in seed.kids[at] if i != k):
+        fixed[i] = constant.get(i, 0) + sum(fixed[k] for k in seed.kids[i])
+    if not total[0]:
+        return -1, -1, frozenset()
+    found, todo = 0, [0]
+    while todo:
+        i = todo.pop()
+        if seed.tags[i] in ("article", "main") and not seed.flags[i]:
+            found += total[i]
+        else:
+            todo += seed.kids[i]
+    if 2 * found >= total[0]:
+        return ARTICLES, -1, frozenset()
+    at, drop = 0, set()
+    while True:
+        most = max(seed.kids[at], key=lambda i: total[i], default=None)
+        if most is None or 2 * total[most] <= total[at]:
+            break
+        drop |= {k for k in seed.kids[at] if k != most and 0 < total[k] <= fixed[k]}
+        at = most
+    # the smallest node that holds the end of the spine and all other content
+    slot = 0
+    while slot != at:
+        left = mass.get(slot, 0) + sum(total[k] > 0 for k in seed.kids[slot] if k not in drop)
+        inner = next(k for k in seed.kids[slot] if _holds(seed, k, at))
+        if left != 1 or mass.get(slot, 0):
             break
-        at = k
-    return -1 if seed.tags[at] in ("#page", "html", "body") else at
+        slot = inner
+    return slot, at, frozenset(drop)
 
 
-def fits(seed: Seed, page: Node, matched: int) -> bool:
+def _holds(seed: Seed, outer: int, node: int) -> bool:
+    while node > outer:
+        node = seed.parent[node]
+    return node == outer
+
+
+def fits(seed: Seed, page: Seed, matched: int) -> bool:
     """Whether half of the smaller of the two trees was matched, the roots aside."""
-    size, todo = 0, [page]
-    while todo:
-        size += 1
-        todo += todo.pop().kids
-    least = min(len(seed.tags), size) - 1
-    return matched >= 1 and 2 * (matched - 1) >= least
+    return matched >= 1 and 2 * (matched - 1) >= min(len(seed.tags), len(page.tags)) - 1
 
 
 def _region(root: Node) -> list[Node]:
@@ -480,11 +555,14 @@ def _region(root: Node) -> list[Node]:
 
 @dataclass
 class Wrapper:
-    """What was learned from the pages that fit a seed: its template nodes and its content slot (-1: none)."""
+    """What was learned from the pages that fit a seed: its template nodes, its content slot (-1: none), the end of the
+    spine and the nodes in the slot that are no content."""
 
     seed: Seed
     template: frozenset[int] = frozenset()
     slot: int = -1
+    spine: int = -1
+    drop: frozenset[int] = frozenset()
 
 
 def main_text(page: str, wrapper: Wrapper | None = None) -> str:
@@ -492,32 +570,37 @@ def main_text(page: str, wrapper: Wrapper | None = None) -> str:
     return _text(parse(page), wrapper)
 
 
+def _headings(regions: list[Node]) -> set[int]:
+    """The headings in article and main elements: they belong to what they stand over, also where they are constant."""
+    out, todo = set(), [x for x in regions if x.tag in ("article", "main")]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            out.add(x.number)
+        todo += x.kids
+    return out
+
+
 def _text(root: Node, wrapper: Wrapper | None) -> str:
     skip: set[int] = set()
-    regions: list[Node] = []
-    if wrapper is not None and (wrapper.template or wrapper.slot >= 0):
-        pairs = aligned(wrapper.seed, root)
-        skip = {p.number for s, p, equal in pairs if equal and s in wrapper.template}
-        if wrapper.slot >= 0 and fits(wrapper.seed, root, len(pairs)):
-            regions = _slot_nodes(root, pairs, wrapper.slot)
-    for chosen in (regions, _region(root)):
-        bars = bool(chosen) and chosen[0] is not root
-        if text := " ".join(x for x in (text_of(r, skip, bars) for r in chosen) if x):
+    regions = _region(root)
+    if wrapper is not None and (wrapper.template or wrapper.slot != -1):
+        page = Seed(root)
+        pairs = aligned(wrapper.seed, page)
+        skip = {p for s, p, equal in pairs if equal and s in wrapper.template}
+        if wrapper.slot >= 0 and fits(wrapper.seed, page, len(pairs)):
+            at = {s: p for s, p, _ in pairs}
+            mine = at.get(wrapper.slot)
+            if mine is not None and not page.flags[mine]:
+                drop = {at[s] for s in wrapper.drop if s in at}
+                inner = None if wrapper.seed.tags[wrapper.spine] in ("#page", "html", "body") else at.get(wrapper.spine)
+                if text := text_of(_in_order(root)[mine], skip, drop, inner):
+                    return text
+    for left_out in (skip - _headings(regions), set()):
+        # with nothing left out: a page all of whose slots are constant is a copy of the others, not a template without content
+        if text := " ".join(x for x in (text_of(r, left_out, bars=r.number if r is not root else None) for r in regions) if x):
             return text
-    # a page all of whose slots are constant is a copy of the others, not a template without content
-    return " ".join(x for x in (text_of(r, set(), r is not root) for r in _region(root)) if x)
-
-
-def _slot_nodes(root: Node, pairs: list[tuple[int, Node, bool]], slot: int) -> list[Node]:
-    """The page's node in the content slot, with those of its siblings that have its tag and no seed node of their own."""
-    mine = next((p for s, p, _ in pairs if s == slot), None)
-    if mine is None or mine.never:
-        return []
-    matched = {p.number for _, p, _ in pairs}
-    around = next((x for x in _in_order(root) if any(k is mine for k in x.kids)), None)
-    if around is None:
-        return [mine]
-    return [k for k in around.kids if k is mine or k.tag == mine.tag and k.number not in matched and not (k.never or k.bar)]
+    return ""
 
 
 def _text_bytes(df: DataFrame, *columns: str) -> int:
@@ -528,8 +611,8 @@ class _Wrappers:
     """The wrappers of hosts: a broadcast map if they are small, else a column that is joined to the pages."""
 
     def __init__(self, spark: SparkSession, known: DataFrame):
-        """known (host, layout, n, seed, template, slot); a host's most common layout comes first."""
-        ranked = F.sort_array(F.collect_list(F.struct("n", "layout", "seed", "template", "slot")), asc=False).alias("wrappers")
+        """known (host, layout, n, seed, template, slot, spine, dropped); a host's most common layout comes first."""
+        ranked = F.sort_array(F.collect_list(F.struct("n", "layout", "seed", "template", "slot", "spine", "dropped")), asc=False).alias("wrappers")
         self.by_host = known.groupBy("host").agg(ranked)
         self.shared = None
         if _text_bytes(known, "host", "seed") + 4 * (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= MAX_SEED_BYTES:
@@ -542,24 +625,22 @@ class _Wrappers:
         return pages.withColumn("wrappers", F.lit(None).cast(self.by_host.schema["wrappers"].dataType))
 
 
-def _lookup(shared):
-    """For one worker a function (host, wrappers column's value, parsed page) -> (layout, Wrapper) or None."""
-    cache: dict[tuple, Wrapper] = {}
+#: parsed wrappers of this worker, by broadcast and contents
+_known: dict[tuple, Wrapper] = {}
 
-    def find(host: str, joined: list | None, root: Node) -> tuple[str, Wrapper] | None:
-        rows = shared.value.get(host) if shared is not None else [tuple(w.values()) for w in joined or []]
-        mine = layout(root) if rows else ""
-        if not mine:
-            return None
-        row = next((w for w in rows if w[1] == mine), rows[0])
-        key = (row[2], tuple(row[3]), row[4])
-        if key not in cache:
-            if len(cache) > 2000:
-                cache.clear()
-            cache[key] = Wrapper(Seed(row[2]), frozenset(row[3]), row[4])
-        return row[1], cache[key]
 
-    return find
+def _find(shared, host: str, joined: list | None, mine: str) -> tuple[str, Wrapper] | None:
+    """The wrapper for a page of the layout `mine`, from the broadcast map or the wrappers column's value."""
+    rows = (shared.value.get(host) or []) if shared is not None else [tuple(w.values()) for w in joined or []]
+    if not rows or not mine:
+        return None
+    row = next((w for w in rows if w[1] == mine), rows[0])
+    key = (row[2], tuple(row[3]), *row[4:6], tuple(row[6]))
+    if key not in _known:
+        if len(_known) > 2000:
+            _known.clear()
+        _known[key] = Wrapper(Seed(row[2]), frozenset(row[3]), row[4], row[5], frozenset(row[6]))
+    return row[1], _known[key]
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -568,87 +649,92 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Null and empty html give an empty text. Pages without a host (null url or no ://) are one host. Character
     references are decoded, white space is turned into one space, blocks are joined by one space in page order.
     Seeds to which fewer than MIN_PAGES pages fit have no template and no content slot. Pages may be of any length and
-    nested to any depth; the time of an alignment grows with the product of two lists of siblings of unlike shapes.
-    Repeated rows are pages like any other; further columns are ignored. Seeds hold some bytes for each element of
-    one page a layout; they are broadcast if all together are under MAX_SEED_BYTES, else joined by host, where Spark
-    splits hosts that have very many pages. Both ways give the same rows.
+    nested to any depth; parsing is linear, the time of an alignment grows with the product of two lists of siblings of unlike
+    shapes. Constant headings of article and main elements are content, other constant text of theirs is template.
+    Repeated rows are pages like any other; further columns are ignored. Pages are parsed twice: once for their
+    skeletons, which are written as a table, and once for their texts. Seeds are broadcast if all together are under MAX_SEED_BYTES,
+    else joined by host, where Spark splits hosts that have very many pages. Both ways give the same rows.
     """
     small_batches(spark)
     host, _ = split_url()
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
-    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            host, h, page_html = batch.columns
-            yield pa.RecordBatch.from_arrays([host, h, pa.array([layout(parse(t)) for t in page_html.to_pylist()], pa.string())], ["host", "h", "layout"])
-
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, lay, n, page_html = batch.columns
-            yield pa.RecordBatch.from_arrays([host, lay, n, pa.array([skeleton(parse(t)) for t in page_html.to_pylist()], pa.string())], ["host", "layout", "n", "seed"])
+            roots = [parse(t) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([layout(r) for r in roots], pa.string()), pa.array([skeleton(r) for r in roots], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["host", "h", "layout", "seed"])
 
     page = own.select("host", F.xxhash64("html").alias("h"), "html")
-    kinds = page.mapInArrow(layouts, "host string, h long, layout string").where("layout <> ''")
-    kinds = table(spark, kinds.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h")), "layouts")
+    outlines = table(spark, page.mapInArrow(outline, "host string, h long, layout string, seed string").where("layout <> ''"), "outlines")
+    kinds = outlines.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    kinds = table(spark, kinds, "layouts")
     hosts = kinds.groupBy("host").agg(F.sum("n").alias("total"), F.max(F.struct("n", "layout")).alias("most")).where(F.col("total") >= MIN_PAGES)
     common = (F.col("layout") == F.col("most.layout")) | ((F.col("n") >= MIN_PAGES) & (F.col("n") >= LAYOUT_SHARE * F.col("total")))
     first = table(spark, kinds.join(hosts, "host").where(common).select("host", "h", "layout", "n"), "first")
     small = _text_bytes(first, "host", "layout") + 16 * first.count() <= MAX_SEED_BYTES
-    seeds = page.join(F.broadcast(first) if small else first, ["host", "h"]).dropDuplicates(["host", "layout"]).select("host", "layout", "n", "html")
-    seeds = table(spark, seeds.mapInArrow(outline, "host string, layout string, n long, seed string"), "seeds")
-    unknown = seeds.select("*", F.array().cast("array<int>").alias("template"), F.lit(-1).alias("slot"))
-    counted = _Wrappers(spark, unknown)
+    seeds = outlines.join(F.broadcast(first) if small else first, ["host", "h", "layout"]).dropDuplicates(["host", "layout"])
+    seeds = table(spark, seeds.select("host", "layout", "n", "seed"), "seeds")
+    none = F.array().cast("array<int>")
+    counted = _Wrappers(spark, seeds.select("*", none.alias("template"), F.lit(-1).alias("slot"), F.lit(-1).alias("spine"), none.alias("dropped")))
     shared_seeds = counted.shared
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _lookup(shared_seeds)
         for batch in batches:
             total: dict[tuple[str, str, int], list[int]] = {}
-            for h, page_html, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                root = parse(page_html)
-                found = find(h, joined, root)
+            for h, mine, text, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _find(shared_seeds, h, joined, mine)
                 if found is None:
                     continue
-                pairs = aligned(found[1].seed, root)
-                if fits(found[1].seed, root, len(pairs)):
+                own_ = Seed(text)
+                pairs = aligned(found[1].seed, own_)
+                if fits(found[1].seed, own_, len(pairs)):
                     for s in [-1, *(s for s, _, equal in pairs if equal)]:
-                        total.setdefault((h, found[0], s), [0, 0])[0] += 1
-                    for s, size in varying(pairs, root).items():
-                        total.setdefault((h, found[0], s), [0, 0])[1] += size
+                        x = total.setdefault((h, found[0], s), [0, 0, 0])
+                        x[0] += 1
+                        if s >= 0 and not found[1].seed.flags[s]:
+                            x[2] += found[1].seed.sizes[s]
+                    for s, size in varying(pairs, own_).items():
+                        total.setdefault((h, found[0], s), [0, 0, 0])[1] += size
             if total:
                 columns = [pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
-                columns += [pa.array([v[i] for v in total.values()], pa.int64()) for i in range(2)]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "node", "equal", "mass"])
+                columns += [pa.array([v[i] for v in total.values()], pa.int64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "node", "equal", "mass", "constant"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            templates, slots = [], []
+            learned: list[tuple] = []
             for seed, nodes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 fit = max((x["equal"] for x in nodes or [] if x["node"] < 0), default=0)
-                learned = fit >= MIN_PAGES
-                templates.append(sorted(x["node"] for x in nodes if x["node"] >= 0 and x["equal"] >= SHARE * fit) if learned else [])
-                slots.append(content_slot(Seed(seed), {x["node"]: x["mass"] for x in nodes if x["node"] >= 0}) if learned else -1)
-            columns = [*batch.columns[:4], pa.array(templates, pa.list_(pa.int32())), pa.array(slots, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "n", "seed", "template", "slot"])
-
-    paired = counted.beside(own.select("host", "html"), "inner").select("host", "html", "wrappers")
-    nodes = paired.mapInArrow(count, "host string, layout string, node int, equal long, mass long")
-    nodes = nodes.groupBy("host", "layout", "node").agg(F.sum("equal").alias("equal"), F.sum("mass").alias("mass"))
-    nodes = nodes.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "equal", "mass")).alias("nodes"))
+                if fit < MIN_PAGES:
+                    learned.append(([], -1, -1, []))
+                    continue
+                template = {x["node"] for x in nodes if x["node"] >= 0 and x["equal"] >= SHARE * fit}
+                slot, spine, drop = content_slot(Seed(seed), {x["node"]: x["mass"] for x in nodes if x["node"] >= 0}, {x["node"]: x["constant"] for x in nodes if x["node"] in template})
+                learned.append((sorted(template), slot, spine, sorted(drop)))
+            kinds_ = (pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            columns = [*batch.columns[:4], *(pa.array([x[i] for x in learned], t) for i, t in enumerate(kinds_))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "n", "seed", "template", "slot", "spine", "dropped"])
+
+    paired = counted.beside(outlines, "inner").select("host", "layout", "seed", "wrappers")
+    nodes = paired.mapInArrow(count, "host string, layout string, node int, equal long, mass long, constant long")
+    nodes = nodes.groupBy("host", "layout", "node").agg(F.sum("equal").alias("equal"), F.sum("mass").alias("mass"), F.sum("constant").alias("constant"))
+    nodes = nodes.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "equal", "mass", "constant")).alias("nodes"))
     # seeds without a template stay, so that a page takes the seed that it was counted with
     known = seeds.join(nodes, ["host", "layout"], "left").select("host", "layout", "n", "seed", "nodes")
-    known = table(spark, known.mapInArrow(decide, "host string, layout string, n long, seed string, template array<int>, slot int"), "wrappers")
+    made = "host string, layout string, n long, seed string, template array<int>, slot int, spine int, dropped array<int>"
+    known = table(spark, known.mapInArrow(decide, made), "wrappers")
+    drop(outlines)
     learned = _Wrappers(spark, known)
     shared_wrappers = learned.shared
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _lookup(shared_wrappers)
         for batch in batches:
             ids, url, hosts, page_html, joined = batch.columns
             texts = []
             for h, t, w in zip(hosts.to_pylist(), page_html.to_pylist(), joined.to_pylist(), strict=True):
                 root = parse(t)
-                found = find(h, w, root)
+                found = _find(shared_wrappers, h, w, layout(root))
                 texts.append(_text(root, found[1] if found else None))
             yield pa.RecordBatch.from_arrays([ids, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

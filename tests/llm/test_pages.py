@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from netloom.llm import html, queries, urls
@@ -83,8 +85,9 @@ def test_wrapper_beats_markup():
     """A slot that holds the varying text is content even where another element calls itself the article."""
     seed = html.Seed(html.skeleton(html.parse("<div><article>Top <p>x</p></article><div><p>a</p><p>b</p></div></div>")))
     page = "<div><article>Top <p>y</p></article><div><p>long story</p><p>of today</p></div></div>"
-    slot = html.content_slot(seed, html.varying(html.aligned(seed, html.parse(page)), html.parse(page)))
-    assert html.main_text(page) == "Top y" and html.main_text(page, html.Wrapper(seed, frozenset(), slot)) == "long story of today"
+    own = html.Seed(html.parse(page))
+    learned = html.content_slot(seed, html.varying(html.aligned(seed, own), own), {seed.tags.index("article"): 3})
+    assert html.main_text(page) == "Top y" and html.main_text(page, html.Wrapper(seed, frozenset(), *learned)) == "long story of today"
 
 
 def test_names_of_bars_count_outside_of_articles_only():
@@ -163,6 +166,80 @@ def test_articles_of_the_test_pages(spark, sf):
         assert out[r.page_id] == " ".join(h.unescape(body).split())
 
 
+def words(r, n):
+    return " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randrange(99)) for _ in range(n))
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main", "section"])
+def test_no_varying_text_of_the_article_is_lost(spark, tag):
+    """A lead, the text and an end in containers of their own: all of it is content, whatever its share."""
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(14):
+        lead, end, body = words(r, 9), words(r, 13), [words(r, 40) for _ in range(4)]
+        page = f'<{tag}><div class="lead"><p>{lead}</p></div><div class="text">{"".join(f"<p>{b}</p>" for b in body)}</div><div class="end"><p>{end}</p></div></{tag}>'
+        rows.append((i, f"http://three.example/{i}", f"<html><body><div>Our site</div>{page}<div>All rights reserved</div></body></html>", " ".join([lead, *body, end])))
+    assert texts_of(spark, rows) == {r[0]: r[3] for r in rows}
+
+
+def test_random_wrappers(spark):
+    """Hosts of random templates: bars before and behind, nested wrappers, leads, ends and asides; the article is known."""
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for host in range(12):
+        deep, tag = r.randrange(3), r.choice(["div", "section", "article", "main"])
+        bar = f"<div><p>{words(r, 12)}</p></div>" if r.random() < 0.7 else ""
+        foot = f"<section><p>{words(r, 15)}</p></section>" if r.random() < 0.7 else ""
+        head, lead, end, dated = (r.random() < 0.5 for _ in range(4))
+        for i in range(9):
+            parts = [f"<h1>{words(r, 5)}</h1>"] if head else []
+            parts += [f"<div><p>{words(r, r.randint(1, 20))}</p></div>"] if lead else []
+            parts += [f"<div>{''.join(f'<p>{words(r, r.randint(5, 30))}</p>' for _ in range(r.randint(1, 6)))}</div>"]
+            parts += [f"<ul><li>{words(r, 3)}</li><li>{words(r, 2)}</li></ul>"] if end else []
+            text = " ".join(re.sub("<[^>]*>", " ", "".join(parts)).split())
+            parts.insert(r.randrange(len(parts) + 1), f"<aside>{words(r, 30)}</aside><div class='comments'>{words(r, 30)}</div><form>{words(r, 4)}</form>")
+            top = f"<div><p>{words(random.Random(host), 12)}</p><p>Page {i}</p></div>" if dated else ""
+            page = f"{'<div>' * deep}<{tag}>{''.join(parts)}</{tag}>{'</div>' * deep}"
+            rows.append((100 * host + i, f"http://host{host}.example/{i}", f"<body>{bar}{top}{page}{foot}</body>", text))
+    got = texts_of(spark, rows)
+    wrong = [(i, want, got[i]) for i, _, _, want in rows if got[i] != want]
+    assert not wrong, wrong[:2]
+
+
+def test_constant_headings_of_articles_stay(spark):
+    rows = [(i, f"http://head.example/{i}", f"<div>Bar</div><article><h1>Daily report</h1><p>Read it daily</p><p>Story {i * i} of many</p></article>") for i in range(8)]
+    assert texts_of(spark, rows) == {i: f"Daily report Story {i * i} of many" for i in range(8)}
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "select", "object", "canvas", "iframe", "noscript", "template"])
+def test_unclosed_elements_end_with_their_parent(tag):
+    assert html.main_text(f"<body><p>Intro text here</p><div><{tag}><circle></div><p>After</p></body>") == "Intro text here After"
+    assert html.main_text(f"<p>a</p><{tag}>gone</{tag}><p>b") == "a b"
+    if tag in ("svg", "math", "select"):
+        assert html.main_text(f"<p>a</p><{tag}><p>b") == "a b"
+    if tag in html.CLOSABLE:
+        assert html.main_text(f"<p>a</p><{tag} x='y'/>b") == "a b"
+
+
+@pytest.mark.parametrize("page", ["<p " * 350_000 + '"', "<p '" * 250_000, '<p "' * 250_001, "<p a=\"'" * 150_000, "<" * 1_000_000, "<a " * 300_000, "<!--" * 250_000, "<p a='" * 170_000 + ">x"])
+def test_parsing_is_linear(page):
+    """Open quotes and tags of a megabyte."""
+    import time
+
+    start = time.perf_counter()
+    html.parse(page)
+    assert time.perf_counter() - start < 4
+
+
+def test_quotes():
+    assert html.main_text("<p title='a>b'>c</p>") == "c" and html.main_text("<p title=\"it's>\">c</p><p it's>d</p>") == "c d"
+    assert html.main_text('<p a="x>y') == "y" and html.main_text("<p class=\"ad\" \">gone</p>x") == "x"
+
+
 URLS = ["http://example.com/en/1", "https://WWW.example.com/en/", "http://a.www.example.com/en/x?y", "http://x.net/es/", "http://x.net/Es/", "http://com/", "http://com", "http://notexample.com/en/", "http://x.net/fr#z", None, "no host", "://", "http://?/net/fr/", "http://EXAMPLE.com:80/en/"]
 
 
