@@ -8,6 +8,7 @@ Texts are compared with A-Z lower-cased and runs of white space (0x20, 0x09-0x0D
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -332,7 +333,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     found = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some.orderBy("item_id", "text").collect()])
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in some.orderBy("item_id", "text").collect()]))
         one = own.mapInArrow(_scan(shared, rate), "doc_id long, item_id long, start long, end long, edits int")
         if parts > 1:  # one part is held at a time
             one = table(spark, one, "places")
@@ -341,16 +342,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     return found
 
 
-def _scan(shared, rate: float):
-    made: list[Items] = []
+#: the index of this worker, by broadcast, so that a worker builds it once for all of its tasks
+_built: dict[str, Items] = {}
+
+
+def _index(key: str, items: list[tuple], rate: float) -> Items:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(items, rate)
+    return _built[key]
 
+
+def _scan(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Items(shared.value, rate))
+        made = _index(*shared.value, rate)
         for batch in batches:
             ids = batch.column(0)
             for row, end, offsets, data in chunks(batch):
-                found = find_items(made[0], offsets, data)
+                found = find_items(made, offsets, data)
                 if found:
                     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     doc, item, a, b, edits = map(np.array, zip(*found, strict=True))

@@ -119,6 +119,7 @@ def train(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_PER_LANG)
     the language's documents), so about 1.25 * per_lang of a large one and all of a small one. Rows of null lang or text
     are left out. The profiles are of fixed size, so they can be broadcast.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).where("lang is not null and text is not null")
     # a share of the hashes, so that a language's rows needn't be brought together
     bound = own.groupBy("lang").agg(F.count("*").alias("n"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from netloom.llm.store import drop, small_batches, table
 from netloom.llm.textops import Words, chunks, take_strings
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SHARD_DOCS = 200_000
 BLOCK_ITEMS = 1000
 BROADCAST_BYTES = 16 << 20

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.store import small_batches
+from netloom.llm.store import columns_of, small_batches
 from netloom.llm.textops import U, Words, chunks, list_column, mix
 
 BITS = 18
@@ -168,10 +168,12 @@ def keep(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, offsets, data in chunks(batch):
+            texts = pa.RecordBatch.from_arrays([batch.column(0).field("text")], ["text"])
+            for row, end, offsets, data in chunks(texts):
                 doc, feature = features(offsets, data)
                 good = shared.value.scores(doc, feature, end - row) >= least
                 if good.any():
                     yield batch.slice(row, end - row).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

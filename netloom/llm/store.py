@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,9 +69,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_key(spark: SparkSession, docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """docs (doc_id, text, ...) with a number that names each different document, and the keys of the odd ones.
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns by name, whatever characters these hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
+
+def with_key(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, ...) -> (key, row) with a number that names each different document, and the keys of the odd ones.
+
+    row is the whole row as one struct, so that no column of docs can clash with a name of ours; `row.*` gives it back.
     The key is doc_id where that is in one row only. Rows that repeat a doc_id or have none are told apart by doc_id and
     SHA-256 of the text, nulls apart from empty texts, and get numbers below all ids; the second result holds these
     as (key, doc_id, digest), or is None if all ids are single. Only ids are shuffled if they are.
@@ -79,13 +85,13 @@ def with_key(spark: SparkSession, docs: DataFrame, key: str) -> tuple[DataFrame,
     ids = docs.select(F.col("doc_id").alias("odd_id"))
     more = table(spark, ids.groupBy("odd_id").agg(F.count("*").alias("n")).where("n > 1 or odd_id is null").select("odd_id"), "odd_ids")
     if more.isEmpty():
-        return docs.withColumn(key, F.col("doc_id").cast("long")), None
+        return docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*columns_of(docs)).alias("row")), None
     digest = F.coalesce(F.sha2("text", 256), F.lit("null"))
     own = docs.select(F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
     odd = own.join(more, F.expr("own_id <=> odd_id"), "left_semi").select(F.col("own_id").alias("odd_id"), F.col("own_digest").alias("digest")).distinct()
     below = docs.agg(F.least(F.min(F.col("doc_id").cast("long")), F.lit(0))).first()[0] or 0
     odd = table(spark, odd.withColumn("odd_key", F.lit(below - 1) - F.monotonically_increasing_id()), "odd_keys")
-    rows = docs.select(F.struct(*docs.columns).alias("own_row"), F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
     keyed = rows.join(odd, F.expr("own_id <=> odd_id and own_digest = digest"), "left")
-    keyed = keyed.select("own_row.*", F.coalesce("odd_key", F.col("own_id").cast("long")).alias(key))
+    keyed = keyed.select(F.coalesce("odd_key", F.col("own_id").cast("long")).alias("key"), "row")
     return keyed, odd.select(F.col("odd_key").alias("key"), F.col("odd_id").alias("doc_id"), "digest")

@@ -16,12 +16,14 @@ So about one row for each twelve words is shuffled, and single windows only at t
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm.store import drop, small_batches, table
 from netloom.llm.textops import U, Words, chunks, grams, int64, span_hash
@@ -93,6 +95,17 @@ def covered(ends: list[int], least: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
+#: the automata of this worker, by broadcast, so that a worker builds them once for all of its tasks
+_built: dict[str, list[SuffixAutomaton]] = {}
+
+
+def _automata(key: str, shards: list[list[list[bytes]]]) -> list[SuffixAutomaton]:
+    if key not in _built:
+        _built.clear()
+        _built[key] = [SuffixAutomaton(s) for s in shards]
+    return _built[key]
+
+
 def remove_reference(spark: SparkSession, docs: DataFrame, reference: DataFrame, words: int = 50) -> DataFrame:
     """docs (doc_id, text), reference (text) -> (doc_id, text, n_removed): spans of `words` words or more that stand
     in the reference are cut.
@@ -115,12 +128,10 @@ def remove_reference(spark: SparkSession, docs: DataFrame, reference: DataFrame,
             held = 0
         shards[-1].append(sequence)
         held += len(sequence)
-    shared = spark.sparkContext.broadcast(shards)
-    made: list[SuffixAutomaton] = []
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.extend(SuffixAutomaton(s) for s in shared.value)
+        made = _automata(*shared.value)
         for batch in batches:
             out, removed = [], []
             for text in batch.column(1).to_pylist():
@@ -293,11 +304,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, words: int = 50, with_t
     carry are passed on, others are ignored; an empty table gives no rows.
     """
     small_batches(spark)
+    if clash := {"doc_id", "n_words", "n_removed", "text", "kept_sha256"} & set(carry):
+        raise ValueError(f"columns that the result has itself can't be carried: {sorted(clash)}; pass them in a struct")
     more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("th", F.shiftright(F.xxhash64("text"), 32).cast("int"))
     own = own.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
     spans = repeated_windows(spark, own.select(F.col("id").alias("doc_id"), "th", "text"), words)
     both = own.join(spans.withColumnRenamed("doc_id", "id"), ["id", "th"], "left").select("doc_id", "spans", "text", *[f"_{i}" for i in range(len(carry))])
-    last = "text string" if with_text else "kept_sha256 string"
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return both.mapInArrow(_removal(words, with_text, list(carry)), f"doc_id long, n_words long, n_removed long, {last}{kinds}")
+    kinds = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("text" if with_text else "kept_sha256", "string")
+    for c in carry:
+        kinds = kinds.add(c, docs.schema[c].dataType)
+    return both.mapInArrow(_removal(words, with_text, list(carry)), kinds)

@@ -95,3 +95,29 @@ def test_odd_rows_in_every_stage(spark, planted, tmp_path):
     assert c.encode(spark, clean, folder).count() == clean.count()
     model_rows = c.keep_quality(spark, docs, folder)
     assert model_rows.columns == docs.columns and model_rows.count() <= len(rows)
+
+
+INNER = "_key key odd_id odd_digest own_row own_id own_digest row rest n_words n_removed kept_sha256 id th spans m s at n times periodic keys sketch digest size component_id kept label score features item_id".split()
+
+
+@pytest.mark.parametrize("ids", ["single", "repeated"])
+def test_no_name_of_a_column_matters(spark, planted, ids):
+    """Further columns with the names that the stages use inside give the rows that are got without them."""
+    import corpus_pipeline as c
+    from netloom.llm.store import table
+
+    folder = planted[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 or doc_id >= 90000")
+    if ids == "repeated":
+        docs = docs.selectExpr("if(doc_id < 8, doc_id div 2, if(doc_id = 9, null, doc_id)) doc_id", "text", "lang", "source", "n_chars")
+    docs = table(spark, docs, "docs")
+    names = docs.columns
+    more = table(spark, docs.selectExpr("*", *[f"concat('{n}', doc_id) `{n}`" for n in INNER], "'d' `a.b``c`"), "more")
+    for name, stage in c.STAGES[:-1]:
+        plain, odd = table(spark, stage(spark, docs, folder), name), table(spark, stage(spark, more, folder), name)
+        assert odd.columns == more.columns and plain.columns == names, name
+        assert sorted(map(str, odd.select(names).collect())) == sorted(map(str, plain.collect())), name
+        assert odd.where(" or ".join(f"not (`{n}` <=> concat('{n}', doc_id))" for n in INNER)).isEmpty(), name
+        docs, more = plain, odd
+    a, b = (sorted(map(str, c.encode(spark, d, folder).collect())) for d in (docs, more))
+    assert a == b
