@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import bpe, decontam, quality, substrings
 from netloom.llm.minhash import NearDedup, near_duplicates
-from netloom.llm.store import table, with_key
+from netloom.llm.store import columns_of, table, with_key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +32,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that are equal in doc_id and text the least by the other columns stays. Null, empty and blank texts are near
     nothing and all stay, unless they repeat an id.
     """
-    keyed, odd = with_key(spark, docs, "_key")
-    found = near_duplicates(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), NearDedup())
+    keyed, odd = with_key(spark, docs)
+    found = near_duplicates(spark, keyed.select(F.col("key").alias("doc_id"), "row.text"), NearDedup())
     if odd is None:
-        kept = found.where("kept").select(F.col("doc_id").alias("_key"))
-        return keyed.join(kept, "_key", "left_semi").select(docs.columns)
+        kept = found.where("kept").select(F.col("doc_id").alias("key"))
+        return keyed.join(kept, "key", "left_semi").select("row.*")
     named = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(odd, "key", "left")
     own_id = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("doc_id").cast("long"))
     best = F.min(F.struct(own_id.isNull().alias("none"), own_id.alias("id"), "digest", "key"))
-    kept = table(spark, named.groupBy("component_id").agg(best.alias("b")).select(F.col("b.key").alias("_key")), "kept")
-    rows = keyed.join(kept, "_key", "left_semi")
-    many = rows.join(odd.select(F.col("key").alias("_key")), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(docs.columns)).alias("row"))
-    single = rows.join(odd.select(F.col("key").alias("_key")), "_key", "left_anti").select(docs.columns)
-    return single.unionByName(many.select("row.*"))
+    kept = table(spark, named.groupBy("component_id").agg(best.alias("b")).select("b.key"), "kept")
+    rows = keyed.join(kept, "key", "left_semi")
+    many = rows.join(odd.select("key"), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    single = rows.join(odd.select("key"), "key", "left_anti")
+    return single.select("row.*").unionAll(many.select("row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,17 +52,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty. Every row stays.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substrings.remove_repeats(spark, docs, words=50, carry=others)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    # the text goes through by itself, all else as one struct, so that no column's name matters
+    rest = F.struct(*[c for name, c in zip(docs.columns, columns_of(docs), strict=True) if name != "text"]).alias("rest")
+    out = substrings.remove_repeats(spark, docs.select("doc_id", "text", rest), words=50, carry=("rest",))
+    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[put.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its edit budget, go; others of the same or no doc_id stay."""
-    keyed, _ = with_key(spark, docs, "_key")
-    found = decontam.contaminated(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = table(spark, found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
+    keyed, _ = with_key(spark, docs)
+    found = decontam.contaminated(spark, keyed.select(F.col("key").alias("doc_id"), "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = table(spark, found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    return keyed.join(leaks, "key", "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
