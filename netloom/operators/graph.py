@@ -514,26 +514,6 @@ def euler_tour(tree: DataFrame) -> DataFrame:
     return at.join(roots, "node").join(size, "root").select("root", (F.col("last") - F.col("left")).alias("pos"), "node")
 
 
-def greedy_colouring(arcs: DataFrame) -> DataFrame:
-    """(component, v, colour): in the order of v the least colour that no coloured neighbour has; one task a component.
-
-    arcs (component, src, dst) hold each edge at least once; loops are ignored.
-    """
-
-    def paint(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf.src, pdf.dst, strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        colour: dict[int, int] = {}
-        for v in sorted(near):
-            used = {colour[u] for u in near[v] if u in colour and u != v}
-            colour[v] = next(c for c in range(len(used) + 1) if c not in used)
-        return pd.DataFrame({"component": pdf.component.iloc[0], "v": list(colour), "colour": list(colour.values())})
-
-    return arcs.groupBy("component").applyInPandas(paint, "component long, v long, colour int")
-
-
 def prim_dijkstra(nets: DataFrame, alpha: float, own: DataFrame | None = None) -> DataFrame:
     """nets (net, pin, x, y, driver) -> (net, pin, parent, length, depth): spanning trees from each net's driver.
 

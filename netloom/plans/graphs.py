@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import coarsen, graph
+from netloom.operators import coarsen, graph, sequential
 from netloom.plans.registry import query
 
 #: components over all hyperedges: each vertex passes on the least label that it has just got, UNION drops known rows
@@ -264,11 +264,8 @@ def euler_tour(t):
  done AS (SELECT colours FROM paint ORDER BY next DESC LIMIT 1)
  SELECT component, v, colours[v + 1]::INT AS colour FROM comp, done WHERE v IN (SELECT v FROM pins WHERE e IN (SELECT e FROM pins GROUP BY e HAVING count(*) > 1))""")
 def greedy_colouring(t):
-    from netloom.operators.graph import connected_components as components
-
-    comp = components(t.h.vertices, t.h.pins)
-    arcs = t.h.pins.select("e", F.col("v").alias("src")).join(t.h.pins.select("e", F.col("v").alias("dst")), "e").where("src < dst").select("src", "dst").distinct()
-    return graph.greedy_colouring(arcs.join(comp.withColumnRenamed("v", "src"), "src").select("component", "src", "dst"))
+    wide = t.h.pins.join(t.h.sizes().where("size > 1").select("e"), "e", "left_semi")
+    return sequential.greedy_colouring(wide).join(graph.connected_components(t.h.vertices, t.h.pins), "v").select("component", "v", "colour")
 
 
 @query(None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import coarsen, cuts, hypergraph
+from netloom.operators import coarsen, cuts, hypergraph, sequential
 from netloom.plans.registry import query
 
 
@@ -137,7 +137,7 @@ def heavy_edge_pairs(t):
   SELECT o.rn, CASE WHEN f.area + o.vwt < 5000 THEN f.area + o.vwt ELSE f.area END, o.v, CASE WHEN f.area + o.vwt < 5000 THEN 0 ELSE 1 END FROM f JOIN o ON o.rn = f.rn + 1)
  SELECT v, part::INT AS part FROM f WHERE rn > 0""")
 def greedy_fill(t):
-    return coarsen.first_fit(t.h.vertices, 5000)
+    return sequential.first_fit(t.h.vertices, 5000)
 
 
 @query("""AND a AS (SELECT e, x, y FROM pins JOIN coords USING (v)), m AS (SELECT e, avg(x) AS mx, avg(y) AS my FROM a GROUP BY e),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import coarsen, cuts, graph, hypergraph, partition, spatial
+from netloom.operators import coarsen, cuts, graph, hypergraph, partition, sequential, spatial
 from netloom.operators.hypergraph import Hypergraph
 from netloom.operators.ordered import prefix_sum, row_numbers
 from netloom.sources import sinks, text
@@ -64,7 +64,7 @@ def test_evaluator_reasons(spark, toy):
     assert e([0, 0, 1, -1], 10).reason == "unassigned"
     assert cuts.legacy_cost(cuts.evaluate(toy, parts(spark, [0, 0, 1]), 2, 10)).first().cost == 1e9
     assert col(hypergraph.weighted_degree(toy)) == [10, 15, 15, 5]
-    assert col(coarsen.first_fit(toy.vertices, 21)) == [0, 0, 1, 1]
+    assert col(sequential.first_fit(toy.vertices, 21)) == [0, 0, 1, 1]
 
 
 def test_coordinates(spark, sample):
@@ -220,10 +220,59 @@ def test_many_ranges(monkeypatch, spark):
     df = spark.range(3000).selectExpr("(id * 7) % 1009 k", "id")
     monkeypatch.setattr(ordered, "NESTED", 3)
     part = ordered.ranged(df, "k", rows=40).groupBy("part").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("part").collect()
-    assert len(part) > 50 and all(a.hi < b.lo for a, b in zip(part, part[1:], strict=False))
+    assert len(part) > 50 and all(a.hi <= b.lo for a, b in zip(part, part[1:], strict=False))
     assert [r.rn for r in ordered.row_numbers(df, "k", "id", rows=40).orderBy("k", "id").collect()] == list(range(1, 3001))
 
 
+def test_one_key_value_is_many_parts(spark):
+    """Equal keys are cut by the ties, equal ties by the other columns; nulls come first."""
+    from netloom.operators import ordered
+
+    df = spark.range(4200).selectExpr("if(id < 100, null, 5L) k", "id % 3 tie", "id x").repartition(7)
+    own = ordered.ranged(df, "k", "tie", rows=1000)
+    sizes = [r["count"] for r in own.groupBy("part").count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 2000
+    rows = ordered.prefix_sum(df, "k", "x", "tie", rows=500).collect()
+    assert sorted(r.total for r in rows)[-1] == sum(range(4200)) and {r.x for r in rows if r.k is None} == {r.x for r in sorted(rows, key=lambda r: r.total)[:101] if r.x < 100}
+    got = ordered.group_row_numbers(df.where("k is not null"), "tie", "x", rows=300).collect()
+    assert all(r.rn == sum(1 for y in range(100, r.x + 1) if y % 3 == r.tie) for r in got) and len(got) == 4100
+    text = spark.range(3000).selectExpr("concat('n', id % 5) k", "id")
+    assert sorted(r.rn for r in ordered.row_numbers(text, "k", "id", rows=100).collect()) == list(range(1, 3001))
+
+
+def brute_colours(edges):
+    colour = {}
+    for v in sorted({v for e in edges for v in e}):
+        used = {colour[u] for e in edges if v in e for u in e if u < v}
+        colour[v] = next(c for c in range(len(used) + 1) if c not in used)
+    return colour
+
+
+@pytest.mark.parametrize("block", [3, 40, 1 << 18])
+def test_colours_of_many_blocks(spark, block):
+    import random
+
+    r = random.Random(6)
+    edges = [set(r.sample(range(120), r.choice([1, 2, 3, 5, 9]))) for _ in range(130)] + [set(range(40, 70))]
+    pins = spark.createDataFrame([(i, v) for i, e in enumerate(edges) for v in [*e, min(e)]], "e long, v long")
+    assert {x.v: x.colour for x in sequential.greedy_colouring(pins, block).collect()} == brute_colours(edges)
+    assert sequential.greedy_colouring(pins.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [0, 1, 60, 777, 2500, 10_000])
+def test_first_fit_by_rounds(spark, capacity):
+    import random
+
+    r = random.Random(capacity)
+    weights = [r.choice([0, 1, 2, 5, 40, 300]) for _ in range(400)]
+    area, want = 0, {}
+    for i, w in enumerate(weights):
+        want[i] = int(not area + w < capacity)
+        area += w if not want[i] else 0
+    df = spark.createDataFrame(list(enumerate(weights)), "v long, vwt long")
+    assert {x.v: x.part for x in sequential.first_fit(df, capacity, rows=30).collect()} == want
+
+
 def test_trees(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (5, 2), (9, None)], "node long, parent long")
     assert {tuple(r) for r in graph.tree_levels(tree).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (9, 0)}
@@ -236,8 +285,8 @@ def test_levels_loops_and_colours(spark):
     arcs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
     nodes = spark.createDataFrame([(c,) for c in "abcxy"], "node string")
     assert {tuple(r) for r in graph.levelize(nodes, arcs).collect()} == {("a", 0), ("b", 1), ("c", 2), ("x", None), ("y", None)}
-    ring = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 1), (0, 3, 4)], "component long, src long, dst long")
-    assert {r.v: r.colour for r in graph.greedy_colouring(ring).collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
+    ring = spark.createDataFrame([(i, v) for i, arc in enumerate([(1, 2), (2, 3), (3, 1), (3, 4)]) for v in arc], "e long, v long")
+    assert {r.v: r.colour for r in sequential.greedy_colouring(ring).collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
 
 
 def test_spanning_forest(spark):
