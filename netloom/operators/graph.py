@@ -301,28 +301,39 @@ def communities(arcs: DataFrame, vertices: DataFrame, method: str = "propagation
     return label
 
 
-def levelize(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(node, level): longest path from a source, in arcs; nodes on or behind a loop have a null level.
+def sweep(nodes: DataFrame, arcs: DataFrame, late: bool = True) -> DataFrame:
+    """(node, arrival, level) of the nodes that no loop leads to: largest (late) or least sum of delays over paths from
+    sources, and the longest path in arcs; arcs (src, dst, delay).
 
-    A node gets its level when all its predecessors have one (one round a level).
+    A node is final once all arcs into it have been counted, that is in the round of its level, so each arc is used in
+    one round only. A round writes one table, of the nodes that its arcs or those before have touched and that aren't final yet.
     """
-    waiting = cut_lineage(arcs.select("src", "dst").distinct())
-    todo = nodes.select("node")
-    done, level = None, 0
-    while True:
-        ready = cut_lineage(todo.join(waiting.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(level).alias("level")))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        if level % 20 == 19:
-            done = cut_lineage(done)
-        before = (todo, waiting)
-        todo = cut_lineage(todo.join(ready.select("node"), "node", "left_anti"))
-        waiting = cut_lineage(waiting.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-        release(*before)
+    pick = F.max if late else F.min
+    into = arcs.groupBy("dst").agg(F.count("*").alias("need"))
+    arcs = cut_lineage(arcs.join(into, "dst").select("src", "dst", "delay", "need"))
+    ready = nodes.select("node").join(arcs.select(F.col("dst").alias("node")), "node", "left_anti")
+    ready = cut_lineage(ready.select("node", F.lit(0).cast("bigint").alias("arrival"), F.lit(0).alias("level")))
+    done, touched, level = ready, None, 0
+    while not ready.isEmpty():
         level += 1
-    loops = todo.select("node", F.lit(None).cast("int").alias("level"))
-    return loops if done is None else done.unionByName(loops)
+        step = arcs.join(ready.select(F.col("node").alias("src"), "arrival"), "src")
+        step = step.groupBy(F.col("dst").alias("node")).agg(pick((F.col("arrival") + F.col("delay")).cast("bigint")).alias("arrival"), F.count("*").alias("got"), F.first("need").alias("need"))
+        if touched is not None:
+            both = touched.where("got < need").unionByName(step)
+            step = both.groupBy("node").agg(pick("arrival").alias("arrival"), F.sum("got").alias("got"), F.first("need").alias("need"))
+        touched = cut_lineage(step)
+        ready = touched.where("got = need").select("node", "arrival", F.lit(level).alias("level"))
+        done = done.unionByName(ready)
+        if level % 20 == 0:
+            done = cut_lineage(done)
+    return done
+
+
+def levelize(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, level): longest path from a source, in arcs; nodes on or behind a loop have a null level."""
+    done = cut_lineage(sweep(nodes, arcs.select("src", "dst", F.lit(1).alias("delay")).distinct()).select("node", "level"))
+    loops = nodes.select("node").join(done, "node", "left_anti").select("node", F.lit(None).cast("int").alias("level"))
+    return done.unionByName(loops)
 
 
 def reachable(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -342,27 +353,9 @@ def reachable(arcs: DataFrame, start: DataFrame, most: int | None = None) -> Dat
 
 def propagate(nodes: DataFrame, arcs: DataFrame, late: bool = True) -> DataFrame:
     """(node, arrival): largest (late) or least sum of delays over paths from sources; arcs (src, dst, delay), acyclic.
-
-    A node is final once all arcs into it have been counted, so each arc is used in one round only and a round touches
-    the nodes of one level and those after them. Nodes on or behind a loop never are: that raises.
-    """
-    pick, arcs = F.max if late else F.min, cut_lineage(arcs.select("src", "dst", "delay"))
-    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
-    waiting = cut_lineage(into.select("node", "need", F.lit(None).cast("bigint").alias("best")))
-    ready = cut_lineage(nodes.join(waiting.select("node"), "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("arrival")))
-    done, level = ready, 0
-    while not ready.isEmpty():
-        step = arcs.join(ready.select(F.col("node").alias("src"), "arrival"), "src")
-        step = step.groupBy(F.col("dst").alias("node")).agg(pick(F.col("arrival") + F.col("delay")).alias("new"), F.count("*").alias("got"))
-        merged = (F.greatest if late else F.least)("best", "new")
-        now = waiting.join(step, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), merged.cast("bigint").alias("best"))
-        now = cut_lineage(now)
-        release(waiting)
-        ready, waiting = now.where("need = 0").select("node", F.col("best").alias("arrival")), cut_lineage(now.where("need > 0"))
-        done, level = done.unionByName(ready), level + 1
-        if level % 20 == 0:
-            done = cut_lineage(done)
-    if not waiting.isEmpty():
+    A loop raises."""
+    done = cut_lineage(sweep(nodes, arcs, late).select("node", "arrival"))
+    if done.count() < nodes.count():
         raise ValueError("the arcs hold a cycle")
     return done
 
