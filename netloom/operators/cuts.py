@@ -125,3 +125,11 @@ def net_reweight(h: Hypergraph, clusters: DataFrame, same_sub: float = 1.2, same
     whole = F.col("lo_cluster") == F.col("hi_cluster")
     factor = F.when(whole & (F.col("lo_sub") == F.col("hi_sub")), same_sub).when(whole, same).otherwise(other)
     return at.join(h.hyperedges, "e").select("e", F.round(F.col("hwt") * factor, 6).alias("weight"))
+
+
+def best_of(h: Hypergraph, solutions: DataFrame, keep: int) -> DataFrame:
+    """solutions (solution, v, part) -> (solution, cut): the keep ones of the least cut, ties by solution; one pass over the pins."""
+    spans = h.pins.join(solutions, "v").groupBy("solution", "e").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    cut = spans.join(h.hyperedges, "e").groupBy("solution").agg(F.sum("hwt").alias("cut"))
+    every = solutions.select("solution").distinct().join(cut, "solution", "left").select("solution", F.coalesce("cut", F.lit(0)).alias("cut"))
+    return every.orderBy("cut", "solution").limit(keep)

@@ -279,6 +279,6 @@ def spectral_order(t):
     """The vertices in the order of their first eigenvector, and the cut of every prefix."""
     from netloom.operators.ordered import row_numbers
 
-    x = graph.eigenvectors(t.h, 1, iterations=6)
+    x = graph.eigenvectors(t.h, 1)
     order = row_numbers(x.select("v", "value", "x"), "x", "v", name="rank")
     return order.join(graph.sweep_cut(t.h, order.select("v", "rank")), "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import netlist
+from netloom.operators import cuts, netlist
 from netloom.plans.registry import query
 
 
@@ -33,11 +33,12 @@ def common_path_credit(t):
     return netlist.common_path_credit(tree, t.part.selectExpr("p_partkey a", f"(p_partkey * 7 + 3) % {n} b"))
 
 
-@query("""AND m AS (SELECT p_brand AS master, list(DISTINCT p_type ORDER BY p_type) AS terms FROM part WHERE p_partkey % 9 < 3 GROUP BY p_brand), w AS (SELECT n_nationkey AS inst, 'Brand#' || (n_nationkey % 25 + 1) AS old, 'Brand#' || ((n_nationkey + 1) % 25 + 1) AS new FROM nation)
+@query("""AND m AS (SELECT p_brand || '-' || p_size AS master, list(DISTINCT p_partkey % 3 ORDER BY p_partkey % 3) AS terms FROM part GROUP BY 1), w AS (SELECT p_partkey AS inst, p_brand || '-' || p_size AS old, p_brand || '-' || (p_size % 50 + 1) AS new FROM part)
  SELECT inst, coalesce(a.terms = b.terms, false) AS ok FROM w LEFT JOIN m a ON a.master = old LEFT JOIN m b ON b.master = new""")
 def swap_master_check(t):
-    terms = t.part.where("p_partkey % 9 < 3").selectExpr("p_brand master", "p_type term")
-    return netlist.swappable(terms, t.nation.selectExpr("n_nationkey inst", "concat('Brand#', n_nationkey % 25 + 1) old", "concat('Brand#', (n_nationkey + 1) % 25 + 1) new"))
+    """Masters are brands in one size, with one to three terminals; each part would take its brand's next size."""
+    terms = t.part.selectExpr("concat(p_brand, '-', p_size) master", "p_partkey % 3 term")
+    return netlist.swappable(terms, t.part.selectExpr("p_partkey inst", "concat(p_brand, '-', p_size) old", "concat(p_brand, '-', p_size % 50 + 1) new"))
 
 
 @query("""SELECT l_orderkey AS net, count(*)::BIGINT AS n_cc, max(l_linenumber) AS max_node, (1.5 * sum(l_quantity))::DOUBLE AS coupling FROM lineitem WHERE l_linenumber > 1 GROUP BY 1""")
@@ -93,9 +94,12 @@ def iteration_trend(t):
     return d.select("day", "n", (F.col("n") - F.lag("n").over(Window.orderBy("day"))).alias("change"))  # one row a day
 
 
-@query("SELECT p_partkey AS solution, p_size AS cost FROM part ORDER BY p_size, p_partkey LIMIT 10")
+@query("""AND s AS (SELECT k AS solution, v, (v // k) % 2 AS part FROM vertices, range(1, 17) r(k)), span AS (SELECT solution, e FROM pins JOIN s USING (v) GROUP BY 1, 2 HAVING min(part) <> max(part))
+ SELECT solution, sum(hwt)::BIGINT AS cut FROM span JOIN hyperedges USING (e) GROUP BY solution ORDER BY cut, solution LIMIT 10""")
 def best_solutions(t):
-    return t.part.select(F.col("p_partkey").alias("solution"), F.col("p_size").alias("cost")).orderBy("cost", "solution").limit(10)
+    """The ten of sixteen initial solutions that cut least: blocks of 1 to 16 neighbouring vertices in turn."""
+    every = t.h.vertices.select("v", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(16).cast("bigint"))).alias("solution"))
+    return cuts.best_of(t.h, every.selectExpr("solution", "v", "cast((v div solution) % 2 as int) part"), 10)
 
 
 @query("AND f AS (SELECT e, count(*) AS n FROM pins GROUP BY e) SELECT e, CASE WHEN n <= 1 THEN 1.0 WHEN n <= 2 THEN 1.8 WHEN n <= 4 THEN 3.0 ELSE 3.0 + 0.5 * (n - 4) END::DOUBLE AS length FROM f")
@@ -188,10 +192,10 @@ def sequence_pair_packing(t):
 @query(None)
 def annealed_packing(t):
     """All parts, in packings of eight; that boxes don't overlap and fit the area is tested on a fixture."""
-    return netlist.anneal_packings(t.part.selectExpr("p_partkey div 8 grp", "p_partkey block", "p_size % 5 + 1 w", "p_size % 7 + 1 h"), seeds=2, steps=40)
+    return netlist.anneal_packings(t.part.selectExpr("p_partkey div 8 grp", "p_partkey block", "p_size % 5 + 1 w", "p_size % 7 + 1 h"))
 
 
 @query(None)
 def kmeans_rounds(t):
     x = t.embeddings.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda a: a.cast("double")).alias("x"))
-    return netlist.kmeans(x, 10, 4)
+    return netlist.kmeans(x, 10, 300)

@@ -400,3 +400,36 @@ def test_bad_hgr(spark, tmp_path):
     (tmp_path / "lfs").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\nsize 1\n")
     with pytest.raises(ValueError):
         text.reject_pointer(text.numbered_lines(spark, str(tmp_path / "lfs"))).count()
+
+
+def test_best_prefix_of_moves_against_all_prefixes(spark):
+    import random
+
+    r = random.Random(2)
+    for seed in range(3):
+        hyper = [(r.sample(range(18), r.choice([2, 3, 4])), r.randint(1, 4)) for _ in range(25)]
+        part = {v: r.randrange(2) if seed < 2 else v % 3 for v in range(18)}
+        run = r.sample([v for v in part if part[v] == 0], 5)
+        cut = lambda p: sum(w for vs, w in hyper if len({p[v] for v in vs}) > 1)  # noqa: B023, E731
+        tried = [cut(part | dict.fromkeys(run[:k], 1)) for k in range(len(run) + 1)]
+        h = Hypergraph(
+            spark.createDataFrame([(v, 1, None) for v in part], "v long, vwt long, fixed int"), spark.createDataFrame([(e, w) for e, (_, w) in enumerate(hyper)], "e long, hwt long"),
+            spark.createDataFrame([(e, v) for e, (vs, _) in enumerate(hyper) for v in vs], "e long, v long"),
+        )
+        got = partition._best_prefix(h, spark.createDataFrame(list(part.items()), "v long, part int"), spark.createDataFrame([(v, i + 1) for i, v in enumerate(run)], "v long, rn long"), 0, 1, tried[0])
+        if min(tried) == tried[0]:
+            assert got is None
+        else:
+            k = tried.index(min(tried))
+            assert got[1] == min(tried) and {x.v: x.part for x in got[0].collect()} == part | dict.fromkeys(run[:k], 1)
+
+
+def test_starts_are_proven_or_not_and_bounds_are_options(spark, toy):
+    o = partition.Options(balance_constraint=32.0, num_initial_solutions=4, num_best_initial_solutions=2)
+    assert all(x.proven and x.cut == 5 for x in partition.search_starts(toy, o).collect())
+    assert not any(x.proven for x in partition.search_starts(toy, partition.Options(balance_constraint=30.0, num_initial_solutions=2, exact_steps=1)).collect())
+    assert all(x.proven for x in partition.search_starts(toy, partition.Options(balance_constraint=30.0, num_initial_solutions=2, exact_steps=0)).collect())
+    with pytest.raises(ValueError, match="most_coarse_pins"):
+        partition.multilevel(toy, partition.Options(most_coarse_pins=3))
+    with pytest.raises(ValueError, match="unknown start"):
+        partition.multilevel(toy, partition.Options(start="x"))
