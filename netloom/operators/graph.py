@@ -64,6 +64,28 @@ def cycle_expansion(h: Hypergraph) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def random_cycles(h: Hypergraph, cycles: int, seed: int = 1) -> DataFrame:
+    """(src, dst, w, spread): as `cycle_expansion`, with `cycles` random cycles through the pins of a hyperedge of four and more, of
+    weight hwt / (2 * cycles * mult) each. spread is the same expansion with hwt / (largest number of pins) on every arc.
+
+    A cycle's order is that of the MD5 of seed, cycle, hyperedge and vertex, so it is the same in every run.
+    """
+    sizes = cut_lineage(h.sizes().where("size > 1").join(h.hyperedges, "e"))
+    most = sizes.agg(F.max("size")).first()[0] or 1
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 3, cycles).otherwise(1) - 1))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "t", "e", "v"))
+    p = h.pins.join(sizes, "e").withColumn("t", turn).withColumn("key", F.when(F.col("size") > 3, key).otherwise(""))
+    own = Window.partitionBy("e", "t")
+    order = own.orderBy("key", "v")
+    k = F.col("size")
+    p = p.withColumn("to", F.coalesce(F.lead("v").over(order), F.first("v").over(order))).where("size > 2 or v < `to`")
+    mult = F.floor(k / 2) * F.ceil(k / 2) / (k - 1)
+    weight = F.when(k == 2, F.col("hwt").cast("double")).when(k == 3, F.col("hwt") / 2).otherwise(F.col("hwt") / (2 * cycles * mult))
+    arcs = p.select(F.col("v").alias("src"), F.col("to").alias("dst"), weight.alias("w"), (F.col("hwt") / F.lit(most)).alias("spread"))
+    both = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "spread"))
+    return both.groupBy("src", "dst").agg(F.sum("w").alias("w"), F.sum("spread").alias("spread"))
+
+
 def laplacian(h: Hypergraph, x: DataFrame) -> DataFrame:
     """x (v, x) -> (v, y): sum over hyperedges of weight * (x - mean x) / mult, without building cliques.
 
@@ -105,6 +127,16 @@ def spectral_path_graph(h: Hypergraph, x: DataFrame) -> DataFrame:
     return p.groupBy(F.least("v", "to").alias("src"), F.greatest("v", "to").alias("dst")).agg(F.count("*").alias("n"))
 
 
+def path_lengths(pairs: DataFrame, coordinates: DataFrame, inverse: bool = False) -> DataFrame:
+    """pairs (src, dst, ...), coordinates (v, x array) -> pairs with `length`: the sum over the coordinates of the distances, or of their
+    inverses with 1e9 for a distance of 0."""
+    at = lambda end: coordinates.select(F.col("v").alias(end), F.col("x").alias(f"{end}_x"))
+    gap = lambda a, b: F.abs(a - b)
+    each = F.zip_with("src_x", "dst_x", (lambda a, b: F.when(a == b, 1e9).otherwise(1 / gap(a, b))) if inverse else gap)
+    joined = pairs.join(at("src"), "src").join(at("dst"), "dst")
+    return joined.select(*pairs.columns, F.aggregate(each, F.lit(0.0), lambda s, d: s + d).alias("length"))
+
+
 def boruvka_step(arcs: DataFrame, label: DataFrame) -> DataFrame:
     """label (v, component) -> (component, src, dst, w): each component's lightest arc that leaves it, ties by ends."""
     a = arcs.join(label.select(F.col("v").alias("src"), F.col("component").alias("cs")), "src").join(label.select(F.col("v").alias("dst"), F.col("component").alias("cd")), "dst").where("cs <> cd")
@@ -148,8 +180,13 @@ def ancestors(tree: DataFrame) -> DataFrame:
     This has a row for each node and ancestor: for what needs only levels, roots or common ancestors take `tree_levels`,
     `tree_roots` and `lowest_common_ancestors`, which keep one row a node.
     """
+    return climbs(tree, tree.select("node"))
+
+
+def climbs(tree: DataFrame, starts: DataFrame) -> DataFrame:
+    """tree (node, parent or null), starts (node) -> (node, anc, up): the ancestors of the starts only, each itself at 0."""
     jumps = _jumps(tree)
-    pairs = cut_lineage(tree.select("node", F.col("node").alias("anc"), F.lit(0).alias("up")))
+    pairs = cut_lineage(starts.select("node", F.col("node").alias("anc"), F.lit(0).alias("up")))
     for level, jump in enumerate(jumps):
         j = jump.select(F.col("node").alias("anc"), "to")
         more = pairs.join(j, "anc").select("node", F.col("to").alias("anc"), (F.col("up") + (1 << level)).alias("up"))

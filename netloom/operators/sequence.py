@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.ordered import group_row_numbers, prefix_sum
+from netloom.session import cut_lineage, release
+
 
 def longest_run(slots: DataFrame, group: str, pos: str, free: Column) -> DataFrame:
     """(group, longest): length of the longest run of free neighbouring slots; 0 where none is free."""
@@ -30,8 +33,45 @@ def scan_chains(cells: DataFrame, most: int) -> DataFrame:
 
     Chains of at most `most` cells are filled per domain, falling edges first, then by cell.
     """
-    rn = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("falling"), "cell"))
-    return cells.select("cell", "domain", ((rn - 1) / most).cast("bigint").alias("chain"), ((rn - 1) % most).cast("bigint").alias("place"))
+    own = group_row_numbers(cells.select("domain", "cell", (~F.col("falling")).alias("rising")), "domain", "rising", "cell")
+    rn = F.col("rn")
+    return own.select("cell", "domain", ((rn - 1) / most).cast("bigint").alias("chain"), ((rn - 1) % most).cast("bigint").alias("place"))
+
+
+def scan_chains_of_bits(cells: DataFrame, most: int) -> DataFrame:
+    """cells (domain, falling, cell, bits) -> (cell, domain, chain, first_bit): chains of at most `most` bits, filled per domain
+    with falling edges first, then by cell; a cell that doesn't fit starts the next chain.
+
+    Each cell points to the one that starts the next chain if it starts one. As the cells up to there have over `most`
+    bits but no cell has, that one stands within two spans of `most` bits, which is looked up by span. The starts are found from the first cell
+    of each domain by doubled jumps, so a domain of most cells needs no task of its own. Cells of more than `most` bits, or of none, are refused.
+    """
+    if not cells.where((F.col("bits") > most) | (F.col("bits") < 1)).isEmpty():
+        raise ValueError(f"cells must have 1 to {most} bits")
+    own = prefix_sum(cells.select("domain", (~F.col("falling")).alias("rising"), "cell", F.col("bits").cast("long").alias("bits")), "domain", "bits", "rising", "cell")
+    base = own.groupBy("domain").agg(F.min(F.col("total") - F.col("bits")).alias("base"))
+    own = own.join(base.withColumnRenamed("domain", "d"), F.col("domain").eqNullSafe(F.col("d"))).drop("d")
+    # at: bits before the cell in its domain, to: with it
+    own = cut_lineage(own.select("base", "domain", "cell", (F.col("total") - F.col("bits") - F.col("base")).alias("at"), (F.col("total") - F.col("base")).alias("to")))
+    spans = own.groupBy("base", F.expr(f"to div {most}").alias("span")).agg(F.array_sort(F.collect_list(F.struct("to", "at"))).alias("cells"))  # at most `most` cells
+    ask = own.select("base", "at", (F.col("at") + most).alias("over"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("span", F.expr(f"over div {most} + k"))
+    after = ask.join(spans, ["base", "span"]).select("base", "at", F.array_min(F.transform(F.filter("cells", lambda c: c["to"] > F.col("over")), lambda c: c["at"])).alias("next"))
+    jump = cut_lineage(after.groupBy("base", "at").agg(F.min("next").alias("next")).where("next is not null"))
+    starts = cut_lineage(own.where("at = 0").select("base", "at"))
+    while not jump.isEmpty():
+        more = starts.join(jump, ["base", "at"]).select("base", F.col("next").alias("at"))
+        new = cut_lineage(starts.unionByName(more).distinct())
+        far = jump.select("base", F.col("at").alias("next"), F.col("next").alias("far"))
+        longer = cut_lineage(jump.join(far, ["base", "next"]).select("base", "at", F.col("far").alias("next")))
+        release(starts, jump)
+        starts, jump = new, longer
+    numbered = cut_lineage(group_row_numbers(starts, "base", "at", name="chain"))
+    # a chain starts in the span of a cell's own first bit or in the one before
+    heads = numbered.select("base", (F.col("chain") - 1).alias("chain"), F.col("at").alias("head"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("span", F.expr(f"head div {most} + k"))
+    heads = heads.groupBy("base", "span").agg(F.collect_list(F.struct("head", "chain")).alias("heads"))  # at most as many as two spans have cells
+    found = own.withColumn("span", F.expr(f"at div {most}")).join(heads, ["base", "span"])
+    head = F.array_max(F.filter("heads", lambda h: h["head"] <= F.col("at")))
+    return found.select("cell", "domain", head["chain"].alias("chain"), (F.col("at") - head["head"]).alias("first_bit"))
 
 
 def replay(journal: DataFrame) -> DataFrame:

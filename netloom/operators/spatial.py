@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.session import cut_lineage, release
+
 
 def hpwl(pins: DataFrame, coords: DataFrame) -> DataFrame:
     """(e, hpwl): half perimeter of the bounding box of each net's pins."""
@@ -156,3 +158,77 @@ def optimal_region(pins: DataFrame, coords: DataFrame, axis: str = "x") -> DataF
     b = own.select("v", F.explode(F.array(f"{axis}lo_rest", f"{axis}hi_rest")).alias("b")).groupBy("v").agg(F.sort_array(F.collect_list("b")).alias("b"))
     n = F.size("b")
     return b.select("v", F.element_at("b", (n / 2).cast("int")).alias(f"{axis}_lo"), F.element_at("b", (n / 2).cast("int") + 1).alias(f"{axis}_hi"))
+
+
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, cell: float = 1.0) -> DataFrame:
+    """queries (q, x, y), points (id, x, y) -> (q, rank, id, d2): each query's k nearest points by squared distance, ties by id.
+
+    Points of one place are told apart by id only, so k of a place are enough. A round looks at the three times three grid cells around
+    a query, which hold all that is nearer than a cell's side; a query whose k-th point is that near is done, the others go
+    on with cells of twice the side, until the cells cover everything. So dense places end in small cells, and only
+    queries with few points around them see large ones. `cell` is the first side, best so that a cell holds some k points. Rows of null
+    coordinates have no neighbours and are none.
+    """
+    place = Window.partitionBy("x", "y").orderBy("id")
+    own = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    own = cut_lineage(own.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n"))
+    todo = cut_lineage(queries.select("q", F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")).where("qx is not null and qy is not null"))
+    ends = own.agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = None
+    if ends.lox is None:
+        return todo.limit(0).select("q", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"))
+    far = todo.agg(F.max(F.greatest(F.abs(F.col("qx") - ends.lox), F.abs(F.col("qx") - ends.hix), F.abs(F.col("qy") - ends.loy), F.abs(F.col("qy") - ends.hiy)))).first()[0] or 0.0
+    side = float(cell)
+    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    while True:
+        at = lambda c, s=side: F.floor(F.col(c) / s).cast("long")
+        cells = todo.select("q", "qx", "qy", F.explode(near).alias("o")).select("q", "qx", "qy", (at("qx") + F.col("o.a")).alias("cx"), (at("qy") + F.col("o.b")).alias("cy"))
+        pairs = cells.join(own.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy")), ["cx", "cy"])
+        d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
+        best = cut_lineage(pairs.select("q", "id", d2.alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "d2"))
+        whole = side >= far
+        done = best.where((F.col("rank") == k) & (F.col("d2") <= side * side)).select("q")
+        part = best if whole else best.join(done, "q", "left_semi")
+        out = part if out is None else out.unionByName(part)
+        if whole:
+            return out
+        rest = cut_lineage(todo.join(done, "q", "left_anti"))
+        release(todo)
+        todo, side = rest, 2 * side
+        if todo.isEmpty():
+            return out
+
+
+def rectangles(points: DataFrame) -> DataFrame:
+    """points (id, pos, x, y) of rectilinear polygons -> (id, xlo, ylo, xhi, yhi): rectangles that cover each polygon without
+    overlapping, cut at every height of a corner.
+
+    A slab between two neighbouring heights is crossed by an even number of upright sides; between the first and the second of
+    them, the third and the fourth and so on is the inside. Closing points don't matter. A polygon with a side that is neither upright
+    nor level raises in the job. One polygon's corners meet in one task.
+    """
+    order = Window.partitionBy("id").orderBy("pos")
+    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order))
+    sides = points.select("id", "x", "y", nxt("x").alias("nx"), nxt("y").alias("ny"))
+    skew = (F.col("x") != F.col("nx")) & (F.col("y") != F.col("ny"))
+    sides = sides.withColumn("y", F.when(skew, F.raise_error(F.concat(F.lit("a side is not rectilinear in polygon "), "id")).cast("bigint")).otherwise(F.col("y")))
+    upright = sides.where("x = nx and y <> ny").select("id", "x", F.least("y", "ny").alias("lo"), F.greatest("y", "ny").alias("hi"))
+    heights = sides.select("id", F.col("y").alias("ylo")).distinct()
+    slabs = heights.withColumn("yhi", F.lead("ylo").over(Window.partitionBy("id").orderBy("ylo"))).where("yhi is not null")
+    crossed = slabs.join(upright, "id").where("lo <= ylo and hi >= yhi")
+    along = Window.partitionBy("id", "ylo").orderBy("x")
+    pairs = crossed.select("id", "ylo", "yhi", F.col("x").alias("xlo"), F.lead("x").over(along).alias("xhi"), F.row_number().over(along).alias("n"))
+    return pairs.where("n % 2 = 1 and xhi > xlo").select("id", "xlo", "ylo", "xhi", "yhi")
+
+
+def swap_candidates(regions: DataFrame, cells: DataFrame, tile: int) -> DataFrame:
+    """regions (v, x_lo, x_hi, y_lo, y_hi), cells (v, x, y, width) -> (v, u): the cells u of v's width that stand in v's region, by tiles.
+
+    A cell whose own place is in its region already has no candidates.
+    """
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    own = regions.join(cells, "v").where("not (x between x_lo and x_hi and y between y_lo and y_hi)").select("v", "width", "x_lo", "x_hi", "y_lo", "y_hi")
+    dealt = own.select("*", span("x_lo", "x_hi").alias("tx")).select("*", span("y_lo", "y_hi").alias("ty"))
+    there = cells.select(F.col("v").alias("u"), "x", "y", "width", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    return dealt.join(there, ["tx", "ty", "width"]).where("x between x_lo and x_hi and y between y_lo and y_hi and u <> v").select("v", "u")

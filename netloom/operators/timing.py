@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.session import cut_lineage
+
 
 def top_k(paths: DataFrame, group: str, slack: str, k: int, *ties: str) -> DataFrame:
     """The k worst rows of each group; Spark keeps only k rows a group in each task before the shuffle."""
@@ -99,17 +101,41 @@ def derate(arcs: DataFrame, cell: DataFrame, net: DataFrame, default: float) ->
     return out.select("id", F.coalesce("fc", "fn", F.lit(default)).alias("factor"))
 
 
-def elmore(tree: DataFrame, root_resistance: float = 0.0) -> DataFrame:
-    """tree (node, parent, r, c) -> (node, delay): sum over the nodes on its path of r times the capacitance below.
+def elmore(tree: DataFrame) -> DataFrame:
+    """tree (node, parent, r, c) -> (node, delay): sum over the nodes on its path of r times the capacitance below. One row a node."""
+    return rc_moments(tree, 1).select("node", (-F.col("m1")).alias("delay"))
+
 
-    Both sums run over the table of ancestors, so they are two aggregations whatever the depth.
+def rc_moments(tree: DataFrame, count: int = 3) -> DataFrame:
+    """tree (node, parent, r, c), r from the parent (of the root: of its driver) -> (node, root, c, m1, ..., m_count): the moments of the
+    voltage at each node for a step at the driver.
+
+    m_j = -(sum over the nodes on the path of r times the summed c * m_(j-1) below), m_0 = 1: a sum over subtrees
+    and one over root paths for each moment, both prefix sums in preorder.
     """
-    from netloom.operators.graph import ancestors
+    from netloom.operators import trees
+
+    order = trees.rooted_order(tree.select("node", "parent"))
+    at = cut_lineage(tree.select("node", "r", "c"))
+    moment = None
+    for j in range(1, count + 1):
+        charge = at.select("node", F.col("c").alias("x")) if moment is None else at.join(moment, "node").select("node", (F.col("c") * F.col(f"m{j - 1}")).alias("x"))
+        drop = trees.subtree_sums(order, charge).join(at, "node").select("node", (F.col("below") * F.col("r")).alias("length"))
+        new = trees.root_distances(order, drop).select("node", (-F.col("distance")).alias(f"m{j}"))
+        moment = cut_lineage(new if moment is None else moment.join(new, "node"))
+    return order.select("node", "root").join(at.select("node", "c"), "node").join(moment, "node")
 
-    anc = ancestors(tree.select("node", "parent"))
-    below = anc.join(tree.select("node", "c"), "node").groupBy("anc").agg(F.sum("c").alias("down"))
-    stage = below.join(tree.select(F.col("node").alias("anc"), "r"), "anc").select("anc", (F.col("r") * F.col("down")).alias("d"))
-    return anc.join(stage, "anc").groupBy("node").agg(F.sum("d").alias("delay"))
+
+def pi_models(tree: DataFrame) -> DataFrame:
+    """tree (node, parent, r, c) -> (root, c1, r, c2): for each tree the capacitance at the driver, the resistance and the capacitance behind
+    it that have the first three moments of the tree's admittance.
+
+    With y1 = sum c, y2 = sum c * m1, y3 = sum c * m2: c2 = y2^2 / y3, r = -y3^2 / y2^3, c1 = y1 - c2. A tree without any
+    resistance in front of a capacitance is c1 alone.
+    """
+    y = rc_moments(tree, 2).groupBy("root").agg(F.sum("c").cast("double").alias("y1"), F.sum(F.col("c") * F.col("m1")).cast("double").alias("y2"), F.sum(F.col("c") * F.col("m2")).cast("double").alias("y3"))
+    far = F.coalesce(F.try_divide(F.col("y2") * F.col("y2"), "y3"), F.lit(0.0))
+    return y.select("root", (F.col("y1") - far).alias("c1"), F.coalesce(-F.try_divide(F.col("y3") * F.col("y3"), F.col("y2") * F.col("y2") * F.col("y2")), F.lit(0.0)).alias("r"), far.alias("c2"))
 
 
 def activity(waves: DataFrame, active: str) -> DataFrame:

@@ -133,8 +133,8 @@ def iteration_totals(t):
  w AS (SELECT node AS leaf, node, 0 AS hops FROM ends UNION ALL SELECT w.leaf, c.prev, hops + 1 FROM w JOIN c ON c.node = w.node WHERE c.prev IS NOT NULL) SELECT leaf, node, hops::INT AS hops FROM w""")
 def path_trace(t):
     """The paths back from all orders that no other order names as its predecessor."""
-    from netloom.operators.graph import ancestors
+    from netloom.operators.graph import climbs
 
     c = t.orders.selectExpr("o_orderkey node", "if(o_orderkey >= 7, o_orderkey div 7 - 1, null) parent")
     ends = c.select("node").join(c.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    return ancestors(c).join(ends, "node").select(F.col("node").alias("leaf"), F.col("anc").alias("node"), F.col("up").alias("hops"))
+    return climbs(c, ends).select(F.col("node").alias("leaf"), F.col("anc").alias("node"), F.col("up").alias("hops"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from netloom.plans.registry import query
@@ -15,7 +13,7 @@ def _events(t):
 
 
 def _run(stream):
-    return deltas.run_to_memory(stream, f"stream_{uuid.uuid4().hex}")
+    return deltas.run_to_files(stream)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import balanced, incremental, modularity, trees
+from netloom.operators import balanced, coarsen, graph, incremental, modularity, spatial, trees
 from netloom.operators.hypergraph import Hypergraph
 from netloom.plans.graphs import _LAYERS, _SYM, _layers, _sym
 from netloom.plans.registry import query
@@ -139,3 +139,60 @@ def low_stretch_tree(t):
     edges = trees.low_stretch_forest(v, arcs)
     order = trees.preorder(v, edges)
     return trees.stretch(order, trees.parent_lengths(order, edges), arcs)
+
+
+@query("""AND p AS (SELECT e, v, count(*) OVER (PARTITION BY e) AS k FROM pins), t AS (SELECT p.*, i AS t, CASE WHEN k > 3 THEN md5('1:' || i || ':' || e || ':' || v) ELSE '' END AS key FROM p, range(0, 3) r(i) WHERE k > 3 OR (k > 1 AND i = 0)),
+ n AS (SELECT e, k, v, coalesce(lead(v) OVER w, first_value(v) OVER w) AS nxt FROM t WINDOW w AS (PARTITION BY e, t ORDER BY key, v)),
+ a AS (SELECT v AS src, nxt AS dst, CASE k WHEN 2 THEN hwt::DOUBLE WHEN 3 THEN hwt / 2 ELSE hwt / (2 * 3 * (floor(k / 2) * ceil(k / 2) / (k - 1))) END AS w, hwt / (SELECT max(k) FROM p)::DOUBLE AS spread
+  FROM n JOIN hyperedges USING (e) WHERE k > 2 OR v < nxt)
+ SELECT src, dst, round(sum(w), 6) AS w, round(sum(spread), 6) AS spread FROM (SELECT * FROM a UNION ALL SELECT dst, src, w, spread FROM a) GROUP BY src, dst""")
+def cycle_expansion_random(t):
+    """Three random cycles a hyperedge, with the second matrix beside."""
+    return graph.random_cycles(t.h, 3).select("src", "dst", F.round("w", 6).alias("w"), F.round("spread", 6).alias("spread"))
+
+
+@query("""AND x AS (SELECT v, [((v * 7919) % 1009)::DOUBLE, (v % 13)::DOUBLE] AS x FROM vertices), p AS (SELECT v, lead(v) OVER (PARTITION BY e ORDER BY (v * 7919) % 1009, v) AS n FROM pins),
+ q AS (SELECT least(v, n) AS src, greatest(v, n) AS dst, count(*)::BIGINT AS n FROM p WHERE n IS NOT NULL GROUP BY 1, 2),
+ d AS (SELECT q.*, abs(a.x[1] - b.x[1]) AS d1, abs(a.x[2] - b.x[2]) AS d2 FROM q JOIN x a ON a.v = src JOIN x b ON b.v = dst)
+ SELECT src, dst, n, d1 + d2 AS length, round(CASE WHEN d1 = 0 THEN 1e9 ELSE 1 / d1 END + CASE WHEN d2 = 0 THEN 1e9 ELSE 1 / d2 END, 6) AS inverse FROM d""")
+def spectral_path_lengths(t):
+    """The path graph by two coordinates, with both kinds of length."""
+    x = t.h.vertices.select("v", F.array(((F.col("v") * 7919) % 1009).cast("double"), (F.col("v") % 13).cast("double")).alias("x"))
+    pairs = graph.spectral_path_graph(t.h, x.select("v", F.col("x")[0].alias("x")))
+    plain = graph.path_lengths(pairs, x)
+    inverse = graph.path_lengths(pairs.select("src", "dst"), x, inverse=True).select("src", "dst", F.round("length", 6).alias("inverse"))
+    return plain.join(inverse, ["src", "dst"])
+
+
+@query("""AND g AS (SELECT p_partkey AS v, p_brand || '/' || p_size AS grp FROM part), c AS (SELECT v, min(v) OVER (PARTITION BY grp) AS cluster FROM g),
+ cp AS (SELECT DISTINCT e, cluster AS v FROM pins JOIN c USING (v)), l AS (SELECT e, list(v ORDER BY v) AS pins, any_value(hwt) AS hwt FROM cp JOIN hyperedges USING (e) GROUP BY e HAVING count(*) > 1)
+ SELECT min(e) AS e, sum(hwt)::BIGINT AS hwt, any_value(len(pins))::BIGINT AS size FROM l GROUP BY pins""")
+def grouped_hypergraph(t):
+    """The hyperedges left when parts of one brand and size have to share a block."""
+    h, _ = coarsen.contract_groups(t.h, t.part.selectExpr("p_partkey v", "concat(p_brand, '/', p_size) grp"))
+    return h.hyperedges.join(h.sizes(), "e")
+
+
+#: an L of each part: width and height from its size and key, with a bite out of a corner
+_CORNERS = [("0", "0"), ("w", "0"), ("w", "h"), ("w - 1", "h"), ("w - 1", "h - 1"), ("0", "h - 1")]
+
+
+@query(f"""AND o AS (SELECT p_partkey AS id, (p_size % 6 + 2)::BIGINT AS w, (p_partkey % 5 + 2)::BIGINT AS h FROM part),
+ pt AS ({" UNION ALL ".join(f"SELECT id, {i} AS pos, {x} AS x, {y} AS y FROM o" for i, (x, y) in enumerate(_CORNERS))})
+ SELECT id, 0::BIGINT AS xlo, 0::BIGINT AS ylo, w AS xhi, h - 1 AS yhi FROM o UNION ALL SELECT id, w - 1, h - 1, w, h FROM o""")
+def polygon_rectangles(t):
+    own = t.part.selectExpr("p_partkey id", "cast(p_size % 6 + 2 as bigint) w", "cast(p_partkey % 5 + 2 as bigint) h")
+    corner = F.array(*[F.struct(F.lit(i).alias("pos"), F.expr(f"cast({x} as bigint)").alias("x"), F.expr(f"cast({y} as bigint)").alias("y")) for i, (x, y) in enumerate(_CORNERS)])
+    return spatial.rectangles(own.select("id", F.explode(corner).alias("c")).select("id", "c.*"))
+
+
+@query("""AND a AS (SELECT e, v, x, y FROM pins JOIN coords USING (v)), b AS (SELECT p.v, p.e, min(o.x) AS xlo, max(o.x) AS xhi, min(o.y) AS ylo, max(o.y) AS yhi FROM a p JOIN a o ON p.e = o.e AND p.v <> o.v GROUP BY p.v, p.e),
+ l AS (SELECT v, list_sort(flatten(list([xlo, xhi]))) AS bx, list_sort(flatten(list([ylo, yhi]))) AS byy FROM b GROUP BY v),
+ r AS (SELECT v, bx[(len(bx) // 2)::INT] AS x_lo, bx[(len(bx) // 2 + 1)::INT] AS x_hi, byy[(len(byy) // 2)::INT] AS y_lo, byy[(len(byy) // 2 + 1)::INT] AS y_hi FROM l),
+ c AS (SELECT v, x, y, p_size % 4 AS width FROM coords JOIN part ON p_partkey = v)
+ SELECT r.v, u.v AS u FROM r JOIN c ON c.v = r.v JOIN c u ON u.width = c.width AND u.v <> r.v AND u.x BETWEEN x_lo AND x_hi AND u.y BETWEEN y_lo AND y_hi
+ WHERE NOT (c.x BETWEEN x_lo AND x_hi AND c.y BETWEEN y_lo AND y_hi)""")
+def swap_candidates(t):
+    """For each part outside of its optimal region the parts of its width that stand there."""
+    region = spatial.optimal_region(t.h.pins, t.coords).join(spatial.optimal_region(t.h.pins, t.coords, "y"), "v")
+    return spatial.swap_candidates(region, t.coords.join(t.part.selectExpr("p_partkey v", "p_size % 4 width"), "v"), 4)

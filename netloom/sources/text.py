@@ -2,8 +2,9 @@
 
 Line formats are read by Spark's splits, so that a file of any size is read by many tasks: lines are numbered inside each
 split and the splits' counts, one row a split, are summed up. What holds for the lines after a heading (a time of a
-waveform, a net or a section) is carried forward in the same two steps. Formats whose statements run over lines (DEF,
-SDF, BLIF, guides) take each file as one value, so such a file has to fit a task. gzip files are one split each.
+waveform, a net or a section) is carried forward in the same two steps. Statements that run over lines (DEF, SDF, BLIF)
+get numbers from running counts of their ends or beginnings, so they are put together also across the border of two
+splits. gzip files are one split each.
 """
 
 from __future__ import annotations
@@ -39,6 +40,22 @@ def carried(lines: DataFrame, marks: dict[str, Column]) -> DataFrame:
     return out.select(*lines.columns, *[F.coalesce(f"{n}_here", f"{n}_above").alias(n) for n in marks])
 
 
+def _statements(pieces: DataFrame, step: Column, ends: bool) -> DataFrame:
+    """pieces (file, block, id, k, line) -> statements (file, block, id, line) in their order, of a number of pieces each.
+
+    step is true at the last piece of a statement (ends) or at the first one. Pieces of a statement are joined by a
+    blank. Only counts of the splits are brought together; block and id are those of the statement's first piece.
+    """
+    own = pieces.withColumn("step", step.cast("long"))
+    here = Window.partitionBy("file", "block").orderBy("id", "k").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = own.groupBy("file", "block").agg(F.sum("step").alias("n"))
+    before = sizes.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))  # a row a split
+    number = F.sum("step").over(here) - (F.col("step") if ends else F.lit(0))
+    own = own.withColumn("local", number).join(F.broadcast(before), ["file", "block"]).withColumn("statement", F.col("before") + F.col("local"))
+    parts = own.groupBy("file", "statement").agg(F.array_sort(F.collect_list(F.struct("block", "id", "k", "line"))).alias("p"))
+    return parts.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["id"].alias("id"), F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("line"))
+
+
 def numbered_lines(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
     """(file, pos, line): stripped lines from 0; blank ones and those that start with `comment` are left out, pos counts the rest."""
     own = _lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
@@ -168,21 +185,17 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_net_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks `Net name driver`, then `pin x y` lines up to a blank one: (net, driver, pin, x, y)."""
-    files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.explode(F.split("value", r"(?m)^\s*$\n?")).alias("b")).select(F.filter(F.split("b", r"\r?\n"), lambda s: F.trim(s) != "").alias("l")).where("size(l) > 0")
-    head = tokens(F.col("l")[0])
-    rows = blocks.where(head[0] == "Net").select(head[1].alias("net"), head[2].cast("int").alias("driver"), F.explode(F.slice("l", 2, 1 << 30)).alias("p"))
-    t = tokens("p")
-    return rows.select("net", "driver", t[0].alias("pin"), t[1].cast("bigint").alias("x"), t[2].cast("bigint").alias("y"))
+    t = tokens(F.trim("line"))
+    head = F.when(t[0] == "Net", F.struct(F.get(t, F.lit(1)).alias("net"), F.get(t, F.lit(2)).cast("int").alias("driver"))).when(F.size(t) == 0, F.struct(F.lit(None).cast("string"), F.lit(None).cast("int")))
+    rows = carried(_lines(spark, path), {"head": head}).where("head.net is not null").select("head.*", t.alias("t")).where("t[0] <> 'Net' and size(t) >= 3")
+    return rows.select("net", "driver", F.col("t")[0].alias("pin"), F.col("t")[1].cast("bigint").alias("x"), F.col("t")[2].cast("bigint").alias("y"))
 
 
 def read_guides(spark: SparkSession, path: str) -> DataFrame:
-    """`net`, `(`, `x0 y0 x1 y1 layer` ..., `)`: (net, xlo, ylo, xhi, yhi, layer)."""
-    files = spark.read.text(path, wholetext=True)
-    nets = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)([^\s()]+)\s*\(\s*([^()]*)\)"), F.lit(0))).alias("b"))
-    rows = nets.select(F.regexp_extract("b", r"^([^\s()]+)", 1).alias("net"), F.explode(F.split(F.regexp_extract("b", r"(?s)\(\s*(.*?)\s*\)", 1), r"\r?\n")).alias("l"))
-    t = tokens("l")
-    return rows.where(F.size(t) == 5).select("net", *[t[i].cast("bigint").alias(c) for i, c in enumerate(("xlo", "ylo", "xhi", "yhi"))], t[4].alias("layer"))
+    """`net`, `(`, `x0 y0 x1 y1 layer` ..., `)`: (net, xlo, ylo, xhi, yhi, layer). The bracket may stand behind the name."""
+    t = tokens(F.regexp_replace("line", r"[()]", " "))
+    rows = carried(_lines(spark, path), {"net": F.when(F.size(t) == 1, t[0])}).select("net", t.alias("t")).where("size(t) = 5 and net is not null")
+    return rows.select("net", *[F.col("t")[i].cast("bigint").alias(c) for i, c in enumerate(("xlo", "ylo", "xhi", "yhi"))], F.col("t")[4].alias("layer"))
 
 
 def read_vcd(spark: SparkSession, path: str) -> DataFrame:
@@ -214,46 +227,71 @@ def read_spef(spark: SparkSession, path: str, coupling_factor: float = 1.0) -> t
 
 
 def read_blif(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """inputs and outputs (name), gates (kind, cell, pins) of a BLIF file; a backslash at a line's end joins the next."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\\\r?\n", " ").alias("value"))
-    t = files.select(F.explode(F.split("value", r"\r?\n")).alias("l")).where("not startswith(trim(l), '#')").select(tokens("l").alias("t")).where("size(t) > 0")
+    """inputs, outputs and clocks (name), gates (kind, cell, pins) of a BLIF file; a backslash at a line's end joins the next.
+
+    models (name) and counts (what, n) with the numbers of each.
+    """
+    lines = _lines(spark, path).withColumn("k", F.lit(0)).withColumn("line", F.rtrim("line")).where("not startswith(ltrim(line), '#')")
+    goes_on = F.endswith("line", F.lit("\\"))
+    own = lines.withColumn("goes_on", goes_on).withColumn("line", F.regexp_replace("line", r"\\$", ""))
+    t = _statements(own, ~F.col("goes_on"), True).select(tokens("line").alias("t")).where("size(t) > 0")
     names = lambda key: t.where(F.col("t")[0] == key).select(F.explode(F.slice("t", 2, 1 << 30)).alias("name"))
     gates = t.where(F.col("t")[0].isin(".gate", ".latch", ".mlatch", ".names")).select(F.substring(F.col("t")[0], 2, 20).alias("kind"), F.get("t", F.lit(1)).alias("cell"), F.slice("t", 3, 1 << 30).alias("pins"))
-    return {"inputs": names(".inputs"), "outputs": names(".outputs"), "clocks": names(".clock"), "gates": gates}
+    what = F.when(F.col("t")[0].isin(".inputs", ".outputs", ".clock"), F.size("t") - 1).when(F.col("t")[0].isin(".gate", ".latch", ".mlatch", ".names", ".model"), 1)
+    counts = t.select(F.substring(F.col("t")[0], 2, 20).alias("what"), what.cast("long").alias("n")).where("n is not null").groupBy("what").agg(F.sum("n").alias("n"))
+    return {"models": names(".model"), "inputs": names(".inputs"), "outputs": names(".outputs"), "clocks": names(".clock"), "gates": gates, "counts": counts}
 
 
 def read_def(spark: SparkSession, path: str, sections: tuple[str, ...] = ("COMPONENTS", "ROW", "TRACKS")) -> dict[str, DataFrame]:
-    """The asked sections of a DEF file only: components (inst, master, status, x, y, orient), rows, tracks."""
-    files = spark.read.text(path, wholetext=True)
+    """The asked sections of a DEF file only: components (inst, master, status, x, y, orient), rows, tracks.
+
+    Lines of other sections are left out before anything of them is parsed.
+    """
+    lines = _lines(spark, path).withColumn("line", F.regexp_replace("line", r"#.*$", ""))
+    opened = F.regexp_extract("line", r"^\s*([A-Z]+)\s+\d+\s*;", 1)
+    ended = F.regexp_extract("line", r"^\s*END\s+([A-Z]+)", 1)
+    section = F.when(opened != "", opened).when(ended != "", F.lit("-"))
+    lines = carried(lines, {"section": section}).withColumn("section", F.coalesce("section", F.lit("-")))
+
+    def statements(of: DataFrame) -> DataFrame:
+        pieces = of.withColumn("p", F.split("line", ";", -1)).select("file", "block", "id", F.size("p").alias("n"), F.posexplode("p").alias("k", "line"))
+        return _statements(pieces, F.col("k") < F.col("n") - 1, True).select(F.trim("line").alias("l"))
+
     out = {}
     num = r"(-?\d+)"
     if "COMPONENTS" in sections:
-        p = rf"-\s+(\S+)\s+(\S+)[^;]*?(?:\+\s+(PLACED|FIXED|COVER)\s+\(\s*{num}\s+{num}\s*\)\s+(\S+)|\+\s+(UNPLACED)|;)"
-        body = files.select(F.regexp_extract("value", r"(?s)\bCOMPONENTS\b[^;]*;(.*?)END COMPONENTS", 1).alias("b"))
-        c = body.select(F.explode(F.regexp_extract_all("b", F.lit(r"(?s)-\s+\S+\s+\S+[^;]*;"), F.lit(0))).alias("l"))
+        p = rf"^-\s+(\S+)\s+(\S+)[^;]*?(?:\+\s+(PLACED|FIXED|COVER)\s+\(\s*{num}\s+{num}\s*\)\s+(\S+)|\+\s+(UNPLACED)|$)"
+        c = statements(lines.where("section = 'COMPONENTS'").where(opened == "")).where("startswith(l, '-')")
         g = lambda i: F.nullif(F.regexp_extract("l", p, i), F.lit(""))
         out["COMPONENTS"] = c.select(g(1).alias("inst"), g(2).alias("master"), F.coalesce(g(3), g(7)).alias("status"), g(4).cast("bigint").alias("x"), g(5).cast("bigint").alias("y"), g(6).alias("orient"))
+    outside = statements(lines.where("section = '-'").where(ended == "")) if {"ROW", "TRACKS"} & set(sections) else None
     if "ROW" in sections:
-        p = rf"ROW\s+(\S+)\s+(\S+)\s+{num}\s+{num}\s+(\S+)\s+DO\s+{num}\s+BY\s+{num}(?:\s+STEP\s+{num}\s+{num})?"
-        r = files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?m)^\s*{p}"), F.lit(0))).alias("l"))
+        p = rf"^ROW\s+(\S+)\s+(\S+)\s+{num}\s+{num}\s+(\S+)\s+DO\s+{num}\s+BY\s+{num}(?:\s+STEP\s+{num}\s+{num})?"
         g = lambda i: F.regexp_extract("l", p, i)
+        r = outside.where(F.col("l").rlike(p))
         out["ROW"] = r.select(g(1).alias("name"), g(2).alias("site"), g(3).cast("bigint").alias("x"), g(4).cast("bigint").alias("y"), g(5).alias("orient"), g(6).cast("int").alias("nx"), g(7).cast("int").alias("ny"), g(8).try_cast("bigint").alias("step"))
     if "TRACKS" in sections:
-        p = rf"TRACKS\s+([XY])\s+{num}\s+DO\s+{num}\s+STEP\s+{num}(?:\s+LAYER\s+(\S+))?"
-        r = files.select(F.explode(F.regexp_extract_all("value", F.lit(p), F.lit(0))).alias("l"))
+        p = rf"^TRACKS\s+([XY])\s+{num}\s+DO\s+{num}\s+STEP\s+{num}(?:\s+LAYER\s+(\S+))?"
         g = lambda i: F.regexp_extract("l", p, i)
+        r = outside.where(F.col("l").rlike(p))
         out["TRACKS"] = r.select(g(1).alias("axis"), g(2).cast("bigint").alias("origin"), g(3).cast("bigint").alias("n"), g(4).cast("bigint").alias("step"), g(5).alias("layer"))
     return out
 
 
 def read_sdf_delays(spark: SparkSession, path: str) -> DataFrame:
     """IOPATH delays of an SDF file: (cell, instance, src, dst, rise, fall), of triples the middle value."""
-    files = spark.read.text(path, wholetext=True)
-    cells = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)\(CELL\b.*?(?=\(CELL\b|\z)"), F.lit(0))).alias("b"))
-    cells = cells.select(F.regexp_extract("b", r'\(CELLTYPE\s+"([^"]*)"', 1).alias("cell"), F.regexp_extract("b", r"\(INSTANCE\s*([^\s)]*)", 1).alias("instance"), F.explode(F.regexp_extract_all("b", F.lit(r"\(IOPATH\s+\S+\s+\S+\s+\([^)]*\)(?:\s*\([^)]*\))?"), F.lit(0))).alias("l"))
-    p = r"\(IOPATH\s+(\S+)\s+(\S+)\s+\(([^)]*)\)(?:\s*\(([^)]*)\))?"
+    lines = _lines(spark, path)
+    parts = F.filter(F.split("line", r"(?=\((?:CELL|CELLTYPE|INSTANCE|DELAY|IOPATH|INTERCONNECT|TIMINGCHECK)\b)"), lambda x: F.trim(x) != "")
+    pieces = lines.select("file", "block", "id", F.posexplode(parts).alias("k", "line"))
+    opens = F.col("line").rlike(r"^\((?:CELL|CELLTYPE|INSTANCE|DELAY|IOPATH|INTERCONNECT|TIMINGCHECK)\b")
+    own = _statements(pieces, opens, False).withColumn("line", F.trim("line"))
+    cell = F.when(F.startswith("line", F.lit("(CELLTYPE")), F.regexp_extract("line", r'\(CELLTYPE\s+"([^"]*)"', 1))
+    instance = F.when(F.startswith("line", F.lit("(INSTANCE")), F.regexp_extract("line", r"\(INSTANCE\s*([^\s)]*)", 1))
+    own = carried(own, {"cell": cell, "instance": instance})
+    p = r"^\(IOPATH\s+(\S+)\s+(\S+)\s+\(([^)]*)\)(?:\s*\(([^)]*)\))?"
+    own = own.where(F.col("line").rlike(p)).withColumnRenamed("line", "l")
     mid = lambda i: F.get(F.split(F.regexp_extract("l", p, i), ":"), F.when(F.contains(F.regexp_extract("l", p, i), F.lit(":")), 1).otherwise(0)).try_cast("double")
-    return cells.select("cell", "instance", F.regexp_extract("l", p, 1).alias("src"), F.regexp_extract("l", p, 2).alias("dst"), mid(3).alias("rise"), mid(4).alias("fall"))
+    return own.select(F.coalesce("cell", F.lit("")).alias("cell"), F.coalesce("instance", F.lit("")).alias("instance"), F.regexp_extract("l", p, 1).alias("src"), F.regexp_extract("l", p, 2).alias("dst"), mid(3).alias("rise"), mid(4).alias("fall"))
 
 
 def rule_fields(text, fields: dict[str, str]):

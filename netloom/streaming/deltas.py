@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from netloom.session import shared_dir
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -74,8 +77,25 @@ def leaderboard(results: DataFrame, cost: Column) -> DataFrame:
     return results.withColumn("cost", cost).groupBy("design").agg(F.min(F.struct("cost", "run")).alias("b"), F.count("*").alias("runs")).select("design", "b.run", "b.cost", "runs")
 
 
+def run_to_files(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is and returns its result, which executors write into the shared folder: a table for each batch,
+    of which the last one holds the result in complete mode and all together in append mode."""
+    folder, seen = f"{shared_dir(stream.sparkSession)}/netloom/{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+        seen.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    kept = sorted(set(seen))[-1:] if mode == "complete" else sorted(set(seen))
+    if not kept:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{folder}/batches/{n}" for n in kept])
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and returns the result table (for small results and tests)."""
+    """Runs a stream over what there is and returns the result table, which the driver holds: for tests."""
     w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)

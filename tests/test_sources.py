@@ -104,6 +104,14 @@ def test_large_files_are_read_by_splits(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"line {i}\n" if i % 3 else f"# {i}\n" for i in range(400)))
     (tmp_path / "a.vcd").write_text("$var wire 1 ! clk $end\n$enddefinitions $end\n" + "".join(f"#{10 * i}\n" + f"{i % 2}!\n" * (i % 4) for i in range(300)))
     (tmp_path / "a.spef").write_text("".join(f"*D_NET n{i} {i}.5\n*CONN\n*I n{i}:1 I\n*CAP\n" + "".join(f"{j} n{i}:{j} 0.5\n" for j in range(i % 5)) + f"*RES\n1 n{i}:1 n{i}:2 3.0\n*END\n" for i in range(100)))
+    (tmp_path / "a.blif").write_text(".model m\n.inputs \\\n" + "".join(f" i{i} \\\n" for i in range(90)) + " i90\n" + "".join(f"# c {i} \\\n.gate INV \\\n  A=i{i}\\\n Y=o{i}\n" for i in range(91)) + ".end\n")
+    (tmp_path / "a.sdf").write_text("(DELAYFILE\n" + "".join(f'(CELL (CELLTYPE "C{i % 3}")\n (INSTANCE u{i})\n (DELAY (ABSOLUTE\n' + "".join(f"(IOPATH A{j}\n Y (0.1:{j}.5:9)\n ({i}))\n" for j in range(i % 4)) + ")))\n" for i in range(60)) + ")\n")
+    (tmp_path / "a.def").write_text(
+        "".join(f"ROW r{i} site 0 {i} N\n DO 10 BY 1 STEP 380 0 ;\n" for i in range(30)) + "COMPONENTS 80 ;\n" + "".join(f"- u{i} INV\n + PLACED ( {i}\n {2 * i} ) N ;" + "\n" * (i % 2) for i in range(80))
+        + "\nEND COMPONENTS\nNETS 50 ;\n" + "".join(f"- n{i} ( u{i} A )\n + ROUTED m1 ( 1 2 ) ;\n" for i in range(50)) + "END NETS\nTRACKS X 190\n DO 5 STEP 380 LAYER m1 ;\nEND DESIGN\n"
+    )
+    (tmp_path / "a.guide").write_text("".join(f"n{i}" + ("\n(\n" if i % 2 else " (\n") + "".join(f"0 0 {i} {j} m{j}\n" for j in range(i % 5)) + ")\n" for i in range(120)))
+    (tmp_path / "a.nets").write_text("".join(f"Net n{i} {i % 3}\n" + "".join(f"p{j} {i} {j}\n" for j in range(i % 6)) + "\n" for i in range(120)) + "stray 1 2\n")
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         for k, v in zip(before, ("600", "1"), strict=True):
@@ -117,6 +125,19 @@ def test_large_files_are_read_by_splits(spark, tmp_path):
         caps, res = text.read_spef(spark, str(tmp_path / "a.spef"))
         assert sorted((r.net, r.total, r.node) for r in caps.collect()) == sorted((f"n{i}", i + 0.5, f"n{i}:{j}") for i in range(100) for j in range(i % 5))
         assert sorted((r.net, r.res) for r in res.collect()) == sorted((f"n{i}", 3.0) for i in range(100))
+        blif = text.read_blif(spark, str(tmp_path / "a.blif"))
+        assert {r.name for r in blif["inputs"].collect()} == {f"i{i}" for i in range(91)}
+        assert sorted(r.pins for r in blif["gates"].collect()) == sorted([f"A=i{i}", f"Y=o{i}"] for i in range(91))
+        assert {r.what: r.n for r in blif["counts"].collect()} == {"model": 1, "inputs": 91, "gate": 91}
+        got = sorted(tuple(r) for r in text.read_sdf_delays(spark, str(tmp_path / "a.sdf")).collect())
+        assert got == sorted((f"C{i % 3}", f"u{i}", f"A{j}", "Y", j + 0.5, float(i)) for i in range(60) for j in range(i % 4))
+        out = text.read_def(spark, str(tmp_path / "a.def"))
+        assert sorted(tuple(r) for r in out["COMPONENTS"].collect()) == sorted((f"u{i}", "INV", "PLACED", i, 2 * i, "N") for i in range(80))
+        assert sorted((r.name, r.y, r.step) for r in out["ROW"].collect()) == sorted((f"r{i}", i, 380) for i in range(30)) and out["TRACKS"].count() == 1
+        got = sorted(tuple(r) for r in text.read_guides(spark, str(tmp_path / "a.guide")).collect())
+        assert got == sorted((f"n{i}", 0, 0, i, j, f"m{j}") for i in range(120) for j in range(i % 5))
+        got = sorted(tuple(r) for r in text.read_net_blocks(spark, str(tmp_path / "a.nets")).collect())
+        assert got == sorted((f"n{i}", i % 3, f"p{j}", i, j) for i in range(120) for j in range(i % 6))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -41,3 +41,13 @@ def test_tee_filters(spark, tmp_path):
     deltas.tee(s, sinks, str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "all")).count() == 6
     assert spark.read.parquet(str(tmp_path / "views")).select("event_id").count() == 3
+
+
+def test_results_in_files_equal_those_in_memory(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for k in range(3):
+        write(spark, src, [row(10 * k + i, i, user=i % 2, value=float(k)) for i in range(4)], f"f{k}.parquet")
+    s = lambda: spark.readStream.schema(deltas.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
+    latest = lambda: deltas.latest_state(s().select("user_id", "event_id", "value"), "user_id", "event_id")
+    assert sorted(deltas.run_to_files(latest()).collect()) == sorted(deltas.run_to_memory(latest(), "in_memory").collect())
+    assert deltas.run_to_files(s().select("event_id"), "append").count() == 12

@@ -193,3 +193,84 @@ def test_sweep_touches_only_what_it_reaches(spark):
     got = {x.node: (x.arrival, x.level) for x in graph.sweep(nodes, arcs).collect()}
     assert got == {0: (0, 0), 1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (9, 4), 5: (10, 5), 6: (11, 6), 7: (0, 0), 8: (0, 0)}
     assert {x.node: x.level for x in graph.levelize(nodes, arcs).collect()}[9] is None
+
+
+def test_boolean_keys_against_truth_tables(spark):
+    from netloom.functions import boolean
+
+    r = random.Random(3)
+
+    def expr(depth):
+        if not depth or r.random() < 0.2:
+            return r.choice(["A", "B", "C", "D", "0", "1"]) + r.choice(["", "", "'"])
+        op = r.choice("&*|+^!(")
+        return f"!{expr(0)}" if op == "!" else f"({expr(depth - 1)}){r.choice(['', chr(39)])}" if op == "(" else f"{expr(depth - 1)} {op} {expr(depth - 1)}"
+
+    def truth(d, f):
+        out = []
+        for x in itertools.product((0, 1), repeat=4):
+            value, at = dict(zip("ABCD", x, strict=True)), f
+            while at > 1:
+                port, low, high = d.nodes[at]
+                at = high if value[d.ports[port]] else low
+            out.append(at)
+        return tuple(out)
+
+    def direct(text):
+        word = text.replace("*", "&").replace("+", "|")
+        out = []
+        for x in itertools.product((0, 1), repeat=4):
+            cols = {n: F.lit(bool(v)) for n, v in zip("ABCD", x, strict=True)}
+            from netloom.functions.scalar import boolean_function
+
+            out.append(boolean_function(word, cols))
+        return out
+
+    exprs = [expr(3) for _ in range(60)]
+    tables = {e: truth(*boolean.build(e)) for e in exprs}
+    asked = spark.range(1).select(*[F.array(*direct(e)).alias(f"e{i}") for i, e in enumerate(exprs[:15])]).first()
+    assert all(tuple(map(int, asked[i])) == tables[e] for i, e in enumerate(exprs[:15]))
+    keys = {x.id: x for x in boolean.function_keys(spark.createDataFrame([*enumerate(exprs), (100, "A &"), (101, None)], "id long, expr string"), "A").collect()}
+    for (i, a), (j, b) in itertools.combinations(enumerate(exprs), 2):
+        assert (keys[i].key == keys[j].key) == (tables[a] == tables[b])
+    for i, e in enumerate(exprs):
+        used = [n for k, n in enumerate("ABCD") if any(tables[e][x] != tables[e][x ^ (8 >> k)] for x in range(16))]
+        assert keys[i].ports == used
+        low, high = tables[e][:8], tables[e][8:]
+        want = None if low == high else "buffer" if (set(low), set(high)) == ({0}, {1}) else "inverter" if (set(low), set(high)) == ({1}, {0}) else "and" if set(low) == {0} else "or" if set(high) == {1} else None
+        assert keys[i].gate == want
+    assert keys[100].key is None and keys[101].key is None
+
+
+@pytest.mark.parametrize("most", [4, 9])
+def test_chains_of_bits_against_filling(spark, most):
+    from netloom.operators import sequence
+
+    r = random.Random(most)
+    cells = [(d, r.random() < 0.4, 1000 * d + i, r.randint(1, 4)) for d in range(4) for i in range([1, 60, 7, 25][d])]
+    want, chain, bits, last = {}, 0, 0, None
+    for d, _, cell, n in sorted(cells, key=lambda c: (c[0], not c[1], c[2])):
+        if d != last:
+            chain, bits, last = 0, 0, d
+        elif bits + n > most:
+            chain, bits = chain + 1, 0
+        want[cell] = (d, chain, bits)
+        bits += n
+    out = sequence.scan_chains_of_bits(spark.createDataFrame(cells, "domain long, falling boolean, cell long, bits int"), most).collect()
+    assert {x.cell: (x.domain, x.chain, x.first_bit) for x in out} == want
+    with pytest.raises(ValueError, match="bits"):
+        sequence.scan_chains_of_bits(spark.createDataFrame([(1, True, 1, most + 1)], "domain long, falling boolean, cell long, bits int"), most)
+
+
+def test_nearest_against_all_pairs(spark):
+    from netloom.operators import spatial
+
+    r = random.Random(1)
+    points = [(i, r.choice([0.0, r.uniform(0, 1), r.uniform(0, 100)]), r.choice([0.0, r.uniform(0, 1), -r.uniform(0, 60)])) for i in range(150)] + [(500, None, 1.0)]
+    queries = [(i, x, y) for i, x, y in points[:40]] + [(900, 5000.0, -3.0), (901, None, None)]
+    got = {}
+    for x in spatial.k_nearest(spark.createDataFrame(queries, "q long, x double, y double"), spark.createDataFrame(points, "id long, x double, y double"), 4, cell=0.5).collect():
+        got.setdefault(x.q, []).append((x.rank, x.id))
+    for q, x, y in queries:
+        near = sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in points if a is not None)[:4] if x is not None else []
+        assert sorted(got.get(q, [])) == [(k + 1, i) for k, (_, i) in enumerate(near)]
