@@ -186,15 +186,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def read_net_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks `Net name driver`, then `pin x y` lines up to a blank one: (net, driver, pin, x, y)."""
     t = tokens(F.trim("line"))
-    head = F.when(t[0] == "Net", F.struct(F.get(t, F.lit(1)).alias("net"), F.get(t, F.lit(2)).cast("int").alias("driver"))).when(F.size(t) == 0, F.struct(F.lit(None).cast("string"), F.lit(None).cast("int")))
-    rows = carried(_lines(spark, path), {"head": head}).where("head.net is not null").select("head.*", t.alias("t")).where("t[0] <> 'Net' and size(t) >= 3")
+    head = F.when(F.get(t, F.lit(0)) == "Net", F.struct(F.get(t, F.lit(1)).alias("net"), F.get(t, F.lit(2)).cast("int").alias("driver"))).when(F.size(t) == 0, F.struct(F.lit(None).cast("string").alias("net"), F.lit(None).cast("int").alias("driver")))
+    rows = carried(_lines(spark, path), {"head": head}).where("head.net is not null").select("head.*", t.alias("t")).where("size(t) >= 3 and get(t, 0) <> 'Net'")
     return rows.select("net", "driver", F.col("t")[0].alias("pin"), F.col("t")[1].cast("bigint").alias("x"), F.col("t")[2].cast("bigint").alias("y"))
 
 
 def read_guides(spark: SparkSession, path: str) -> DataFrame:
     """`net`, `(`, `x0 y0 x1 y1 layer` ..., `)`: (net, xlo, ylo, xhi, yhi, layer). The bracket may stand behind the name."""
     t = tokens(F.regexp_replace("line", r"[()]", " "))
-    rows = carried(_lines(spark, path), {"net": F.when(F.size(t) == 1, t[0])}).select("net", t.alias("t")).where("size(t) = 5 and net is not null")
+    rows = carried(_lines(spark, path), {"net": F.when(F.size(t) == 1, F.get(t, F.lit(0)))}).select("net", t.alias("t")).where("size(t) = 5 and net is not null")
     return rows.select("net", *[F.col("t")[i].cast("bigint").alias(c) for i, c in enumerate(("xlo", "ylo", "xhi", "yhi"))], F.col("t")[4].alias("layer"))
 
 
