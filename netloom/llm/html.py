@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.store import drop, small_batches, table
+from netloom.llm.store import small_batches, table
 from netloom.llm.urls import split_url
 
 MIN_PAGES = 5
@@ -64,6 +65,8 @@ BARS = re.compile(r"(?:^|[\s_-])(?:banner|alert|side|respond|reply|replies|foot|
 HEADINGS = frozenset("h1 h2 h3".split())
 OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 STOP = re.compile(r"[>\"']")
+#: most tags: all quotes closed and without angle brackets in them; what this doesn't take is read step by step
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -152,6 +155,12 @@ class _Tokens:
 
     def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
         text, n = self.text, len(self.text)
+        at = text.find("<", at)
+        if at < 0:
+            return None
+        m = PLAIN.match(text, at)
+        if m is not None:
+            return at, m.end(), m[1] != "", m[2].lower(), m[3]
         m = OPENING.search(text, at)
         if m is None:
             return None
@@ -180,6 +189,7 @@ def parse(text: str) -> Node:
     open_, at, n = _Open(root), 0, len(text)
     stack = open_.stack
     quiet: list[str] = []  # open inline elements that are never content
+    foreign = False
     tokens = _Tokens(text)
     while at < n:
         token = tokens.next(at)
@@ -217,17 +227,20 @@ def parse(text: str) -> Node:
                 quiet.append(tag)
             continue
         if tag in CLOSES_P:
-            for ended in ENDED:
-                if open_.has(ended):
-                    open_.close(ended)
-            open_.close_in_scope({"p"})
+            if foreign:
+                for ended in ENDED:
+                    if open_.has(ended):
+                        open_.close(ended)
+            if open_.scopes[-1].get("p", 0):
+                open_.close("p")
         if tag in CLOSABLE and attributes.endswith("/"):
             stack[-1].parts.append(" ")
             continue
         if peers := PEERS.get(tag):
             open_.close_in_scope(peers)
         quiet = []
-        never, bar = _never(tag, attributes)
+        foreign = foreign or tag in ENDED
+        never, bar = (tag in NEVER, False) if not attributes else _never(tag, attributes)
         never = never or stack[-1].never or tag == "header" and not (open_.has("article") or open_.has("main"))
         node = Node(tag, never, bar or stack[-1].bar)
         stack[-1].kids.append(node)
@@ -249,42 +262,43 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def text_of(node: Node, skip: set[int], drop: frozenset[int] | set[int] = frozenset(), bars: int | None = None) -> str:
-    """The text below a node, without elements that are never content and those of the numbers in drop; bars: below the
-    node of this number those named like bars are content."""
-    out: list[str] = []
-    todo: list[tuple[str | Node, bool]] = [(node, False)]
-    while todo:
-        x, inner = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-            continue
-        inner = inner or x.number == bars
-        out.append(" ")
-        if x.never or x.bar and not inner or x.number in drop:
-            continue
-        if x.number in skip:  # its own text is template, its kids are judged by themselves
-            todo += [(y, inner) for y in reversed(x.parts) if not isinstance(y, str)]
-        else:
-            todo.append((" ", inner))
-            todo += [(y, inner) for y in reversed(x.parts)]
-    return " ".join("".join(out).split())
+def skeleton(root: Node) -> str:
+    """Depths, tags, hashes and lengths of own texts and flags (1: never content, 2: named like a bar) of the nodes in the
+    order of the page, as flat JSON arrays."""
+    return json.dumps(_flat(root), separators=(",", ":"))
 
 
-def skeleton(root: Node) -> str:
-    """Depths, tags, hashes and lengths of own texts and flags of the nodes in the order of the page, as flat JSON arrays."""
+def _flat(root: Node) -> list[list]:
     depth, tags, hashes, sizes, flags = [], [], [], [], []
     todo = [(root, 0)]
     while todo:
         x, d = todo.pop()
-        own = x.own()
+        own = x.own() if x.parts else ""
         depth.append(d)
         tags.append(x.tag)
         hashes.append(xxhash.xxh32_intdigest(own) if own else 0)
         sizes.append(len(own))
-        flags.append(int(x.never or x.bar))
+        flags.append(x.never + 2 * x.bar)
         todo += [(k, d + 1) for k in reversed(x.kids)]
-    return json.dumps([depth, tags, hashes, sizes, flags], separators=(",", ":"))
+    return [depth, tags, hashes, sizes, flags]
+
+
+def pieces(root: Node) -> tuple[list[int], list[str]]:
+    """The texts of a page in their order, each with the number of the node that it stands in."""
+    owners: list[int] = []
+    texts: list[str] = []
+    todo: list[tuple[str | Node, int]] = [(root, 0)]
+    while todo:
+        x, owner = todo.pop()
+        if isinstance(x, str):
+            if owners and owners[-1] == owner:
+                texts[-1] += x
+            else:
+                owners.append(owner)
+                texts.append(x)
+        else:
+            todo += [(y, x.number) for y in reversed(x.parts)]
+    return owners, texts
 
 
 class _Shapes:
@@ -312,7 +326,7 @@ class Seed:
     """A page's skeleton as numbered nodes, in the order of the page."""
 
     def __init__(self, text: str | Node):
-        depth, self.tags, self.hashes, self.sizes, self.flags = json.loads(text if isinstance(text, str) else skeleton(text))
+        depth, self.tags, self.hashes, self.sizes, self.flags = json.loads(text) if isinstance(text, str) else _flat(text)
         self.kids: list[list[int]] = [[] for _ in self.tags]
         self.parent = [-1] * len(self.tags)
         path: list[int] = []
@@ -322,8 +336,46 @@ class Seed:
                 self.kids[path[-1]].append(number)
                 self.parent[number] = path[-1]
             path.append(number)
-        self.shapes = _Shapes()
-        self.shape = self.numbered(self.shapes)
+        self.owners: list[int] = []
+        self.texts: list[str] = []
+
+    @cached_property
+    def numbers(self) -> tuple[_Shapes, list[int]]:
+        shapes = _Shapes()
+        return shapes, self.numbered(shapes)
+
+    @property
+    def shape(self) -> list[int]:
+        return self.numbers[1]
+
+    @classmethod
+    def page(cls, text: str | Node, owners: list[int], texts: list[str]) -> Seed:
+        """A page with its texts."""
+        out = cls(text)
+        out.owners, out.texts = owners, texts
+        return out
+
+    def end(self, node: int) -> int:
+        """One more than the last number below the node."""
+        while self.kids[node]:
+            node = self.kids[node][-1]
+        return node + 1
+
+    def text_of(self, node: int, skip: set[int], drop: set[int] | frozenset[int] = frozenset(), bars: int | None = None) -> str:
+        """The text below a node, without elements that are never content, those of the numbers in drop, and the own texts of
+        those in skip; bars: below the node of this number elements named like bars are content."""
+        end = self.end(node)
+        shown, inner = [False] * (end - node), [False] * (end - node)
+        for i in range(node, end):
+            up = self.parent[i] - node
+            inner[i - node] = i == bars or (up >= 0 and inner[up])
+            ok = i == node or shown[up]
+            shown[i - node] = ok and not (self.flags[i] & 1 or self.flags[i] & 2 and not inner[i - node] or i in drop)
+        out = []
+        for owner, text in zip(self.owners, self.texts, strict=True):
+            if node <= owner < end:
+                out.append(text if shown[owner - node] and owner not in skip else " ")
+        return " ".join("".join(out).split())
 
     def numbered(self, shapes: _Shapes) -> list[int]:
         shape = [0] * len(self.tags)
@@ -386,7 +438,7 @@ def tree_match(seed: Seed, page: Seed | Node) -> list[tuple[int, int]]:
     the dynamic programme runs on what is between. Nothing is recursive, so depth doesn't matter.
     """
     page = page if isinstance(page, Seed) else Seed(page)
-    shapes = _Shapes(seed.shapes)
+    shapes = _Shapes(seed.numbers[0])
     shape = page.numbered(shapes)
     if shape[0] == seed.shape[0]:
         return [(i, i) for i in range(len(shape))]
@@ -429,14 +481,21 @@ def tree_match(seed: Seed, page: Seed | Node) -> list[tuple[int, int]]:
         return []
     weigh_all(seed.shape[0], shape[0])
     out, todo = [], [(0, 0)]
+
+    def take(a: list[int], b: list[int]) -> None:
+        """Pairs of trees of one shape, node by node."""
+        for i, j in zip(a, b, strict=True):
+            size = shapes[shape[j]][2]
+            out.extend(zip(range(i, i + size), range(j, j + size), strict=True))
+
     while todo:
         s, p = todo.pop()
         out.append((s, p))
         a, b = seed.kids[s], page.kids[p]
         sa, sb = [seed.shape[i] for i in a], [shape[q] for q in b]
         lo, hi = _middle(sa, sb)
-        todo += zip(a[:lo], b[:lo], strict=True)
-        todo += zip(a[len(a) - hi :], b[len(b) - hi :], strict=True)
+        take(a[:lo], b[:lo])
+        take(a[len(a) - hi :], b[len(b) - hi :])
         a, b, sa, sb = (x[lo : len(x) - hi] for x in (a, b, sa, sb))
         if len(a) == len(b) == 1:
             todo += zip(a, b, strict=True) if weigh(sa[0], sb[0]) else []
@@ -539,18 +598,18 @@ def fits(seed: Seed, page: Seed, matched: int) -> bool:
     return matched >= 1 and 2 * (matched - 1) >= min(len(seed.tags), len(page.tags)) - 1
 
 
-def _region(root: Node) -> list[Node]:
+def _region(page: Seed) -> list[int]:
     """The outermost article or main elements that may be content, else the page."""
-    found, todo = [], [root]
+    found, todo = [], [0]
     while todo:
-        x = todo.pop()
-        if x.never or x.bar:
+        i = todo.pop()
+        if page.flags[i]:
             continue
-        if x.tag in ("article", "main"):
-            found.append(x)
+        if page.tags[i] in ("article", "main"):
+            found.append(i)
         else:
-            todo += reversed(x.kids)
-    return found or [root]
+            todo += reversed(page.kids[i])
+    return found or [0]
 
 
 @dataclass
@@ -567,25 +626,19 @@ class Wrapper:
 
 def main_text(page: str, wrapper: Wrapper | None = None) -> str:
     """The content of a page; without a wrapper markup alone decides."""
-    return _text(parse(page), wrapper)
+    root = parse(page)
+    return _text(Seed.page(root, *pieces(root)), wrapper)
 
 
-def _headings(regions: list[Node]) -> set[int]:
+def _headings(page: Seed, regions: list[int]) -> set[int]:
     """The headings in article and main elements: they belong to what they stand over, also where they are constant."""
-    out, todo = set(), [x for x in regions if x.tag in ("article", "main")]
-    while todo:
-        x = todo.pop()
-        if x.tag in HEADINGS:
-            out.add(x.number)
-        todo += x.kids
-    return out
+    return {i for r in regions if page.tags[r] in ("article", "main") for i in range(r, page.end(r)) if page.tags[i] in HEADINGS}
 
 
-def _text(root: Node, wrapper: Wrapper | None) -> str:
+def _text(page: Seed, wrapper: Wrapper | None) -> str:
     skip: set[int] = set()
-    regions = _region(root)
+    regions = _region(page)
     if wrapper is not None and (wrapper.template or wrapper.slot != -1):
-        page = Seed(root)
         pairs = aligned(wrapper.seed, page)
         skip = {p for s, p, equal in pairs if equal and s in wrapper.template}
         if wrapper.slot >= 0 and fits(wrapper.seed, page, len(pairs)):
@@ -594,11 +647,11 @@ def _text(root: Node, wrapper: Wrapper | None) -> str:
             if mine is not None and not page.flags[mine]:
                 drop = {at[s] for s in wrapper.drop if s in at}
                 inner = None if wrapper.seed.tags[wrapper.spine] in ("#page", "html", "body") else at.get(wrapper.spine)
-                if text := text_of(_in_order(root)[mine], skip, drop, inner):
+                if text := page.text_of(mine, skip, drop, inner):
                     return text
-    for left_out in (skip - _headings(regions), set()):
+    for left_out in (skip - _headings(page, regions), set()):
         # with nothing left out: a page all of whose slots are constant is a copy of the others, not a template without content
-        if text := " ".join(x for x in (text_of(r, left_out, bars=r.number if r is not root else None) for r in regions) if x):
+        if text := " ".join(x for x in (page.text_of(r, left_out, bars=r or None) for r in regions) if x):
             return text
     return ""
 
@@ -651,8 +704,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Seeds to which fewer than MIN_PAGES pages fit have no template and no content slot. Pages may be of any length and
     nested to any depth; parsing is linear, the time of an alignment grows with the product of two lists of siblings of unlike
     shapes. Constant headings of article and main elements are content, other constant text of theirs is template.
-    Repeated rows are pages like any other; further columns are ignored. Pages are parsed twice: once for their
-    skeletons, which are written as a table, and once for their texts. Seeds are broadcast if all together are under MAX_SEED_BYTES,
+    Repeated rows are pages like any other; further columns are ignored. Pages are parsed once; their
+    skeletons and texts are written as a table. Seeds are broadcast if all together are under MAX_SEED_BYTES,
     else joined by host, where Spark splits hosts that have very many pages. Both ways give the same rows.
     """
     small_batches(spark)
@@ -661,12 +714,17 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = [parse(t) for t in batch.column(2).to_pylist()]
+            roots = [parse(t) for t in batch.column(4).to_pylist()]
+            owners, texts = zip(*map(pieces, roots), strict=True) if roots else ((), ())
             columns = [pa.array([layout(r) for r in roots], pa.string()), pa.array([skeleton(r) for r in roots], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["host", "h", "layout", "seed"])
+            columns += [pa.array(owners, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["page_id", "url", "host", "h", "layout", "seed", "owners", "texts"])
 
-    page = own.select("host", F.xxhash64("html").alias("h"), "html")
-    outlines = table(spark, page.mapInArrow(outline, "host string, h long, layout string, seed string").where("layout <> ''"), "outlines")
+    kind = dict(pages.dtypes)["page_id"]
+    parsed = own.select("page_id", "url", "host", F.xxhash64("html").alias("h"), "html")
+    parsed = parsed.mapInArrow(outline, f"page_id {kind}, url string, host string, h long, layout string, seed string, owners array<int>, texts array<string>")
+    parsed = table(spark, parsed, "parsed")
+    outlines = parsed.where("layout <> ''").select("host", "h", "layout", "seed")
     kinds = outlines.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("h").alias("h"))
     kinds = table(spark, kinds, "layouts")
     hosts = kinds.groupBy("host").agg(F.sum("n").alias("total"), F.max(F.struct("n", "layout")).alias("most")).where(F.col("total") >= MIN_PAGES)
@@ -724,20 +782,16 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     known = seeds.join(nodes, ["host", "layout"], "left").select("host", "layout", "n", "seed", "nodes")
     made = "host string, layout string, n long, seed string, template array<int>, slot int, spine int, dropped array<int>"
     known = table(spark, known.mapInArrow(decide, made), "wrappers")
-    drop(outlines)
     learned = _Wrappers(spark, known)
     shared_wrappers = learned.shared
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, url, hosts, page_html, joined = batch.columns
             texts = []
-            for h, t, w in zip(hosts.to_pylist(), page_html.to_pylist(), joined.to_pylist(), strict=True):
-                root = parse(t)
-                found = _find(shared_wrappers, h, w, layout(root))
-                texts.append(_text(root, found[1] if found else None))
-            yield pa.RecordBatch.from_arrays([ids, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for h, mine, seed, owners, parts, w in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                found = _find(shared_wrappers, h, w, mine)
+                texts.append(_text(Seed.page(seed, owners, parts), found[1] if found else None))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kind = dict(pages.dtypes)["page_id"]
-    rows = learned.beside(own, "left").select("page_id", "url", "host", "html", "wrappers")
+    rows = learned.beside(parsed, "left").select("page_id", "url", "host", "layout", "seed", "owners", "texts", "wrappers")
     return rows.mapInArrow(take, f"page_id {kind}, url string, text string, n_chars long")
