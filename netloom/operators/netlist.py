@@ -187,14 +187,15 @@ def pack_sequence_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("pair").applyInPandas(run, "pair long, block long, x double, y double")
 
 
-def anneal_packings(blocks: DataFrame, seeds: int = 16, steps: int = 300) -> DataFrame:
+def anneal_packings(blocks: DataFrame, seeds: int = 16, steps: int = 300, tasks: int = 256) -> DataFrame:
     """blocks (grp, block, w, h) -> (grp, seed, area, firsts, seconds): for each group the smallest box of independent
     annealing runs; firsts and seconds are the places of its blocks, by id, in the two sequences.
 
-    A group is few blocks. Each group and seed is a run of its own; a run swaps two blocks in one or both sequences.
+    A group is few blocks. Each group and seed is a run of its own; a run swaps two blocks in one or both sequences. The
+    runs are dealt to `tasks` tasks, as their rows are few but their work isn't.
     """
     listed = blocks.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("block", "w", "h"))).alias("b"))
-    runs = listed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).repartition("grp", "seed")
+    runs = listed.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).repartition(tasks, "grp", "seed")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
