@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -419,12 +419,14 @@ def _laplacians(h: Hypergraph, factor: DataFrame, x: DataFrame, columns: list[st
     return y
 
 
-def eigenvectors(h: Hypergraph, count: int, iterations: int = 40, tolerance: float = 1e-3, seed: int = 1) -> DataFrame:
+def eigenvectors(
+    h: Hypergraph, count: int, iterations: int = 40, tolerance: float = 1e-3, seed: int = 1, precondition: Callable[[DataFrame, list[str]], DataFrame] | None = None
+) -> DataFrame:
     """(k, value, v, x): the count least eigenpairs of L x = value * W x after the constant one; L is `laplacian`, W the
     vertex weights.
 
-    Preconditioned block iterations (LOBPCG): each applies L once to a block of residuals, divided by L's diagonal, and
-    takes the best vectors in the span of the block, the residuals and the last directions. Only sums of products (a
+    Preconditioned block iterations (LOBPCG): each applies L once to a block of residuals, divided by L's diagonal or passed
+    to `precondition` (as `apply` of a `multigrid.hierarchy` of the cycle expansion), and takes the best vectors in the span of the block, the residuals and the last directions. Only sums of products (a
     matrix of three times count) come to the driver, so the number of vertices isn't limited. Ends after `iterations`
     or when all residuals are under tolerance * value. Signs are fixed: the largest entry, of equal ones that of
     the least v, is positive. Constraint terms on top of W (`clique_matvec`) vanish for vectors orthogonal to the constant.
@@ -461,7 +463,10 @@ def eigenvectors(h: Hypergraph, count: int, iterations: int = 40, tolerance: flo
         size = state.agg(*[F.sqrt(F.sum(r * r / F.greatest("w", F.lit(1e-12)))).alias(f"r{i}") for i, r in enumerate(residual)]).first()
         if all((r or 0.0) <= tolerance * max(v, 1e-12) for r, v in zip(size, value, strict=True)):
             break
-        z = state.select("*", *[F.coalesce(F.try_divide(r, F.col("d")), F.lit(0.0)).alias(c) for r, c in zip(residual, zs, strict=True)])
+        if precondition is None:
+            z = state.select("*", *[F.coalesce(F.try_divide(r, F.col("d")), F.lit(0.0)).alias(c) for r, c in zip(residual, zs, strict=True)])
+        else:
+            z = state.join(precondition(state.select("v", *[r.alias(c) for r, c in zip(residual, zs, strict=True)]), zs), "v")
         z = cut_lineage(project(z, zs))
         z = cut_lineage(z.join(_laplacians(own, factor, z, zs), "v", "left").fillna(0.0))
         basis = [*xs, *zs, *([] if first else ps)]

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.session import cut_lineage
+
 
 def registers(insts: DataFrame, pins: DataFrame, clock: str | None = None, edge: str | None = None) -> DataFrame:
     """insts (inst, sequential), pins (inst, pin, kind, clock, edge) -> data, clk, async and output pins of registers."""
@@ -130,8 +132,8 @@ def reorder_windows(cells: DataFrame, size: int = 3) -> DataFrame:
 def assign(costs: DataFrame) -> DataFrame:
     """costs (section, pin, slot, cost) -> (section, pin, slot): a least-cost assignment in each section (Hungarian method).
 
-    Every pin gets a slot of its own; a section of more pins than slots raises. One section is one task's group, so
-    sections must be bounded.
+    Every pin gets a slot of its own; a section of more pins than slots raises, as does one where the given pairs can't
+    serve all pins. One section is one task's group, so sections must be bounded.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,11 +163,57 @@ def assign(costs: DataFrame) -> DataFrame:
                 of[j] = of[way[j]]
                 j = way[j]
         slots = [j for i in range(1, n + 1) for j in range(1, k + 1) if of[j] == i]
+        if any(a[i, j - 1] >= 1e18 for i, j in enumerate(slots)):
+            raise ValueError("the pairs given don't serve all pins")
         return pd.DataFrame({"section": pdf.section.iloc[0], "pin": m.index, "slot": [m.columns[j - 1] for j in slots]})
 
     return costs.groupBy("section").applyInPandas(solve, "section long, pin long, slot long")
 
 
+def group_costs(costs: DataFrame, groups: DataFrame) -> DataFrame:
+    """costs (section, pin, slot, cost), groups (pin, grp, place from 0 on) -> (section, grp, slot, cost): what a group costs from a slot on.
+
+    A group's pins take consecutive slots in the order of their places. It may start at slots that are multiples of its
+    section's largest group, so that no two groups overlap; starts that lack a slot or a price for one pin are left out.
+    """
+    of = costs.join(groups, "pin")
+    members = of.select("section", "grp", "pin").distinct().groupBy("section", "grp").agg(F.count("*").alias("members"))
+    largest = members.groupBy("section").agg(F.max("members").alias("largest"))
+    at = of.withColumn("start", F.col("slot") - F.col("place")).join(largest, "section").where("start >= 0 and start % largest = 0")
+    whole = at.groupBy("section", "grp", "start").agg(F.sum("cost").alias("cost"), F.count("*").alias("n")).join(members, ["section", "grp"])
+    return whole.where("n = members").select("section", "grp", F.col("start").alias("slot"), "cost")
+
+
+def assign_groups(costs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(section, pin, slot): a least-cost assignment of whole groups, as in `group_costs`; pins without a group aren't placed."""
+    best = assign(group_costs(costs, groups).withColumnRenamed("grp", "pin")).select("section", F.col("pin").alias("grp"), F.col("slot").alias("start"))
+    pins = costs.select("section", "pin").distinct().join(groups, "pin")
+    return pins.join(best, ["section", "grp"]).select("section", "pin", (F.col("start") + F.col("place")).alias("slot"))
+
+
+def mirror_costs(costs: DataFrame, mirrors: DataFrame, opposite: DataFrame) -> DataFrame:
+    """(section, pin, mirror, pair, slot, other, cost): what a pin and its mirror cost on opposite slots.
+
+    mirrors (pin, mirror); opposite (slot, other) holds both directions, and the opposites of one section's slots lie in
+    one other section. Both slots are one `pair`, named by the smaller one, and both sections one by the smaller one, so
+    that pins of either side compete for the same pairs.
+    """
+    own = costs.join(mirrors, "pin").join(opposite, "slot")
+    far = costs.select(F.col("section").alias("far"), F.col("pin").alias("mirror"), F.col("slot").alias("other"), F.col("cost").alias("more"))
+    both = own.join(far, ["mirror", "other"])
+    return both.select(F.least("section", "far").alias("section"), "pin", "mirror", F.least("slot", "other").alias("pair"), "slot", "other", (F.col("cost") + F.col("more")).alias("cost"))
+
+
+def assign_mirrored(costs: DataFrame, mirrors: DataFrame, opposite: DataFrame) -> DataFrame:
+    """(pin, slot): mirrored pins first, at the least summed cost on opposite slots, then the others on what is left."""
+    priced = mirror_costs(costs, mirrors, opposite)
+    best = assign(priced.select("section", "pin", F.col("pair").alias("slot"), "cost")).select("pin", F.col("slot").alias("pair"))
+    placed = best.join(priced, ["pin", "pair"]).select(F.explode(F.array(F.struct("pin", "slot"), F.struct(F.col("mirror").alias("pin"), F.col("other").alias("slot")))).alias("p"))
+    placed = cut_lineage(placed.select("p.pin", "p.slot"))
+    rest = costs.join(placed.select("pin"), "pin", "left_anti").join(placed.select("slot"), "slot", "left_anti")
+    return placed.unionByName(assign(rest.select("section", "pin", "slot", "cost")).select("pin", "slot"))
+
+
 def pack_sequence_pairs(blocks: DataFrame) -> DataFrame:
     """blocks (pair, block, first, second, w, h) -> (pair, block, x, y): a sequence pair's packing.
 

@@ -6,7 +6,7 @@ import importlib
 
 from netloom.plans.registry import ORACLE, QUERIES
 
-AREAS = ("hyper", "graphs", "space", "clocks", "nets", "series", "columns", "partitions", "streams", "files", "structure", "signals")
+AREAS = ("hyper", "graphs", "space", "clocks", "nets", "series", "columns", "partitions", "streams", "files", "structure", "signals", "solvers")
 
 
 def load() -> tuple[dict, dict]:

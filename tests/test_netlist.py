@@ -136,3 +136,30 @@ def test_writers_of_placement(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "q")).where(F.col("part") == 1).count() == 1
     s = spark.createDataFrame([("p", 0, "a", 1, 2, 0.5, 0.1)], "path string, pos int, pin string, x int, y int, arrival double, slew double")
     assert sinks.path_json(s).first().json == '{"path":[{"pin":"a","x":1,"y":2,"arrival":0.5,"slew":0.1}]}'
+
+
+def test_groups_and_mirrors_against_all_choices(spark):
+    r = random.Random(8)
+    cost = {(p, s): r.randint(0, 50) for p in (1, 2, 3, 4) for s in range(9)}
+    costs = spark.createDataFrame([(0, p, s, float(c)) for (p, s), c in cost.items()], "section long, pin long, slot long, cost double").coalesce(2)
+    groups = spark.createDataFrame([(1, 70, 1), (2, 70, 0), (3, 80, 0)], "pin long, grp long, place long")
+    got = {x.pin: x.slot for x in netlist.assign_groups(costs, groups).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == got[2] + 1 and got[2] % 2 == 0 and got[3] % 2 == 0
+    best = min(cost[2, a] + cost[1, a + 1] + cost[3, b] for a in (0, 2, 4, 6) for b in (0, 2, 4, 6, 8) if a != b)
+    assert sum(cost[p, s] for p, s in got.items()) == best
+    with pytest.raises(Exception, match="pairs given|slots"):
+        netlist.assign_groups(costs.where("slot < 2"), groups).collect()
+
+    # pins 1, 3, 5 on edge 0 (slots 0-3), 2, 4 on edge 1 (slots 10-13); 1 and 2 mirror, 4 mirrors 3 from the other side
+    edge = {p: p % 2 ^ 1 for p in range(1, 6)}
+    cost = {(p, s): r.randint(0, 50) for p in edge for s in (range(4) if edge[p] == 0 else range(10, 14))}
+    costs = spark.createDataFrame([(edge[p], p, s, float(c)) for (p, s), c in cost.items()], "section long, pin long, slot long, cost double").coalesce(2)
+    opposite = spark.createDataFrame([x for s in range(4) for x in ((s, s + 10), (s + 10, s))], "slot long, other long")
+    mirrors = spark.createDataFrame([(1, 2), (4, 3)], "pin long, mirror long")
+    got = {x.pin: x.slot for x in netlist.assign_mirrored(costs, mirrors, opposite).collect()}
+    assert set(got) == set(edge) and len(set(got.values())) == 5 and got[2] == got[1] + 10 and got[4] == got[3] + 10
+    best = min(cost[1, a] + cost[2, a + 10] + cost[3, b] + cost[4, b + 10] for a, b in itertools.permutations(range(4), 2))
+    assert sum(cost[p, got[p]] for p in (1, 2, 3, 4)) == best
+    assert cost[5, got[5]] == min(cost[5, s] for s in range(4) if s not in (got[1], got[3]))
+    none = netlist.assign_mirrored(costs, mirrors.where("false"), opposite)  # without mirrors a plain assignment
+    assert none.count() == 5
