@@ -146,16 +146,40 @@ def boruvka_step(arcs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def minimum_spanning_forest(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(src, dst, w) by rounds of `boruvka_step`; ties are broken by the ends, so the forest is unique."""
-    tree = None
-    label = cut_lineage(vertices.select("v", F.col("v").alias("component")))
+    """(src, dst, w) by rounds of Boruvka; ties are broken by the ends, so the forest is unique.
+
+    After each round the arcs name the trees of their ends: arcs inside of a tree go, and of those between two trees the
+    lightest stays. So trees at least halve and only what still joins different trees is read again. Arcs of vertices
+    that aren't listed are left out.
+    """
+    known = vertices.select("v").distinct()
+    own = arcs.join(known.withColumnRenamed("v", "src"), "src", "left_semi").join(known.withColumnRenamed("v", "dst"), "dst", "left_semi").where("src <> dst")
+    own = own.select("w", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    forest, rest = [], cut_lineage(_lightest(own.withColumns({"ca": F.col("a"), "cb": F.col("b")})))
     while True:
-        picked = cut_lineage(boruvka_step(arcs, label).select("src", "dst", "w").distinct())
-        if picked.isEmpty():
-            return tree if tree is not None else picked
-        tree = picked if tree is None else cut_lineage(tree.unionByName(picked).distinct())
-        pins = tree.select(F.struct("src", "dst").alias("e"), F.explode(F.array("src", "dst")).alias("v"))
-        label = connected_components(vertices, pins)
+        both = F.explode(F.array("ca", "cb")).alias("component")
+        best = rest.select(both, "w", "a", "b", "ca", "cb").groupBy("component").agg(F.min(F.struct("w", "a", "b", "ca", "cb")).alias("m"))
+        picked = cut_lineage(best.select("m.*").distinct())
+        if forest and picked.isEmpty():
+            break
+        forest.append(picked)
+        pins = picked.select(F.struct("ca", "cb").alias("e"), both).withColumnRenamed("component", "v")
+        label = connected_components(pins.select("v").distinct(), pins)
+        now = rest.join(label.select(F.col("v").alias("ca"), F.col("component").alias("na")), "ca").join(label.select(F.col("v").alias("cb"), F.col("component").alias("nb")), "cb")
+        new = cut_lineage(_lightest(now.where("na <> nb").select("w", "a", "b", F.col("na").alias("ca"), F.col("nb").alias("cb"))))
+        release(rest)
+        rest = new
+    release(rest, picked)
+    out = forest[0]
+    for more in forest[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+
+
+def _lightest(arcs: DataFrame) -> DataFrame:
+    """arcs (w, a, b, ca, cb): the least (w, a, b) between each two of ca and cb, the smaller one as ca."""
+    best = arcs.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("w", "a", "b")).alias("m"))
+    return best.select("m.*", "ca", "cb")
 
 
 def _jumps(tree: DataFrame) -> list[DataFrame]:

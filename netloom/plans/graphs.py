@@ -84,7 +84,19 @@ def boruvka_step(t):
     return graph.boruvka_step(arcs, ends.select("v", F.col("v").alias("component")))
 
 
-@query(None)
+def _boruvka_sql(rounds: int) -> str:
+    """SQL of the minimum spanning forest of pa: each round takes every tree's lightest arc; enough for 2 ** rounds vertices."""
+    steps = ["arc0 AS MATERIALIZED (SELECT w, src AS a, dst AS b, src AS ca, dst AS cb FROM pa)"]
+    for i in range(rounds):
+        steps += [
+            f"best{i} AS MATERIALIZED (SELECT c, o, w, a, b FROM (SELECT ca AS c, cb AS o, w, a, b FROM arc{i} UNION ALL SELECT cb, ca, w, a, b FROM arc{i}) QUALIFY row_number() OVER (PARTITION BY c ORDER BY w, a, b) = 1)",
+            f"root{i} AS (SELECT x.c, x.c AS r FROM best{i} x JOIN best{i} y ON y.c = x.o AND y.o = x.c AND x.c < y.c UNION ALL SELECT z.c, t.r FROM root{i} t JOIN best{i} z ON z.o = t.c AND z.c <> t.r)",
+            f"arc{i + 1} AS MATERIALIZED (SELECT w, a, b, p.r AS ca, q.r AS cb FROM arc{i} JOIN root{i} p ON p.c = ca JOIN root{i} q ON q.c = cb WHERE p.r <> q.r)",
+        ]
+    return ", ".join(steps) + " " + " UNION ".join(f"SELECT a AS src, b AS dst, w FROM best{i}" for i in range(rounds))
+
+
+@query(f"AND {_ARCS}, {_boruvka_sql(12)}")
 def spanning_forest(t):
     arcs = _arcs(t)
     ends = arcs.select(F.col("src").alias("v")).union(arcs.select("dst")).distinct()

@@ -293,6 +293,23 @@ def test_spanning_forest(spark):
     arcs = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (1, 3, 3), (4, 5, 1)], "src long, dst long, w long")
     v = spark.range(1, 7).withColumnRenamed("id", "v")
     assert {tuple(r) for r in graph.minimum_spanning_forest(v, arcs).collect()} == {(1, 2, 1), (2, 3, 2), (4, 5, 1)}
+    assert graph.minimum_spanning_forest(v, arcs.where("false")).count() == 0
+    assert graph.minimum_spanning_forest(v.where("v > 1"), arcs).count() == 2
+
+
+def test_spanning_forest_equals_kruskal(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(*r.sample(range(40), 2), r.randint(1, 4)) for _ in range(90)]  # ties, repeats, both directions
+    label, want = list(range(40)), set()
+    for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in rows):
+        if label[a] != label[b]:
+            want.add((a, b, w))
+            label = [label[a] if x == label[b] else x for x in label]
+    arcs = spark.createDataFrame(rows, "src long, dst long, w long").coalesce(2)
+    got = graph.minimum_spanning_forest(spark.range(40).withColumnRenamed("id", "v"), arcs).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
 
 
 def test_prim_dijkstra(spark):
