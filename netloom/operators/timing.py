@@ -89,6 +89,19 @@ def clock_skew(arrivals: DataFrame, launches: DataFrame) -> DataFrame:
     return launches.join(a, "src").join(b, "dst").where("clk = clk_b").groupBy("clk").agg(F.max(F.abs(F.col("ta") - F.col("tb"))).alias("skew"))
 
 
+def constrained_skews(arrivals: DataFrame, launches: DataFrame, latency: DataFrame, groups: DataFrame) -> DataFrame:
+    """(src, dst, launch, capture, skew): arrivals with their clocks' latencies, for the pairs that clock groups allow.
+
+    arrivals (reg, clk, at), launches (src, dst), latency (clk, late; null or none is 0), groups (clk, grp) with one row a
+    clock at most. Clocks of different groups are never timed against each other; a clock of none is with all.
+    """
+    at = arrivals.join(latency, "clk", "left").join(groups, "clk", "left").select("reg", "clk", "grp", (F.col("at") + F.coalesce("late", F.lit(0))).alias("at"))
+    a = at.select(F.col("reg").alias("src"), F.col("clk").alias("launch"), F.col("grp").alias("g"), F.col("at").alias("ta"))
+    b = at.select(F.col("reg").alias("dst"), F.col("clk").alias("capture"), F.col("grp").alias("h"), F.col("at").alias("tb"))
+    pairs = launches.join(a, "src").join(b, "dst").where("launch = capture or g is null or h is null or g = h")
+    return pairs.select("src", "dst", "launch", "capture", (F.col("ta") - F.col("tb")).alias("skew"))
+
+
 def path_arrival(stages: DataFrame) -> DataFrame:
     """stages (path, pos, delay) -> with arrival, the running sum along each path."""
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

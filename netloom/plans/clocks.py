@@ -97,6 +97,18 @@ def clock_skew(t):
     return timing.clock_skew(t.customer.selectExpr("c_custkey reg", "c_nationkey clk", "c_custkey * 37 % 101 at"), t.customer.selectExpr("c_custkey src", f"(c_custkey + 25) % {n} dst"))
 
 
+@query("""AND a AS (SELECT c_custkey AS reg, c_nationkey AS clk, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS grp, c_custkey * 37 % 101 + CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey % 7 ELSE 0 END AS ta
+  FROM customer JOIN nation ON n_nationkey = c_nationkey), l AS (SELECT c_custkey AS src, (c_custkey * 5 + 3) % (SELECT count(*) FROM customer) AS dst FROM customer)
+ SELECT src, dst, x.clk AS launch, y.clk AS capture, (x.ta - y.ta)::BIGINT AS skew FROM l JOIN a x ON x.reg = src JOIN a y ON y.reg = dst WHERE x.clk = y.clk OR x.grp IS NULL OR y.grp IS NULL OR x.grp = y.grp""")
+def constrained_skews(t):
+    """Nations are clocks, regions their groups (clocks of region 0 are in none), even nations have a latency."""
+    n = t.customer.count()
+    regs = t.customer.selectExpr("c_custkey reg", "c_nationkey clk", "c_custkey * 37 % 101 at")
+    launches = t.customer.selectExpr("c_custkey src", f"(c_custkey * 5 + 3) % {n} dst")
+    latency = t.nation.where("n_nationkey % 2 = 0").selectExpr("n_nationkey clk", "n_nationkey % 7 late")
+    return timing.constrained_skews(regs, launches, latency, t.nation.where("n_regionkey > 0").selectExpr("n_nationkey clk", "n_regionkey grp"))
+
+
 _RC = """tree AS (SELECT 0::BIGINT AS node, NULL::BIGINT AS parent, 1::BIGINT AS r, 1::BIGINT AS c UNION ALL SELECT p_partkey, (p_partkey - 1) // 3, p_size % 5 + 1, p_size % 3 + 1 FROM part WHERE p_partkey > 0),
  up AS (SELECT node, node AS anc FROM tree UNION ALL SELECT up.node, tree.parent FROM up JOIN tree ON tree.node = up.anc WHERE tree.parent IS NOT NULL),
  d AS (SELECT anc, sum(c) AS down FROM up JOIN tree USING (node) GROUP BY anc)"""

@@ -163,3 +163,15 @@ def test_groups_and_mirrors_against_all_choices(spark):
     assert cost[5, got[5]] == min(cost[5, s] for s in range(4) if s not in (got[1], got[3]))
     none = netlist.assign_mirrored(costs, mirrors.where("false"), opposite)  # without mirrors a plain assignment
     assert none.count() == 5
+
+
+def test_skews_under_groups_and_latencies(spark):
+    from netloom.operators import timing
+
+    regs = spark.createDataFrame([(1, 10, 5), (2, 10, 8), (3, 20, 1), (4, 30, 2)], "reg long, clk long, at long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 4), (4, 1), (9, 1)], "src long, dst long")
+    late = spark.createDataFrame([(10, 4), (20, None)], "clk long, late long")
+    groups = spark.createDataFrame([(10, 1), (20, 2)], "clk long, grp long")
+    got = {tuple(r) for r in timing.constrained_skews(regs, pairs, late, groups).collect()}
+    assert got == {(1, 2, 10, 10, -3), (3, 4, 20, 30, -1), (4, 1, 30, 10, -7)}  # 10 and 20 are apart, 30 is in no group
+    assert timing.constrained_skews(regs, pairs, late, groups.where("false")).count() == 4
