@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import balanced, graph, incremental, modularity, trees
 from netloom.operators.hypergraph import Hypergraph
+from netloom.operators.ordered import row_numbers
 
 
 def test_update_equals_full_propagation_and_visits_little(spark):
@@ -274,3 +275,10 @@ def test_nearest_against_all_pairs(spark):
     for q, x, y in queries:
         near = sorted(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in points if a is not None)[:4] if x is not None else []
         assert sorted(got.get(q, [])) == [(k + 1, i) for k, (_, i) in enumerate(near)]
+
+
+def test_ranges_are_cut_by_structs(spark):
+    rows = spark.range(200).select(F.struct((F.col("id") % 7).alias("e"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("root")).alias("g"), "id")
+    out = row_numbers(rows, "g", "id", rows=16).orderBy("rn").collect()
+    key = lambda i: (i % 7, i % 3 > 0, i % 2 if i % 3 else 0, i)
+    assert [r.id for r in out] == sorted(range(200), key=key) and [r.rn for r in out] == list(range(1, 201))
