@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import balanced, graph, incremental, modularity, trees
+from netloom.operators import balanced, graph, incremental, modularity, partition, trees
 from netloom.operators.hypergraph import Hypergraph
 from netloom.operators.ordered import row_numbers
 
@@ -282,3 +282,13 @@ def test_ranges_are_cut_by_structs(spark):
     out = row_numbers(rows, "g", "id", rows=16).orderBy("rn").collect()
     key = lambda i: (i % 7, i % 3 > 0, i % 2 if i % 3 else 0, i)
     assert [r.id for r in out] == sorted(range(200), key=key) and [r.rn for r in out] == list(range(1, 201))
+
+
+def test_sections_leave_out_hyperedges_of_one_pin(spark):
+    v = spark.range(4).selectExpr("id v", "1L vwt", "cast(null as int) fixed")
+    pins = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 2), (3, 3), (4, 1), (4, 2), (4, 3)], "e long, v long")
+    h = Hypergraph(v, pins.select("e").distinct().withColumn("hwt", F.col("e") * 10), pins)
+    rows = partition._gathered(h, spark.range(4).selectExpr("id v", "id div 2 section")).collect()
+    assert {r.section: [tuple(p) for p in r.pins] for r in rows} == {0: [(1, 10, 0), (1, 10, 1)], 1: [(4, 40, 2), (4, 40, 3)]}
+    parts = {r.v: r.part for r in partition.exact_sections(h, spark.range(4).selectExpr("id v", "0L section"), 0.5).collect()}
+    assert parts == {0: 0, 1: 1, 2: 0, 3: 1}
