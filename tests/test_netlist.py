@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,18 @@ def test_skews_under_groups_and_latencies(spark):
     got = {tuple(r) for r in timing.constrained_skews(regs, pairs, late, groups).collect()}
     assert got == {(1, 2, 10, 10, -3), (3, 4, 20, 30, -1), (4, 1, 30, 10, -7)}  # 10 and 20 are apart, 30 is in no group
     assert timing.constrained_skews(regs, pairs, late, groups.where("false")).count() == 4
+
+
+def test_annealing_runs_step_together_and_alone_alike(spark):
+    rng = np.random.default_rng(3)
+    w, h = rng.integers(1, 9, (2, 5, 6)).astype(float)
+    draws = lambda which: [np.random.default_rng([i, 7]) for i in which]
+    area, f, s = netlist._anneal(draws(range(5)), w, h, 80)
+    for i in range(5):  # each run's draws are its own, and its area is that of the sequence pair it returns
+        assert netlist._anneal(draws([i]), w[i : i + 1], h[i : i + 1], 80)[0][0] == area[i]
+        x, y = np.zeros(6), np.zeros(6)
+        for b in np.argsort(f[i]):
+            x[b] = max([x[a] + w[i, a] for a in range(6) if f[i, a] < f[i, b] and s[i, a] < s[i, b]], default=0)
+        for b in np.argsort(-f[i]):
+            y[b] = max([y[a] + h[i, a] for a in range(6) if f[i, a] > f[i, b] and s[i, a] < s[i, b]], default=0)
+        assert (x + w[i]).max() * (y + h[i]).max() == area[i]
