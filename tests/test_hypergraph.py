@@ -1,5 +1,7 @@
 """Hand-worked values on two small hypergraphs, and invariants."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -450,3 +452,15 @@ def test_starts_are_proven_or_not_and_bounds_are_options(spark, toy):
         partition.multilevel(toy, partition.Options(most_coarse_pins=3))
     with pytest.raises(ValueError, match="unknown start"):
         partition.multilevel(toy, partition.Options(start="x"))
+
+
+def test_best_of_many_solutions_keeps_a_row_a_pin(spark):
+    r = random.Random(8)
+    pins = sorted({(e, r.randrange(12)) for e in range(30) for _ in range(3)})
+    part = {(s, v): r.randrange(3) for s in range(40) for v in range(12)}
+    h = Hypergraph(spark.range(12).selectExpr("id v", "1L vwt", "cast(null as int) fixed"), spark.range(30).selectExpr("id e", "id % 4 + 1 hwt"), spark.createDataFrame(pins, "e long, v long"))
+    out = cuts.best_of(h, spark.createDataFrame([(s, v, p) for (s, v), p in part.items()], "solution long, v long, part int"), 35)
+    cut = lambda s: sum(e % 4 + 1 for e in range(30) if len({part[s, v] for d, v in pins if d == e}) > 1)
+    assert [tuple(x) for x in out.collect()] == sorted(((s, cut(s)) for s in range(40)), key=lambda x: (x[1], x[0]))[:35]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [v" in plan and "BroadcastHashJoin [v" not in plan
