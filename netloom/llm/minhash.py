@@ -117,9 +117,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _sets(texts: list[str], words: int) -> list[np.ndarray]:
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The sorted shingles of each text, read from the Arrow buffers: no Python string is made."""
     out: list[np.ndarray] = []
-    for row, end, offsets, data in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+    for row, end, offsets, data in chunks(pa.RecordBatch.from_arrays([texts], ["text"])):
         _, shingle, size = shingle_sets(Words(offsets, data, lower=True), words)
         out += np.split(shingle, np.cumsum(size)[:-1])
     return out
@@ -128,20 +129,22 @@ def _sets(texts: list[str], words: int) -> list[np.ndarray]:
 def _verify(p: NearDedup):
     """(a, b, text_a, text_b), sorted by a -> (a, b, inter, total): sizes of intersection and union."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for pdf in frames:
+        for t in batches:
             hubs: list[np.ndarray] = []
-            fresh = pdf.a.ne(pdf.a.shift())
-            made = iter(_sets(pdf.text_a[fresh].fillna("").tolist(), p.words))
-            for a, new in zip(pdf.a, fresh, strict=True):
+            ids = t.column("a").to_numpy()
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = ids[1:] != ids[:-1]
+            made = iter(_sets(t.column("text_a").filter(pa.array(fresh)), p.words))
+            for a, new in zip(ids.tolist(), fresh.tolist(), strict=True):
                 if new:
                     last = (a, next(made))
                 hubs.append(last[1])
-            own = _sets(pdf.text_b.fillna("").tolist(), p.words)
+            own = _sets(t.column("text_b"), p.words)
             inter = np.array([_overlap(x, y) for x, y in zip(hubs, own, strict=True)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(hubs, own, strict=True)], np.int64) - inter
-            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "inter": inter, "total": total})
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(inter), pa.array(total)], ["a", "b", "inter", "total"])
 
     return run
 
@@ -170,31 +173,43 @@ def _closure(p: NearDedup):
     inverted list of the task's shingles. At most one link is returned for each merge.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["v", "stranger"], ignore_index=True)
-        own = _sets(pdf.text.fillna("").tolist(), p.words)
+    def run(t: pa.Table) -> pa.Table:
+        v, comp, stranger = (t.column(c).to_numpy() for c in ("v", "comp", "stranger"))
+        place = np.lexsort((stranger, v))
+        v, comp, stranger = v[place], comp[place], stranger[place]
+        own = [x for texts in t.column("text").chunks for x in _sets(texts, p.words)]
+        own = [own[i] for i in place]
         size = np.array([len(x) for x in own])
-        row = np.repeat(np.arange(len(own)), size)
-        _, term = np.unique(np.concatenate(own) if own else np.zeros(0, U), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        posting, edge = row[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        # terms are the ranks of different shingles, posting[edge[x] : edge[x + 1]] the rows that hold term x
+        flat = np.concatenate(own)
+        del own
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.ones(len(flat), bool)
+        first[1:] = flat[1:] != flat[:-1]
+        del flat
+        edge = np.append(np.flatnonzero(first), len(first))
+        term = np.empty(len(order), np.int32)
+        term[order] = np.cumsum(first, dtype=np.int32) - 1
+        posting = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+        del order, first
         start = np.concatenate([[0], np.cumsum(size)])
-        forest = _Forest(pdf.comp.tolist())
-        v, comp, stranger = pdf.v.to_numpy(), pdf.comp.to_numpy(), pdf.stranger.to_numpy()
+        forest = _Forest(comp.tolist())
         root = np.array([forest.find(c) for c in comp])
-        found = []
+        found: list[tuple] = []
         for a in np.flatnonzero(stranger):
             if (root == root[a]).all():
                 continue
             mine = term[start[a] : start[a + 1]]
-            inter = np.bincount(np.concatenate([posting[edge[t] : edge[t + 1]] for t in mine]), minlength=len(own))
+            inter = np.bincount(np.concatenate([posting[edge[x] : edge[x + 1]] for x in mine]), minlength=len(size))
             linked = (100 * inter >= p.percent * (size + size[a] - inter)) & ~stranger & (root != root[a])
             for b in np.flatnonzero(linked):
                 if forest.join(comp[a], comp[b]):
                     found.append((v[a], v[b]))
             if linked.any():
                 root = np.array([forest.find(c) for c in comp])
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        a, b = (pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -304,7 +319,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDedup = Ne
     edges = keep(both.mapInArrow(_alike(p, p.least_alike((100 - 3 * t) / 100)), "a long, b long"), "star_edges")
     with_b = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links0 = both.sortWithinPartitions("a").mapInPandas(_verify(p), "a long, b long, inter long, total long")
+    links0 = both.sortWithinPartitions("a").mapInArrow(_verify(p), "a long, b long, inter long, total long")
     links0 = keep(links0, "star_links")
     linked = f"100 * inter >= {p.percent} * total"
     links = links0.where(linked).select("a", "b")
@@ -326,7 +341,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearDedup = Ne
     close = left.join(sketches.withColumnRenamed("doc_id", "v"), "v").groupBy("key", "i", "j")
     close = close.applyInPandas(_alike_members(p, p.least_alike(p.percent / 100)), "key long, i int, j int, stranger boolean, v long, comp long")
     tasks = near.drop("size").withColumn("kind", F.lit(0)).unionByName(close.withColumn("kind", F.lit(1)))
-    more = keep(tasks.join(texts.withColumnRenamed("doc_id", "v"), "v").groupBy("kind", "key", "i", "j").applyInPandas(_closure(p), "a long, b long"), "more")
+    more = keep(tasks.join(texts.withColumnRenamed("doc_id", "v"), "v").groupBy("kind", "key", "i", "j").applyInArrow(_closure(p), "a long, b long"), "more")
     comp = keep(connected_components(spark, links.unionByName(more)), "comp")
 
     by_doc = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")

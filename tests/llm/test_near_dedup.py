@@ -159,3 +159,15 @@ def test_words_match_the_pattern():
         assert w.count.tolist() == [len(WORD.findall(t or "")) for t in texts[row:end]]
         doc, _, size = shingle_sets(Words(offsets, data, lower=True), 2)
         assert size.tolist() == [len(shingles(t, 2)) for t in texts[row:end]]
+
+
+def test_closure_reads_arrow_and_links_strangers():
+    import pyarrow as pa
+
+    from netloom.llm.minhash import NearDedup, _closure
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:-1]), "other " * 3 + " ".join(words[20:]), " ".join(words[1:])]
+    t = pa.table({"v": [4, 1, 2, 3], "comp": [4, 1, 2, 1], "stranger": [False, False, False, False], "text": texts})
+    t = pa.concat_tables([t, pa.table({"v": [4, 2], "comp": [4, 2], "stranger": [True, True], "text": [texts[0], texts[2]]})])
+    assert _closure(NearDedup(words=3, percent=85))(t).to_pylist() == [{"a": 4, "b": 1}]
