@@ -464,3 +464,9 @@ def test_best_of_many_solutions_keeps_a_row_a_pin(spark):
     assert [tuple(x) for x in out.collect()] == sorted(((s, cut(s)) for s in range(40)), key=lambda x: (x[1], x[0]))[:35]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [v" in plan and "BroadcastHashJoin [v" not in plan
+
+
+def test_either_start_takes_rounds_beyond_the_bound(spark, toy):
+    o = partition.Options(most_coarse_pins=3, start="either", num_coarsen_solutions=1, num_vcycles=0, num_best_initial_solutions=2, refiner_iters=2, balance_constraint=20)
+    parts = partition.multilevel(toy, o).collect()
+    assert len(parts) == toy.vertices.count() and {r.part for r in parts} <= {0, 1}
