@@ -292,3 +292,9 @@ def test_sections_leave_out_hyperedges_of_one_pin(spark):
     assert {r.section: [tuple(p) for p in r.pins] for r in rows} == {0: [(1, 10, 0), (1, 10, 1)], 1: [(4, 40, 2), (4, 40, 3)]}
     parts = {r.v: r.part for r in partition.exact_sections(h, spark.range(4).selectExpr("id v", "0L section"), 0.5).collect()}
     assert parts == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_boruvka_keeps_the_direction_of_arcs(spark):
+    arcs = spark.createDataFrame([(9, 2, 1), (3, 9, 1), (3, 2, 5)], "src long, dst long, w long")
+    label = spark.createDataFrame([(2, 2), (3, 3), (9, 9)], "v long, component long")
+    assert {tuple(r) for r in graph.boruvka_step(arcs, label).collect()} == {(2, 9, 2, 1), (3, 3, 9, 1), (9, 3, 9, 1)}
