@@ -298,3 +298,18 @@ def test_boruvka_keeps_the_direction_of_arcs(spark):
     arcs = spark.createDataFrame([(9, 2, 1), (3, 9, 1), (3, 2, 5)], "src long, dst long, w long")
     label = spark.createDataFrame([(2, 2), (3, 3), (9, 9)], "v long, component long")
     assert {tuple(r) for r in graph.boruvka_step(arcs, label).collect()} == {(2, 9, 2, 1), (3, 3, 9, 1), (9, 3, 9, 1)}
+
+
+def test_forests_keep_the_direction_of_arcs(spark):
+    arcs = spark.createDataFrame([(9, 2, 1), (3, 9, 1), (3, 2, 5), (2, 9, 4), (7, 5, 1)], "src long, dst long, w long")
+    v = spark.createDataFrame([(i,) for i in (2, 3, 5, 7, 9)], "v long")
+    assert {tuple(r) for r in graph.minimum_spanning_forest(v, arcs, directed=True).collect()} == {(9, 2, 1), (3, 9, 1), (7, 5, 1)}
+
+
+def test_gains_leave_a_loop_with_its_vertex(spark):
+    arcs = [(1, 2, 3), (2, 1, 3), (2, 3, 2), (3, 2, 2), (3, 4, 4), (4, 3, 4), (2, 2, 10)]
+    df = spark.createDataFrame(arcs, "src long, dst long, w long")
+    label = {1: 1, 2: 1, 3: 3, 4: 3}
+    q = lambda of: modularity.modularity(df, spark.createDataFrame(sorted(of.items()), "v long, label long")).first().q
+    gains = modularity.move_gains(df, spark.createDataFrame(sorted(label.items()), "v long, label long")).where("v = 2 and target = 3").collect()
+    assert gains[0].gain == pytest.approx(q(label | {2: 3}) - q(label))
