@@ -191,3 +191,7 @@ def test_annealing_runs_step_together_and_alone_alike(spark):
         for b in np.argsort(-f[i]):
             y[b] = max([y[a] + h[i, a] for a in range(6) if f[i, a] > f[i, b] and s[i, a] < s[i, b]], default=0)
         assert (x + w[i]).max() * (y + h[i]).max() == area[i]
+
+
+def test_kmeans_of_no_points(spark):
+    assert netlist.kmeans(spark.createDataFrame([], "id long, x array<double>"), 3, 2).count() == 0
