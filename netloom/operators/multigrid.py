@@ -17,6 +17,8 @@ from netloom.session import cut_lineage, release
 
 #: share of the neighbours' pull that one smoothing step follows
 DAMPING = 2 / 3
+#: a round of `solve` takes leaves off the graph while they are at least this share of its vertices
+LEAVES = 1 / 4
 
 
 def heaviest_forest(arcs: DataFrame, spread: float = 4.0) -> DataFrame:
@@ -143,15 +145,66 @@ def _inverse(arcs: DataFrame) -> DataFrame:
     return arcs.sparkSession.createDataFrame(list(rows), "v long, u long, a double")
 
 
+def _leaves(arcs: DataFrame) -> DataFrame:
+    """arcs (src, dst, w), each once in a direction -> (v, up, w): vertices with one neighbour up; of two at one arc the larger."""
+    near = arcs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("n"), F.max("dst").alias("up"), F.sum("w").alias("w"))
+    one = near.where("n = 1").select("v", "up", "w")
+    pairs = one.select(F.col("v").alias("up"), F.lit(True).alias("pair"))
+    return one.join(pairs, "up", "left").where("pair is null or v > up").select("v", "up", "w")
+
+
+def _pruned(arcs: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """arcs, loads r (v, r) -> what is left of both when leaves have gone, and the leaves (v, up, rise) of each round.
+
+    The equation of a leaf says x = x of its neighbour + rise, with rise = r / w, so its load goes to the neighbour: exact
+    elimination without new arcs. Rounds end when under `LEAVES` of the vertices are leaves, as at the ends of long paths.
+    """
+    arcs = cut_lineage(arcs.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    gone: list[DataFrame] = []
+    while True:
+        leaf = cut_lineage(_leaves(arcs))
+        n = leaf.count()
+        if n == 0 or n < LEAVES * arcs.select("src").distinct().count():
+            release(leaf)
+            return arcs, r, gone
+        own = cut_lineage(leaf.join(r, "v", "left").select("v", "up", "w", F.coalesce("r", F.lit(0.0)).alias("r")))
+        off = own.groupBy(F.col("up").alias("v")).agg(F.sum("r").alias("r"))
+        left = arcs.join(leaf.select(F.col("v").alias("src")), "src", "left_anti").join(leaf.select(F.col("v").alias("dst")), "dst", "left_anti")
+        fewer = cut_lineage(left.select("src", "dst", "w"))
+        less = cut_lineage(r.join(leaf.select("v"), "v", "left_anti").select("v", "r").unionByName(off).groupBy("v").agg(F.sum("r").alias("r")))
+        gone.append(cut_lineage(own.select("v", "up", (F.col("r") / F.col("w")).alias("rise"))))
+        release(arcs, r, leaf, own)
+        arcs, r = fewer, less
+
+
 def solve(arcs: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 200, levels: Hierarchy | None = None, multigrid: bool = True) -> tuple[DataFrame, int]:
     """((v, x), rounds): L x = b by preconditioned conjugate gradients, from 0 on.
 
     b (v, b) must sum to 0 over each component, and x is only fixed up to a constant on each; vertices without arcs get 0.
     Ends when the residual's norm is under tolerance * the norm of b, or after `most` rounds. `levels` is a hierarchy to
-    use again; without `multigrid` residuals are divided by the degrees. Only sums come to the driver.
+    use again; without one, leaves are eliminated first while they are many, so a graph of bushy trees needs no rounds at all. Without
+    `multigrid` residuals are divided by the degrees. Only sums come to the driver.
     """
-    own = levels or (hierarchy(arcs) if multigrid else None)
     arcs = cut_lineage(arcs.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")))
+    every = b.select("v").union(arcs.select(F.col("src").alias("v"))).distinct()
+    total = lambda t, what: t.agg(F.sum(what)).first()[0] or 0.0
+    square: Column = F.col("r") * F.col("r")
+    b = cut_lineage(arcs.select(F.col("src").alias("v")).distinct().join(b, "v", "left").select("v", F.coalesce(F.col("b").cast("double"), F.lit(0.0)).alias("r")))
+    first = total(b, square)
+    rest, r, gone = (arcs, b, []) if levels is not None else _pruned(arcs, b)
+    x, rounds = _conjugate(rest, r, first, tolerance, most, levels, multigrid)
+    for leaf in reversed(gone):  # x isn't listed for vertices whose arcs have all gone: they are 0
+        ups = x.join(leaf.select(F.col("up").alias("v")), "v", "left_semi").select(F.col("v").alias("up"), F.col("x").alias("above"))
+        more = leaf.join(ups, "up", "left").select("v", (F.coalesce("above", F.lit(0.0)) + F.col("rise")).alias("x"))
+        x = cut_lineage(x.unionByName(more))
+    return every.join(x, "v", "left").select("v", F.coalesce("x", F.lit(0.0)).alias("x")), rounds
+
+
+def _conjugate(arcs: DataFrame, b: DataFrame, first: float, tolerance: float, most: int, levels: Hierarchy | None, multigrid: bool) -> tuple[DataFrame, int]:
+    """((v, x), rounds) of `solve` for loads b (v, r) of the vertices with arcs; first is the square of the norm to compare with."""
+    if arcs.isEmpty():
+        return b.select("v", F.lit(0.0).alias("x")).limit(0), 0
+    own = levels or (hierarchy(arcs) if multigrid else None)
     degree = cut_lineage(arcs.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("d")))
 
     def near(r: DataFrame) -> DataFrame:
@@ -160,12 +213,11 @@ def solve(arcs: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 20
         return r.join(degree, "v").select("v", (F.col("r") / F.col("d")).alias("z"))
 
     total = lambda t, what: t.agg(F.sum(what)).first()[0] or 0.0
-    r = cut_lineage(degree.join(b, "v", "left").select("v", F.coalesce(F.col("b").cast("double"), F.lit(0.0)).alias("r")))
+    r = cut_lineage(degree.join(b, "v").select("v", "r"))
     state = written = cut_lineage(r.join(near(r), "v").select("v", F.lit(0.0).alias("x"), "r", F.col("z").alias("p"), "z"))
     release(r)  # each round reads the table that the last one wrote, with its own direction p on top
     square: Column = F.col("r") * F.col("r")
-    first, rz, rounds = total(state, square), total(state, F.col("r") * F.col("z")), 0
-    left = first
+    left, rz, rounds = total(state, square), total(state, F.col("r") * F.col("z")), 0
     while rounds < most and left > tolerance * tolerance * first:
         rounds += 1
         pull = spmv(arcs, state.select("v", F.col("p").alias("x")))
@@ -179,7 +231,6 @@ def solve(arcs: DataFrame, b: DataFrame, tolerance: float = 1e-8, most: int = 20
         both = written.agg(F.sum(square), F.sum(F.col("r") * F.col("z"))).first()
         left, beta, rz = both[0], both[1] / rz, both[1]
         state = written.withColumn("p", F.col("z") + beta * F.col("p"))
-    out = b.select("v").union(degree.select("v")).distinct().join(state.select("v", "x"), "v", "left").select("v", F.coalesce("x", F.lit(0.0)).alias("x"))
     if levels is None and own is not None:
         own.close()
-    return out, rounds
+    return state.select("v", "x"), rounds

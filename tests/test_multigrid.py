@@ -83,6 +83,32 @@ def test_solution_and_fewer_rounds_than_the_diagonal(spark):
     assert plain == rounds + 3  # the diagonal isn't there yet
 
 
+def test_bushy_trees_need_no_rounds(spark):
+    """Stars below stars, two components, parallel arcs: leaves go first and the rest is nothing."""
+    edges = [(0, v, 1 + v % 3) for v in range(1, 6)] + [(1 + v % 5, v, 2 + v % 4) for v in range(6, 60)] + [(0, 1, 2.0), (100, 101, 4.0)]
+    n = 60
+    load = np.array([float(v % 7 - 3) for v in range(n)])
+    load[0] -= load.sum()
+    rhs = spark.createDataFrame([*((v, float(x)) for v, x in enumerate(load)), (100, 2.0), (101, -2.0)], "v long, b double").coalesce(2)
+    out, rounds = multigrid.solve(table(spark, edges), rhs, 1e-12)
+    x = {r.v: r.x for r in out.collect()}
+    assert rounds == 0 and len(x) == n + 2 and abs(x[100] - x[101] - 0.5) < 1e-12
+    got = laplacian([e for e in edges if e[0] < n], n) @ np.array([x[v] for v in range(n)])
+    assert np.abs(got - load).max() < 1e-9
+
+
+def test_leaves_of_a_ring_are_eliminated(spark):
+    """Only the ring is left for the rounds, and its leaves follow it."""
+    n = 40
+    edges = [(v, (v + 1) % 10, 1.0 + v % 3) for v in range(10)] + [(v % 10, v, 2.0) for v in range(10, n)]
+    want = np.cos(np.arange(n)) * 3
+    b = laplacian(edges, n) @ want
+    out, rounds = multigrid.solve(table(spark, edges), spark.createDataFrame([(v, float(y)) for v, y in enumerate(b)], "v long, b double").coalesce(2), 1e-9)
+    x = {r.v: r.x for r in out.collect()}
+    got = np.array([x[v] for v in range(n)])
+    assert rounds > 0 and np.abs((got - got.mean()) - (want - want.mean())).max() < 1e-6
+
+
 def test_empty_graph_and_limits(spark):
     none = table(spark, [(1, 2, 1.0)]).where("false")
     out, rounds = multigrid.solve(none, spark.createDataFrame([(3, 0.0)], "v long, b double"))
