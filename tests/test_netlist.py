@@ -195,3 +195,25 @@ def test_annealing_runs_step_together_and_alone_alike(spark):
 
 def test_kmeans_of_no_points(spark):
     assert netlist.kmeans(spark.createDataFrame([], "id long, x array<double>"), 3, 2).count() == 0
+
+
+def test_clock_nets_keep_bits_until_the_result(spark, monkeypatch):
+    """300 clocks, so two rows a node; a loop, a clock of two sources, a shared node. Written tables hold far fewer rows than pairs."""
+    rows = []
+    real = netlist.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(netlist, "cut_lineage", counted)
+    sources = [(f"c{i}", i) for i in range(300)] + [("c7", 500), ("c8", 7)]
+    pairs = [(i, 400) for i in range(0, 300, 2)] + [(400, 401), (401, 402), (402, 401), (500, 402), (299, 403)]
+    out = netlist.clock_nets(spark.createDataFrame(sources, "clock string, node long"), spark.createDataFrame(pairs, "src long, dst long"))
+    got = [(r.clock, r.node) for r in out.collect()]
+    want = set(sources)
+    while more := {(c, d) for c, n in want for s, d in pairs if s == n} - want:
+        want |= more
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(rows) < 2 * len(want)  # before, pairs were written once as found and again in each round
