@@ -1,7 +1,7 @@
 """Writers of the text formats. A single ordered file is sorted by range and written part by part, in order.
 
-`ordered_text` writes the parts of one folder; their names sort in the order of the lines. `one_file` gives a single
-part, for files that other tools read.
+`ordered_text` writes the parts of one folder; their names sort in the order of the lines, so `cat` joins them. `one_file`
+gives a single part, for short files that other tools read; it brings all lines to one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from netloom.operators.graph import cycle_expansion
 from netloom.operators.hypergraph import Hypergraph, pin_degree
 
 
-def ordered_text(lines: DataFrame, order: list[str], path: str, one_file: bool = True) -> None:
+def ordered_text(lines: DataFrame, order: list[str], path: str, one_file: bool = False) -> None:
     """lines (line, order columns) as text in that order."""
     out = lines.orderBy(*order).select("line")
     (out.coalesce(1) if one_file else out).write.mode("overwrite").text(path)

@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 from netloom.operators.hypergraph import Hypergraph
 
 
+#: parts that Spark wrote into a folder
+_PARTS = r"^(.*)/part-(\d+)-[^/]*$"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, id, line): id rises inside a split of a file, block inside a file."""
+    """(file, block, id, line): id rises inside a split of a file, block inside a file. Parts of a folder are one file, in the order of their
+    numbers."""
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    part = F.regexp_extract(name, _PARTS, 2)
+    file = F.when(part != "", F.regexp_extract(name, _PARTS, 1)).otherwise(name)
+    block = F.when(part != "", F.shiftleft(part.cast("long"), 40)).otherwise(0) + start
     raw = spark.read.text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return raw.select(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:

@@ -99,6 +99,21 @@ def test_sample_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ["1", "-1"]
 
 
+def test_ordered_text_is_written_and_read_in_parts(spark, tmp_path):
+    """No task gets all lines, and parts, also those of several splits, are numbered as one file."""
+    lines = spark.range(4000).selectExpr("id", "concat('line ', id) line")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        sinks.ordered_text(lines, ["id"], str(tmp_path / "o"))
+        assert len(list((tmp_path / "o").glob("part-*"))) > 1
+        got = text.all_lines(spark, str(tmp_path / "o")).orderBy("pos").collect()
+        assert [(r.pos, r.line) for r in got] == [(i, f"line {i}") for i in range(4000)] and len({r.file for r in got}) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_large_files_are_read_by_splits(spark, tmp_path):
     """Split after every few bytes: places, times, nets and sections hold across splits."""
     (tmp_path / "a.txt").write_text("".join(f"line {i}\n" if i % 3 else f"# {i}\n" for i in range(400)))
