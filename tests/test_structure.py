@@ -313,3 +313,25 @@ def test_gains_leave_a_loop_with_its_vertex(spark):
     q = lambda of: modularity.modularity(df, spark.createDataFrame(sorted(of.items()), "v long, label long")).first().q
     gains = modularity.move_gains(df, spark.createDataFrame(sorted(label.items()), "v long, label long")).where("v = 2 and target = 3").collect()
     assert gains[0].gain == pytest.approx(q(label | {2: 3}) - q(label))
+
+
+def test_a_sweep_writes_its_arcs_once_and_never_with_their_needs(spark, monkeypatch):
+    """A ladder with a loop behind it and parallel arcs; a table that is written already is not written again."""
+    from netloom.operators import graph
+    from netloom.session import cut_lineage as real
+
+    pairs = [(i, i + 1, i % 4) for i in range(12)] + [(i, i + 2, 5) for i in range(11)] + [(3, 5, 9), (12, 20, 1), (20, 21, 1), (21, 20, 1)]
+    arcs = spark.createDataFrame(pairs, "src long, dst long, delay int").coalesce(2)
+    nodes = spark.createDataFrame([(i,) for i in [*range(13), 20, 21, 30]], "node long").coalesce(2)
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    for given, times in ((arcs, 1), (real(arcs), 0)):
+        written.clear()
+        for late in (True, False):
+            got = {r.node: (r.arrival, r.level) for r in graph.sweep(nodes, given, late).collect()}
+            want, pick = {30: (0, 0), 0: (0, 0)}, max if late else min
+            for v in range(1, 13):
+                own = [(s, d) for s, t, d in pairs if t == v]
+                want[v] = (pick(want[s][0] + d for s, d in own), 1 + max(want[s][1] for s, _ in own))
+            assert got == want
+        assert sum("src" in c for c in written) == 2 * times and not any("src" in c and "need" in c for c in written)
