@@ -217,3 +217,23 @@ def test_clock_nets_keep_bits_until_the_result(spark, monkeypatch):
         want |= more
     assert len(got) == len(set(got)) and set(got) == want
     assert sum(rows) < 2 * len(want)  # before, pairs were written once as found and again in each round
+
+
+def test_islands_of_small_nets_need_no_rounds(spark, monkeypatch):
+    """Chains, loops, repeated wires and points that nets share; both ways give what a search does, small nets without rounds."""
+    from netloom.operators import graph
+
+    r = random.Random(3)
+    wires = [(n, r.randint(0, n), r.randint(0, n)) for n in range(40) for _ in range(n // 2 + 1)] + [(50, i, i + 1) for i in range(30)] * 2 + [(51, 5, 5)]
+    want = {}
+    for net in {w[0] for w in wires}:
+        own = [w for w in wires if w[0] == net]
+        at = {p: p for _, a, b in own for p in (a, b)}
+        for _ in at:
+            for _, a, b in own:
+                at[a] = at[b] = min(at[a], at[b])
+        want[net] = len(set(at.values()))
+    shapes = spark.createDataFrame(wires, "net long, a long, b long").coalesce(2)
+    assert {x.net: x.islands for x in netlist.wire_islands(shapes, most=12).collect()} == want
+    monkeypatch.setattr(graph, "connected_components", None)
+    assert {x.net: x.islands for x in netlist.wire_islands(shapes).collect()} == want
