@@ -261,6 +261,26 @@ def test_colours_of_many_blocks(spark, block):
     assert sequential.greedy_colouring(pins.limit(0)).count() == 0
 
 
+def test_components_are_coloured_without_rounds(spark, monkeypatch):
+    import random
+
+    def refuse(*_):
+        raise AssertionError("rounds over blocks")
+
+    monkeypatch.setattr(sequential, "_by_blocks", refuse)
+    r = random.Random(7)
+    edges = [{50 * i + v for v in r.sample(range(50), r.choice([1, 2, 3, 6]))} for i in range(6) for _ in range(30)]
+    pins = spark.createDataFrame([(i, v) for i, e in enumerate(edges) for v in e], "e long, v long")
+    assert {x.v: x.colour for x in sequential.greedy_colouring(pins, 50).collect()} == brute_colours(edges)
+
+
+def test_components_of_unlisted_vertices_and_long_chains(spark):
+    pins = spark.createDataFrame([(i, v) for i in range(40) for v in ((i * 17) % 41, ((i + 1) * 17) % 41)] + [(90, 70), (90, 71), (91, 71), (91, 72), (None, 70), (None, 3)], "e long, v long")
+    vertices = spark.createDataFrame([(v,) for v in [*range(41), 70, 72, 80]], "v long")  # 71 isn't listed
+    want = {v: 0 for v in range(41)} | {v: v for v in (70, 72, 80)}
+    assert {r.v: r.component for r in graph.connected_components(vertices, pins).collect()} == want
+
+
 @pytest.mark.parametrize("capacity", [0, 1, 60, 777, 2500, 10_000])
 def test_first_fit_by_rounds(spark, capacity):
     import random
