@@ -70,6 +70,19 @@ def test_communities_reach_the_best_modularity(spark, resolution):
         assert abs(brute_q(arcs, {**own, r.v: r.target}, resolution) - best - r.gain) < 1e-9
 
 
+def test_components_in_tasks_and_by_rounds_have_the_whole_q(spark, monkeypatch):
+    cliques = [range(10 * i, 10 * i + 4) for i in range(5)]
+    arcs = both_ways([(a, b, 3) for c in cliques for a, b in itertools.combinations(c, 2)] + [(10 * i + 3, 10 * i + 10, 1) for i in (0, 2)] + [(40 + a, 50 + b, 2) for a in range(4) for b in range(4)])
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in arcs.items()], "src long, dst long, w long")
+    one, q = modularity.communities(df, 1.0, task_arcs=40)  # the last component has more arcs and goes by rounds
+    own = {r.v: r.label for r in one.collect()}
+    assert abs(brute_q(arcs, own, 1.0) - q[-1]) < 1e-9 and all(own[10 * i + j] == 10 * i for i in range(4) for j in range(4))
+    monkeypatch.setattr(modularity, "local_moves", None)  # rounds over tables
+    every, q = modularity.communities(df, 1.0)
+    own = {r.v: r.label for r in every.collect()}
+    assert abs(brute_q(arcs, own, 1.0) - q[-1]) < 1e-9 and all(own[10 * i + j] == 10 * i for i in range(4) for j in range(4))
+
+
 def test_moves_that_share_no_community_add_up(spark):
     r = random.Random(9)
     arcs = both_ways([(a, b, r.randint(1, 5)) for a, b in itertools.combinations(range(14), 2) if r.random() < 0.3])
