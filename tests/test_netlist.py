@@ -237,3 +237,34 @@ def test_islands_of_small_nets_need_no_rounds(spark, monkeypatch):
     assert {x.net: x.islands for x in netlist.wire_islands(shapes, most=12).collect()} == want
     monkeypatch.setattr(graph, "connected_components", None)
     assert {x.net: x.islands for x in netlist.wire_islands(shapes).collect()} == want
+
+
+def test_queries_of_one_place_are_looked_up_once(spark, monkeypatch):
+    from netloom.operators import spatial
+
+    made, real = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: made.append(real(df)) or made[-1])
+    points = spark.createDataFrame([(i, i % 9 * 1.5, i // 9 * 2.0) for i in range(80)], "id long, x double, y double")
+    queries = spark.createDataFrame([(i, 3.0 + 20 * (i % 2), 1.0) for i in range(60)], "q long, x double, y double")
+    got = {(r.q, r["rank"], r.id, r.d2) for r in spatial.k_nearest(queries, points, 3).collect()}
+    far = lambda q: sorted(((i % 9 * 1.5 - 3.0 - 20 * (q % 2)) ** 2 + (i // 9 * 2.0 - 1.0) ** 2, i) for i in range(80))[:3]
+    assert got == {(q, n + 1, i, d2) for q in range(60) for n, (d2, i) in enumerate(far(q))}
+    assert max(t.count() for t in made if "rank" in t.columns) <= 2 * 3
+
+
+def test_last_hop_goes_to_pairs_of_ports(spark):
+    arcs = [(a, b, (a * 7 + b * 3) % 10 + 1) for a in range(12) for b in range(12) if (a + 2 * b) % 5 == 1]
+    df = spark.createDataFrame(arcs, "src long, dst long, delay long")
+    for hops in (1, 2, 3):
+        paths = [[a] for a in arcs]
+        for _ in range(hops - 1):
+            paths = [[*p, a] for p in paths for a in arcs if a[0] == p[-1][1]]
+        want = {}
+        for p in paths:
+            key = (p[0][0] % 4, p[-1][1] % 3)
+            want[key] = max(want.get(key, 0), sum(a[2] for a in p))
+        out = netlist.timing_model(df, F.col("src") % 4, F.col("dst") % 3, hops)
+        assert {(r.port_in, r.port_out): r.delay for r in out.collect()} == want
+    # paths aren't dealt by (start port, node) once more before they are folded to pairs
+    plan = netlist.timing_model(df, F.col("src") % 4, F.col("dst") % 3, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [port_in") <= 1 and plan.count("port_out") > 0
