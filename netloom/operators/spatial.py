@@ -163,7 +163,7 @@ def optimal_region(pins: DataFrame, coords: DataFrame, axis: str = "x") -> DataF
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, cell: float = 1.0) -> DataFrame:
     """queries (q, x, y), points (id, x, y) -> (q, rank, id, d2): each query's k nearest points by squared distance, ties by id.
 
-    Points of one place are told apart by id only, so k of a place are enough. A round looks at the three times three grid cells around
+    Points of one place are told apart by id only, so k of a place are enough, and queries of one place are looked up once. A round looks at the three times three grid cells around
     a query, which hold all that is nearer than a cell's side; a query whose k-th point is that near is done, the others go
     on with cells of twice the side, until the cells cover everything. So dense places end in small cells, and only
     queries with few points around them see large ones. `cell` is the first side, best so that a cell holds some k points. Rows of null
@@ -172,32 +172,34 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, cell: float = 1.0)
     place = Window.partitionBy("x", "y").orderBy("id")
     own = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
     own = cut_lineage(own.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n"))
-    todo = cut_lineage(queries.select("q", F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")).where("qx is not null and qy is not null"))
+    asked = cut_lineage(queries.select("q", F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")).where("qx is not null and qy is not null"))
+    todo = cut_lineage(asked.select("qx", "qy").distinct())
     ends = own.agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = None
     if ends.lox is None:
-        return todo.limit(0).select("q", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"))
+        return asked.limit(0).select("q", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"))
     far = todo.agg(F.max(F.greatest(F.abs(F.col("qx") - ends.lox), F.abs(F.col("qx") - ends.hix), F.abs(F.col("qy") - ends.loy), F.abs(F.col("qy") - ends.hiy)))).first()[0] or 0.0
     side = float(cell)
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     while True:
         at = lambda c, s=side: F.floor(F.col(c) / s).cast("long")
-        cells = todo.select("q", "qx", "qy", F.explode(near).alias("o")).select("q", "qx", "qy", (at("qx") + F.col("o.a")).alias("cx"), (at("qy") + F.col("o.b")).alias("cy"))
+        cells = todo.select("qx", "qy", F.explode(near).alias("o")).select("qx", "qy", (at("qx") + F.col("o.a")).alias("cx"), (at("qy") + F.col("o.b")).alias("cy"))
         pairs = cells.join(own.select("id", "x", "y", at("x").alias("cx"), at("y").alias("cy")), ["cx", "cy"])
         d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
-        best = cut_lineage(pairs.select("q", "id", d2.alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "d2"))
+        rank = F.row_number().over(Window.partitionBy("qx", "qy").orderBy("d2", "id"))
+        best = cut_lineage(pairs.select("qx", "qy", "id", d2.alias("d2")).withColumn("rank", rank).where(F.col("rank") <= k).select("qx", "qy", "rank", "id", "d2"))
         whole = side >= far
-        done = best.where((F.col("rank") == k) & (F.col("d2") <= side * side)).select("q")
-        part = best if whole else best.join(done, "q", "left_semi")
+        done = best.where((F.col("rank") == k) & (F.col("d2") <= side * side)).select("qx", "qy")
+        part = best if whole else best.join(done, ["qx", "qy"], "left_semi")
         out = part if out is None else out.unionByName(part)
         if whole:
-            return out
-        rest = cut_lineage(todo.join(done, "q", "left_anti"))
+            break
+        rest = cut_lineage(todo.join(done, ["qx", "qy"], "left_anti"))
         release(todo)
         todo, side = rest, 2 * side
         if todo.isEmpty():
-            return out
+            break
+    return asked.join(out, ["qx", "qy"]).select("q", "rank", "id", "d2")
 
 
 def rectangles(points: DataFrame) -> DataFrame:
