@@ -159,9 +159,7 @@ def spectral_path_lengths(t):
     """The path graph by two coordinates, with both kinds of length."""
     x = t.h.vertices.select("v", F.array(((F.col("v") * 7919) % 1009).cast("double"), (F.col("v") % 13).cast("double")).alias("x"))
     pairs = graph.spectral_path_graph(t.h, x.select("v", F.col("x")[0].alias("x")))
-    plain = graph.path_lengths(pairs, x)
-    inverse = graph.path_lengths(pairs.select("src", "dst"), x, inverse=True).select("src", "dst", F.round("length", 6).alias("inverse"))
-    return plain.join(inverse, ["src", "dst"])
+    return graph.path_lengths(pairs, x, both=True).withColumn("inverse", F.round("inverse", 6))
 
 
 @query("""AND g AS (SELECT p_partkey AS v, p_brand || '/' || p_size AS grp FROM part), c AS (SELECT v, min(v) OVER (PARTITION BY grp) AS cluster FROM g),

@@ -348,3 +348,10 @@ def test_a_sweep_writes_its_arcs_once_and_never_with_their_needs(spark, monkeypa
                 want[v] = (pick(want[s][0] + d for s, d in own), 1 + max(want[s][1] for s, _ in own))
             assert got == want
         assert sum("src" in c for c in written) == 2 * times and not any("src" in c and "need" in c for c in written)
+
+
+def test_both_path_lengths_in_one_pass(spark):
+    pairs = spark.createDataFrame([(1, 2, 5), (2, 3, 6)], "src long, dst long, n long")
+    at = spark.createDataFrame([(1, [0.0, 4.0]), (2, [2.0, 4.0]), (3, [7.0, 0.0])], "v long, x array<double>")
+    got = {tuple(r) for r in graph.path_lengths(pairs, at, both=True).select("src", "dst", "n", "length", "inverse").collect()}
+    assert got == {(1, 2, 5, 2.0, 0.5 + 1e9), (2, 3, 6, 9.0, 1 / 5 + 1 / 4)}
