@@ -268,3 +268,13 @@ def test_last_hop_goes_to_pairs_of_ports(spark):
     # paths aren't dealt by (start port, node) once more before they are folded to pairs
     plan = netlist.timing_model(df, F.col("src") % 4, F.col("dst") % 3, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [port_in") <= 1 and plan.count("port_out") > 0
+
+
+
+def test_optimal_regions_of_both_axes(spark):
+    from netloom.operators import spatial
+
+    pins = spark.createDataFrame([(e, (e * 5 + j * j) % 23) for e in range(30) for j in range(e % 5 + 1)], "e long, v long").distinct()
+    coords = spark.createDataFrame([(v, v * 7 % 10, v * 3 % 11) for v in range(23)], "v long, x long, y long")
+    both = spatial.optimal_region(pins, coords).join(spatial.optimal_region(pins, coords, "y"), "v")
+    assert {tuple(r) for r in spatial.optimal_regions(pins, coords).collect()} == {tuple(r) for r in both.collect()}
