@@ -373,6 +373,24 @@ def test_block_iterations_equal_a_dense_solution(spark):
     assert abs(abs(x @ (np.sqrt(w) * vec[:, 1])) - 1) < 1e-2 and abs(w @ x) < 1e-9 and abs(w @ (x * x) - 1) < 1e-9
 
 
+def test_vectors_of_several_components_are_exact(spark, monkeypatch):
+    """Two cycles and an isolated vertex: value 0, constant on each, orthonormal under the weights, no iterations."""
+    import numpy as np
+
+    vertices = spark.createDataFrame([(i, 1 + i % 3, None) for i in range(9)], "v long, vwt long, fixed int")
+    edges = [(i, (i + 1) % 4) for i in range(4)] + [(4 + i, 4 + (i + 1) % 4) for i in range(4)]
+    pins = spark.createDataFrame([(e, p) for e, ps in enumerate(edges) for p in ps], "e long, v long")
+    h = Hypergraph(vertices, spark.createDataFrame([(e, 1) for e in range(8)], "e long, hwt long"), pins)
+    monkeypatch.setattr(graph, "_laplacians", None)
+    out = graph.eigenvectors(h, 2).collect()
+    assert len(out) == 18 and {r.value for r in out} == {0.0} and {r.k for r in out} == {1, 2}
+    w = np.array([1 + i % 3 for i in range(9)], float)
+    x = np.array([[r.x for r in sorted(out, key=lambda r: r.v) if r.k == k] for k in (1, 2)])
+    assert all(len(set(v[part].tolist())) == 1 for v in x for part in (slice(0, 4), slice(4, 8)))
+    assert np.abs(x @ w).max() < 1e-9 and np.abs((x * w) @ x.T - np.eye(2)).max() < 1e-9
+    assert all(v[np.abs(v).argmax()] > 0 for v in x)
+
+
 def test_placement_solved_to_tolerance(spark):
     import numpy as np
 
