@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.ordered import group_row_numbers, prefix_sum
-from netloom.session import cut_lineage, release
+from netloom.session import cut_lineage
+
+#: bits of a block of `scan_chains_of_bits`
+SPAN = 1 << 16
 
 
 def longest_run(slots: DataFrame, group: str, pos: str, free: Column) -> DataFrame:
@@ -42,36 +47,67 @@ def scan_chains_of_bits(cells: DataFrame, most: int) -> DataFrame:
     """cells (domain, falling, cell, bits) -> (cell, domain, chain, first_bit): chains of at most `most` bits, filled per domain
     with falling edges first, then by cell; a cell that doesn't fit starts the next chain.
 
-    Each cell points to the one that starts the next chain if it starts one. As the cells up to there have over `most`
-    bits but no cell has, that one stands within two spans of `most` bits, which is looked up by span. The starts are found from the first cell
-    of each domain by doubled jumps, so a domain of most cells needs no task of its own. Cells of more than `most` bits, or of none, are refused.
+    The cells of a domain are cut by their first bits into blocks of about SPAN bits, a task's group each. A first pass finds for each
+    block what every fill of the chain before it (0 to most bits) comes to behind it; these few rows, one a block, are followed from the
+    domain's first block on, and a second pass fills the chains of each block from there. So a domain of most cells needs no task of its
+    own, and there are two passes at any size. Cells of more than `most` bits, or of none, are refused.
     """
     if not cells.where((F.col("bits") > most) | (F.col("bits") < 1)).isEmpty():
         raise ValueError(f"cells must have 1 to {most} bits")
     own = prefix_sum(cells.select("domain", (~F.col("falling")).alias("rising"), "cell", F.col("bits").cast("long").alias("bits")), "domain", "bits", "rising", "cell")
+    own = cut_lineage(own.select("domain", "cell", "bits", "total"))
     base = own.groupBy("domain").agg(F.min(F.col("total") - F.col("bits")).alias("base"))
-    own = own.join(base.withColumnRenamed("domain", "d"), F.col("domain").eqNullSafe(F.col("d"))).drop("d")
-    # at: bits before the cell in its domain, to: with it
-    own = cut_lineage(own.select("base", "domain", "cell", (F.col("total") - F.col("bits") - F.col("base")).alias("at"), (F.col("total") - F.col("base")).alias("to")))
-    spans = own.groupBy("base", F.expr(f"to div {most}").alias("span")).agg(F.array_sort(F.collect_list(F.struct("to", "at"))).alias("cells"))  # at most `most` cells
-    ask = own.select("base", "at", (F.col("at") + most).alias("over"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("span", F.expr(f"over div {most} + k"))
-    after = ask.join(spans, ["base", "span"]).select("base", "at", F.array_min(F.transform(F.filter("cells", lambda c: c["to"] > F.col("over")), lambda c: c["at"])).alias("next"))
-    jump = cut_lineage(after.groupBy("base", "at").agg(F.min("next").alias("next")).where("next is not null"))
-    starts = cut_lineage(own.where("at = 0").select("base", "at"))
-    while not jump.isEmpty():
-        more = starts.join(jump, ["base", "at"]).select("base", F.col("next").alias("at"))
-        new = cut_lineage(starts.unionByName(more).distinct())
-        far = jump.select("base", F.col("at").alias("next"), F.col("next").alias("far"))
-        longer = cut_lineage(jump.join(far, ["base", "next"]).select("base", "at", F.col("far").alias("next")))
-        release(starts, jump)
-        starts, jump = new, longer
-    numbered = cut_lineage(group_row_numbers(starts, "base", "at", name="chain"))
-    # a chain starts in the span of a cell's own first bit or in the one before
-    heads = numbered.select("base", (F.col("chain") - 1).alias("chain"), F.col("at").alias("head"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("span", F.expr(f"head div {most} + k"))
-    heads = heads.groupBy("base", "span").agg(F.collect_list(F.struct("head", "chain")).alias("heads"))  # at most as many as two spans have cells
-    found = own.withColumn("span", F.expr(f"at div {most}")).join(heads, ["base", "span"])
-    head = F.array_max(F.filter("heads", lambda h: h["head"] <= F.col("at")))
-    return found.select("cell", "domain", head["chain"].alias("chain"), (F.col("at") - head["head"]).alias("first_bit"))
+    # at: bits before the cell in its domain
+    own = own.join(base.withColumnRenamed("domain", "d"), F.col("domain").eqNullSafe(F.col("d"))).select("base", "domain", "cell", "bits", (F.col("total") - F.col("bits") - F.col("base")).alias("at"))
+    own = cut_lineage(own.withColumn("block", F.expr(f"at div {max(SPAN, most)}")))
+    rows = own.select("base", "block", "at", "bits")
+
+    def behind(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        _, first, end = _starts(pdf, most)
+        # from each start to behind the block: the fill of its last chain, and how many chains start
+        fill, more, n = [0] * len(pdf), [0] * len(pdf), len(pdf)
+        upto = (pdf["at"] + pdf["bits"]).tolist()
+        at = pdf["at"].tolist()
+        for i in range(n - 1, -1, -1):
+            fill[i], more[i] = (upto[-1] - at[i], 1) if end[i] == n else (fill[end[i]], more[end[i]] + 1)
+        whole = upto[-1] - at[0]
+        found = [(f + whole, 0) if i == n else (fill[i], more[i]) for f, i in enumerate(first)]
+        return pd.DataFrame({"base": [pdf["base"].iloc[0]], "block": [pdf["block"].iloc[0]], "fills": [[x for x, _ in found]], "chains": [[x for _, x in found]]})
+
+    maps = rows.groupBy("base", "block").applyInPandas(behind, "base long, block long, fills array<long>, chains array<long>")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, fill, chain, out = pdf.sort_values("block"), 0, 0, []
+        for base, block, fills, chains in zip(pdf["base"], pdf["block"], pdf["fills"], pdf["chains"], strict=True):
+            out.append((base, block, fill, chain))
+            fill, chain = int(fills[fill]), chain + int(chains[fill])
+        return pd.DataFrame(out, columns=["base", "block", "fill", "chain"])
+
+    entry = cut_lineage(cut_lineage(maps).groupBy("base").applyInPandas(follow, "base long, block long, fill long, chain long"))
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at").reset_index(drop=True)
+        fill, chain = int(pdf["fill"].iloc[0]), int(pdf["chain"].iloc[0])
+        at, first, end = _starts(pdf, most)
+        heads, i = [], int(first[fill])
+        while i < len(pdf):
+            heads.append(i)
+            i = end[i]
+        new = np.searchsorted(heads, np.arange(len(pdf)), "right")  # chains that have started
+        start = np.concatenate([[at[0] - fill], at[heads]]) if heads else np.array([at[0] - fill])
+        return pd.DataFrame({"base": pdf["base"], "at": at, "chain": chain + new, "first_bit": at - start[new]})
+
+    numbered = rows.join(entry, ["base", "block"]).groupBy("base", "block").applyInPandas(number, "base long, at long, chain long, first_bit long")
+    return own.join(numbered, ["base", "at"]).select("cell", "domain", "chain", "first_bit")
+
+
+def _starts(pdf: pd.DataFrame, most: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """A block's cells (at, bits) in their order -> (at, the first cell that starts a chain for each fill from 0 to most before the
+    block, for each cell the one that starts the next chain if it starts one); the number of cells stands for none."""
+    at, upto = pdf["at"].to_numpy(), (pdf["at"] + pdf["bits"]).to_numpy()
+    first = np.searchsorted(upto, at[0] - np.arange(most + 1) + most, "right")
+    return at, first.tolist(), np.searchsorted(upto, at + most, "right").tolist()
 
 
 def replay(journal: DataFrame) -> DataFrame:
