@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom.operators import spatial
 from netloom.operators.hypergraph import max_fanout
 from netloom.plans.registry import query
+from netloom.session import cut_lineage, dealt
 
 _NET = "net AS (SELECT e, max(x) - min(x) + max(y) - min(y) AS hpwl, min(x) AS xlo, min(y) AS ylo, max(x) + 1 AS xhi, max(y) + 1 AS yhi FROM pins JOIN coords USING (v) GROUP BY e)"
 
@@ -203,7 +204,11 @@ def pin_assignment(t):
 def topk_neighbors(t):
     from netloom.operators.timing import top_k
 
-    q = t.h.pins.join(t.h.pins.select("e", F.col("v").alias("u")), "e").where("v <> u").groupBy("v", "u").agg(F.count("*").alias("n"))
+    pins = cut_lineage(t.h.pins)
+    n = F.count("*").cast("long")
+    rows = pins.groupBy("e").agg((n * (n - 1)).alias("k")).agg(F.sum("k")).first()[0] or 0  # pairs before they are counted
+    q = dealt(pins, rows, "e").join(dealt(pins.select("e", F.col("v").alias("u")), rows, "e"), "e").where("v <> u")
+    q = dealt(dealt(q, rows, "v", "u").groupBy("v", "u").agg(F.count("*").alias("n")), rows, "v")  # a frequent v has a row a neighbour
     return top_k(q.withColumn("m", -F.col("n")), "v", "m", 5, "u").select("v", "u", "n", "rank")
 
 

@@ -276,6 +276,56 @@ def test_chains_of_bits_against_filling(spark, most):
         sequence.scan_chains_of_bits(spark.createDataFrame([(1, True, 1, most + 1)], "domain long, falling boolean, cell long, bits int"), most)
 
 
+def test_chains_of_bits_take_two_passes_over_blocks(spark, monkeypatch):
+    """Many blocks of one domain and of a null one equal plain filling, with a fixed number of tables."""
+    from netloom.operators import sequence
+
+    r, written = random.Random(2), []
+    cells = [(d, False, 1000 * (d or 0) + i, r.randint(1, 4)) for d, n in ((None, 90), (2, 400)) for i in range(n)]
+    want, chain, bits, last = {}, 0, 0, 0
+    for d, _, cell, n in cells:
+        if d != last:
+            chain, bits, last = 0, 0, d
+        elif bits + n > 10:
+            chain, bits = chain + 1, 0
+        want[cell] = (d, chain, bits)
+        bits += n
+    plain = sequence.cut_lineage
+    monkeypatch.setattr(sequence, "SPAN", 16, raising=False)
+    monkeypatch.setattr(sequence, "cut_lineage", lambda df: written.append(1) or plain(df))
+    out = sequence.scan_chains_of_bits(spark.createDataFrame(cells, "domain long, falling boolean, cell long, bits int"), 10).collect()
+    assert {x.cell: (x.domain, x.chain, x.first_bit) for x in out} == want and len(out) == len(cells)
+    assert len(written) <= 4
+
+
+def test_random_cycles_deal_rows_to_more_tasks(spark, monkeypatch):
+    from netloom import session
+
+    edges = [[i, i + 1, i + 2, i + 5][: 2 + i % 3] for i in range(60)]
+    vertices = spark.range(70).selectExpr("id v", "1L vwt", "cast(null as int) fixed")
+    pins = spark.createDataFrame([(e, p) for e, ps in enumerate(edges) for p in ps], "e long, v long")
+    h = Hypergraph(vertices, spark.range(60).selectExpr("id e", "id % 3 + 1 hwt"), pins)
+    rows = sum(len(ps) * (3 if len(ps) > 3 else 1) for ps in edges)
+    rounded = lambda df: sorted((x.src, x.dst, round(x.w, 9), round(x.spread, 9)) for x in df.collect())
+    want = rounded(graph.random_cycles(h, 3))
+    assert {(a, b) for a, b, *_ in want} == {(b, a) for a, b, *_ in want}
+    monkeypatch.setattr(session, "TASK_ROWS", 10, raising=False)
+    out = graph.random_cycles(h, 3)
+    assert out.rdd.getNumPartitions() == rows // 10 + 1 and rounded(out) == want
+
+
+def test_neighbours_deal_pairs_to_more_tasks(spark, sf, monkeypatch):
+    from netloom.plans import space
+    from netloom.plans.registry import QUERIES
+
+    dealt, asked = getattr(space, "dealt", None), []
+    monkeypatch.setattr(space, "dealt", lambda df, rows, *keys: asked.append((rows, keys)) or dealt(df, rows, *keys), raising=False)
+    QUERIES["topk_neighbors"](spark, sf)
+    pins = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey e", "l_partkey v").distinct()
+    pairs = pins.groupBy("e").count().selectExpr("sum(count * (count - 1)) n").first().n
+    assert set(asked) == {(pairs, ("e",)), (pairs, ("v", "u")), (pairs, ("v",))}
+
+
 def test_nearest_against_all_pairs(spark):
     from netloom.operators import spatial
 
