@@ -481,6 +481,22 @@ def test_best_prefix_of_moves_against_all_prefixes(spark):
             assert got[1] == min(tried) and {x.v: x.part for x in got[0].collect()} == part | dict.fromkeys(run[:k], 1)
 
 
+def test_rising_moves_are_the_positive_gains(spark):
+    """From one row a hyperedge, also for three parts and hyperedges of one pin."""
+    import random
+
+    r = random.Random(5)
+    for k in (2, 3):
+        hyper = [(r.sample(range(30), r.choice([1, 2, 2, 3, 4])), r.randint(1, 4)) for _ in range(45)]
+        h = Hypergraph(
+            spark.createDataFrame([(v, 1, None) for v in range(30)], "v long, vwt long, fixed int"), spark.createDataFrame([(e, w) for e, (_, w) in enumerate(hyper)], "e long, hwt long"),
+            spark.createDataFrame([(e, v) for e, (vs, _) in enumerate(hyper) for v in vs], "e long, v long"),
+        )
+        parts = spark.createDataFrame([(v, v % k) for v in range(30)], "v long, part int")
+        want = {tuple(x) for x in cuts.kway_gain(h, parts).where("gain > 0").collect()}
+        assert want and {tuple(x) for x in cuts.rising_moves(h, cuts.spread(h, parts)).collect()} == want
+
+
 def test_starts_are_proven_or_not_and_bounds_are_options(spark, toy):
     o = partition.Options(balance_constraint=32.0, num_initial_solutions=4, num_best_initial_solutions=2)
     assert all(x.proven and x.cut == 5 for x in partition.search_starts(toy, o).collect())
