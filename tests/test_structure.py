@@ -174,6 +174,23 @@ def test_tree_cuts_against_counting(spark):
         trees.preorder(h.vertices, df.union(spark.createDataFrame([(edges[0][0], edges[5][1])], "src long, dst long")).union(df.limit(1)))
 
 
+def test_walked_trees_equal_ranked_ones(spark, monkeypatch):
+    """Several trees of random shape, an isolated vertex: the same preorder by tasks of whole trees as by jumps."""
+    r = random.Random(8)
+    names = r.sample(range(1000), 80)
+    edges = [(names[i], names[r.randrange(i - i % 25, i)]) if r.random() < 0.5 else (names[r.randrange(i - i % 25, i)], names[i]) for i in range(75) if i % 25]
+    v, df = spark.createDataFrame([(x,) for x in names], "v long"), spark.createDataFrame(edges, "src long, dst long")
+    ranked, used = trees._ranked, []
+    monkeypatch.setattr(trees, "_ranked", lambda *a: used.append(1) or ranked(*a))
+    rows = lambda: {tuple(x) for x in trees.preorder(v, df).collect()}
+    walked = rows()
+    assert len(walked) == 80 and not used
+    monkeypatch.setattr(trees, "BATCH_NODES", 10)
+    assert rows() == walked and not used
+    monkeypatch.setattr(trees, "TREE_NODES", 10)
+    assert rows() == walked and used
+
+
 def test_low_stretch_forest(spark):
     """A spanning tree of a grid of unit arcs with some long ones: its mean stretch stays far below that of a path."""
     k = 12
