@@ -1,6 +1,7 @@
 """Hand-worked values on two small hypergraphs, and invariants."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -524,3 +525,26 @@ def test_either_start_takes_rounds_beyond_the_bound(spark, toy):
     o = partition.Options(most_coarse_pins=3, start="either", num_coarsen_solutions=1, num_vcycles=0, num_best_initial_solutions=2, refiner_iters=2, balance_constraint=20)
     parts = partition.multilevel(toy, o).collect()
     assert len(parts) == toy.vertices.count() and {r.part for r in parts} <= {0, 1}
+
+
+def test_start_of_the_query_is_one_for_every_size(spark, monkeypatch):
+    r = random.Random(5)
+    pins = sorted({(e, r.randrange(60)) for e in range(120) for _ in range(3)})
+    h = Hypergraph(spark.range(60).selectExpr("id v", "id % 3 + 1 vwt", "if(id = 7, 1, null) fixed"), spark.range(120).selectExpr("id e", "id % 4 + 1 hwt"), spark.createDataFrame(pins, "e long, v long"))
+    monkeypatch.setattr(partition, "best_start", None)  # nothing is sent whole to a task
+    o = partition.Options(start="either", num_initial_solutions=4, num_best_initial_solutions=2, refiner_iters=1, balance_constraint=6)
+    out = [sorted(map(tuple, partition._start(h, replace(o, most_coarse_pins=n)).collect())) for n in (1, 10**6)]
+    assert out[0] == out[1] and len(out[0]) == 60 and dict(out[0])[7] == 1
+    # the best of the best two of all four starts
+    starts = [partition.cut_lineage(partition.greedy_blocks(h, o, o.seed + i)) for i in range(4)]
+    assert {tuple(x) for x in partition.starts(h, o, o.seed, 4).collect()} == {(i, *x) for i, p in enumerate(starts) for x in p.collect()}
+    over = lambda p: not cuts.evaluate(h, p, 2, 6).first().feasible
+    kept = sorted((over(p), partition._cut(h, p), i) for i, p in enumerate(starts))[:2]
+    done = {i: partition.refine(h, starts[i], o) for _, _, i in kept}
+    best = min((over(p), partition._cut(h, p), i) for i, p in done.items())[2]
+    assert out[0] == sorted(map(tuple, done[best].collect()))
+
+
+def test_rounds_search_exactly_on_few_vertices(spark, toy):
+    o = partition.Options(start="rounds", balance_constraint=32.0, num_initial_solutions=4, num_best_initial_solutions=2, num_coarsen_solutions=1, num_vcycles=0)
+    assert cuts.cut_size(toy, partition._start(toy, o)).first().cut == 5
