@@ -278,3 +278,25 @@ def test_optimal_regions_of_both_axes(spark):
     coords = spark.createDataFrame([(v, v * 7 % 10, v * 3 % 11) for v in range(23)], "v long, x long, y long")
     both = spatial.optimal_region(pins, coords).join(spatial.optimal_region(pins, coords, "y"), "v")
     assert {tuple(r) for r in spatial.optimal_regions(pins, coords).collect()} == {tuple(r) for r in both.collect()}
+
+
+def test_a_round_of_kmeans_is_one_job(spark, monkeypatch):
+    r = random.Random(3)
+    pts = [(i, [r.random() * 9, r.random() * 9]) for i in range(90)]
+    df = spark.createDataFrame(pts, "id long, x array<double>")
+    made = []
+    monkeypatch.setattr(netlist, "cut_lineage", lambda d: made.append(1) or d.localCheckpoint())
+    out = {x.id: x.cluster for x in netlist.kmeans(df, 4, 3).collect()}
+    assert len(made) == 1  # the points; rounds write nothing
+    centres = [dict(pts)[x.id] for x in df.orderBy(F.xxhash64("id"), "id").limit(4).orderBy("id").collect()]
+    near = lambda x: min(range(4), key=lambda c: (sum((a - b) ** 2 for a, b in zip(x, centres[c])), c))
+    for _ in range(3):
+        own = [[x for _, x in pts if near(x) == c] for c in range(4)]
+        centres = [[sum(y) / len(g) for y in zip(*g)] if g else centres[c] for c, g in enumerate(own)]
+    assert out == {i: near(x) for i, x in pts}
+
+
+def test_kmeans_of_points_with_nulls(spark):
+    pts = [(0, [0.0, 0.0]), (1, [1.0, None]), (2, None), (3, [9.0, 9.0]), (4, [8.0, 9.0]), (5, [0.0, 1.0])]
+    out = netlist.kmeans(spark.createDataFrame(pts, "id long, x array<double>"), 6, 3).collect()
+    assert sorted(x.id for x in out) == list(range(6)) and all(x.cluster is not None for x in out)
