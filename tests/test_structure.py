@@ -422,3 +422,31 @@ def test_both_path_lengths_in_one_pass(spark):
     at = spark.createDataFrame([(1, [0.0, 4.0]), (2, [2.0, 4.0]), (3, [7.0, 0.0])], "v long, x array<double>")
     got = {tuple(r) for r in graph.path_lengths(pairs, at, both=True).select("src", "dst", "n", "length", "inverse").collect()}
     assert got == {(1, 2, 5, 2.0, 0.5 + 1e9), (2, 3, 6, 9.0, 1 / 5 + 1 / 4)}
+
+
+def test_links_are_counted_or_sorted_alike():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    s, to, k = r.integers(0, 50, 400), r.integers(0, 9, 400) * 5, r.integers(1, 6, 400).astype(float)
+    want = {}
+    for a, b, x in zip(s.tolist(), to.tolist(), k.tolist(), strict=True):
+        want[a, b] = want.get((a, b), 0) + x
+    for cells in (0, 4):  # sorted, counted
+        v, label, sums = modularity._links(s, to, k, 50, cells)
+        assert list(zip(zip(v.tolist(), label.tolist(), strict=True), sums.tolist(), strict=True)) == sorted(want.items())
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in modularity._links(none, none, np.zeros(0), 3)] == [0, 0, 0]
+
+
+def test_batches_of_components_are_tasks_of_their_own(spark, monkeypatch):
+    from pyspark import TaskContext
+
+    def whose(pdf, *_):
+        return modularity.pd.DataFrame({"v": pdf.src.unique(), "label": TaskContext.get().partitionId(), "q": 0.0})
+
+    monkeypatch.setattr(modularity, "_in_task", whose)
+    arcs = spark.range(400).selectExpr("id div 40 * 100 + id % 40 src", "id div 40 * 100 + (id + 1) % 40 dst", "1L w").where("src <> dst")
+    both = arcs.unionByName(arcs.selectExpr("dst src", "src dst", "w"))
+    label = modularity.communities(both, task_arcs=200)[0].collect()  # ten components of 80 arcs, each over a batch
+    assert len({r.label for r in label}) == len({r.v // 100 for r in label}) == 10
